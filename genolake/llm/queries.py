@@ -2,15 +2,26 @@
 
 from __future__ import annotations
 
-from genolake.llm import exact_dedup, quality_rules
+from genolake.llm import exact_dedup, language_id, packing, piece_nbest, quality_rules, token_counts, warc
 from genolake.session import table
 
+
+def _docs(run):
+    return lambda spark, sf_dir: run(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
-    "op3_tree_merge_exact_dedup": lambda spark, sf_dir: exact_dedup.report(table(spark, sf_dir, "documents")),
-    "op5_threshold_table_quality": lambda spark, sf_dir: quality_rules.report(table(spark, sf_dir, "documents")),
+    "op1_offset_token_counts": _docs(token_counts.count_tokens),
+    "op3_tree_merge_exact_dedup": _docs(exact_dedup.report),
+    "op4_exact_complement_packing": _docs(packing.pack),
+    "op5_threshold_table_quality": _docs(quality_rules.report),
+    "op7_nbest_pieces": _docs(piece_nbest.encode_decode),
+    "op9_mixture_language_id": _docs(language_id.report),
+    "op10_arc_to_warc": lambda spark, sf_dir: warc.report(spark, table(spark, sf_dir, "pages")),
 }
 
 ORACLE_SQL = {
     "op3_tree_merge_exact_dedup": exact_dedup.ORACLE_SQL,
     "op5_threshold_table_quality": quality_rules.ORACLE_SQL,
+    "op10_arc_to_warc": warc.ORACLE_SQL,
 }
