@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genolake.llm import exact_dedup, language_id, packing, piece_nbest, quality_rules, token_counts, warc
+from genolake.llm import exact_dedup, language_id, packing, phrase_dedup, piece_nbest, quality_rules, suffix_dedup, token_counts, warc
 from genolake.session import table
 
 
@@ -12,9 +12,11 @@ def _docs(run):
 
 QUERIES = {
     "op1_offset_token_counts": _docs(token_counts.count_tokens),
+    "op2_phrase_automata_dedup": _docs(phrase_dedup.report),
     "op3_tree_merge_exact_dedup": _docs(exact_dedup.report),
     "op4_exact_complement_packing": _docs(packing.pack),
     "op5_threshold_table_quality": _docs(quality_rules.report),
+    "op6_suffix_family_dedup": _docs(suffix_dedup.report),
     "op7_nbest_pieces": _docs(piece_nbest.encode_decode),
     "op9_mixture_language_id": _docs(language_id.report),
     "op10_arc_to_warc": lambda spark, sf_dir: warc.report(spark, table(spark, sf_dir, "pages")),
