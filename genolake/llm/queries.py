@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genolake.llm import exact_dedup, language_id, packing, phrase_dedup, piece_nbest, quality_rules, suffix_dedup, token_counts, warc
+from genolake.llm import exact_dedup, language_id, minhash_join, packing, phrase_dedup, piece_nbest, quality_rules, suffix_dedup, token_counts, warc
 from genolake.session import table
 
 
@@ -18,6 +18,7 @@ QUERIES = {
     "op5_threshold_table_quality": _docs(quality_rules.report),
     "op6_suffix_family_dedup": _docs(suffix_dedup.report),
     "op7_nbest_pieces": _docs(piece_nbest.encode_decode),
+    "op8_coordinate_minhash_dedup": _docs(minhash_join.report),
     "op9_mixture_language_id": _docs(language_id.report),
     "op10_arc_to_warc": lambda spark, sf_dir: warc.report(spark, table(spark, sf_dir, "pages")),
 }
