@@ -5,9 +5,9 @@ A document's set holds its distinct 3-word shingles. Documents with equal sets a
 similarity. The join:
 
 1. Every class is posted under each coordinate-value pair. Pairs that one class alone holds are dropped, and so is
-   a class that is left with fewer than ``MATCHES`` pairs: no other can agree with it in as many coordinates.
-2. Prefix: of the pairs that are left, the rarest first, all but ``MATCHES - 1`` are looked at. Two
-   classes with ``MATCHES`` agreeing coordinates meet under one of them.
+   a class that is left with fewer than ``matches`` pairs: no other can agree with it in as many coordinates.
+2. Prefix: of the pairs that are left, the rarest first, all but ``matches - 1`` are looked at. Two
+   classes with ``matches`` agreeing coordinates meet under one of them.
 3. Under a pair, collisions over all coordinates are counted between each class and the leaders of groups seen so
    far. Skip: members of a group are not compared with one another there, and an edge goes out only between
    groups not yet joined, so there are fewer edges than classes. ``NEAR`` collisions join a group to a leader:
@@ -17,7 +17,7 @@ similarity. The join:
    classes is dealt out as pairs of blocks.
 
 Links are thus confirmed on full sets, and all of a component's classes are compared: signatures only decide
-what meets. A pair at the similarity bound fails to agree in ``MATCHES`` of ``COORDINATES`` with a chance of about
+what meets. A pair at the similarity bound fails to agree in ``matches`` of ``COORDINATES`` with a chance of about
 2 in a million.
 
 Defined results: null text or no word gives an empty set, 0 shingles and a component of its own. Repeated rows, and
@@ -37,12 +37,19 @@ from genolake.llm.runs import NULL_ID, word_hashes
 from genolake.session import checkpoint, partitions
 
 COORDINATES = 64
-MATCHES = 29
 NEAR = 8
 BLOCK = 1000
 PERCENT = 85
 SHINGLE = 3
 
+
+
+def matches_for(percent: int) -> int:
+    """Coordinates in which a pair at this similarity agrees, but for a chance of some millionths."""
+    p = (percent / 100) ** 2
+    return max(1, int(COORDINATES * p - 4.8 * (COORDINATES * p * (1 - p)) ** 0.5))
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _draws: dict = {}
 
@@ -86,7 +93,7 @@ def _record_batch(cols: list, kinds: tuple, names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """doc_id, _d, n, digest of the set and signature as coordinate-value numbers, per row."""
 
     def run(batches: Iterator) -> Iterator:
@@ -102,7 +109,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 batch = whole.slice(k, 1000)
                 ns, digests, signatures = [], [], []
                 for text in batch.column(2).to_pylist():
-                    s = shingle_set(text)
+                    s = shingle_set(text, size)
                     ns.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     signatures.append((signature(s) | place).astype(np.int64) if len(s) else None)
@@ -112,7 +119,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, _d long, n long, digest binary, signature array<long>")
 
 
-def candidate_edges(classes: DataFrame, matches: int = MATCHES) -> DataFrame:
+def candidate_edges(classes: DataFrame, matches: int) -> DataFrame:
     """(a, b): classes, by ``nid``, that may be linked, or are needed to reach one that is."""
     n = partitions(classes.sparkSession)
     posted = classes.select("nid", F.explode("signature").alias("pair"))
@@ -235,7 +242,7 @@ def links_inside(sets: list, left: list[bool] | None = None, percent: int = PERC
     return out
 
 
-def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """(a, b) digests of classes whose sets are similar. members: (_d, digest, root) of candidate components."""
     n = partitions(docs.sparkSession)
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
@@ -252,7 +259,7 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, block:
         for batch in batches:
             rows, size = [], 0
             for text, want, root, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = shingle_set(text).tobytes()
+                raw = shingle_set(text, shingle).tobytes()
                 if hashlib.blake2b(raw, digest_size=16).digest() != want:
                     continue  # another row of this id
                 mine = int.from_bytes(want[:4], "little") % blocks
@@ -294,13 +301,13 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, block:
     return dealt.mapInArrow(compare, "a binary, b binary")
 
 
-def resolve(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def resolve(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, _d, n, digest and component per row (component as a ``_d``)."""
-    rows = checkpoint(sketches(docs))
+    rows = checkpoint(sketches(docs, shingle))
     classes = checkpoint(rows.filter("n > 0").groupBy("digest").agg(F.min("_d").alias("_d"), F.first("signature").alias("signature")).withColumn("nid", F.xxhash64("digest")))
-    near = connected_components(candidate_edges(classes))
+    near = connected_components(candidate_edges(classes, matches_for(percent)))
     members = classes.select("_d", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "digest", "root")
-    linked = connected_components(confirm(docs, members, percent))
+    linked = connected_components(confirm(docs, members, percent, shingle, block))
     grouped = classes.select("digest", "_d").join(linked.withColumnRenamed("node", "digest"), "digest")
     smallest = grouped.groupBy("root").agg(F.min("_d").alias("component"))
     moved = grouped.join(smallest, "root").select("digest", "component")
@@ -318,9 +325,9 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component, with the columns of the input; rows without a word all stay."""
-    kept = resolve(docs).filter("_d = component").select("_d", "n").distinct()
+    kept = resolve(docs, percent, shingle).filter("_d = component").select("_d", "n").distinct()
     keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
     won = keyed.join(kept.hint("merge").groupBy("_d").agg(F.max("n").alias("_n")), "_d")
     first = F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))

@@ -126,8 +126,13 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass every rule, with the columns of the input."""
-    return measure(docs, keep=docs.columns).filter("kept").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    """The rows that pass every rule, with the columns of the input.
+
+    The row number keeps the optimiser from copying the measures into the filter, where they would be
+    computed over and over (a filter is not moved below a projection that is not deterministic).
+    """
+    measured = measure(docs, keep=docs.columns).select("_row", "kept", F.monotonically_increasing_id().alias("_n"))
+    return measured.filter("kept and _n >= 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 #: DuckDB. Windows are compared by their words; a position counts when any of the 5 windows over it repeats.
