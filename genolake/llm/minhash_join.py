@@ -328,7 +328,8 @@ def report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component, with the columns of the input; rows without a word all stay."""
     kept = resolve(docs, percent, shingle).filter("_d = component").select("_d", "n").distinct()
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"), row.alias("_row"))
     won = keyed.join(kept.hint("merge").groupBy("_d").agg(F.max("n").alias("_n")), "_d")
-    first = F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
-    return won.withColumn("_k", first).filter("_k = 1 or _n = 0").select(docs.columns)
+    first = F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64("_row")))
+    return won.withColumn("_k", first).filter("_k = 1 or _n = 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

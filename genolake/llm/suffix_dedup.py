@@ -116,8 +116,8 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` without repeated strings in ``text``; ``n_chars``, where there is one, follows."""
-    df = _joined(docs, hot)
-    at = df.columns.index("text")
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    df = _joined(packed, hot).select("text", "_row", "_spans")
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -125,17 +125,16 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
         for batch in batches:
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+            for text, spans in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if spans:
                     data = np.frombuffer(text.encode("utf-8"), np.uint8)
                     mask, _ = covered(spans, WIDTH, len(data))
                     text = data[~mask].tobytes().decode("utf-8", "ignore")
                 texts.append(text)
-            cols = [batch.column(i) for i in range(batch.num_columns - 1)]
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column(1)], names=["text", "_row"])
 
-    out = df.mapInArrow(run, df.drop("_spans").schema).drop("_d", "_h")
+    out = df.mapInArrow(run, df.drop("_spans").schema)
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])

@@ -80,7 +80,9 @@ def parse_arc_line(line: bytes, version: int) -> dict:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
-    """(offset, fields, block) of each record after the file description."""
+    """(offset, fields, block) of each record after the file description; an empty file has none."""
+    if not data:
+        return
     end = data.index(b"\n")
     first = parse_arc_line(data[: end + 1], 2 if len(data[:end].split(b" ")) >= 10 else 1)
     block = data[end + 1 : end + 1 + first["length"]]
