@@ -11,11 +11,14 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
 
 
-def accessions(pages: DataFrame, pattern: str = r"acc\.cgi\?acc=(GSM[0-9]+)") -> DataFrame:
-    """Accessions in links and the table cell that follows each."""
-    full = r'<a href="[^"]*' + pattern + r'"[^>]*>[^<]*</a></td>\s*<td[^>]*>([^<]*)</td>'
-    found = pages.select("page_id", F.explode(F.arrays_zip(F.regexp_extract_all("html", F.lit(full), F.lit(1)).alias("accession"), F.regexp_extract_all("html", F.lit(full), F.lit(2)).alias("description"))).alias("x"))
-    return found.select("page_id", "x.accession", "x.description")
+#: A link to an accession page and the table cell that follows it: accession and description are the two groups.
+ACCESSION_ROW = r'<a href="[^"]*acc\.cgi\?acc=(GSM[0-9]+)"[^>]*>[^<]*</a></td>\s*<td[^>]*>([^<]*)</td>'
+
+
+def accessions(pages: DataFrame, pattern: str = ACCESSION_ROW) -> DataFrame:
+    """(accession, description) by the two groups of a pattern, in order of appearance."""
+    both = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(pattern), F.lit(k)).alias(c) for k, c in ((1, "accession"), (2, "description"))])
+    return pages.select("page_id", F.explode(both).alias("x")).select("page_id", "x.accession", "x.description")
 
 
 def numeric_rows(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -25,10 +28,6 @@ def numeric_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.filter(F.size("f") == 2).select("page_id", F.col("f")[0].alias("name"), F.expr("try_cast(f[1] AS DOUBLE)").alias("value")).filter("value is not null")
 
 
-def word_lengths(pages: DataFrame) -> DataFrame:
-    return pages.groupBy("page_id").agg(F.count("*").alias("n"))
-
-
 def note_html(note: Column) -> Column:
     """Headings, lists and links of a plain note as HTML; the longer heading mark goes first."""
     out = F.regexp_replace(note, r"===([^=]+)===", "<h2>$1</h2>")

@@ -69,12 +69,13 @@ query("library_size", "exons", sql="SELECT sample, CAST(sum(n) AS BIGINT) AS lib
 query("mean_impute", "expression", sql="""
 + k AS (SELECT count(DISTINCT subgroup) AS k FROM expression), common AS (SELECT gene FROM expression GROUP BY gene HAVING count(DISTINCT subgroup) = (SELECT k FROM k)),
 m AS (SELECT subgroup, gene, avg(v) AS mean FROM expression GROUP BY subgroup, gene), i AS (SELECT DISTINCT ind FROM expression)
-SELECT m.subgroup, m.gene, i.ind, round(coalesce(e.v, mean), 6) AS v, e.v IS NULL AS imputed FROM m JOIN common USING (gene) CROSS JOIN i
-LEFT JOIN expression e ON e.subgroup = m.subgroup AND e.gene = m.gene AND e.ind = i.ind""")(lambda e: ex.impute_means(e).withColumn("v", F.round("v", 6)))
+SELECT m.subgroup, m.gene, i.ind, round(coalesce(e.v, mean), 8) AS v, e.v IS NULL AS imputed FROM m JOIN common USING (gene) CROSS JOIN i
+LEFT JOIN expression e ON e.subgroup = m.subgroup AND e.gene = m.gene AND e.ind = i.ind""")(lambda e: ex.impute_means(e).withColumn("v", F.round("v", 8)))
 query("residualise", "expression", sql="""
-+ f AS (SELECT gene, regr_slope(v, CAST(ind AS DOUBLE)) AS b, regr_intercept(v, CAST(ind AS DOUBLE)) AS a FROM expression GROUP BY gene HAVING count(DISTINCT ind) > 1)
-SELECT gene, subgroup, ind, round(v - a - b * ind, 5) AS residual FROM expression JOIN f USING (gene)""")(
-    lambda e: ex.residuals(e.withColumn("x", F.col("ind").cast("double")), "x", "v", "gene").filter("slope is not null").select("gene", "subgroup", "ind", F.round("residual", 5).alias("residual"))
++ x AS (SELECT gene, subgroup, ind, CAST(ind AS DOUBLE) AS x, ln(v) AS y FROM expression),
+f AS (SELECT gene, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP BY gene HAVING count(DISTINCT ind) > 1)
+SELECT gene, subgroup, ind, round(y - a - b * x, 6) AS residual FROM x JOIN f USING (gene)""")(
+    lambda e: ex.residuals(e.select("gene", "subgroup", "ind", F.col("ind").cast("double").alias("x"), F.ln("v").alias("y")), "x", "y", "gene").filter("slope is not null").select("gene", "subgroup", "ind", F.round("residual", 6).alias("residual"))
 )
 query("confounder_residuals", "expression")(
     lambda e: ex.remove_confounders(e.groupBy("gene", "ind").agg(F.avg("v").alias("v")), e.select("ind").distinct().select("ind", F.explode(F.create_map(F.lit("c1"), F.col("ind") * 1.0, F.lit("c2"), (F.col("ind") % 3) * 1.0)).alias("name", "c")))
@@ -375,7 +376,9 @@ query("html_pre_table", "pages", sql="""SELECT page_id, f[1] AS name, TRY_CAST(f
 (SELECT page_id, unnest(string_split(block, chr(10))) AS line FROM (SELECT page_id, concat(url, chr(9), CAST(length(html) AS VARCHAR), chr(10), 'size', chr(9), 'large') AS block FROM pages))) WHERE len(f) = 2 AND TRY_CAST(f[2] AS DOUBLE) IS NOT NULL""")(
     lambda p: bib.numeric_rows(p.select("page_id", F.concat(F.lit("<pre>"), "url", F.lit("\t"), F.length("html").cast("string"), F.lit("\nsize\tlarge</pre>")).alias("html")))
 )
-query("html_accessions", "pages")(lambda p: bib.accessions(p, r'/([A-Za-z]+)'))
+query("html_accessions", "pages", sql="""SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) AS accession, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) AS description FROM pages""")(
+    lambda p: bib.accessions(p, r'<a href="/([^"]*)">([^<]*)</a>')
+)
 query("note_to_html", "documents", sql=r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(n, '===([^=]+)===', '<h2>\1</h2>', 'g'), '==([^=]+)==', '<h1>\1</h1>', 'g'), '(https?://[^\s<]+)', '<a href="\1">\1</a>', 'g') AS html
 FROM (SELECT doc_id, concat('==', lang, '== ===', source, '=== http://x.org/', CAST(doc_id AS VARCHAR), ' ', CAST(n_chars AS VARCHAR)) AS n FROM documents)""")(
     lambda d: d.select("doc_id", bib.note_html(F.concat(F.lit("=="), "lang", F.lit("== ==="), "source", F.lit("=== http://x.org/"), F.col("doc_id").cast("string"), F.lit(" "), F.col("n_chars").cast("string"))).alias("html"))
