@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genolake.operators.blocks import cross_products
+
 
 def yield_loss(pheno: DataFrame, share: float = 0.2) -> DataFrame:
     """The pathogen takes a share of the yield of susceptible plants."""
@@ -90,6 +92,17 @@ def blups(pheno: DataFrame, mu: float, var_g: float, var_e: float, trait: str =
     return per.select("ind", "n", (F.col("n") * var_g / (F.col("n") * var_g + var_e) * (F.col("m") - mu)).alias("blup"))
 
 
+def _kinship(z: DataFrame, place: dict):
+    """Cross-products of individuals as a dense matrix of the cohort."""
+    import numpy as np
+
+    k = np.zeros((len(place), len(place)))
+    for r in cross_products(z, "ind", "snp", "z").collect():
+        if r["row1"] in place and r["row2"] in place:
+            k[place[r["row1"]], place[r["row2"]]] = k[place[r["row2"]], place[r["row1"]]] = r["cross"]
+    return k
+
+
 def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float, most_inds: int = 5000):
     """Ridge-regression marker effects: the individuals-by-individuals system is solved, effects come from Spark.
 
@@ -105,11 +118,7 @@ def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float, most_inds:
     place = {x: k for k, x in enumerate(inds)}
     freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
     z = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
-    a, b = z.select("snp", F.col("ind").alias("i"), F.col("z").alias("zi")), z.select("snp", F.col("ind").alias("j"), F.col("z").alias("zj"))
-    k = np.zeros((len(inds), len(inds)))
-    for r in a.join(b, "snp").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s")).collect():
-        if r["i"] in place and r["j"] in place:
-            k[place[r["i"]], place[r["j"]]] = k[place[r["j"]], place[r["i"]]] = r["s"]
+    k = _kinship(z, place)
     y = np.array([ys[i] for i in inds])
     mean = float(y.mean())
     alpha = np.linalg.solve(k + penalty * np.eye(len(inds)), y - mean)
@@ -150,11 +159,7 @@ def marker_scan(doses: DataFrame, pheno: DataFrame, var_ratio: float = 1.0, most
     place = {x: k for k, x in enumerate(inds)}
     freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
     z = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
-    a, b = z.select("snp", F.col("ind").alias("i"), F.col("z").alias("zi")), z.select("snp", F.col("ind").alias("j"), F.col("z").alias("zj"))
-    kin = np.zeros((len(inds), len(inds)))
-    for r in a.join(b, "snp").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("s")).collect():
-        if r["i"] in place and r["j"] in place:
-            kin[place[r["i"]], place[r["j"]]] = kin[place[r["j"]], place[r["i"]]] = r["s"]
+    kin = _kinship(z, place)
     kin /= max(1e-9, np.trace(kin) / len(inds))
     values, vectors = np.linalg.eigh(kin)
     weight = 1 / (var_ratio * np.clip(values, 0, None) + 1)

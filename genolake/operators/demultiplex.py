@@ -139,3 +139,16 @@ def indistinct_tags(tags: DataFrame, most: int = 0) -> DataFrame:
     t2 = sheet(tags.select(F.col("sample").alias("s2"), F.col("tag").alias("t2")))
     far = mismatches_at(F.col("t2"), F.lit(1), F.col("t1"))
     return t1.join(t2, (F.col("s1") != F.col("s2")) & (F.length("t1") <= F.length("t2")) & (far <= most))
+
+
+def safe_mismatches(tags: DataFrame, most: int) -> int:
+    """The largest number of substitutions, up to ``most``, at which tags of different samples stay apart; -1 if none."""
+    for k in range(most, -1, -1):
+        if indistinct_tags(tags, k).isEmpty():
+            return k
+    return -1
+
+
+def too_long(tags: DataFrame, window: int, motif_bases: int = 0) -> DataFrame:
+    """Tags that, with what the enzyme leaves, do not fit in the window where they are looked for."""
+    return tags.filter(F.length("tag") + motif_bases > window)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from genolake.operators.blocks import cross_products
+
 
 def gene_counts(exons: DataFrame) -> DataFrame:
     return exons.groupBy("gene", "sample").agg(F.sum("n").alias("n_reads"))
@@ -80,12 +82,19 @@ def components(values: DataFrame, most_samples: int = 5000) -> DataFrame:
         raise ValueError(f"at most {most_samples} samples")
     s = values.groupBy("ind").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     z = values.join(F.broadcast(s), "ind").select("gene", "ind", F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)).alias("z"))
-    a, b = z.select("gene", F.col("ind").alias("i"), F.col("z").alias("zi")), z.select("gene", F.col("ind").alias("j"), F.col("z").alias("zj"))
     cov = np.zeros((len(inds), len(inds)))
     place = {x: k for k, x in enumerate(inds)}
-    for r in a.join(b, "gene").filter("i <= j").groupBy("i", "j").agg(F.sum(F.col("zi") * F.col("zj")).alias("c"), F.count("*").alias("n")).collect():
-        cov[place[r["i"]], place[r["j"]]] = cov[place[r["j"]], place[r["i"]]] = r["c"] / max(1, r["n"] - 1)
+    for r in cross_products(z, "ind", "gene", "z").collect():
+        cov[place[r["row1"]], place[r["row2"]]] = cov[place[r["row2"]], place[r["row1"]]] = r["cross"] / max(1, r["n"] - 1)
     variances = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
     share = variances / variances.sum() if variances.sum() else variances
     rows = [(k + 1, float(v), float(p), float(c)) for k, (v, p, c) in enumerate(zip(variances, share, np.cumsum(share), strict=True))]
     return values.sparkSession.createDataFrame(rows, "pc int, variance double, share double, cumulative double")
+
+
+def enough_components(pcs: DataFrame, share: float | None = None, least_drop: float | None = None) -> int:
+    """How many components to keep: the first that reach a cumulative share, or up to the first drop below a bound."""
+    rows = pcs.orderBy("pc").collect()  # one row per sample of a cohort
+    if share is not None:
+        return next((r["pc"] for r in rows if r["cumulative"] >= share), len(rows))
+    return next((a["pc"] for a, b in zip(rows, rows[1:], strict=False) if a["share"] - b["share"] < least_drop), len(rows))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from genolake.operators.blocks import cross_products
+
 
 def call_probabilities(call: Column, a1: Column, a2: Column) -> dict[str, Column]:
     """Probabilities of the three genotypes; a call with other letters has none."""
@@ -65,16 +67,45 @@ def linkage(doses: DataFrame) -> DataFrame:
     return pairs.groupBy("snp1", "snp2").agg(F.count("*").alias("n"), F.pow(F.corr(F.col("g1").cast("double"), F.col("g2").cast("double")), 2).alias("r2")).filter("r2 is not null")
 
 
-def relationships(doses: DataFrame, centred: bool = True) -> DataFrame:
-    """Genomic relationships of pairs of individuals, over the markers that both have."""
+def relationships(doses: DataFrame, centred: bool = True, method: str = "vanraden") -> DataFrame:
+    """Genomic relationships of pairs of individuals, over the markers that both have.
+
+    vanraden: cross-products over the summed heterozygosity (``centred`` or not); centred: cross-products of centred
+    doses over the number of markers; standardised: those of doses scaled by each marker's own deviation (markers
+    without variation are left out).
+    """
     freq = frequencies(doses).select("snp", "freq")
-    g = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - (2 * F.col("freq") if centred else 0)).alias("z"))
-    scale = freq.agg(F.sum(2 * F.col("freq") * (1 - F.col("freq"))).alias("scale"))
-    a, b = g.select(F.col("ind").alias("ind1"), "snp", F.col("z").alias("z1")), g.select(F.col("ind").alias("ind2"), "snp", F.col("z").alias("z2"))
-    sums = a.join(b, "snp").filter("ind1 <= ind2").groupBy("ind1", "ind2").agg(F.sum(F.col("z1") * F.col("z2")).alias("cross"))
+    het = 2 * F.col("freq") * (1 - F.col("freq"))
+    z = F.col("g") - (2 * F.col("freq") if centred else 0)
+    if method == "standardised":
+        freq, z = freq.filter("freq > 0 and freq < 1"), z / F.sqrt(het)
+    elif method not in ("vanraden", "centred"):
+        raise ValueError("method is vanraden, centred or standardised")
+    scale = freq.agg((F.sum(het) if method == "vanraden" else F.count("*").cast("double")).alias("scale"))
+    g = doses.join(freq, "snp").select("ind", "snp", z.alias("z"))
+    sums = cross_products(g, "ind", "snp", "z").select(F.col("row1").alias("ind1"), F.col("row2").alias("ind2"), "cross")
     return sums.crossJoin(F.broadcast(scale)).select("ind1", "ind2", F.try_divide("cross", "scale").alias("relationship"))
 
 
+def inbreeding(relationship: DataFrame) -> DataFrame:
+    """Inbreeding of individuals and coancestry of pairs from their relationships."""
+    same = F.col("ind1") == F.col("ind2")
+    return relationship.select("ind1", "ind2", F.when(same, F.col("relationship") - 1).alias("inbreeding"), F.when(~same, F.col("relationship") / 2).alias("coancestry"))
+
+
+def ascertained(doses: DataFrame, panel: DataFrame, least: float = 0.1, most: int | None = None) -> DataFrame:
+    """Markers that are common enough in a panel of individuals; ``most`` of them, in the order of a hash."""
+    found = frequencies(doses.join(panel, "ind", "left_semi")).filter(F.col("maf") >= least).select("snp", "maf")
+    return found.orderBy(F.md5(F.col("snp").cast("string")), "snp").limit(most) if most else found
+
+
+def trait_values(doses: DataFrame, effects: DataFrame, mean: float, noise: float = 0.0) -> DataFrame:
+    """Simulated trait: mean, summed marker effects and noise that a hash of the individual draws."""
+    value = doses.join(effects, "snp").groupBy("ind").agg(F.sum(F.col("g") * F.col("beta")).alias("genetic"))
+    u = (F.pmod(F.xxhash64("ind"), F.lit(1_000_003)) + 0.5) / 1_000_003
+    return value.select("ind", "genetic", (mean + F.col("genetic") + noise * (2 * u - 1)).alias("trait"))
+
+
 def gaps(snps: DataFrame) -> DataFrame:
     """Distance to the next marker of the chromosome."""
     w = Window.partitionBy("chrom").orderBy("pos", "snp")

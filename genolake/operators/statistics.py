@@ -101,6 +101,13 @@ def log10_sum(df: DataFrame, value: str, by: str) -> DataFrame:
     return df.join(top, by).groupBy(by).agg((F.log10(F.avg(F.pow(F.lit(10.0), F.col(value) - F.col("_top")))) + F.max("_top")).alias("log10_mean"))
 
 
+def log10_weighted_sum(df: DataFrame, value: str, weight: str, by: str) -> DataFrame:
+    """log10 of the weighted sum of 10**value, kept in range by the largest value."""
+    top = df.groupBy(by).agg(F.max(value).alias("_top"))
+    terms = F.col(weight) * F.pow(F.lit(10.0), F.col(value) - F.col("_top"))
+    return df.join(top, by).groupBy(by).agg((F.log10(F.sum(terms)) + F.max("_top")).alias("log10_sum"))
+
+
 def normal_scores(df: DataFrame, value: str, key: str, by: str) -> DataFrame:
     """Rank-based inverse normal transformation within groups."""
     from genolake.functions.distributions import normal_quantile_sql

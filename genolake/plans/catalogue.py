@@ -26,7 +26,6 @@ from genolake.session import table
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
-_FROM = {"genotypes", "doses"}
 
 SITE = motif_pattern("G^CWG_C")
 MOTIF = motif_pattern(remaining_motif("G^CWG_C"))
@@ -127,6 +126,9 @@ query("demux_summary", "reads", "tags", sql=f"""+ a AS ({_MET4A}), d AS (SELECT
 SELECT count(*) AS reads, count(*) FILTER (x = 'unassigned') AS unassigned, count(*) FILTER (x = 'chimeras') AS chimeras, count(*) FILTER (x <> 'unassigned') AS assigned,
 round(100.0 * count(*) FILTER (x <> 'unassigned') / nullif(count(*), 0), 4) AS percent_assigned FROM d""")(lambda r, t: dm.summary(dm.route(r, dm.first_starts(r, t))))
 query("tag_distinguishability", "tags", sql="""SELECT a.sample AS s1, a.tag AS t1, b.sample AS s2, b.tag AS t2 FROM tags a JOIN tags b ON a.sample <> b.sample AND length(a.tag) <= length(b.tag) AND hamming(a.tag, substr(b.tag, 1, length(a.tag))) <= 1""")(lambda t: dm.indistinct_tags(t, 1))
+query("tags_too_long", "reads", "long_tags", sql="SELECT sample, tag FROM long_tags WHERE length(tag) + 4 > (SELECT min(length(seq)) - 24 FROM reads)")(
+    lambda r, t: dm.too_long(t, r.agg(F.min(F.length("seq"))).first()[0] - 24, 4).select("sample", "tag")
+)
 query("revcomp", "reads", sql="SELECT read_id, reverse(translate(seq, 'ACGTN', 'TGCAN')) AS rc FROM reads")(lambda r: r.select("read_id", reverse_complement(F.col("seq")).alias("rc")))
 
 # --- trimming -----------------------------------------------------------------------------------------------
@@ -222,6 +224,17 @@ SELECT a.ind AS ind1, b.ind AS ind2, round(sum(a.z * b.z) / (SELECT s FROM s), 6
 
 query("grm_vanraden", "doses", sql=_grm("2 * p"))(lambda d: gt.relationships(d).withColumn("relationship", F.round("relationship", 6)))
 query("grm_uncentred", "doses", sql=_grm("0"))(lambda d: gt.relationships(d, centred=False).withColumn("relationship", F.round("relationship", 6)))
+query("grm_standardised", "doses", sql="""+ f AS (SELECT snp, p FROM (SELECT snp, avg(g) / 2 AS p FROM doses GROUP BY snp) WHERE p > 0 AND p < 1), z AS (SELECT ind, snp, (g - 2 * p) / sqrt(2 * p * (1 - p)) AS z FROM doses JOIN f USING (snp))
+SELECT a.ind AS ind1, b.ind AS ind2, round(sum(a.z * b.z) / (SELECT count(*) FROM f), 6) AS relationship FROM z a JOIN z b ON a.snp = b.snp AND a.ind <= b.ind GROUP BY a.ind, b.ind""")(lambda d: gt.relationships(d, method="standardised").withColumn("relationship", F.round("relationship", 6)))
+query("inbreeding", "doses", sql=f"""SELECT ind1, ind2, round(CASE WHEN ind1 = ind2 THEN relationship - 1 END, 6) AS inbreeding, round(CASE WHEN ind1 <> ind2 THEN relationship / 2 END, 6) AS coancestry FROM ({cte("doses") + _grm("2 * p").replace("+ f AS", ", f AS", 1).replace(", 6) AS relationship", ", 12) AS relationship")})""".replace("SELECT ind1", "+ one AS (SELECT 1) SELECT ind1", 1))(
+    lambda d: gt.inbreeding(gt.relationships(d)).select("ind1", "ind2", F.round("inbreeding", 6).alias("inbreeding"), F.round("coancestry", 6).alias("coancestry"))
+)
+query("ascertained_snps", "doses", sql="SELECT snp, round(least(p, 1 - p), 9) AS maf FROM (SELECT snp, avg(g) / 2 AS p FROM doses WHERE ind % 3 = 0 GROUP BY snp) WHERE least(p, 1 - p) >= 0.4")(
+    lambda d: gt.ascertained(d, d.filter("ind % 3 = 0").select("ind").distinct(), 0.4).withColumn("maf", F.round("maf", 9))
+)
+query("trait_values", "doses", sql="SELECT ind, CAST(sum(g * (snp % 7 - 3)) AS DOUBLE) AS genetic, CAST(50 + sum(g * (snp % 7 - 3)) AS DOUBLE) AS trait FROM doses GROUP BY ind")(
+    lambda d: gt.trait_values(d, d.select("snp").distinct().withColumn("beta", (F.col("snp") % 7 - 3).cast("double")), 50.0)
+)
 query("snp_gap", "snps", sql="SELECT snp, chrom, pos, lead(pos) OVER (PARTITION BY chrom ORDER BY pos, snp) - pos AS gap FROM snps")(gt.gaps)
 query("snp_pair_distance", "snps", sql="SELECT a.snp AS snp1, b.snp AS snp2, CASE WHEN a.chrom = b.chrom THEN abs(b.pos - a.pos) END AS distance FROM snps a JOIN snps b ON b.snp IN (a.snp + 1, a.snp + 22)")(
     lambda s: gt.pair_distances(s.select(F.col("snp").alias("snp1"), F.explode(F.array(F.col("snp") + 1, F.col("snp") + 22)).alias("snp2")), s)
@@ -307,7 +320,9 @@ query("ols_slope_r2", "phenotypes", sql="""SELECT plot, n, round(slope, 6) AS sl
 query("log10_sum", "phenotypes", sql="SELECT ind, round(log10(avg(power(10, trait1 / 100 - top))) + max(top), 6) AS log10_mean FROM (SELECT *, max(trait1 / 100) OVER (PARTITION BY ind) AS top FROM phenotypes) GROUP BY ind")(
     lambda p: st.log10_sum(p.withColumn("x", F.col("trait1") / 100), "x", "ind").withColumn("log10_mean", F.round("log10_mean", 6))
 )
-_QP = "((i - a) / (n + 1E0 - 2E0 * a))"
+query("log10_weighted_sum", "phenotypes", sql="SELECT ind, round(log10(sum((1 + rec % 5) * power(10, trait1 / 100 - top))) + max(top), 6) AS log10_sum FROM (SELECT *, max(trait1 / 100) OVER (PARTITION BY ind) AS top FROM phenotypes) GROUP BY ind")(
+    lambda p: st.log10_weighted_sum(p.select("ind", (F.col("trait1") / 100).alias("x"), (1 + F.col("rec") % 5).alias("w")), "x", "w", "ind").withColumn("log10_sum", F.round("log10_sum", 6))
+)
 query("qqnorm", "phenotypes", sql=f"""+ r AS (SELECT rec, year, p FROM (SELECT rec, year, (i - a) / (n + 1E0 - 2E0 * a) AS p FROM (SELECT *, CASE WHEN n <= 10 THEN 0.375E0 ELSE 0.5E0 END AS a FROM
 (SELECT rec, year, row_number() OVER (PARTITION BY year ORDER BY trait1, rec) AS i, count(*) OVER (PARTITION BY year) AS n FROM phenotypes))))
 SELECT rec, year, round({normal_quantile_sql("p")}, 6) AS score FROM r""")(lambda p: st.normal_scores(p, "trait1", "rec", "year").select("rec", "year", F.round("score", 6).alias("score")))

@@ -109,3 +109,25 @@ def test_stream(spark, tmp_path):
         run_stream(spark, str(tmp_path / "in"), tags, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination()
     got = {r.read_id: (r.sample, r.clip1) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"r1": ("ind1", "CC"), "r2": ("unassigned", "GGG")}
+
+
+def test_archives_and_kept_results(spark, tmp_path):
+    import zipfile
+
+    from genolake.sources import archives
+
+    with zipfile.ZipFile(tmp_path / "d1_fastqc.zip", "w") as z:
+        z.writestr("d1_fastqc/fastqc_data.txt", ">>Basic Statistics\tpass\n#Measure\tValue\nTotal Sequences\t7\n>>END_MODULE\n")
+    (tmp_path / "bad.zip").write_bytes(b"no archive")
+    got = {r.dataset: (r.text is not None, r.fault) for r in archives.read_report_archives(spark, str(tmp_path)).collect()}
+    assert got == {"d1": (True, None), "bad": (False, "BadZipFile")}
+    cells = qc.parse_report(archives.read_report_archives(spark, str(tmp_path)).filter("fault is null"))
+    assert [r.value for r in cells.filter("name = 'Value'").collect()] == ["7"]
+    assert archives.one_file(spark, f"{tmp_path}/bad*.zip").endswith("bad.zip")
+    with pytest.raises(ValueError):
+        archives.one_file(spark, f"{tmp_path}/*.zip")
+    made = []
+    for _ in range(2):
+        df = archives.kept(spark, str(tmp_path / "kept"), lambda: made.append(1) or spark.range(3))
+    assert df.count() == 3 and made == [1]
+    assert archives.missing_chunks(spark.range(3), spark.range(2), "id").count() == 1

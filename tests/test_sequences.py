@@ -107,3 +107,10 @@ def test_cleaning(spark):
 def test_insert_motif(spark):
     got = spark.range(1).select(dna.insert_motif(dna.insert_motif(F.lit("A" * 20), F.lit(2), F.lit("TT")), F.lit(10), F.lit("TT")).alias("s"), dna.reverse_complement(F.lit("AACGN")).alias("rc")).first()
     assert got.s == "ATTAAAAAATTAAAAAAAAA" and got.rc == "NCGTT"
+
+
+def test_safe_mismatches(spark):
+    t = spark.createDataFrame([("a", "AAAAA", 0), ("b", "TTTAA", 1)], "sample string, tag string, tag_rank int")
+    assert dm.safe_mismatches(t, 4) == 2
+    assert dm.safe_mismatches(spark.createDataFrame([("a", "AC", 0), ("b", "ACG", 1)], t.schema), 1) == -1
+    assert [r.tag for r in dm.too_long(t, 8, 4).collect()] == ["AAAAA", "TTTAA"]

@@ -148,3 +148,39 @@ def test_relational(spark):
     files = spark.createDataFrame([("a_pheno", "s1", f"ind{i}", i - 1) for i in (1, 2, 3)] + [("b_geno", "s2", "ind1", 0), ("b_geno", "s2", "ind4", 1)], "kind string, subgroup string, sample string, pos int")
     assert rel.sample_union(files).select("sample").distinct().count() == 4
     assert math.isclose(br.variance_budget(50, 0.1, 20, 0.5, 100)["var_a"], 25)
+
+
+def test_cross_products_by_blocks(spark):
+    from genolake.operators.blocks import cross_products
+
+    rng = np.random.default_rng(7)
+    cells = [(int(i), int(s), float(rng.normal())) for s in range(50) for i in rng.permutation(9)[: rng.integers(1, 9)]]
+    df = spark.createDataFrame([*cells, (1, 60, None)], "ind int, snp int, z double")
+    by = {}
+    for i, s, z in cells:
+        by.setdefault(s, {})[i] = z
+    expected = {}
+    for col in by.values():
+        for a in col:
+            for b in col:
+                if a <= b:
+                    c, n = expected.get((a, b), (0.0, 0))
+                    expected[a, b] = (c + col[a] * col[b], n + 1)
+    got = {(r.row1, r.row2): (r.cross, r.n) for r in cross_products(df, "ind", "snp", "z", 7).collect()}
+    assert got.keys() == expected.keys()
+    assert all(math.isclose(got[k][0], expected[k][0], abs_tol=1e-9) and got[k][1] == expected[k][1] for k in got)
+
+
+def test_other_relationships(spark):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 3, size=(6, 20))
+    g[:, 0] = 1
+    doses = spark.createDataFrame([(i, s, 0, int(g[i, s])) for i in range(6) for s in range(20)], "ind int, snp int, block int, g int")
+    f = g.mean(0) / 2
+    z = (g - 2 * f) / np.sqrt(2 * f * (1 - f))
+    expected = z @ z.T / 20
+    assert all(math.isclose(r.relationship, expected[r.ind1, r.ind2], abs_tol=1e-9) for r in gt.relationships(doses, method="standardised").collect())
+    with pytest.raises(ValueError):
+        gt.relationships(doses, method="x")
+    pcs = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.3, 0.8), (3, 0.2, 1.0)], "pc int, share double, cumulative double")
+    assert ex.enough_components(pcs, share=0.75) == 2 and ex.enough_components(pcs, least_drop=0.15) == 2
