@@ -9,7 +9,7 @@ once per worker, and the text's N best are found among the words whose next-best
 Characters without a piece become byte pieces, at a score below every piece. Decoding joins pieces and bytes.
 
 Defined results: null and empty texts have no piece, the score 0 and one segmentation. Segmentations of equal
-score are ordered by where they differ (longer last pieces first). A text with fewer than N segmentations
+score come in a fixed order, that of the search. A text with fewer than N segmentations
 returns all of them. Repeated rows and null ids are returned row by row. Empty tables give empty
 results. A long text without a space is one long lattice, searched in steps that grow with its length. Other columns are not read.
 """
@@ -20,6 +20,7 @@ import heapq
 import itertools
 import re
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 
@@ -32,6 +33,7 @@ REMEMBERED_WORDS = 250_000
 WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 _models: dict[str, "PieceModel"] = {}
+_through = itemgetter(0)
 
 
 class PieceModel:
@@ -45,7 +47,9 @@ class PieceModel:
         self.vocab = {p: (i, self.sp.get_score(i)) for i, p in enumerate(self.pieces) if not special[i]}
         self.byte_ids = {int(self.pieces[i][1:-1], 16): i for i in range(size) if self.sp.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
-        self.longest = max(map(len, self.vocab))
+        #: Every beginning of a piece: its bytes and score if it is one, (b"", None) if it only begins one.
+        self.starts: dict[str, tuple[bytes, float | None]] = {p[:k]: (b"", None) for p in self.vocab for k in range(1, len(p))}
+        self.starts.update({p: (i.to_bytes(4, "little"), score) for p, (i, score) in self.vocab.items()})
         normal = [s for _, s in self.vocab.values() if s > -1e8]
         self.unknown_score = min(normal) - 10.0
         self.unknown_id = self.sp.unk_id()
@@ -53,53 +57,67 @@ class PieceModel:
         self.remembered = remembered
         self.known: dict[str, list] = {}
 
-    def fallback(self, char: str) -> tuple[int, ...]:
-        if not self.byte_ids:
-            return (self.unknown_id,)
-        return tuple(self.byte_ids[b] for b in char.encode("utf-8"))
+    def fallback(self, char: str) -> bytes:
+        ids = [self.byte_ids[b] for b in char.encode("utf-8")] if self.byte_ids else [self.unknown_id]
+        return b"".join(i.to_bytes(4, "little") for i in ids)
 
-    def search(self, word: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best (score, ids) of one lattice, best first."""
-        size, vocab, longest = len(word), self.vocab, self.longest
-        into: list[list] = [[] for _ in range(size + 1)]
+    def search(self, word: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best (score, ids) of one lattice, best first; ids are little-endian 32-bit.
+
+        Partial paths in the queue stand for disjoint sets of whole ones, each with the score that the
+        heuristic tells, so of those that wait only the n best (less those found) can ever be needed.
+        """
+        size, starts = len(word), self.starts
+        into: list[list] = [[] for _ in range(size + 1)]  # (score from the start through the edge, start, score, ids)
         best = [0.0] * (size + 1)
         for i in range(size):
-            here = best[i]
-            for j in range(i + 1, min(size, i + longest) + 1):
-                if (found := vocab.get(word[i:j])) is not None:
-                    edge = (i, found[1], (found[0],))
-                elif j == i + 1:
-                    edge = (i, self.unknown_score, self.fallback(word[i]))
-                else:
-                    continue
-                score = here + edge[1]
-                if not into[j] or score > best[j]:
-                    best[j] = score
-                into[j].append(edge)
-        order = itertools.count()
-        queue = [(-best[size], 0, size, 0.0, None)]
-        out: list[tuple[float, tuple[int, ...]]] = []
-        while queue and len(out) < n:
-            _, _, at, behind, path = heapq.heappop(queue)
+            if i:
+                into[i].sort(key=_through, reverse=True)
+                best[i] = into[i][0][0]
+            here, j = best[i], i + 1
+            found = starts.get(word[i:j])
+            if found is None or found[1] is None:  # no piece is this character
+                into[j].append((here + self.unknown_score, i, self.unknown_score, self.fallback(word[i])))
+            while found is not None:
+                raw, score = found
+                if score is not None:
+                    into[j].append((here + score, i, score, raw))
+                if j == size:
+                    break
+                j += 1
+                found = starts.get(word[i:j])
+        into[size].sort(key=_through, reverse=True)
+        queue: list[tuple] = [(into[size][0][0] if size else 0.0, size, 0.0, ())]
+        out: list[tuple[float, bytes]] = []
+        while queue:
+            _, at, behind, path = queue.pop(0)
             if at == 0:
-                ids: list[int] = []
-                while path is not None:
-                    ids.extend(path[0])
+                parts = []
+                while path:
+                    parts.append(path[0])
                     path = path[1]
-                out.append((behind, tuple(ids)))
+                out.append((behind, b"".join(parts)))
+                if len(out) == n:
+                    break
                 continue
-            for start, score, ids in into[at]:
-                total = behind + score
-                heapq.heappush(queue, (-(best[start] + total), next(order), start, total, (ids, path)))
+            room = n - len(out)
+            for through, start, score, raw in into[at]:
+                total = through + behind
+                if len(queue) >= room:
+                    if total <= queue[room - 1][0]:
+                        break  # edges come best first
+                    del queue[room - 1 :]
+                k = len(queue)
+                while k and queue[k - 1][0] < total:
+                    k -= 1
+                queue.insert(k, (total, start, behind + score, (raw, path)))
         return out
 
-    def word(self, word: str, n: int) -> tuple[float, bytes, int, float, list]:
-        """(best score, its ids as bytes, their number, cost of the next best, all n best)."""
-        import numpy as np
-
+    def word(self, word: str, n: int) -> tuple[float, bytes, float, list]:
+        """(best score, its ids, cost of the next best, all n best)."""
         found = self.search(word, n)
-        score, ids = found[0]
-        return score, np.array(ids, dtype="<u4").tobytes(), len(ids), (score - found[1][0]) if len(found) > 1 else float("inf"), found
+        score, raw = found[0]
+        return score, raw, (score - found[1][0]) if len(found) > 1 else float("inf"), found
 
     def lookup(self, words: list[str], n: int) -> list:
         known, out = self.known, []
@@ -123,15 +141,15 @@ class PieceModel:
         if n == 1 or not entries:
             return best
         # The k-th best differs from the best in words among those with the k - 1 smallest next-best costs.
-        costs = np.fromiter((e[3] for e in entries), dtype=float, count=len(entries))
+        costs = np.array([e[2] for e in entries])
         near = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else _smallest(costs, n - 1)
         near = sorted(int(i) for i in near if np.isfinite(costs[i]))
-        alternatives = [[(entries[i][0] - s, k) for k, (s, _) in enumerate(entries[i][4])] for i in near]
+        alternatives = [[(entries[i][0] - s, k) for k, (s, _) in enumerate(entries[i][3])] for i in near]
         combos = heapq.nsmallest(n, itertools.product(*alternatives), key=lambda c: (sum(x for x, _ in c), sum(k > 0 for _, k in c), [-k for _, k in c]))
         for combo in combos[1:]:
             parts = [e[1] for e in entries]
             for i, (_, k) in zip(near, combo, strict=True):
-                parts[i] = np.array(entries[i][4][k][1], dtype="<u4").tobytes()
+                parts[i] = entries[i][3][k][1]
             best.append((base - sum(x for x, _ in combo), b"".join(parts)))
         return best
 
