@@ -8,22 +8,34 @@ from pyspark.sql import functions as F
 from genolake.session import checkpoint
 
 
+def _jumped(moves: DataFrame) -> DataFrame:
+    """(node, to) with ``to`` at the end of its chain."""
+    while True:
+        far = moves.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        jumped = checkpoint(moves.join(far, "to").select("node", "to", "far"))
+        moves = jumped.select("node", F.col("far").alias("to"))
+        if jumped.filter("far <> to").isEmpty():
+            return moves
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an edge; the root is the smallest node of its component.
 
-    Labels go along edges and then jump to their label's label, so the number of rounds grows with the
-    logarithm of a component's diameter. Each round is written to the shared checkpoint folder. Edges may
-    repeat and may be loops; null ends are left out.
+    In each round every node points to its smallest neighbour, pointers jump (doubling their reach) until they end at nodes
+    without a smaller neighbour, and the graph is contracted to these: edges inside a contracted node vanish and
+    equal ones merge, so edges shrink from round to round and a large dense group in the first. What is left of the
+    edges, the pointers and the nodes' places are written to the shared checkpoint folder. Edges may repeat and
+    may be loops; null ends are left out.
     """
-    ends = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u is not null and v is not null")
-    both = checkpoint(ends.union(ends.select("v", "u")).distinct())
-    labels = checkpoint(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).select(F.col("u").alias("node"), "label"))
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        closer = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        moved = closer.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label"))
-        moved = checkpoint(moved)
-        labels = moved.select("node", "label")
-        if moved.filter("label <> old").isEmpty():
-            return labels.withColumnRenamed("label", "root")
+    ends = edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"), F.col(a).isNotNull() & F.col(b).isNotNull()).toDF("u", "v", "ok")
+    left = checkpoint(ends.filter("ok").select("u", "v").distinct())
+    places = left.select(F.col("u").alias("node")).union(left.select("v")).distinct().withColumn("root", F.col("node"))
+    left = left.filter("u <> v")
+    while not left.isEmpty():
+        near = left.union(left.select("v", "u")).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("to"))
+        moves = _jumped(checkpoint(near))
+        mu, mv = moves.toDF("u", "fu"), moves.toDF("v", "fv")
+        places = checkpoint(places.join(moves.toDF("root", "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        moved = left.join(mu, "u").join(mv, "v").select(F.least("fu", "fv").alias("u"), F.greatest("fu", "fv").alias("v"))
+        left = checkpoint(moved.filter("u <> v").distinct())
+    return places
