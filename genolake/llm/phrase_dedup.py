@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 
-from genolake.llm.runs import HOT, WordText, covered, removed_windows
+from genolake.llm.runs import HOT, WordText, covered, keyed, removed_windows
 
 WIDTH = WordText.width
 
@@ -72,8 +72,9 @@ def word_variants(contents: list[bytes], ranks: list[tuple]) -> Iterator[tuple[i
 
 def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row."""
-    keyed, spans = removed_windows(docs.select("doc_id", "text"), WordText, word_variants, hot)
-    df = keyed.join(spans.hint("merge"), ["_d", "_h"], "left").select("doc_id", "text", "_spans")
+    texts = keyed(docs.select("doc_id", "text"))
+    spans = removed_windows(texts, WordText, word_variants, hot)
+    df = texts.join(spans.hint("merge"), ["_d", "_h"], "left").select("doc_id", "text", "_spans")
 
     def run(batches: Iterator) -> Iterator:
         import hashlib

@@ -303,13 +303,14 @@ def routed(docs: DataFrame, marks: DataFrame, kind: type) -> DataFrame:
                     rows.append((key, content, d, h, start, windows, False))
             for (d, h), spans in gone.items():
                 spans.sort()
+                at = (d * 0x9E3779B1 ^ h) & NULL_ID  # spread by document: copies share their text's hash
                 a, b = spans[0]
                 for x, y in spans[1:]:
                     if x > b:
-                        rows.append((h, None, d, h, a, b - a, True))
+                        rows.append((at, None, d, h, a, b - a, True))
                         a, b = x, y
                     b = max(b, y)
-                rows.append((h, None, d, h, a, b - a, True))
+                rows.append((at, None, d, h, a, b - a, True))
             for k in range(0, len(rows), 20000):
                 yield _batch(rows[k : k + 20000], kinds, ROUTED_NAMES)
 
@@ -420,12 +421,15 @@ def settle(rows: DataFrame, kind: type, variants: Callable) -> DataFrame:
     return dealt.mapInArrow(run, "_d long, _h long, start long, windows int")
 
 
-def removed_windows(docs: DataFrame, kind: type, variants: Callable, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """The keyed documents, and (_d, _h, _spans) with the windows to remove as (start, end) of windows."""
-    docs = keyed(docs)
+def removed_windows(docs: DataFrame, kind: type, variants: Callable, hot: int = HOT) -> DataFrame:
+    """(_d, _h, _spans) with the windows to remove as (start, end) of windows; ``docs`` are keyed.
+
+    All columns of ``docs`` travel with the texts, so that a later join that needs the same columns reads the same
+    shuffle again.
+    """
     found = settle(routed(docs, recurring(docs, kind, hot), kind), kind, variants)
     spans = found.groupBy("_d", "_h").agg(F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows")).alias("b"))).alias("_spans"))
-    return docs, spans
+    return spans
 
 
 def covered(spans: list | None, width: int, size: int):

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolake.llm.runs import HOT, ByteText, covered, removed_windows
+from genolake.llm.runs import HOT, ByteText, covered, keyed, removed_windows
 
 WIDTH = ByteText.width
 
@@ -84,13 +84,14 @@ def byte_variants(contents: list[bytes], ranks: list[tuple]) -> Iterator[tuple[i
 
 
 def _joined(docs: DataFrame, hot: int) -> DataFrame:
-    keyed, spans = removed_windows(docs, ByteText, byte_variants, hot)
-    return keyed.join(spans.hint("merge"), ["_d", "_h"], "left").select(*keyed.columns, "_spans")
+    """Keyed documents with the windows to remove."""
+    spans = removed_windows(docs, ByteText, byte_variants, hot)
+    return docs.join(spans.hint("merge"), ["_d", "_h"], "left").select(*docs.columns, "_spans")
 
 
 def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row."""
-    df = _joined(docs.select("doc_id", "text"), hot).select("doc_id", "text", "_spans")
+    df = _joined(keyed(docs.select("doc_id", "text")), hot).select("doc_id", "text", "_spans")
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -116,7 +117,8 @@ def report(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The rows of ``docs`` without repeated strings in ``text``; ``n_chars``, where there is one, follows."""
-    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    packed = keyed(docs.select("doc_id", "text", row.alias("_row"))).drop("doc_id")
     df = _joined(packed, hot).select("text", "_row", "_spans")
 
     def run(batches: Iterator) -> Iterator:
@@ -137,4 +139,4 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    return out.select(*[(new[c] if c in new else F.col("_row").getField(c)).alias(c) for c in docs.columns])
