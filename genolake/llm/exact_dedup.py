@@ -18,7 +18,7 @@ Empty tables give empty results. Clashing extra columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genolake.session import checkpoint
@@ -80,18 +80,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of rows that are equal in id and text one stays.
     """
-    winners = resolve(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    marked = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
-        F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), SPACES, ""), 256).alias("_own"),
-        F.col("doc_id").alias("_did"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).alias("_len"),
-    )
-    won = marked.join(winners, marked["_did"].eqNullSafe(winners["_id"]) & (marked["_own"] == winners["_sha"]), "left_semi")
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_name")
+    winners = resolve(docs).filter("kept").select(name, F.col("text_sha256").alias("_sha")).distinct()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    marked = docs.select(name, F.sha2(F.regexp_replace(text, SPACES, ""), 256).alias("_sha"), F.length(text).alias("_len"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    won = marked.join(winners.hint("merge"), ["_name", "_sha"], "left_semi")
     # Only rows that share id and digest meet here: the same row twice, or one id with two spellings.
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("_did", "_own").orderBy(F.desc("_len"), F.xxhash64("_row"))
+    w = Window.partitionBy("_name", "_sha").orderBy(F.desc("_len"), F.xxhash64("_row"))
     return won.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
