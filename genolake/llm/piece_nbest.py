@@ -29,7 +29,7 @@ from genolake.llm.tokens import tokenizer_path
 MARK = "▁"
 N_BEST = 3
 #: Words whose segmentations a worker remembers (a bound of memory, not of work).
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 1_200_000
 WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 _models: dict[str, "PieceModel"] = {}
@@ -55,7 +55,7 @@ class PieceModel:
         self.unknown_id = self.sp.unk_id()
         self.chained = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.vocab)
         self.remembered = remembered
-        self.known: dict[str, list] = {}
+        self.known: dict[str, tuple] = {}
 
     def fallback(self, char: str) -> bytes:
         ids = [self.byte_ids[b] for b in char.encode("utf-8")] if self.byte_ids else [self.unknown_id]
@@ -113,17 +113,17 @@ class PieceModel:
                 queue.insert(k, (total, start, behind + score, (raw, path)))
         return out
 
-    def word(self, word: str, n: int) -> tuple[float, bytes, float, list]:
-        """(best score, its ids, cost of the next best, all n best)."""
-        found = self.search(word, n)
+    def word(self, word: str) -> tuple[float, bytes, float]:
+        """(best score, its ids, cost of the next best): little enough to remember for many words."""
+        found = self.search(word, 2)
         score, raw = found[0]
-        return score, raw, (score - found[1][0]) if len(found) > 1 else float("inf"), found
+        return score, raw, (score - found[1][0]) if len(found) > 1 else float("inf")
 
-    def lookup(self, words: list[str], n: int) -> list:
+    def lookup(self, words: list[str]) -> list:
         known, out = self.known, []
         for w in words:
             if (e := known.get(w)) is None:
-                e = self.word(w, n)
+                e = self.word(w)
                 if len(known) < self.remembered:
                     known[w] = e
             out.append(e)
@@ -135,7 +135,7 @@ class PieceModel:
 
         normal = self.sp.normalize(text) if text else ""
         words = WORDS.findall(normal) if self.chained else [normal] if normal else []
-        entries = self.lookup(words, n)
+        entries = self.lookup(words)
         base = float(sum(e[0] for e in entries))
         best = [(base, b"".join([e[1] for e in entries]))]
         if n == 1 or not entries:
@@ -144,12 +144,13 @@ class PieceModel:
         costs = np.array([e[2] for e in entries])
         near = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else _smallest(costs, n - 1)
         near = sorted(int(i) for i in near if np.isfinite(costs[i]))
-        alternatives = [[(entries[i][0] - s, k) for k, (s, _) in enumerate(entries[i][3])] for i in near]
+        all_best = {i: self.search(words[i], n) for i in near}
+        alternatives = [[(entries[i][0] - s, k) for k, (s, _) in enumerate(all_best[i])] for i in near]
         combos = heapq.nsmallest(n, itertools.product(*alternatives), key=lambda c: (sum(x for x, _ in c), sum(k > 0 for _, k in c), [-k for _, k in c]))
         for combo in combos[1:]:
             parts = [e[1] for e in entries]
             for i, (_, k) in zip(near, combo, strict=True):
-                parts[i] = entries[i][3][k][1]
+                parts[i] = all_best[i][k][1]
             best.append((base - sum(x for x, _ in combo), b"".join(parts)))
         return best
 
