@@ -114,19 +114,57 @@ class PieceModel:
         return out
 
     def word(self, word: str) -> tuple[float, bytes, float]:
-        """(best score, its ids, cost of the next best): little enough to remember for many words."""
-        found = self.search(word, 2)
-        score, raw = found[0]
-        return score, raw, (score - found[1][0]) if len(found) > 1 else float("inf")
+        """(best score, its ids, cost of the next best): little enough to remember for many words.
+
+        The search for n = 2. With an exact heuristic it walks the best edges back from the end, and the
+        second path it would take leaves that walk where the second edge loses least.
+        """
+        size, starts, low = len(word), self.starts, float("-inf")
+        best, second = [0.0] + [low] * size, [low] * (size + 1)
+        edge: list = [None] * (size + 1)  # start, score and ids of the best edge
+        for i in range(size):
+            here, j = best[i], i + 1
+            found = starts.get(word[i:j])
+            if found is None or found[1] is None:  # no piece is this character
+                total = here + self.unknown_score
+                if total > best[j]:
+                    second[j], best[j], edge[j] = best[j], total, (i, self.unknown_score, self.fallback(word[i]))
+                elif total > second[j]:
+                    second[j] = total
+            while found is not None:
+                raw, score = found
+                if score is not None:
+                    total = here + score
+                    if total > best[j]:
+                        second[j], best[j], edge[j] = best[j], total, (i, score, raw)
+                    elif total > second[j]:
+                        second[j] = total
+                if j == size:
+                    break
+                j += 1
+                found = starts.get(word[i:j])
+        at, behind, other, parts = size, 0.0, low, []
+        while at:
+            if second[at] + behind > other:
+                other = second[at] + behind
+            at, score, raw = edge[at]
+            behind += score
+            parts.append(raw)
+        parts.reverse()
+        return behind, b"".join(parts), behind - other
 
     def lookup(self, words: list[str]) -> list:
-        known, out = self.known, []
-        for w in words:
-            if (e := known.get(w)) is None:
-                e = self.word(w)
-                if len(known) < self.remembered:
-                    known[w] = e
-            out.append(e)
+        known = self.known
+        out = list(map(known.get, words))
+        if None in out:
+            for k, e in enumerate(out):
+                if e is None:
+                    w = words[k]
+                    if (e := known.get(w)) is None:
+                        e = self.word(w)
+                        if len(known) < self.remembered:
+                            known[w] = e
+                    out[k] = e
         return out
 
     def nbest(self, text: str, n: int = N_BEST) -> list[tuple[float, bytes]]:
@@ -136,19 +174,22 @@ class PieceModel:
         normal = self.sp.normalize(text) if text else ""
         words = WORDS.findall(normal) if self.chained else [normal] if normal else []
         entries = self.lookup(words)
-        base = float(sum(e[0] for e in entries))
-        best = [(base, b"".join([e[1] for e in entries]))]
-        if n == 1 or not entries:
+        if not entries:
+            return [(0.0, b"")]
+        scores, ids, dear = zip(*entries, strict=True)
+        base = float(sum(scores))
+        best = [(base, b"".join(ids))]
+        if n == 1:
             return best
         # The k-th best differs from the best in words among those with the k - 1 smallest next-best costs.
-        costs = np.array([e[2] for e in entries])
+        costs = np.array(dear)
         near = np.argsort(costs, kind="stable")[: n - 1] if len(costs) <= 64 else _smallest(costs, n - 1)
         near = sorted(int(i) for i in near if np.isfinite(costs[i]))
         all_best = {i: self.search(words[i], n) for i in near}
         alternatives = [[(entries[i][0] - s, k) for k, (s, _) in enumerate(all_best[i])] for i in near]
         combos = heapq.nsmallest(n, itertools.product(*alternatives), key=lambda c: (sum(x for x, _ in c), sum(k > 0 for _, k in c), [-k for _, k in c]))
         for combo in combos[1:]:
-            parts = [e[1] for e in entries]
+            parts = list(ids)
             for i, (_, k) in zip(near, combo, strict=True):
                 parts[i] = all_best[i][k][1]
             best.append((base - sum(x for x, _ in combo), b"".join(parts)))
