@@ -21,8 +21,10 @@ what meets. A pair at the similarity bound fails to agree in ``matches`` of ``CO
 2 in a million.
 
 Defined results: null text or no word gives an empty set, 0 shingles and a component of its own. Repeated rows, and
-rows that share an id, are judged by their sets; a null id is ordered after all others. Empty tables give empty
-results. Long texts are read whole. Extra columns are not read by ``report`` and kept by ``keep_one``.
+rows that share an id, are judged by their sets; a null id is ordered after all others. A component is named by its
+smallest id and kept by the class of that id (of several, the one with the smallest digest): ``report`` marks all rows of
+both, ``keep_one`` returns one of them. Empty tables give empty results. Long texts are read whole. Extra columns are
+not read by ``report`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -93,8 +95,13 @@ def _record_batch(cols: list, kinds: tuple, names: list[str]):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
 
+def _placed(docs: DataFrame, *columns) -> DataFrame:
+    """``columns`` with the row's place: its id as ``_d`` and the digest of its text as ``mark``, which tells rows of an id apart."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"), F.unhex(F.md5("text")).alias("mark"), *columns)
+
+
 def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, _d, n, digest of the set and signature as coordinate-value numbers, per row."""
+    """doc_id, _d, mark, n, digest of the set and signature as coordinate-value numbers, per row."""
 
     def run(batches: Iterator) -> Iterator:
         import hashlib
@@ -102,21 +109,21 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         place = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)
         for whole in batches:
             for k in range(0, whole.num_rows, 1000):
                 batch = whole.slice(k, 1000)
                 ns, digests, signatures = [], [], []
-                for text in batch.column(2).to_pylist():
+                for text in batch.column(3).to_pylist():
                     s = shingle_set(text, size)
                     ns.append(len(s))
                     digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     signatures.append((signature(s) | place).astype(np.int64) if len(s) else None)
-                yield _record_batch([batch.column(0), batch.column(1), ns, digests, signatures], kinds, ["doc_id", "_d", "n", "digest", "signature"])
+                yield _record_batch([batch.column(0), batch.column(1), batch.column(2), ns, digests, signatures], kinds, ["doc_id", "_d", "mark", "n", "digest", "signature"])
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"), "text")
-    return keyed.mapInArrow(run, "doc_id long, _d long, n long, digest binary, signature array<long>")
+    keyed = _placed(docs, F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "_d", "mark", "text")
+    return keyed.mapInArrow(run, "doc_id long, _d long, mark binary, n long, digest binary, signature array<long>")
 
 
 def candidate_edges(classes: DataFrame, matches: int) -> DataFrame:
@@ -243,12 +250,11 @@ def links_inside(sets: list, left: list[bool] | None = None, percent: int = PERC
 
 
 def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(a, b) digests of classes whose sets are similar. members: (_d, digest, root) of candidate components."""
+    """(a, b) digests of classes whose sets are similar. members: (_d, mark, digest, root) of candidate components."""
     n = partitions(docs.sparkSession)
     sizes = members.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    wanted = members.join(sizes, "root").select("_d", F.col("digest").alias("want"), "root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"), "text")
-    found = texts.join(wanted.hint("merge"), "_d").select("text", "want", "root", "blocks")
+    wanted = members.join(sizes, "root").select("_d", "mark", F.col("digest").alias("want"), "root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    found = _placed(docs, "text").join(wanted.hint("merge"), ["_d", "mark"]).select("text", "want", "root", "blocks")
 
     def build(batches: Iterator) -> Iterator:
         import hashlib
@@ -261,7 +267,7 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle
             for text, want, root, blocks in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 raw = shingle_set(text, shingle).tobytes()
                 if hashlib.blake2b(raw, digest_size=16).digest() != want:
-                    continue  # another row of this id
+                    continue  # another text of this id and mark
                 mine = int.from_bytes(want[:4], "little") % blocks
                 for other in range(blocks):
                     rows.append((root, min(mine, other), max(mine, other), mine <= other, want, raw))
@@ -302,17 +308,20 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle
 
 
 def resolve(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """doc_id, _d, n, digest and component per row (component as a ``_d``)."""
+    """doc_id, _d, mark, n, digest, component (as a ``_d``) and whether the component is kept by the row's class and id, per row."""
     rows = checkpoint(sketches(docs, shingle))
-    classes = checkpoint(rows.filter("n > 0").groupBy("digest").agg(F.min("_d").alias("_d"), F.first("signature").alias("signature")).withColumn("nid", F.xxhash64("digest")))
+    first = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at"), F.first("signature").alias("signature"))
+    classes = checkpoint(first.select("digest", "at._d", "at.mark", "signature", F.xxhash64("digest").alias("nid")))
     near = connected_components(candidate_edges(classes, matches_for(percent)))
-    members = classes.select("_d", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "digest", "root")
+    members = classes.select("_d", "mark", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "mark", "digest", "root")
     linked = connected_components(confirm(docs, members, percent, shingle, block))
     grouped = classes.select("digest", "_d").join(linked.withColumnRenamed("node", "digest"), "digest")
-    smallest = grouped.groupBy("root").agg(F.min("_d").alias("component"))
-    moved = grouped.join(smallest, "root").select("digest", "component")
-    own = classes.select("digest", F.col("_d").alias("own")).join(moved, "digest", "left").select("digest", F.coalesce("component", "own").alias("component"))
-    return rows.drop("signature").join(own.hint("merge"), "digest", "left").select("doc_id", "_d", "n", "digest", F.coalesce("component", "_d").alias("component"))
+    smallest = grouped.groupBy("root").agg(F.min(F.struct("_d", "digest")).alias("lead"))
+    moved = grouped.join(smallest, "root").select("digest", "lead")
+    own = classes.join(moved, "digest", "left").select("digest", F.coalesce("lead", F.struct("_d", "digest")).alias("lead"))
+    led = rows.drop("signature").join(own.hint("merge"), "digest", "left")
+    kept = F.col("lead").isNull() | (F.col("lead") == F.struct("_d", "digest"))
+    return led.select("doc_id", "_d", "mark", "n", "digest", F.coalesce("lead._d", "_d").alias("component"), kept.alias("kept"))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -321,15 +330,16 @@ def report(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.when(F.col("component") != NULL_ID, F.col("component")).alias("component_id"),
-        (F.col("_d") == F.col("component")).alias("kept"),
+        "kept",
     )
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """One row of each component, with the columns of the input; rows without a word all stay."""
-    kept = resolve(docs, percent, shingle).filter("_d = component").select("_d", "n").distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_d"), row.alias("_row"))
-    won = keyed.join(kept.hint("merge").groupBy("_d").agg(F.max("n").alias("_n")), "_d")
-    first = F.row_number().over(Window.partitionBy("_d").orderBy(F.xxhash64("_row")))
-    return won.withColumn("_k", first).filter("_k = 1 or _n = 0").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    kept = resolve(docs, percent, shingle).filter("kept and n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at")).select("at.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    worded = F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    won = _placed(docs.filter(worded), F.struct(*columns).alias("_row")).join(kept.hint("merge"), ["_d", "mark"])
+    first = F.row_number().over(Window.partitionBy("_d", "mark").orderBy(F.xxhash64("_row")))
+    one = won.withColumn("_k", first).filter("_k = 1").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    return one.union(docs.filter(~worded).select(*columns))

@@ -197,6 +197,32 @@ def test_minhash_repeated_rows(spark):
     assert got == [("3", 4, "3", True), ("3", 5, "3", True), ("3", 5, "3", True), ("8", 0, "8", True), ("9", 0, "9", True), ("None", 5, "3", False)]
 
 
+def test_minhash_keeps_one_row_of_each_component(spark):
+    r = random.Random(6)
+    text = lambda k: " ".join(f"w{r.randrange(10**6)}" for _ in range(k))
+    base, shared = text(90), text(90)
+    near = lambda t, k: " ".join([*t.split(" ")[:-1], f"x{k}"])
+    rows = [(5, base), (None, near(base, 1)), (None, near(base, 2)), (5, near(base, 3)), (7, near(base, 4))]  # one component, led by id 5
+    rows += [(None, near(shared, 1)), (None, near(shared, 2))]  # one component without an id
+    rows += [(None, text(k)) for k in (30, 40, 50)] + [(9, text(30)), *[(9, text(40))] * 2, (2, base[::-1]), (2, base[::-1]), (2, base[::-1].upper())]
+    rows += [(None, None), (None, ""), (None, " \n"), (9, ""), (9, ""), (5, None)]
+    brute = components([((10**9 if i is None else i, k), t) for k, (i, t) in enumerate(rows)])  # by row: the smallest (id, place) is the root
+    leads = {}
+    for (i, k), (n, top, _) in brute.items():
+        leads.setdefault(top if n else (i, k), []).append((i, k))
+    out = sorted((10**9 if x.doc_id is None else x.doc_id, x.text or "") for x in minhash_join.keep_one(frame(spark, rows)).collect())
+    assert len(out) == len(leads) == 14
+    left = list(out)
+    for (i, _), members in leads.items():  # one row of each component, and of its smallest id
+        may = {(j, rows[k][1] or "") for j, k in members if j == i}
+        assert any(x in may for x in left)
+        left.remove(next(x for x in left if x in may))
+    assert not left
+    marked = sorted((str(x.doc_id), x.n_shingles, x.kept) for x in minhash_join.report(frame(spark, rows)).collect())
+    assert sum(x[2] for x in marked) == len(out) + 3  # equal sets under one id are marked together
+    assert sum(x[2] for x in marked if x[1] == 0) == 6
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
