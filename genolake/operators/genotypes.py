@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from genolake.operators.blocks import cross_products
 
@@ -67,6 +68,52 @@ def linkage(doses: DataFrame) -> DataFrame:
     return pairs.groupBy("snp1", "snp2").agg(F.count("*").alias("n"), F.pow(F.corr(F.col("g1").cast("double"), F.col("g2").cast("double")), 2).alias("r2")).filter("r2 is not null")
 
 
+def linkage_of_all(doses: DataFrame, markers_at_once: int = 256) -> DataFrame:
+    """r2 of every pair of markers, over the individuals that have both; ``doses`` may be those of one chromosome.
+
+    Markers are dealt by hash into groups of about ``markers_at_once``; each pair of groups meets in one task, which
+    multiplies them as dense matrices and sends one row per pair of markers. Repeated cells meet each of the other's.
+    """
+    kind, arrow = doses.schema["snp"].dataType.simpleString(), to_arrow_type(doses.schema["snp"].dataType)
+    cells = doses.select("snp", "ind", F.col("g").cast("double").alias("g")).dropna()
+    groups = max(1, -(-cells.select("snp").distinct().count() // markers_at_once))
+
+    def meet(cells):
+        import numpy as np
+        import pyarrow as pa
+
+        snp, ind, g, left = (np.array(cells.column(c).to_pylist()) for c in ("snp", "ind", "g", "left"))
+        same = cells.column("i")[0].as_py() == cells.column("j")[0].as_py()
+        inds, at = np.unique(ind, return_inverse=True)
+
+        def sums(side):
+            names, row = np.unique(snp[side], return_inverse=True)
+            out = [np.zeros((len(names), len(inds))) for _ in range(3)]
+            for k in range(3):
+                np.add.at(out[k], (row, at[side]), g[side] ** k)
+            return names, *out
+
+        names1, n1, s1, q1 = sums(left)
+        names2, n2, s2, q2 = (names1, n1, s1, q1) if same else sums(~left)
+        n, a, b = n1 @ n2.T, s1 @ n2.T, n1 @ s2.T
+        aa, bb = n * (q1 @ n2.T), n * (n1 @ q2.T)
+        v1, v2, cov = aa - a * a, bb - b * b, n * (s1 @ s2.T) - a * b
+        ok = (v1 > 1e-12 * aa) & (v2 > 1e-12 * bb)  # a constant has no correlation
+        if same:
+            ok &= np.arange(len(names1))[:, None] < np.arange(len(names1))[None, :]
+        x, y = np.nonzero(ok)
+        first, second = names1[x], names2[y]
+        swap = first > second
+        first, second = np.where(swap, second, first), np.where(swap, first, second)
+        r2 = np.minimum(1.0, cov[x, y] ** 2 / (v1[x, y] * v2[x, y]))
+        return pa.table({"snp1": pa.array(first.tolist(), arrow), "snp2": pa.array(second.tolist(), arrow), "n": pa.array(n[x, y].astype(np.int64)), "r2": pa.array(r2)})
+
+    mine = F.pmod(F.xxhash64("snp"), F.lit(groups)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = cells.withColumn("mine", mine).withColumn("other", other).select("snp", "ind", "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
+    return dealt.groupBy("i", "j").applyInArrow(meet, f"snp1 {kind}, snp2 {kind}, n long, r2 double")
+
+
 def relationships(doses: DataFrame, centred: bool = True, method: str = "vanraden") -> DataFrame:
     """Genomic relationships of pairs of individuals, over the markers that both have.
 

@@ -215,6 +215,8 @@ query("maf", "doses", sql=f"SELECT snp, n, round(freq, 9) AS freq, round(least(f
 query("maf_filter", "doses", sql=f"SELECT ind, snp, g FROM doses WHERE snp IN (SELECT snp FROM ({_FREQ}) WHERE least(freq, 1 - freq) >= 0.45)")(lambda d: gt.common(d, 0.45).select("ind", "snp", "g"))
 query("ld_r2", "doses", sql="""SELECT a.snp AS snp1, b.snp AS snp2, count(*) AS n, round(power(corr(a.g, b.g), 2), 9) AS r2 FROM doses a JOIN doses b ON a.block = b.block AND a.ind = b.ind AND a.snp < b.snp
 GROUP BY a.snp, b.snp HAVING var_pop(a.g) > 0 AND var_pop(b.g) > 0""")(lambda d: gt.linkage(d).withColumn("r2", F.round("r2", 9)))
+query("ld_r2_all", "doses", sql="""SELECT a.snp AS snp1, b.snp AS snp2, count(*) AS n, round(power(corr(a.g, b.g), 2), 9) AS r2 FROM doses a JOIN doses b ON a.ind = b.ind AND a.snp < b.snp
+GROUP BY a.snp, b.snp HAVING var_pop(a.g) > 0 AND var_pop(b.g) > 0""")(lambda d: gt.linkage_of_all(d).withColumn("r2", F.round("r2", 9)))
 
 
 def _grm(centre: str) -> str:

@@ -184,3 +184,25 @@ def test_other_relationships(spark):
         gt.relationships(doses, method="x")
     pcs = spark.createDataFrame([(1, 0.5, 0.5), (2, 0.3, 0.8), (3, 0.2, 1.0)], "pc int, share double, cumulative double")
     assert ex.enough_components(pcs, share=0.75) == 2 and ex.enough_components(pcs, least_drop=0.15) == 2
+
+
+def test_linkage_of_all_crosses_blocks(spark):
+    rng = np.random.default_rng(8)
+    g = rng.integers(0, 3, (65, 20)).astype(float)
+    g[rng.random(g.shape) < 0.1] = np.nan
+    g[7] = 1  # no variation
+    rows = [(i, s, s // 30, None if np.isnan(g[s, i]) else int(g[s, i])) for s in range(65) for i in range(20) if (s + i) % 11]
+    doses = spark.createDataFrame(rows, "ind int, snp long, block long, g int")
+    held = {(s, i): x for i, s, _, x in rows if x is not None}
+    expected = {}
+    for a in range(65):
+        for b in range(a + 1, 65):
+            both = [(held[a, i], held[b, i]) for i in range(20) if (a, i) in held and (b, i) in held]
+            x, y = np.array(both).T
+            if x.std() > 0 and y.std() > 0:
+                expected[a, b] = (len(both), np.corrcoef(x, y)[0, 1] ** 2)
+    for at_once in (256, 9):
+        got = {(r.snp1, r.snp2): (r.n, r.r2) for r in gt.linkage_of_all(doses, at_once).collect()}
+        assert got.keys() == expected.keys() and (29, 30) in got
+        assert all(got[k][0] == n and math.isclose(got[k][1], r2, abs_tol=1e-9) for k, (n, r2) in expected.items())
+    assert gt.linkage_of_all(doses.limit(0)).count() == 0
