@@ -25,7 +25,6 @@ BUCKETS = 1 << 15
 BLOCK = 1 << 11
 SMOOTHING = 0.5
 FIRST_STEPS, SET_STEPS = 8, 6
-LARGEST_SET = 3
 #: Log-likelihood that each further language must add, per log of the number of trigrams.
 PENALTY = 6.0
 LEAST_SHARE = 0.02
@@ -135,7 +134,7 @@ def infer(counts: list, log_probs, penalty: float = PENALTY):
     one = single.argmax(axis=1)
     best[np.arange(len(counts)), one] = 1
     score = single.max(axis=1)
-    for size in range(2, min(LARGEST_SET, n_langs) + 1):
+    for size in range(2, n_langs + 1):
         share = np.take_along_axis(weights, order, axis=1)[:, size - 1]
         rows = np.flatnonzero(share >= LEAST_SHARE)
         if not len(rows):

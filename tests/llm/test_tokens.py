@@ -189,3 +189,18 @@ def test_arc_versions(version):
         list(warc.parse_arc(data[:-20]))
     line = b"http://x 1.2.3.4 20010203040506 text/html; charset=utf-8" + (b" 200 - - 0 f" if version == 2 else b"") + b" 12\n"
     assert warc.parse_arc_line(line, version)["mime"] == "text/html; charset=utf-8"
+
+
+def test_language_set_may_hold_every_language():
+    import numpy as np
+
+    from genolake.llm import language_id
+
+    seen = np.zeros((5, language_id.BUCKETS))
+    for k in range(5):
+        seen[k, 50 * k : 50 * k + 50] = 40
+    probs = seen + language_id.SMOOTHING
+    log_probs = np.log(probs / probs.sum(axis=1, keepdims=True)).astype(np.float32)
+    texts = [seen[list(parts)].sum(axis=0).astype(np.int64) for parts in ([2], [0, 3], [0, 1, 2, 3], [0, 1, 2, 3, 4])]
+    sets = [set(np.flatnonzero(w >= language_id.LEAST_SHARE).tolist()) for w in language_id.infer(texts, log_probs)]
+    assert sets == [{2}, {0, 3}, {0, 1, 2, 3}, {0, 1, 2, 3, 4}]
