@@ -1,10 +1,12 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents become token ids; longer ones are cut into pieces of ``limit`` tokens. How often each length occurs
-(at most ``limit`` numbers, whatever the input) is all that the plan needs: from the longest length down, gaps
-are closed exactly by one, two or three available lengths (looked up by their sum), and what has no exact
-complement is filled by best fit. Equal sequences are planned together, as a pattern and a number of
-times, so the plan's size is bounded by ``limit`` too, and so is the work of making it.
+(at most ``limit`` numbers, whatever the input) is all that the plan needs. ``SumIndex`` holds, for every sum up to
+``limit``, one length, one pair and one triple of available lengths that make it. From the longest length down,
+the gap that a length leaves is looked up there and closed exactly, as often as the counts allow, and
+entries whose lengths are used up are made again. What has no exact complement is filled by best fit. Equal
+sequences are planned together, as a pattern and a number of times, so the plan's size is bounded by ``limit``
+too, and so is the work of making it.
 
 Pieces find their places by their rank among the pieces of their length. Ranks are counted per bucket of
 documents and added up over the buckets, so no task sees all pieces of a length.
@@ -22,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genolake.llm.tokens import tokenizer_path, word_encoder
+from genolake.llm.tokens import slices, tokenizer_path, word_encoder
 from genolake.session import checkpoint, partitions
 
 LIMIT = 4096
@@ -36,101 +38,140 @@ def make_pieces(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = Non
     def run(batches: Iterator) -> Iterator:
         import zlib
 
+        import numpy as np
         import pyarrow as pa
 
         encoder = word_encoder(tokenizer or tokenizer_path("word_bpe_49k.json"))
-        end = END_ID.to_bytes(4, "little")
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                rows: list[tuple] = []
-                hashes = part.column(2).to_pylist()
-                for i, (doc_id, ids) in enumerate(zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True)):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * limit)):
-                        piece = ids[at : at + 4 * limit]
-                        rows.append((doc_id, p, at // 4, len(piece) // 4, zlib.crc32(piece), hashes[i] % buckets, hashes[i]))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "bucket", "ord"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h")).mapInArrow(run, PIECES)
-
-
-def plan_patterns(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths, number of times): together they use up ``counts`` and none exceeds ``limit``."""
-    import numpy as np
+        names = [x.split()[0] for x in PIECES.split(", ")]
+        for whole in batches:
+            for first, n in slices(whole.column(1)):
+                batch = whole.slice(first, n)
+                ids, cuts = encoder.encode(batch.column(1))
+                ids = np.insert(ids, cuts[1:], END_ID).astype("<u4")
+                cuts = cuts + np.arange(n + 1)
+                tokens = np.diff(cuts)
+                pieces = -(-tokens // limit)
+                doc = np.repeat(np.arange(n), pieces)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * limit
+                length = np.minimum(limit, tokens[doc] - start)
+                raw, at = memoryview(ids.tobytes()), 4 * (cuts[:-1][doc] + start)
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                order = batch.column(2).to_numpy()[doc]
+                cols = (piece.astype(np.int32), start, length.astype(np.int32), crc, (order % buckets).astype(np.int32), order)
+                types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_h")).mapInArrow(run, PIECES)
+
+
+class SumIndex:
+    """Available lengths and, for every sum up to ``limit``, an available single, pair and triple that makes it.
+
+    ``two[s]`` and ``three[s]`` hold the largest part of the combination (0: there is none), its largest part being as large as can be;
+    the rest of a triple is the pair of what it leaves. Counts only fall, so an entry is right until a length
+    in it is used up, and ``exact`` makes such an entry again when it meets it.
+    """
+
+    def __init__(self, counts: dict[int, int], limit: int) -> None:
+        import numpy as np
 
-    left = np.zeros(limit + 1, dtype=np.int64)
-    for length, n in counts.items():
-        left[length] += n
-    plan: list[tuple[tuple[int, ...], int]] = []
+        self.limit, self.left = limit, np.zeros(limit + 1, dtype=np.int64)
+        for length, n in counts.items():
+            self.left[length] += n
+        self.two, self.three = np.zeros(limit + 1, dtype=np.int64), np.zeros(limit + 1, dtype=np.int64)
+        have = np.flatnonzero(self.left)
+        for a in have.tolist():  # ascending: the last to write an entry has the largest part
+            self.two[a + have[(have < a) & (have <= limit - a)]] = a
+            if self.left[a] > 1 and 2 * a <= limit:
+                self.two[2 * a] = a
+        sums = np.flatnonzero(self.two)
+        for a in have.tolist():
+            rest = sums[(sums <= limit - a) & (self.two[sums] < a)]
+            self.three[a + rest] = a
+        for s in range(3, limit + 1):  # where the largest part occurs twice or more, counts decide
+            self.three[s] = max(self.three[s], self._triple(s, self.three[s]))
+
+    def _pair(self, total: int, most: int) -> int:
+        """Largest part, at most ``most``, of an available pair with this sum."""
+        import numpy as np
 
-    def pair(total: int, most: int) -> tuple[int, int] | None:
-        """The available pair with this sum whose larger part is largest and at most ``most``."""
-        if total < 2:
-            return None
         high = min(total - 1, most)
-        a = np.arange(high, (total + 1) // 2 - 1, -1)
-        if not len(a):
-            return None
+        a = np.arange(high, (total + 1) // 2 - 1, -1) if total > 1 else np.zeros(0, np.int64)
         b = total - a
-        ok = np.flatnonzero((left[a] > 0) & (left[b] > 0) & ((a != b) | (left[a] > 1)))
-        return (int(a[ok[0]]), int(b[ok[0]])) if len(ok) else None
+        ok = np.flatnonzero((self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1)))
+        return int(a[ok[0]]) if len(ok) else 0
 
-    def complement(gap: int) -> tuple[int, ...] | None:
-        """Lengths that close the gap exactly: one, two or three of them, long ones first."""
-        if gap <= 0:
+    def _triple(self, total: int, above: int = 0) -> int:
+        """Largest part, over ``above``, of an available triple with this sum."""
+        import numpy as np
+
+        low = max(above + 1, -(-total // 3))
+        for a in (low + np.flatnonzero(self.left[low : max(low, total - 1)]))[::-1].tolist():
+            if self._with(a, lambda: self._pair(total - a, a)):
+                return a
+        return 0
+
+    def _with(self, a: int, look) -> int:
+        self.left[a] -= 1
+        found = look()
+        self.left[a] += 1
+        return found
+
+    def _holds(self, lengths: tuple[int, ...]) -> bool:
+        return all(self.left[x] >= lengths.count(x) for x in lengths)
+
+    def exact(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that close the gap, or None."""
+        if not 0 < gap <= self.limit:
             return None
-        if left[gap]:
+        if self.left[gap]:
             return (gap,)
-        if found := pair(gap, gap):
-            return found
-        for a in np.flatnonzero(left[: gap + 1])[::-1].tolist():
-            if 3 * a < gap:
-                return None
-            left[a] -= 1
-            found = pair(gap - a, a)
-            left[a] += 1
-            if found:
-                return (a, *found)
+        if a := int(self.two[gap]):
+            if not self._holds((a, gap - a)):
+                a = self.two[gap] = self._pair(gap, gap)
+            if a:
+                return (int(a), gap - int(a))
+        while a := int(self.three[gap]):
+            b = self._with(a, lambda: self._pair(gap - a, a)) if self.left[a] else 0
+            if b:
+                return (a, b, gap - a - b)
+            self.three[gap] = self._triple(gap)
         return None
 
-    def take(lengths: tuple[int, ...]) -> None:
-        """Plan this pattern as often as the counts allow."""
-        need: dict[int, int] = {}
-        for x in lengths:
-            need[x] = need.get(x, 0) + 1
-        times = min(int(left[x]) // n for x, n in need.items())
-        for x, n in need.items():
-            left[x] -= n * times
-        plan.append((lengths, times))
+    def longest(self, gap: int) -> int:
+        """The longest available length that fits, or 0."""
+        import numpy as np
+
+        fits = np.flatnonzero(self.left[: max(0, gap) + 1])
+        return int(fits[-1]) if len(fits) else 0
+
 
+def plan_patterns(counts: dict[int, int], limit: int = LIMIT) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths, number of times): together they use up ``counts`` and none exceeds ``limit``."""
+    index = SumIndex(counts, limit)
+    left = index.left
+    plan: list[tuple[tuple[int, ...], int]] = []
     for length in range(limit, 0, -1):
         while left[length]:
+            pattern, gap = [length], limit - length
             left[length] -= 1
-            found = complement(limit - length)
-            if found is None:  # best fit: the longest that still fits, again and again, then try to close the gap
-                filled: list[int] = []
-                gap = limit - length
-                while gap > 0:
-                    fits = np.flatnonzero(left[: gap + 1])
-                    if not len(fits):
+            while gap > 0:
+                found = index.exact(gap)
+                if found is None:  # best fit, then the rest of the gap is looked up again
+                    found = (index.longest(gap),)
+                    if not found[0]:
                         break
-                    best = int(fits[-1])
-                    left[best] -= 1
-                    filled.append(best)
-                    gap -= best
-                    if closing := complement(gap):
-                        for x in closing:
-                            left[x] -= 1
-                        filled.extend(closing)
-                        gap = 0
-                for x in filled:
-                    left[x] += 1
-                found = tuple(filled)
-            left[length] += 1
-            take((length, *found))
+                for x in found:
+                    left[x] -= 1
+                pattern.extend(found)
+                gap -= sum(found)
+            for x in pattern:
+                left[x] += 1
+            times = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+            for x in pattern:
+                left[x] -= times
+            plan.append((tuple(pattern), times))
     return plan
 
 

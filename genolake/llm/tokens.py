@@ -7,10 +7,11 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterable
 
-#: Words whose ids a worker remembers (a bound of memory, not of work: other words are encoded each time).
-REMEMBERED_WORDS = 500_000
+#: Words whose ids a worker remembers; beyond it the memory starts afresh (a bound of memory, with the same result).
+REMEMBERED_WORDS = 1_500_000
+#: Text that is encoded at once.
+SLICE_BYTES = 8 << 20
 
 _encoders: dict[str, "WordEncoder"] = {}
 _rank_encoders: dict[str, object] = {}
@@ -24,56 +25,127 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def slices(column, most: int = SLICE_BYTES):
+    """(first row, number of rows) of stretches of an Arrow string column that hold about ``most`` bytes each."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield at, to - at
+        at, done = to, int(ends[to - 1])
+
+
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, word by word.
+    """Ids of texts, word by word.
 
     It is right for tokenizers that drop white space and cut words there before anything else, so that
     a text's ids are those of its words in a row: normalisation (NFC, lower case) never works across an ASCII
-    space, and special tokens hold none. Each distinct word is encoded by the library once per worker.
+    space, and special tokens hold none. Arrow tells the distinct words of a batch, the library encodes those that the
+    worker has not met, and NumPy gathers the ids of all words at once. Words that differ in ASCII case
+    or in closing marks only are encoded once: such marks are tokens of their own after a letter or a digit.
     """
 
+    MARKS = b",.;:!?"
+
     def __init__(self, path: str, remembered: int = REMEMBERED_WORDS) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.remembered = remembered
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
 
-    def _encode(self, words: list[bytes]) -> dict[bytes, bytes]:
-        """Many words at once: joined by spaces, and told apart by the places of their tokens."""
+        self.known: dict[bytes, int] = {}  # a word's number; its ids are pool[begin[number] : begin[number + 1]]
+        self.pool, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _library(self, words: list[bytes]):
+        """(ids, cuts) of many words at once: joined by spaces, and told apart by the places of their tokens."""
         import numpy as np
 
-        out: dict[bytes, bytes] = {}
+        ids, cuts, done = [], [np.zeros(1, np.int64)], 0
         for k in range(0, len(words), 2000):
-            part = words[k : k + 2000]
-            texts = [w.decode("utf-8") for w in part]
+            texts = [w.decode("utf-8") for w in words[k : k + 2000]]
             encoding = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            ids = np.array(encoding.ids, dtype="<u4")
-            at = np.fromiter((s for s, _ in encoding.offsets), dtype=np.int64, count=len(ids))
-            cuts = np.searchsorted(at, starts)
-            raw = ids.tobytes()
-            for i, w in enumerate(part):
-                out[w] = raw[4 * cuts[i] : 4 * cuts[i + 1]]
-        return out
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        extra: dict[bytes, bytes] = {}
+            found = np.array(encoding.ids, dtype=np.uint32)
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            at = np.fromiter((s for s, _ in encoding.offsets), np.int64, len(found))
+            cuts.append(np.searchsorted(at, ends) + done)
+            ids.append(found)
+            done += len(found)
+        return np.concatenate(ids) if ids else np.zeros(0, np.uint32), np.concatenate(cuts)
+
+    def _parts(self, word: bytes) -> tuple[bytes, bytes]:
+        """The word as it is encoded, without and with only its closing marks."""
+        if word.isascii() and b"<|" not in word:  # the strings of special tokens are left alone
+            word = word.lower()
+        core = word.rstrip(self.MARKS)
+        if len(core) in (0, len(word)):
+            return word, b""
+        last = core[-1:] if core[-1] < 128 else core.decode("utf-8")[-1]
+        return (core, word[len(core) :]) if last.isalnum() else (word, b"")
+
+    def _learn(self, new: list[bytes]) -> None:
+        import numpy as np
+
+        parts = [self._parts(w) for w in new]
+        number: dict[bytes, int] = {}
+        for core, marks in parts:
+            number.setdefault(core, len(number))
+            if marks:
+                number.setdefault(marks, len(number))
+        ids, cuts = self._library(list(number))
+        flat = np.array([(number[c], number[m] if m else -1) for c, m in parts], dtype=np.int64)
+        begin, count = np.append(cuts[:-1], 0), np.append(np.diff(cuts), 0)  # number -1 has no ids
+        count, begin = count[flat.ravel()], begin[flat.ravel()]
+        ends = np.cumsum(count)
+        grown = ids[np.repeat(begin - ends + count, count) + np.arange(ends[-1])]
+        base = len(self.known)
+        self.begin = np.concatenate([self.begin, ends[1::2] + len(self.pool)])
+        self.pool = np.concatenate([self.pool, grown])
+        self.known.update(zip(new, range(base, base + len(new)), strict=True))
+
+    def encode(self, column):
+        """(ids, cuts): the ids of an Arrow string column's rows, those of row i being ids[cuts[i] : cuts[i + 1]]."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pc.fill_null(column, "").cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+        rows = offsets - offsets[0]
+        data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].copy() if data is not None else np.zeros(0, np.uint8)
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(len(rows), np.int64)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        data[space] = 32
+        # A word here is one with the spaces behind it, so that words lie side by side.
+        first = np.concatenate([[True], space[:-1]]) & ~space
+        first[rows[:-1][rows[:-1] < len(data)]] = True
+        at = np.flatnonzero(first)
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)]).dictionary_encode()
+        _, cut, raw = words.dictionary.buffers()
+        cut, raw = np.frombuffer(cut, np.int64).tolist(), raw.to_pybytes()
+        distinct = [raw[a:b].rstrip(b" ") for a, b in zip(cut, cut[1 : len(words.dictionary) + 1], strict=False)]
+        new = list(dict.fromkeys(w for w in distinct if w not in self.known))
+        if len(self.known) + len(new) > self.remembered:
+            self._forget()
+            new = list(dict.fromkeys(distinct))
         if new:
-            found = self._encode(sorted(new))
-            room = self.remembered - len(known)
-            if len(found) <= room:
-                known.update(found)
-            else:
-                extra = found
-                known.update(list(found.items())[: max(0, room)])
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in words]) for words in split]
-        return [b"".join([known[w] for w in words]) for words in split]
+            self._learn(new)
+        known = self.known
+        number = np.fromiter((known[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
+        begin = self.begin[number]
+        count = self.begin[number + 1] - begin
+        ends = np.cumsum(count)
+        ids = self.pool[np.repeat(begin - ends + count, count) + np.arange(ends[-1])]
+        return ids, np.append(0, ends)[np.searchsorted(at, rows)]
 
 
 def word_encoder(path: str) -> WordEncoder:

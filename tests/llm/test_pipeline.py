@@ -74,7 +74,7 @@ def test_stages(spark, sf_dir):
         out.write.parquet(f"{folder}/stage{k}")
         docs = spark.read.parquet(f"{folder}/stage{k}")
     e = tokens.word_encoder(tokens.tokenizer_path("word_bpe_49k.json"))
-    ids = {i: np.append(np.frombuffer(e.encode([t])[0], "<u4"), np.uint32(packing.END_ID)) for i, t in now.items()}
+    ids = {i: np.array([*e.tokenizer.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4") for i, t in now.items()}
     pieces = out.collect()
     assert {p.doc_id for p in pieces} == ids.keys() and sum(p.length for p in pieces) == sum(map(len, ids.values()))
     assert all(p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].astype("<u4").tobytes()) for p in pieces)

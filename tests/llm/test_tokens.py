@@ -19,21 +19,27 @@ def frame(spark, texts, start=1):
 
 
 def test_word_encoder_equals_the_library():
-    import numpy as np
+    import pyarrow as pa
 
     for remembered in (1000, 2):
         e = tokens.WordEncoder(tokens.tokenizer_path("word_bpe_49k.json"), remembered)
-        texts = [t for t in ODD if t is not None] + ["the cat", "The CAT, the dog."]
-        whole = [np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
-        assert e.encode(texts) == whole
+        texts = ODD + ["the cat", "The CAT, the dog.", "H\u0331, h\u0331,", "it's, 7., x... é, …, <|ENDOFTEXT|>, <|endoftext|>,", " lead", "trail ", "a\x0b\x0cb", "cat's.", "CAT'S"]
+        column = pa.array(["skipped", *texts])[1:]
+        for _ in range(2):
+            ids, cuts = e.encode(column)
+            assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert e.encode(pa.array([], pa.string()))[1].tolist() == [0]
+    assert list(tokens.slices(pa.array(["aa", None, "bbbb", "", "c"]), 3)) == [(0, 2), (2, 1), (3, 2)]
 
 
 def test_packing_places_every_piece_once(spark):
+    import numpy as np
+
     r = random.Random(1)
     texts = [" ".join(r.choice(["alpha", "beta", "xyz"]) for _ in range(r.randrange(0, 90))) for _ in range(150)] + ODD
     got = packing.pack(frame(spark, texts), limit=64).collect()
     e = tokens.word_encoder(tokens.tokenizer_path("word_bpe_49k.json"))
-    ids = [x + (1).to_bytes(4, "little") for x in e.encode(texts)]
+    ids = [np.array([*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
     by_doc, by_sequence = {}, {}
     for p in got:
         by_doc.setdefault(p.doc_id, []).append(p)
@@ -53,6 +59,45 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_packing_of_repeated_rows_null_ids_and_clashing_columns(spark):
+    long = "word " * 9000
+    rows = [(1, "a b", *"xyz"), (1, "a b", *"xyz"), (None, "c", *"xyz"), (None, None, *"xyz"), (5, long, *"xyz")]
+    got = packing.pack(spark.createDataFrame(rows, SCHEMA + ", bucket string, length string, rank string")).collect()
+    assert sorted((str(p.doc_id), p.piece, p.start, p.length) for p in got) == [("1", 0, 0, 3)] * 2 + [("5", 0, 0, 4096), ("5", 1, 4096, 4096), ("5", 2, 8192, 809), ("None", 0, 0, 1), ("None", 0, 0, 2)]
+    assert len({(p.sequence_id, p.offset) for p in got}) == len(got)
+
+
+def test_sum_index_is_exact():
+    r = random.Random(8)
+    for _ in range(60):
+        counts = {r.randrange(1, 41): r.randrange(1, 4) for _ in range(r.randrange(1, 12))}
+        index = packing.SumIndex(counts, 40)
+        for _ in range(6):
+            bag = [x for x in range(41) for _ in range(min(3, int(index.left[x])))]
+            for s in range(1, 41):
+                fewest = next((k for k in (1, 2, 3) if any(sum(c) == s for c in itertools.combinations(bag, k))), None)
+                found = index.exact(s)
+                assert (found and len(found)) == fewest and (not found or sum(found) == s)
+                assert not found or all(found.count(x) <= index.left[x] for x in found)
+            if bag:
+                index.left[r.choice(bag)] -= 1
+
+
+def test_best_fit_only_where_no_exact_sum_is_left():
+    r = random.Random(9)
+    counts = {r.randrange(1, 61): r.randrange(1, 9) for _ in range(25)}
+    left = [x for x, n in counts.items() for _ in range(n)]
+    for lengths, times in packing.plan_patterns(counts, 60):
+        rest = list(left)
+        rest.remove(lengths[0])
+        gap = 60 - lengths[0]
+        closes = any(sum(c) == gap for k in (1, 2, 3) for c in set(itertools.combinations(sorted(rest), k))) if len(rest) < 60 else None
+        assert sum(lengths) == 60 or not gap or closes is not True
+        for x in lengths * times:
+            left.remove(x)
+    assert not left
+
+
 def test_plan_uses_everything():
     r = random.Random(2)
     for _ in range(30):
