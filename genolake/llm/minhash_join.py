@@ -60,7 +60,7 @@ def shingle_set(text: str | None, size: int = SHINGLE):
     """Sorted distinct 64-bit hashes of the text's shingles."""
     import numpy as np
 
-    w = word_hashes((text or "").encode("utf-8").translate(_LOWER))
+    w, _ = word_hashes((text or "").encode("utf-8").translate(_LOWER))
     if not len(w):
         return w
     k = min(size, len(w))

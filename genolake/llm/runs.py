@@ -3,19 +3,17 @@
 A window is ``width`` consecutive symbols (bytes, or words). Each window has a minimiser, the smallest of the
 hashes of its ``gram``-symbol substrings (leftmost of equals). Equal windows have the same minimiser at
 the same place, so consecutive windows with one minimiser, a *run*, can be sent to the task of that minimiser
-and no pair of equal windows is missed. It takes three shuffles, none of which holds more than a few
-bytes per symbol:
+and no pair of equal windows is missed.
 
-1. ``recurring``: minimisers of every document, each batch sending a minimiser once; those that
-   occur once in the whole input end here. Rows are (document, minimisers that recur).
-2. ``routed``: documents meet their recurring minimisers and give up the content of those runs. A batch sends
-   equal contents once; what it can settle itself (a smaller row holds the same content) it settles.
-3. ``settle``: contents of a minimiser meet. Equal ones are settled by the smallest row; differing ones go to
-   the operator's own ``variants`` function, window by window.
+Documents are dealt to buckets of about ``BUCKET_BYTES`` by a hash of the row, in one shuffle that all later steps read again:
 
-A minimiser that occurs ``hot`` times or more in the input is routed window by window, by the digest of
-each window, so its windows spread over all tasks and equal ones are summed up before they move. It is
-the same result by another route, for every such minimiser.
+1. ``post``: each bucket sends each of its minimisers once, with the number of different run contents that it has there.
+2. ``recurring``: minimisers that occur once in the whole input end here; the others go back to the buckets that sent
+   them. A minimiser with ``hot`` different contents or more (a passage that many documents hold, each
+   between words of its own) is taken apart into windows: buckets send the hashes of these windows, and get back
+   those that recur. What meets in one task is thus one number per bucket, never one per document.
+3. ``marked_runs``: a bucket and its marks give the contents to compare: runs, or single windows of taken-apart
+   runs. Hashes only route: what is equal is decided by the operators, on contents.
 
 Row keys: ``_d`` is doc_id with null as the largest number, ``_h`` a hash of the text, so that rows that share an
 id are told apart, and the same row twice is one document.
@@ -23,16 +21,17 @@ id are told apart, and the same row twice is one document.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolake.session import partitions
+from genolake.session import checkpoint, partitions
 
 HOT = 10_000
-BATCH_BYTES = 32 << 20
-BLOCK_BYTES = 2 << 20
+BUCKET_BYTES = 16 << 20
+CHUNK_BYTES = 1 << 20
 NULL_ID = (1 << 63) - 1
 POSITION_BITS = 24
 
@@ -70,55 +69,63 @@ def gram_hashes(symbols, gram: int):
     return _mix(out)
 
 
-def find_runs(symbols, width: int, gram: int):
-    """(minimiser hash, its place, first and last window start) of each run, in order."""
+def find_runs(symbols, width: int, gram: int, bounds=None):
+    """(minimiser hash, first and last window start) of each run, in order.
+
+    ``bounds`` are the places where one text ends and the next begins; windows do not cross them.
+    """
     import numpy as np
 
     n = len(symbols) - width + 1
     if n <= 0:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64))
-    most = 1 << (POSITION_BITS - 1)
-    if n > most:  # very long texts in overlapping stretches; a run that is cut stays right as two runs
-        parts = []
-        for at in range(0, n, most):
-            k, m, a, b = find_runs(symbols[at : at + most + width - 1], width, gram)
-            parts.append((k, m + at, a + at, b + at))
-        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
-    h = gram_hashes(symbols, gram)
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    cur = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    span, length = width - gram + 1, 1
-    while length * 2 <= span:
-        cur = np.minimum(cur[:-length], cur[length:])
-        length *= 2
-    if length < span:
-        cur = np.minimum(cur[: n], cur[span - length : span - length + n])
-    place = (cur[:n] & low).astype(np.int64)
-    cuts = np.flatnonzero(np.diff(place))
-    first = np.concatenate([[0], cuts + 1])
-    last = np.concatenate([cuts, [n - 1]])
-    place = place[first]
-    return h[place], place, first, last
-
-
-class ByteText:
-    """Windows of bytes. Of equal windows all but the first are removed, within a document too."""
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+    valid = np.ones(n, dtype=bool)
+    if bounds is not None and len(bounds) > 2:
+        inner = np.asarray(bounds[1:-1], dtype=np.int64)
+        edge = np.zeros(n + 1, dtype=np.int32)
+        np.add.at(edge, np.clip(inner - width + 1, 0, n), 1)
+        np.add.at(edge, np.clip(inner, 0, n), -1)
+        valid = np.cumsum(edge[:-1]) == 0
+    low, most = np.uint64((1 << POSITION_BITS) - 1), 1 << (POSITION_BITS - 1)
+    keys, firsts, lasts = [], [], []
+    for at in range(0, n, most):  # very long texts in overlapping stretches; a run that is cut stays right as two runs
+        h = gram_hashes(symbols[at : at + most + width - 1], gram)
+        cur = (h & ~low) | np.arange(len(h), dtype=np.uint64)
+        span, length, m = width - gram + 1, 1, min(most, n - at)
+        while length * 2 <= span:
+            cur = np.minimum(cur[:-length], cur[length:])
+            length *= 2
+        if length < span:
+            cur = np.minimum(cur[:m], cur[span - length : span - length + m])
+        windows = np.flatnonzero(valid[at : at + m])
+        if not len(windows):
+            continue
+        place = (cur[windows] & low).astype(np.int64)
+        cuts = np.flatnonzero((np.diff(place) != 0) | (np.diff(windows) != 1)) + 1
+        first = np.concatenate([[0], cuts])
+        last = np.concatenate([cuts - 1, [len(windows) - 1]])
+        keys.append(h[place[first]])
+        firsts.append(windows[first] + at)
+        lasts.append(windows[last] + at)
+    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (firsts, np.int64), (lasts, np.int64)))
+
+
+class ByteTexts:
+    """Some texts as bytes, one after the other. Of equal windows all but the first go, within a document too."""
 
     width, gram = 100, 32
 
-    def __init__(self, text: str | None) -> None:
+    def __init__(self, texts: list) -> None:
         import numpy as np
 
-        self.data = (text or "").encode("utf-8")
+        raw = [(t or "").encode("utf-8") for t in texts]
+        self.data = b"".join(raw)
         self.symbols = np.frombuffer(self.data, dtype=np.uint8).astype(np.uint64)
+        self.bounds = np.cumsum([0, *map(len, raw)])
 
     def content(self, a: int, b: int) -> bytes:
         return self.data[a:b]
 
-    @staticmethod
-    def rank(d: int, h: int, start: int) -> tuple:
-        return (d, h, start)
-
 
 _powers: dict = {}
 
@@ -135,310 +142,238 @@ def _power_table(n: int):
 
 
 def word_hashes(data: bytes):
-    """A 64-bit hash of each word (bytes between ASCII white space), by running sums over the text."""
+    """(a 64-bit hash, first byte) of each word (bytes between ASCII white space), by running sums over the text."""
     import numpy as np
 
     a = np.frombuffer(data, dtype=np.uint8)
     if not len(a):
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     inside = ~((a == 32) | ((a >= 9) & (a <= 13)))
     edge = np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _power_table(len(a) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * up[: len(a)], dtype=np.uint64)])
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), starts
 
 
-class WordText:
-    """Windows of words. A window is removed where a document with a smaller id holds it."""
+class WordTexts:
+    """Some texts as words, one after the other. A window goes where a document with a smaller id holds it."""
 
     width, gram = 50, 8
 
-    def __init__(self, text: str | None) -> None:
-        data = (text or "").encode("utf-8")
+    def __init__(self, texts: list) -> None:
+        import numpy as np
+
+        raw = [(t or "").encode("utf-8") for t in texts]
+        data = b"\n".join(raw)
         self.words = data.split()
-        self.symbols = word_hashes(data)
+        self.symbols, starts = word_hashes(data)
+        self.bounds = np.append(np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raw[:-1])])), len(starts))
 
     def content(self, a: int, b: int) -> bytes:
         return b" ".join(self.words[a:b])
 
-    @staticmethod
-    def rank(d: int, h: int, start: int) -> tuple:
-        return (d,)
+
+def _chunks(texts: list, kind: type) -> Iterator:
+    """(number of the first text, texts as ``kind``) of stretches of about ``CHUNK_BYTES``."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= CHUNK_BYTES:
+            yield at, kind(texts[at : i + 1])
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, kind(texts[at:])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+def _content_hashes(symbols, first, end):
+    """A hash of each stretch, by running sums; it only counts different contents and routes nothing."""
+    import numpy as np
 
+    up, down = _power_table(len(symbols) + 1)
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(symbols.copy()) * up[: len(symbols)], dtype=np.uint64)])
+    return (sums[end] - sums[first]) * down[first]
 
-def _batch(rows: list, kinds: tuple, names: list[str]):
+
+def deal(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with _d, _h and their bucket _b, dealt over the tasks by bucket, and the number of buckets."""
+    n = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(2 * n, math.ceil(size / BUCKET_BYTES))
+    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).withColumn("_h", F.coalesce(F.xxhash64("text"), F.lit(0).cast("long")))
+    return keyed.withColumn("_b", F.pmod(F.xxhash64("_d", "_h"), F.lit(buckets)).cast("int")).repartition(n, "_b"), buckets
+
+
+def table_of(columns: list, schema: str):
+    """An Arrow table of these columns under a DDL schema of plain types."""
     import pyarrow as pa
 
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[name for name, _ in fields])
 
 
-def recurring(docs: DataFrame, kind: type, hot: int = HOT) -> DataFrame:
-    """(_d, _h, keys, hot_keys): packed 64-bit minimisers of the row that occur elsewhere too."""
-    n = partitions(docs.sparkSession)
-    names = ["shard", "keys", "counts", "owners", "ds", "hs"]
+def in_order(bucket) -> tuple[list, list, list, object]:
+    """ids, hashes and texts of a bucket's rows in the order of (_d, _h), the same row twice once; and the rows' places there."""
+    import numpy as np
 
-    def post(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        kinds = (pa.int32(), *[pa.binary()] * 5)
-
-        def flush():
-            keys = np.concatenate(held)
-            owner = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
-            shard = ((keys >> np.uint64(20)) % np.uint64(n)).astype(np.int32)
-            order = np.lexsort((keys, shard))
-            keys, owner, shard = keys[order], owner[order], shard[order]
-            d, h = np.array(ds, np.int64), np.array(hs, np.int64)
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)]
-            rows = []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                # Each minimiser once with its count, then its owners, by their places in a table of the rows meant.
-                k = keys[a:b]
-                first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-                counts = np.diff(np.concatenate([first, [b - a]])).astype(np.int32)
-                used, local = np.unique(owner[a:b], return_inverse=True)
-                rows.append((int(shard[a]), k[first].tobytes(), counts.tobytes(), local.astype(np.int32).tobytes(), d[used].tobytes(), h[used].tobytes()))
-            yield _batch(rows, kinds, names)
-
-        held, ds, hs, size = [], [], [], 0
-        for batch in batches:
-            for d, h, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                keys = find_runs(kind(text).symbols, kind.width, kind.gram)[0]
-                if len(keys):
-                    held.append(keys)
-                    ds.append(d)
-                    hs.append(h)
-                    size += len(text)
-                if size >= BATCH_BYTES:
-                    yield from flush()
-                    held, ds, hs, size = [], [], [], 0
-        if held:
-            yield from flush()
-
-    def count(batches: Iterator) -> Iterator:
+    d, h = (bucket.column(c).to_numpy() for c in ("_d", "_h"))
+    order = np.lexsort((h, d))
+    d, h = d[order], h[order]
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+    place = np.empty(len(d), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    return d[new].tolist(), h[new].tolist(), bucket.column("text").take(order[new]).to_pylist(), place
+
+
+POSTED = "shard int, _b int, keys binary, loads binary"
+MARKS = "_b int, keys binary, hot binary, windows binary"
+
+
+def _posted(b: int, keys, loads, shards: int):
+    """One row per shard: its keys of this bucket, each once, with their loads."""
+    import numpy as np
+
+    shard = ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+    order = np.lexsort((keys, shard))
+    keys, loads, shard = keys[order], loads[order].astype(np.int32), shard[order]
+    cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(keys)] if len(keys) else []
+    rows = [(int(shard[i]), b, keys[i:j].tobytes(), loads[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return table_of(list(zip(*rows, strict=True)) or [[]] * 4, POSTED)
+
+
+def _again(posted: DataFrame, hot: int | None) -> DataFrame:
+    """Marks of what occurs in two buckets, or twice in one. A load is twice the number of contents, plus one if there are several occurrences."""
+
+    def run(shard):
         import numpy as np
-        import pyarrow as pa
-
-        keys, counts, owners, ds, hs, at = [], [], [], [], [], 0
-        for batch in batches:
-            for k, c, o, d, h in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                keys.append(np.frombuffer(k, np.uint64))
-                counts.append(np.frombuffer(c, np.int32))
-                owners.append(np.frombuffer(o, np.int32) + at)
-                ds.append(np.frombuffer(d, np.int64))
-                hs.append(np.frombuffer(h, np.int64))
-                at += len(ds[-1])
-        if not keys:
-            return
-        key, c, owner, d, h = (np.concatenate(x) for x in (keys, counts, owners, ds, hs))
-        del keys, counts, owners, ds, hs
-        _, which = np.unique(key, return_inverse=True)
-        total = np.bincount(which, weights=c)[which]  # of each posted minimiser, over all batches
-        key, total = np.repeat(key, c), np.repeat(total, c)
-        again = total >= 2
-        key, owner, is_hot = key[again], owner[again], total[again] >= hot
-        order = np.argsort(owner, kind="stable")
-        key, owner, is_hot = key[order], owner[order], is_hot[order]
-        first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+
+        keys = [np.frombuffer(k, np.uint64) for k in shard.column("keys").to_pylist()]
+        loads = np.concatenate([np.frombuffer(x, np.int32) for x in shard.column("loads").to_pylist()])
+        bucket = np.repeat(shard.column("_b").to_numpy(), [len(k) for k in keys])
+        keys = np.concatenate(keys)
+        _, which = np.unique(keys, return_inverse=True)
+        posts = np.bincount(which)
+        several = np.bincount(which, weights=loads & 1) > 0
+        use = ((posts > 1) | several)[which]
+        warm = np.zeros(len(keys), dtype=bool) if hot is None else (np.bincount(which, weights=loads >> 1) >= hot)[which]
+        keys, bucket, warm = keys[use], bucket[use], warm[use]
+        order = np.argsort(bucket, kind="stable")
+        keys, bucket, warm = keys[order], bucket[order], warm[order]
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)] if len(keys) else []
         rows = []
-        for a, b in zip(first, np.concatenate([first[1:], [len(owner)]]), strict=True):
-            k, warm = key[a:b], is_hot[a:b]
-            rows.append((int(d[owner[a]]), int(h[owner[a]]), np.unique(k[~warm]).tobytes(), np.unique(k[warm]).tobytes()))
-            if len(rows) == 5000:
-                yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), ["_d", "_h", "keys", "hot_keys"])
-                rows = []
-        if rows:
-            yield _batch(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), ["_d", "_h", "keys", "hot_keys"])
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            k, w = keys[i:j], warm[i:j]
+            rows.append((int(bucket[i]), b"", b"", k.tobytes()) if hot is None else (int(bucket[i]), k[~w].tobytes(), k[w].tobytes(), b""))
+        return table_of(list(zip(*rows, strict=True)) or [[]] * 4, MARKS)
 
-    posted = docs.select("_d", "_h", "text").mapInArrow(post, "shard int, keys binary, counts binary, owners binary, ds binary, hs binary")
-    found = posted.repartition(n, "shard").mapInArrow(count, "_d long, _h long, keys binary, hot_keys binary")
-    return found.groupBy("_d", "_h").agg(F.collect_list("keys").alias("_keys"), F.collect_list("hot_keys").alias("_hot"))
+    return posted.groupBy("shard").applyInArrow(run, MARKS)
 
 
-ROUTED = "key long, content binary, _d long, _h long, start long, windows int, settled boolean"
-ROUTED_NAMES = [x.split()[0] for x in ROUTED.split(", ")]
+def recurring(texts: DataFrame, buckets: int, kind: type, hot: int | None = None) -> DataFrame:
+    """(_b, keys, hot, windows) of dealt ``texts``: what recurs, for each bucket that holds it."""
+    n = partitions(texts.sparkSession)
+    shards = max(n, buckets // 8)
 
+    def post(bucket):
+        import numpy as np
 
-def routed(docs: DataFrame, marks: DataFrame, kind: type) -> DataFrame:
-    """Run contents for ``settle``, and stretches of windows that were settled on the way."""
-    n_cols = len(docs.columns)
-    at_d, at_h, at_text = (docs.columns.index(c) for c in ("_d", "_h", "text"))
+        keys, contents = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+        for _, t in _chunks(in_order(bucket)[2], kind):
+            key, first, last = find_runs(t.symbols, kind.width, kind.gram, t.bounds)
+            keys.append(key)
+            contents.append(_content_hashes(t.symbols, first, last + kind.width))
+        keys, contents = np.concatenate(keys), np.concatenate(contents)
+        order = np.lexsort((contents, keys))
+        keys, contents = keys[order], contents[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = keys[1:] != keys[:-1]
+        other = new.copy()
+        other[1:] |= contents[1:] != contents[:-1]
+        group = np.cumsum(new) - 1
+        loads = np.minimum(np.bincount(group, weights=other), 1 << 29).astype(np.int32) * 2 + (np.bincount(group) > 1)
+        b = bucket.column("_b")[0].as_py() if bucket.num_rows else 0
+        return _posted(b, keys[new], loads, shards)
+
+    marks = checkpoint(_again(texts.groupBy("_b").applyInArrow(post, POSTED), max(HOT, buckets) if hot is None else hot))
+    if marks.filter(F.length("hot") > 0).isEmpty():
+        return marks
+
+    def post_windows(bucket, marks):
+        import numpy as np
 
-    def emit(batches: Iterator) -> Iterator:
-        import hashlib
+        warm = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in marks.column("hot").to_pylist())]))
+        if not len(warm) or not bucket.num_rows:
+            return table_of([[]] * 4, POSTED)
+        found = [np.zeros(0, np.uint64)]
+        for _, t in _chunks(in_order(bucket)[2], kind):
+            key, first, last = find_runs(t.symbols, kind.width, kind.gram, t.bounds)
+            use = np.isin(key, warm)
+            if use.any():
+                found.append(gram_hashes(t.symbols, kind.width)[_ranges(first[use], last[use] + 1)])
+        keys, counts = np.unique(np.concatenate(found), return_counts=True)
+        return _posted(bucket.column("_b")[0].as_py(), keys, 2 + (counts > 1), shards)
 
-        import numpy as np
-        import pyarrow as pa
-
-        kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-        held: dict[tuple[int, bytes], list] = {}
-        gone: dict[tuple[int, int], list] = {}
-
-        def put(key: int, content: bytes, d: int, h: int, start: int, windows: int) -> None:
-            mine = (d, h, start, windows)
-            there = held.get((key, content))
-            if there is None:
-                held[key, content] = [mine]
-                return
-            old, new = kind.rank(*there[0][:3]), kind.rank(d, h, start)
-            if new > old:
-                gone.setdefault((d, h), []).append((start, start + windows))
-            elif new < old:
-                for x in there:
-                    gone.setdefault(x[:2], []).append((x[2], x[2] + x[3]))
-                held[key, content] = [mine]
-            elif mine not in there:
-                there.append(mine)
-
-        def flush():
-            rows = []
-            for (key, content), where in held.items():
-                for d, h, start, windows in where:
-                    rows.append((key, content, d, h, start, windows, False))
-            for (d, h), spans in gone.items():
-                spans.sort()
-                at = (d * 0x9E3779B1 ^ h) & NULL_ID  # spread by document: copies share their text's hash
-                a, b = spans[0]
-                for x, y in spans[1:]:
-                    if x > b:
-                        rows.append((at, None, d, h, a, b - a, True))
-                        a, b = x, y
-                    b = max(b, y)
-                rows.append((at, None, d, h, a, b - a, True))
-            for k in range(0, len(rows), 20000):
-                yield _batch(rows[k : k + 20000], kinds, ROUTED_NAMES)
-
-        size = 0
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in (at_d, at_h, at_text, n_cols, n_cols + 1)]
-            for d, h, text, packed, packed_hot in zip(*cols, strict=True):
-                wanted = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in packed]))
-                warm = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in packed_hot]))
-                t = kind(text)
-                key, _, first, last = find_runs(t.symbols, kind.width, kind.gram)
-                use = np.flatnonzero(np.isin(key, wanted))
-                for k, a, b in zip(key[use].view(np.int64).tolist(), first[use].tolist(), last[use].tolist(), strict=True):
-                    content = t.content(a, b + kind.width)
-                    put(k, content, d, h, a, b - a + 1)
-                    size += len(content)
-                if len(warm):
-                    use = np.flatnonzero(np.isin(key, warm))
-                    for a, b in zip(first[use].tolist(), last[use].tolist(), strict=True):
-                        for p in range(a, b + 1):
-                            digest = hashlib.blake2b(t.content(p, p + kind.width), digest_size=16).digest()
-                            put(int.from_bytes(digest[:8], "little", signed=True), digest, d, h, p, 1)
-                            size += 16
-                if size >= BATCH_BYTES // 2:
-                    yield from flush()
-                    held.clear()
-                    gone.clear()
-                    size = 0
-        yield from flush()
-
-    joined = docs.join(marks.hint("merge"), ["_d", "_h"]).select(*docs.columns, "_keys", "_hot")
-    return joined.mapInArrow(emit, ROUTED)
-
-
-def settle(rows: DataFrame, kind: type, variants: Callable) -> DataFrame:
-    """(_d, _h, start, windows): stretches of windows to remove.
-
-    ``variants(contents, ranks)`` gets the differing contents of some minimisers, each with the smallest rank that holds
-    it, in the order of these ranks; it yields (number of the content, window) to remove.
-    """
-    n = partitions(rows.sparkSession)
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
-        names = ["_d", "_h", "start", "windows"]
-        out: list = []
-        open_groups: list = []  # [(content, rank, holders)] of minimisers with two contents or more
-        size = 0
-        group: list = []
-        key = content = None
-
-        def close_group() -> int:
-            added = 0
-            if len(group) > 1 and len(group[0][0]) > 16:
-                open_groups.extend(group)
-                added = sum(len(x[0]) for x in group)
-            group.clear()
-            return added
-
-        def resolve() -> None:
-            open_groups.sort(key=lambda x: x[1])
-            stretch = None  # (content, first window, end): windows in a row leave as one
-            for i, w in variants([x[0] for x in open_groups], [x[1] for x in open_groups]):
-                if stretch and stretch[0] == i and stretch[2] == w:
-                    stretch = (i, stretch[1], w + 1)
-                    continue
-                leave(stretch)
-                stretch = (i, w, w + 1)
-            leave(stretch)
-            open_groups.clear()
-
-        def leave(stretch: tuple | None) -> None:
-            if stretch:
-                i, a, b = stretch
-                out.extend((d, h, start + a, b - a) for d, h, start, _ in open_groups[i][2])
-
-        for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(7)]
-            for k, c, d, h, start, windows, settled in zip(*cols, strict=True):
-                if settled:
-                    out.append((d, h, start, windows))
-                    continue
-                if k != key:
-                    size += close_group()
-                    key, content = k, None
-                    if size >= BLOCK_BYTES:
-                        resolve()
-                        size = 0
-                rank = kind.rank(d, h, start)
-                if c != content:  # rows come in the order of key, content, rank
-                    group.append((c, rank, [(d, h, start, windows)]))
-                    content = c
-                elif rank > group[-1][1]:
-                    out.append((d, h, start, windows))
-                else:
-                    group[-1][2].append((d, h, start, windows))
-            if len(out) >= 20000:
-                yield _batch(out, kinds, names)
-                out = []
-        close_group()
-        resolve()
-        if out:
-            yield _batch(out, kinds, names)
-
-    dealt = rows.repartition(n, "key").sortWithinPartitions("key", "content", "_d", "_h", "start")
-    return dealt.mapInArrow(run, "_d long, _h long, start long, windows int")
-
-
-def removed_windows(docs: DataFrame, kind: type, variants: Callable, hot: int = HOT) -> DataFrame:
-    """(_d, _h, _spans) with the windows to remove as (start, end) of windows; ``docs`` are keyed.
-
-    All columns of ``docs`` travel with the texts, so that a later join that needs the same columns reads the same
-    shuffle again.
-    """
-    found = settle(routed(docs, recurring(docs, kind, hot), kind), kind, variants)
-    spans = found.groupBy("_d", "_h").agg(F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows")).alias("b"))).alias("_spans"))
-    return spans
+    windows = texts.groupBy("_b").cogroup(marks.groupBy("_b")).applyInArrow(post_windows, POSTED)
+    return marks.union(_again(windows, None))
+
+
+def _ranges(first, end):
+    """All numbers of these half-open ranges."""
+    import numpy as np
+
+    size = end - first
+    return np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
 
 
-def covered(spans: list | None, width: int, size: int):
-    """Which of ``size`` symbols the windows cover, and how many maximal stretches that makes."""
+def marked_runs(texts: list, marks, kind: type) -> tuple[list, list, list, list, list]:
+    """(key, content, number of the text, first window, windows) of what may recur in a bucket's texts, in their order."""
+    import numpy as np
+
+    empty = np.zeros(0, np.uint64)
+    wanted, warm, windows = (np.unique(np.concatenate([empty, *(np.frombuffer(x, np.uint64) for x in marks.column(c).to_pylist())])) for c in ("keys", "hot", "windows"))
+    keys, contents, owners, starts, sizes = [], [], [], [], []
+    if not len(wanted) and not len(windows):
+        return keys, contents, owners, starts, sizes
+    for at, t in _chunks(texts, kind):
+        key, first, last = find_runs(t.symbols, kind.width, kind.gram, t.bounds)
+        use = np.isin(key, wanted)
+        k, a, b = key[use], first[use], last[use]
+        if len(windows) and (hot := np.isin(key, warm)).any():
+            h = gram_hashes(t.symbols, kind.width)
+            p = _ranges(first[hot], last[hot] + 1)
+            p = p[np.isin(h[p], windows)]
+            k, a, b = np.concatenate([k, h[p]]), np.concatenate([a, p]), np.concatenate([b, p])
+            order = np.argsort(a, kind="stable")
+            k, a, b = k[order], a[order], b[order]
+        owner = np.searchsorted(t.bounds, a, side="right") - 1
+        keys.extend(k.view(np.int64).tolist())
+        contents.extend(map(t.content, a.tolist(), (b + kind.width).tolist()))
+        owners.extend((owner + at).tolist())
+        starts.extend((a - t.bounds[owner]).tolist())
+        sizes.extend((b - a + 1).tolist())
+    return keys, contents, owners, starts, sizes
+
+
+def covered(spans, width: int, size: int):
+    """Which of ``size`` symbols the windows [a, b) of ``spans`` cover, and how many maximal stretches that makes."""
     import numpy as np
 
     edge = np.zeros(size + 1, dtype=np.int32)
-    for s in spans or ():
-        edge[s["a"]] += 1
-        edge[min(size, s["b"] - 1 + width)] -= 1
+    for a, b in spans:
+        edge[a] += 1
+        edge[min(size, b - 1 + width)] -= 1
     mask = np.cumsum(edge[:-1]) > 0
     return mask, int(np.count_nonzero(np.diff(np.concatenate([[False], mask]).astype(np.int8)) == 1))
+
+
+def merged(spans: list) -> list:
+    """Half-open stretches in order, those that touch made one."""
+    out: list = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out

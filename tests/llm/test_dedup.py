@@ -69,7 +69,7 @@ def removed_words(rows, width=50):
     return out
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 10_000), (2, 10_000), (1, 2)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, None), (2, None), (1, 2)])
 def test_suffix_family_is_exact(spark, seed, hot):
     rows = corpus(seed)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.report(frame(spark, rows), hot).collect()}
@@ -77,7 +77,7 @@ def test_suffix_family_is_exact(spark, seed, hot):
     assert sum(v[1] for v in got.values()) > 0
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(1, 10_000), (3, 10_000), (1, 2)])
+@pytest.mark.parametrize(("seed", "hot"), [(1, None), (3, None), (1, 2)])
 def test_phrase_automata_are_exact(spark, seed, hot):
     rows = corpus(seed)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in phrase_dedup.report(frame(spark, rows), hot).collect()}
@@ -85,33 +85,126 @@ def test_phrase_automata_are_exact(spark, seed, hot):
     assert sum(v[1] for v in got.values()) > 0
 
 
-def test_small_batches_change_nothing(spark, monkeypatch):
-    rows = corpus(5)
-    family = suffix_dedup.SuffixFamily(batch=7)
+def first_seen(strings):
+    seen, out = set(), []
+    for s in strings:
+        out.append(s in seen)
+        seen.add(s)
+    return out
+
+
+def test_dense_family_in_small_batches():
     import numpy as np
 
+    rows = corpus(5)
+    family = suffix_dedup.DenseFamily(batch=7)
     data = np.frombuffer(b"".join((t or "").encode() for _, t in rows), np.uint8)
     starts = np.arange(0, min(len(data) - 100, 4000))
-    seen, expected = set(), []
-    for s in starts.tolist():
-        b = data[s : s + 100].tobytes()
-        expected.append(b in seen)
-        seen.add(b)
-    assert family.add(data, starts).tolist() == expected
+    assert family.add(data, starts).tolist() == first_seen(data[s : s + 100].tobytes() for s in starts.tolist())
     sizes = [len(x) for x in family.levels]
-    assert sizes == sorted(sizes, reverse=True)
-
+    assert all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_family_levels_grow_geometrically_over_batches_of_documents():
+    r = random.Random(12)
+    family, came, got = suffix_dedup.SuffixFamily(), [], []
+    for n in range(1, 65):
+        batch = [bytes(r.choice(b"ab") for _ in range(100 + r.randrange(6))) if r.random() < 0.8 or not came else r.choice(came) for _ in range(16)]
+        got += family.add(batch)
+        came += batch
+        sizes = [len(x) for x in family.levels]
+        assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 1 + n.bit_length()
+        assert all(level == sorted(level) for level in family.levels)
+        assert sum(sizes) == len(set(came))
+    assert got == first_seen(came)
+    assert family.add([came[0][:100], came[5] + b"x"]) == [True, False]  # a suffix that begins an older one is there already
+
+
+def test_shard_settles_inner_strings():
+    r = random.Random(13)
+    core = bytes(r.randrange(256) for _ in range(140))
+    contents = [b"x" + core, core + b"y", core[10:] + b"z", bytes(r.randrange(256) for _ in range(150)), b"x" + core]
+    shard, expected, seen = suffix_dedup.Shard(), [], set()
+    for i, c in enumerate(contents):
+        for p in range(len(c) - 99):
+            if c[p : p + 100] in seen:
+                expected.append((i, p))
+            seen.add(c[p : p + 100])
+    for size in (1, 2, 5):
+        shard = suffix_dedup.Shard()
+        got = []
+        for k in range(0, 5, size):
+            got += [(k + i, p) for i, a, b in shard.add([7, 7, 7, 8, 7][k : k + size], contents[k : k + size]) for p in range(a, b)]
+        assert sorted(got) == expected
+
+
+def test_automaton_locates_every_occurrence():
+    r = random.Random(14)
+    words = [b"%d" % r.randrange(40) for _ in range(400)]
+    passages = [(words[0:55], 3), (words[200:300], 5), (words[240:290], 9)]
+    automaton, numbers = phrase_dedup.compile_automaton(passages)
+    text = words[230:320] + [b"new"] + words[0:55] + words[0:55]
+    found = phrase_dedup.occurrences(text, 7, automaton, numbers)
+    first = {}
+    for w, f in passages:
+        for p in range(len(w) - 49):
+            first[tuple(w[p : p + 50])] = min(f, first.get(tuple(w[p : p + 50]), 99))
+    expected = {p for p in range(len(text) - 49) if first.get(tuple(text[p : p + 50]), 99) < 7}
+    # The passage of documents 5 and 9 is held whole only where all its words are.
+    whole = {p for w, f in passages if f < 7 for at in range(len(text) - len(w) + 1) if text[at : at + len(w)] == w for p in range(at, at + len(w) - 49)}
+    assert {p for a, b in found for p in range(a, b)} == whole <= expected
+
+
+def test_first_documents_compare_words(monkeypatch):
+    import numpy as np
 
-def test_long_texts_are_cut_into_stretches(monkeypatch):
+    r = random.Random(15)
+    texts = [[b"%d" % r.randrange(30) for _ in range(80)] for _ in range(6)]
+    texts += [texts[0][5:70], texts[1][:60] + texts[2][:60], texts[0][5:70] + [b"end"]]
+    firsts = [1, 1, 4, 5, 7, 7, 8, 9, 12]
+    first = {}
+    for t, f in zip(texts, firsts):
+        for p in range(len(t) - 49):
+            first.setdefault(tuple(t[p : p + 50]), f)
+    expected = [[first[tuple(t[p : p + 50])] for p in range(len(t) - 49)] for t in texts]
+    run = lambda: [x.tolist() for x in phrase_dedup.first_documents([b" ".join(t) for t in texts], firsts)]
+    assert run() == expected
+    hashes = runs.gram_hashes
+    monkeypatch.setattr(runs, "gram_hashes", lambda s, k: hashes(s, k) % np.uint64(7) if k == 50 else hashes(s, k))
+    assert run() == expected  # equal digests of different windows change nothing
+
+
+def test_runs_hold_every_window_once(monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(runs, "POSITION_BITS", 8)
     symbols = np.random.default_rng(1).integers(0, 5, 1000).astype(np.uint64)
-    key, place, first, last = runs.find_runs(symbols, 20, 6)
-    assert first[0] == 0 and last[-1] == 980 and (first[1:] == last[:-1] + 1).all()
-    h = runs.gram_hashes(symbols, 6)
-    for k, p, a, b in zip(key, place, first, last, strict=True):
-        assert h[p] == k and a <= p and p <= b + 14
+    bounds = [0, 30, 30, 45, 400, 1000]
+    for b in (None, bounds):
+        key, first, last = runs.find_runs(symbols, 20, 6, b)
+        windows = [p for x, y in zip(first, last, strict=True) for p in range(x, y + 1)]
+        assert windows == [p for p in range(981) if b is None or not any(p < c < p + 20 for c in b)]
+        h = runs.gram_hashes(symbols, 6)
+        for k, x, y in zip(key, first, last, strict=True):
+            assert any(h[p] == k for p in range(y, x + 15))
+
+
+@pytest.mark.parametrize("run", [phrase_dedup.report, suffix_dedup.report])
+def test_long_texts_and_a_passage_in_every_document(spark, run, monkeypatch):
+    r = random.Random(16)
+    text = lambda k: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(k))
+    passage, long = text(70), text(30_000)
+    rows = [(i, text(r.randrange(1, 90)) + " " + passage + " " + text(r.randrange(1, 90))) for i in range(60)]
+    rows += [(200, long), (201, text(40) + " " + long[1000:150_000] + " " + text(5_000) + " " + long[:2000])]
+    rows += [(300 + i, rows[3][1]) for i in range(40)]
+    parts = text(300).split(" ")
+    for i in range(40):  # stretches of one text, cut anywhere
+        a = r.randrange(240)
+        rows.append((400 + i, " ".join(parts[a : a + r.randrange(55, 300)])))
+    for hot, n in ((None, 4), (3, 4), (None, 1)):
+        monkeypatch.setattr(runs, "partitions", lambda s: n)  # noqa: B023
+        got = {x.doc_id: tuple(x)[1:] for x in run(frame(spark, rows), hot).collect()}
+        assert got == (removed_words if run is phrase_dedup.report else removed_bytes)(rows)
 
 
 def test_repeated_rows_and_ids(spark):
@@ -125,7 +218,7 @@ def test_repeated_rows_and_ids(spark):
 @pytest.mark.parametrize("run", [phrase_dedup.report, suffix_dedup.report, suffix_dedup.remove_repeats, exact_dedup.report, exact_dedup.keep_one, minhash_join.report, minhash_join.keep_one])
 def test_empty_and_clashing(spark, run):
     assert run(frame(spark, [])).count() == 0
-    names = ["_d", "_h", "_spans", "_row", "_keys", "len", "run", "best", "rows", "digest", "n", "key", "start", "kept", "_n", "_k", "n_words"]
+    names = ["_d", "_h", "_spans", "_row", "_keys", "len", "run", "best", "rows", "digest", "n", "key", "start", "kept", "_n", "_k", "n_words", "_b", "shard", "spans"]
     rows = [(i, t, *[f"{i}"] * len(names)) for i, t in corpus(4, 20)]
     wide = spark.createDataFrame(rows, SCHEMA + "".join(f", `{c}` string" for c in names))
     out = run(wide)
