@@ -129,34 +129,70 @@ def test_token_counts_allocate_every_token(spark):
         token_counts.count_tokens(frame(spark, []), "other")
 
 
-def test_piece_search_equals_enumeration():
-    m = piece_nbest.piece_model(tokens.tokenizer_path("piece_bpe_32k.model"))
+def zipf(m):
+    """Independent costs: pieces in the order of the merges get the log of Zipf's law, in millionths."""
+    import math
+
+    size = m.sp.get_piece_size()
+    order = [m.sp.id_to_piece(i) for i in range(size) if not (m.sp.is_control(i) or m.sp.is_unknown(i) or m.sp.is_byte(i) or m.sp.is_unused(i))]
+    order.sort(key=lambda p: -m.sp.get_score(m.sp.piece_to_id(p)))
+    every = math.log(sum(1 / k for k in range(1, len(order) + 1)))
+    return {p: round(1e6 * (math.log(k) + every)) for k, p in enumerate(order, 1)}
+
 
-    def every(word):
-        out = []
+def segmentations(m, costs, word):
+    """Every one as (cost, lengths of its pieces from the end, ids), best first, longer last pieces first among equals."""
+    other, out = max(costs.values()) + 10_000_000, []
 
-        def go(i, score, ids):
-            if i == len(word):
-                out.append((score, ids))
-            for j in range(i + 1, len(word) + 1):
-                if v := m.vocab.get(word[i:j]):
-                    go(j, score + v[1], ids + v[0].to_bytes(4, "little"))
-                elif j == i + 1:
-                    go(j, score + m.unknown_score, ids + m.fallback(word[i]))
+    def go(i, cost, lengths, ids):
+        if i == len(word):
+            out.append((cost, [-x for x in reversed(lengths)], ids))
+        for j in range(i + 1, len(word) + 1):
+            if word[i:j] in costs:
+                go(j, cost + costs[word[i:j]], [*lengths, j - i], ids + m.sp.piece_to_id(word[i:j]).to_bytes(4, "little"))
+            elif j == i + 1:
+                raw = b"".join(m.sp.piece_to_id(f"<0x{b:02X}>").to_bytes(4, "little") for b in word[i].encode())
+                go(j, cost + other, [*lengths, 1], ids + raw)
 
-        go(0, 0.0, b"")
-        return sorted(out, key=lambda x: -x[0])
+    go(0, 0, [], b"")
+    return [(c, ids) for c, _, ids in sorted(out)]
 
+
+def test_piece_search_equals_enumeration():
+    m = piece_nbest.piece_model(tokens.tokenizer_path("piece_bpe_32k.model"))
+    costs = zipf(m)
+    assert {p: c for p, (_, c) in m.vocab.items()} == costs
     r = random.Random(3)
-    words = ["▁the", "▁", "x", "▁日本𝔘a"] + ["▁" + "".join(r.choice("aeionrstéü𝔘") for _ in range(r.randrange(1, 9))) for _ in range(60)]
-    for w, n in itertools.product(words, (1, 3, 5)):
-        got, all_ = m.search(w, n), every(w)
-        assert [s for s, _ in got] == [s for s, _ in all_[:n]]
-        assert len(set(got)) == len(got) and set(got) <= set(all_)
-    for text in ("the cat", "a b c", "tion, er x"):
-        parts = [every(w)[:3] for w in piece_nbest.WORDS.findall(m.sp.normalize(text))]
-        sums = sorted((sum(s for s, _ in c) for c in itertools.product(*parts)), reverse=True)[:3]
-        assert [s for s, _ in m.nbest(text, 3)] == sums
+    words = ["▁the", "▁", "x", "▁日本𝔘a", "▁aaaaaaa", "▁end.,", "▁éaé!"] + ["▁" + "".join(r.choice("aeionrstéü𝔘.") for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    for w in words:
+        whole = segmentations(m, costs, w)
+        for n in (1, 2, 3, 5):
+            got, then = m.search(w, n)
+            assert got == whole[:n]
+        got, then = m.search(w, 2, 1)
+        assert got == whole[:1] and then == (whole[1][0] if len(whole) > 1 else None)
+        cost, ids, dear, back = m.learn(w)
+        assert (cost, ids, back) == (*whole[0], w) and dear == (whole[1][0] - cost if len(whole) > 1 else float("inf"))
+    for text in ("the cat", "a b c", "tion, er x", "aa aa aa", "x"):
+        parts = [segmentations(m, costs, w)[:3] for w in piece_nbest.WORDS.findall(m.sp.normalize(text))]
+        every = sorted((sum(c for c, _ in x), b"".join(i for _, i in x)) for x in itertools.product(*parts))
+        assert [c for c, _ in m.nbest(text, 3)] == [c for c, _ in every[:3]] and set(m.nbest(text, 3)) <= set(every)
+    tie = m.nbest("aa aa", 3)
+    first = [m.search(w, 2)[0] for w in ("▁aa", "▁aa")]
+    assert tie[1][1] == first[0][1][1] + first[1][0][1] and tie[2][1] == first[0][0][1] + first[1][1][1]
+
+
+def test_pieces_of_long_texts_repeated_rows_and_null_ids(spark):
+    r = random.Random(7)
+    long = "".join(r.choice("abcdefé") for _ in range(20_000))
+    rows = [(1, long, "c", "d"), (None, "a  b\n\nc", "c", "d"), (None, "a  b\n\nc", "c", "d"), (1, "x" * 3000 + " 𝔘" * 50, "c", "d")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", n_pieces string, decoded_sha256 string")
+    got = piece_nbest.encode_decode(docs).collect()
+    assert len(got) == 4 and all(x.round_trip for x in got)
+    assert all(len(set(x.nbest_crc32)) == 3 and x.nbest_scores == sorted(x.nbest_scores, reverse=True) for x in got)
+    assert sorted(str(x.doc_id) for x in got) == ["1", "1", "None", "None"] and len({x.ids_crc32 for x in got}) == 3
+    m = piece_nbest.piece_model(tokens.tokenizer_path("piece_bpe_32k.model"))
+    assert all(m.sp.decode(m.sp.encode(t)) == piece_nbest.plain(m.decode(m.sp.encode(t))) for t in ("the cat", "a é b", long[:500]))
 
 
 def test_pieces_round_trip(spark):
