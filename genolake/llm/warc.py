@@ -6,14 +6,17 @@ in the contents. Each becomes a WARC record: a response, or a revisit where the
 or more is kept by another record (the one with the largest page id), or a resource if it is not HTTP.
 Identifiers are name-based UUIDs of archive and offset, dates come from the 14 digits, digests are SHA-1.
 
-Archives hold about ``ARCHIVE_BYTES`` each and are written and read by Spark, in the folder shared by the cluster.
-Which record keeps a payload is decided on digests alone, summed up before they meet, and rows then
-join by archive and offset, so equal payloads, however many, stay spread out.
+Archives are read as gzip of one member or of a member per record, or plain; contents are bytes and may be anything. One ARC
+file becomes one WARC file, so an archive is never sent record by record. Archives written here hold about ``ARCHIVE_BYTES`` each, in the
+folder shared by the cluster, and are named by partition and number: the same archives give the same record ids again.
+Which record keeps a payload is decided on digests alone, summed up per archive before they meet: a digest has at most one row
+per archive, however many records hold it, and a record's target is looked up in the same way when archives are read back.
 
 Defined results: null html is an empty payload; a null url becomes ``urn:page:<id>``. White space in urls is
 percent-encoded, as the header line is cut at spaces. Repeated page ids are all written; equal payloads under the
-largest page id are all responses. A null page id ranks below all others. Empty tables give empty
-results. Other columns are not read. The text sink holds UTF-8 only: another payload raises an error.
+largest page id are all responses. A null page id ranks below all others; where no record of a payload has an id, as in
+archives made elsewhere, the last one by archive and offset is the response. Empty tables give empty
+results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from genolake.session import checkpoint
+
 ARCHIVE_BYTES = 4 << 20
 LEAST_REVISIT = 1000
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -42,7 +47,10 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors reach."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        own = spark.conf.get("spark.checkpoint.dir", "")
+        if not own and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return f"{sc.getCheckpointDir().rstrip('/')}/archives-{uuid.uuid4().hex}"
 
 
@@ -54,17 +62,16 @@ def arc_header(version: int, url: str, ip: str, date: str, mime: str, status: in
     return f"{url} {ip} {date} {mime}{middle} {length}\n"
 
 
-def arc_file(version: int, name: str, records: list[tuple[str, str, str, bytes]]) -> str:
+def arc_file(version: int, name: str, records: list[tuple[str, str, str, bytes]]) -> bytes:
     """The whole file, without its last line feed: (url, ip, date, block) each."""
     body = f"{version} 0 genolake\n{ARC_FIELDS[version]}\n"
     date = records[0][2] if records else "19700101000000"
-    out = [arc_header(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", 200, 0, name, len(body)) + body]
-    size = len(out[0].encode()) + 1
+    out = [(arc_header(version, f"filedesc://{name}", "0.0.0.0", date, "text/plain", 200, 0, name, len(body)) + body).encode()]
+    size = len(out[0]) + 1
     for url, ip, date, block in records:
-        text = arc_header(version, url, ip, date, "text/html", 200, size, name, len(block)) + block.decode("utf-8")
-        out.append(text)
-        size += len(text.encode("utf-8")) + 1
-    return "\n".join(out)
+        out.append(arc_header(version, url, ip, date, "text/html", 200, size, name, len(block)).encode() + block)
+        size += len(out[-1]) + 1
+    return b"\n".join(out)
 
 
 def parse_arc_line(line: bytes, version: int) -> dict:
@@ -80,7 +87,7 @@ def parse_arc_line(line: bytes, version: int) -> dict:
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
-    """(offset, fields, block) of each record after the file description; an empty file has none."""
+    """(offset, fields, block) of each record, the file description first; an empty file has none."""
     if not data:
         return
     end = data.index(b"\n")
@@ -89,6 +96,7 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
     version = int(block.split(b" ", 1)[0])
     if version not in ARC_FIELDS:
         raise ValueError(f"unknown ARC version {version}")
+    yield 0, first, block
     at = end + 1 + first["length"]
     while True:
         while data[at : at + 1] in (b"\n", b"\r"):
@@ -136,7 +144,7 @@ def base32_sha1(data: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def warc_record(kind: str, rid: str, date: str, uri: str, ip: str, mime: str, block: bytes, extra: list[tuple[str, str]] = ()) -> str:
+def warc_record(kind: str, rid: str, date: str, uri: str, ip: str, mime: str, block: bytes, extra: list[tuple[str, str]] = ()) -> bytes:
     fields = [
         ("WARC-Type", kind),
         ("WARC-Record-ID", rid),
@@ -148,7 +156,7 @@ def warc_record(kind: str, rid: str, date: str, uri: str, ip: str, mime: str, bl
         ("Content-Type", mime),
         ("Content-Length", str(len(block))),
     ]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v) + "\r\n" + block.decode("utf-8") + "\r\n\r\n"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields if v) + "\r\n").encode() + block + b"\r\n\r\n"
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -160,7 +168,7 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if at >= len(data):
             return
         end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n")
+        lines = data[at:end].decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"no WARC record at {at}")
         fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
@@ -172,149 +180,156 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 # --- Spark -------------------------------------------------------------------------------------------------
 
 
-def _write(texts: DataFrame, path: str) -> None:
-    """One gzip file per row."""
+def _write(files: DataFrame, path: str) -> None:
+    """One gzip file per row; the text sink writes the bytes of a string as they are, and a line feed."""
+    texts = files.select(F.col("value").cast("string").alias("value"))
     texts.write.option("compression", "gzip").option("maxRecordsPerFile", 1).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
-
-
-def _unzip(content: bytes) -> bytes:
-    return zlib.decompress(content, wbits=31)
-
-
-def _chunks(batches: Iterator, make, most: int) -> Iterator:
-    """Rows of ``make`` (text, bytes) gathered into archives of about ``most`` bytes."""
-    held: list = []
-    size = 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            held.append(row)
-            size += make.size(row)
-            if size >= most:
-                yield make.file(held)
-                held, size = [], 0
-    if held:
-        yield make.file(held)
-
-
-class _PagesToArc:
-    @staticmethod
-    def size(row: dict) -> int:
-        return 300 + len(row["html"] or "")
-
-    @staticmethod
-    def file(rows: list[dict]) -> str:
-        records = []
-        for r in rows:
-            page, payload = r["page_id"], (r["html"] or "").encode("utf-8")
-            head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n"
-            url = r["url"] if r["url"] is not None else f"urn:page:{page}"
-            url = "".join(c if not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url) or "urn:page:none"
-            second = (page or 0) % 86400
-            date = f"19960923{second // 3600:02d}{second // 60 % 60:02d}{second % 60:02d}"
-            records.append((url, "0.0.0.0", date, head.encode() + payload))
-        version = 1 + len(rows) % 2
-        return arc_file(version, f"pages-{uuid.uuid5(NAMESPACE, str((rows[0]['page_id'], rows[-1]['page_id'], len(rows))))}.arc", records)
-
-
-class _RecordsToWarc:
-    @staticmethod
-    def size(row: dict) -> int:
-        return 800 + len(row["block"])
-
-    @staticmethod
-    def file(rows: list[dict]) -> str:
-        out = []
-        for archive in dict.fromkeys(r["archive"] for r in rows):
-            note = f"software: genolake\r\nformat: WARC File Format 1.1\r\ndescription: converted from {archive}\r\n".encode()
-            out.append(warc_record("warcinfo", record_id(archive, -len(rows)), warc_date("19960923"), "", "", "application/warc-fields", note))
-        for r in rows:
-            rid, date = record_id(r["archive"], r["offset"]), warc_date(r["date"])
-            if r["head_bytes"] is None:
-                out.append(warc_record("resource", rid, date, r["url"], r["ip"], r["mime"], r["block"]))
-                continue
-            extra = [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(r["digest"])).decode())]
-            block, kind = r["block"], "response"
-            if r["keeper_offset"] is not None:
-                kind, block = "revisit", block[: r["head_bytes"]]
-                extra += [("WARC-Refers-To", record_id(r["keeper_archive"], r["keeper_offset"])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-            out.append(warc_record(kind, rid, date, r["url"], r["ip"], "application/http;msgtype=response", block, extra))
-        return "".join(out)[:-1]  # the text sink ends the file with the last line feed
-
-
-def _as_files(df: DataFrame, make, most: int) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,arc,warc}").load(path).select("path", "content")
+
+
+def inflate(content: bytes) -> bytes:
+    """A file's bytes: every member of a gzip file, or the file itself."""
+    out = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        out.append(member.decompress(content) + member.flush())
+        if not member.eof:
+            raise ValueError("gzip member is cut off")
+        content = member.unused_data.lstrip(b"\0")
+    return b"".join(out) if out else content
+
+
+def _rows(rows: list, schema: str):
+    import pyarrow as pa
+
+    kinds = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [x.split() for x in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(cols, fields, strict=True)], names=[n for n, _ in fields])
 
-        for text in _chunks(batches, make, most):
-            yield pa.RecordBatch.from_arrays([pa.array([text], pa.string())], names=["value"])
 
-    return df.mapInArrow(run, "value string")
+def page_record(page: int | None, url: str | None, html: str | None) -> tuple[str, str, str, bytes]:
+    """(url, ip, date, block) of a page as a server might have sent it."""
+    payload = (html or "").encode("utf-8")
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page is None else page}\r\nContent-Length: {len(payload)}\r\n\r\n"
+    url = url if url is not None else f"urn:page:{page}"
+    url = "".join(c if not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url) or "urn:page:none"
+    second = (page or 0) % 86400
+    return url, "0.0.0.0", f"19960923{second // 3600:02d}{second // 60 % 60:02d}{second % 60:02d}", head.encode() + payload
 
 
 def write_arc(pages: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Pages as legacy archives of both versions."""
-    _write(_as_files(pages.select("page_id", "url", "html"), _PagesToArc, archive_bytes), path)
 
+    def run(batches: Iterator) -> Iterator:
+        from pyspark import TaskContext
+
+        part, number, size = TaskContext.get().partitionId(), 0, 0
+        held: list = []
 
-ARC_SCHEMA = "archive string, offset long, url string, ip string, date string, mime string, page_id long, head_bytes int, payload_bytes long, digest string, block binary"
+        def file():
+            return _rows([(arc_file(1 + number % 2, f"pages-{part:06d}-{number:06d}.arc", held),)], "value binary")
 
+        for batch in batches:
+            for page, url, html in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                held.append(page_record(page, url, html))
+                size += 150 + len(held[-1][3])
+                if size >= archive_bytes:
+                    yield file()
+                    held, number, size = [], number + 1, 0
+        if held:
+            yield file()
 
-def read_arc(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
-    """One row per record; without ``blocks`` the contents stay behind."""
+    _write(pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "value binary"), path)
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary())
-        names = [x.split()[0] for x in ARC_SCHEMA.split(", ")]
+ARC_SCHEMA = "path string, archive string, offset long, url string, ip string, date string, mime string, page_id long, head_bytes int, payload_bytes long, digest string"
+
+
+def _records(path: str, content: bytes) -> Iterator[tuple[tuple, bytes]]:
+    """(a row of ARC_SCHEMA, the block) of each record of an archive but its description, which names it."""
+    archive = path.rsplit("/", 1)[-1]
+    for offset, f, block in parse_arc(inflate(content)):
+        if f["url"].startswith("filedesc:"):
+            archive = f["url"].removeprefix("filedesc:").lstrip("/") or archive
+            continue
+        http = split_http(block)
+        head, payload = http or (b"", block)
+        page = http_field(head, b"X-Page-Id")
+        facts = (int(page) if page and page.isdigit() else None, len(head) if http else None, len(payload), hashlib.sha1(payload).hexdigest())
+        yield (path, archive, offset, f["url"], f["ip"], f["date"], f["mime"], *facts), block
+
+
+def read_arc(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record, without its content."""
+
+    def run(batches: Iterator) -> Iterator:
         for batch in batches:
             for i in range(batch.num_rows):
-                archive = batch.column(0)[i].as_py().rsplit("/", 1)[-1]
-                rows = []
-                for offset, f, block in parse_arc(_unzip(batch.column(1)[i].as_py())):
-                    http = split_http(block)
-                    head, payload = http or (b"", block)
-                    page = http_field(head, b"X-Page-Id")
-                    rows.append((archive, offset, f["url"], f["ip"], f["date"], f["mime"], int(page) if page else None, len(head) if http else None, len(payload), hashlib.sha1(payload).hexdigest(), block if blocks else None))
-                    if len(rows) == 500:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                rows = [row for row, _ in _records(batch.column(0)[i].as_py(), batch.column(1)[i].as_py())]
+                for k in range(0, len(rows), 5000):
+                    yield _rows(rows[k : k + 5000], ARC_SCHEMA)
 
     return _files(spark, path).mapInArrow(run, ARC_SCHEMA)
 
 
-def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def convert(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST_REVISIT) -> None:
     """ARC archives in one folder to WARC archives in another."""
-    key = ["archive", "offset"]
-    facts = read_arc(spark, arc_path, blocks=False).filter("head_bytes is not null").filter(F.col("payload_bytes") >= least).select(*key, "page_id", "digest", "payload_bytes")
-    keepers = facts.groupBy("digest", "payload_bytes").agg(F.max(F.struct("page_id", *key)).alias("keeper"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = (
-        facts.join(keepers, ["digest", "payload_bytes"])
-        .filter(~F.col("page_id").eqNullSafe(F.col("keeper.page_id")))
-        .select(*key, F.col("keeper.archive").alias("keeper_archive"), F.col("keeper.offset").alias("keeper_offset"))
-    )
-    _write(_as_files(read_arc(spark, arc_path).join(revisits, key, "left"), _RecordsToWarc, archive_bytes), warc_path)
+    facts = read_arc(spark, arc_path).filter(F.col("head_bytes").isNotNull() & (F.col("payload_bytes") >= least))
+    payload = ["digest", "payload_bytes"]
+    held = facts.groupBy("path", "archive", *payload).agg(F.max(F.struct("page_id", "offset")).alias("top"), F.collect_list(F.struct("page_id", "offset")).alias("members"))
+    held = checkpoint(held)
+    keeper = F.max(F.struct(F.col("top.page_id").alias("page_id"), "archive", F.col("top.offset").alias("offset"))).alias("keeper")
+    keepers = held.groupBy(*payload).agg(keeper, F.sum(F.size("members")).alias("n")).filter("n > 1").drop("n")
+    itself = lambda m: F.col("keeper.page_id").isNull() & (F.col("held.archive") == F.col("keeper.archive")) & (m["offset"] == F.col("keeper.offset"))
+    others = F.filter("members", lambda m: ~(m["page_id"].eqNullSafe(F.col("keeper.page_id")) & (m["page_id"].isNotNull() | itself(m))))
+    revisits = held.alias("held").join(keepers, payload).select("path", F.transform(others, lambda m: m["offset"]).alias("offsets"), F.col("keeper.archive").alias("archive"), F.col("keeper.offset").alias("offset"))
+    marks = revisits.filter(F.size("offsets") > 0).groupBy("path").agg(F.collect_list(F.struct("offsets", "archive", "offset")).alias("marks"))
+
+    def run(batches: Iterator) -> Iterator:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, content, marks = (batch.column(k)[i].as_py() for k in range(3))
+                target = {at: (m["archive"], m["offset"]) for m in marks or () for at in m["offsets"]}
+                yield _rows([(warc_file(path, content, target),)], "value binary")
+
+    _write(_files(spark, arc_path).join(marks.hint("merge"), "path", "left").select("path", "content", "marks").mapInArrow(run, "value binary"), warc_path)
+
+
+def warc_file(path: str, content: bytes, target: dict[int, tuple[str, int]]) -> bytes:
+    """The WARC form of an ARC file, without its last line feed; records at the offsets of ``target`` revisit (archive, offset)."""
+    out: list[bytes] = []
+    for (_, archive, offset, url, ip, date, mime, _, head_bytes, _, digest), block in _records(path, content):
+        if not out:
+            note = f"software: genolake\r\nformat: WARC File Format 1.1\r\ndescription: converted from {archive}\r\n".encode()
+            out.append(warc_record("warcinfo", record_id(archive, 0), warc_date("19960923"), "", "", "application/warc-fields", note))
+        rid, date = record_id(archive, offset), warc_date(date)
+        if head_bytes is None:
+            out.append(warc_record("resource", rid, date, url, ip, mime, block))
+            continue
+        extra = [("WARC-Payload-Digest", "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode())]
+        kind = "response"
+        if offset in target:
+            kind, block = "revisit", block[:head_bytes]
+            extra += [("WARC-Refers-To", record_id(*target[offset])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+        out.append(warc_record(kind, rid, date, url, ip, "application/http;msgtype=response", block, extra))
+    return b"".join(out)[:-1]
+
+
+WARC_SCHEMA = "path string, record_id string, refers_to_id string, record_type string, page_id long, payload_bytes long, payload_digest string, block_ok boolean"
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """One row per response or revisit record, from the archives alone."""
-    schema = "record_id string, refers_to_id string, record_type string, page_id long, payload_bytes long, payload_digest string, block_ok boolean"
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             for i in range(batch.num_rows):
-                rows = []
-                for f, block in parse_warc(_unzip(batch.column(1)[i].as_py())):
+                name, rows = batch.column(0)[i].as_py(), []
+                for f, block in parse_warc(inflate(batch.column(1)[i].as_py())):
                     if f["warc-type"] not in ("response", "revisit"):
                         continue
                     head, payload = split_http(block) or (b"", block)
@@ -323,11 +338,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     whole = f["warc-type"] == "response"
                     if whole and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {f['warc-record-id']} does not have its digest")
-                    rows.append((f["warc-record-id"], f.get("warc-refers-to"), f["warc-type"], int(page) if page else None, len(payload) if whole else int(declared or 0), digest, base32_sha1(block) == f["warc-block-digest"]))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    size = len(payload) if whole else int(declared or 0)
+                    rows.append((name, f["warc-record-id"], f.get("warc-refers-to"), f["warc-type"], int(page) if page else None, size, digest, base32_sha1(block) == f["warc-block-digest"]))
+                for k in range(0, len(rows), 5000):
+                    yield _rows(rows[k : k + 5000], WARC_SCHEMA)
 
-    return _files(spark, path).mapInArrow(run, schema)
+    return _files(spark, path).mapInArrow(run, WARC_SCHEMA)
 
 
 def report(spark: SparkSession, pages: DataFrame) -> DataFrame:
@@ -335,11 +351,13 @@ def report(spark: SparkSession, pages: DataFrame) -> DataFrame:
     folder = shared_folder(spark)
     write_arc(pages, f"{folder}/arc")
     convert(spark, f"{folder}/arc", f"{folder}/warc")
-    records = read_warc(spark, f"{folder}/warc")
-    targets = records.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
-    wanted = records.filter("record_type = 'revisit'").select("refers_to_id").distinct()
-    known = targets.join(wanted, "refers_to_id", "left_semi")
-    return records.join(known, "refers_to_id", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = checkpoint(read_warc(spark, f"{folder}/warc"))
+    own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
+    responses = records.filter("record_type = 'response'")
+    revisits = records.filter("record_type = 'revisit'").groupBy("path", "refers_to_id").agg(F.collect_list(F.struct(*own)).alias("members"))
+    targets = responses.select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"))
+    found = revisits.join(targets, "refers_to_id", "left").select(F.explode("members").alias("m"), "refers_to").select("m.*", "refers_to")
+    return responses.select(*own, F.lit(None).cast("long").alias("refers_to")).union(found)
 
 
 ORACLE_SQL = """

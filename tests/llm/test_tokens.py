@@ -256,11 +256,48 @@ def test_archives(spark, tmp_path):
     assert warc.report(spark, pages.limit(0)).count() == 0
 
 
+def test_foreign_archives(spark, tmp_path):
+    """A member per record, plain files and contents of any bytes; ids are the same when converted again."""
+    import gzip
+    import hashlib
+    import os
+
+    r = random.Random(10)
+    image = bytes(r.randrange(256) for _ in range(3000))
+    http = lambda payload: b"HTTP/1.0 200 OK\r\nServer: \xe9\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+    blocks = {"a": [image, "café".encode("latin-1") * 400, b"short"], "b": [image, b"x" * 2000], "c": [image]}
+    os.makedirs(tmp_path / "arc")
+    for name, payloads in blocks.items():
+        records = [(f"http://{name}/{k}", "1.2.3.4", "20010203040506", http(p)) for k, p in enumerate(payloads)] + [("dns:x", "1.2.3.4", "20010203040506", b"\xff\xfe")]
+        whole = warc.arc_file(1 + len(payloads) % 2, f"{name}.arc", records) + b"\n"
+        if name == "b":
+            (tmp_path / "arc/b.arc").write_bytes(whole)
+            continue
+        starts = [at for at, _, _ in warc.parse_arc(whole)] + [len(whole)]
+        (tmp_path / f"arc/{name}.arc.gz").write_bytes(b"".join(gzip.compress(whole[x:y]) for x, y in zip(starts, starts[1:])))
+    runs = []
+    for k in range(2):
+        warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / f"warc{k}"))
+        got = warc.read_warc(spark, str(tmp_path / f"warc{k}")).collect()
+        assert all(x.block_ok for x in got)
+        runs.append(sorted((x.record_id, x.record_type, x.refers_to_id, x.payload_bytes, x.payload_digest) for x in got))
+    assert runs[0] == runs[1]
+    assert sorted((t, n, d) for _, t, _, n, d in runs[0]) == sorted(
+        ("revisit" if p is image and name != "c" else "response", len(p), hashlib.sha1(p).hexdigest()) for name, ps in blocks.items() for p in ps
+    )
+    kept = next(i for i, t, _, _, d in runs[0] if t == "response" and d == hashlib.sha1(image).hexdigest())
+    assert {to for _, t, to, _, _ in runs[0] if t == "revisit"} == {kept}
+    assert warc.inflate(gzip.compress(b"a") + gzip.compress(b"b")) == b"ab" and warc.inflate(b"plain") == b"plain"
+    with pytest.raises(ValueError):
+        warc.inflate(gzip.compress(b"a" * 100)[:-9])
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     records = [("http://x/", "1.2.3.4", "20010203040506", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\n"), ("dns:x", "1.2.3.4", "20010203040506", b"10.0.0.1\n")]
-    data = (warc.arc_file(version, "f.arc", records) + "\n").encode()
-    parsed = list(warc.parse_arc(data))
+    data = warc.arc_file(version, "f.arc", records) + b"\n"
+    (_, description, _), *parsed = warc.parse_arc(data)
+    assert description["url"] == "filedesc://f.arc"
     assert [(f["url"], b) for _, f, b in parsed] == [(u, b) for u, _, _, b in records]
     assert all(data[o:].startswith(f["url"].encode()) for o, f, _ in parsed)
     assert warc.warc_date("20010203040506") == "2001-02-03T04:05:06Z"
