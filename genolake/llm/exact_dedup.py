@@ -1,11 +1,14 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every row is dealt to one of ``runs`` base runs by a hash of its id. A run is the sorted list of the
-distinct digests in it; each entry holds the best row so far (longest original text, then smallest id)
-and the number of rows it stands for. In each round ``fan_in`` neighbouring runs are exchanged and merged
-(binomial tree with fan-in 2**k): entries of equal keys meet, the best row is retained and the counts add up,
-until one run is left, which stays dealt by digest over all tasks. The decisions then go back down
-the same tree, so that a digest that holds a third of all rows is always spread over the runs.
+Every row is dealt to one of ``runs`` base runs (a power of two, as many as the cluster has shuffle partitions or more) by a hash of
+its id. A run is the list of the distinct digests in it, sorted; each entry holds the best row so far (longest original text,
+then smallest id) and the number of rows it stands for. The runs form a binomial tree: in round k run i takes over
+the entries of run i + 2**k, for every i divisible by 2**(k+1). A round is one exchange, in which both runs' entries go to the slices of the
+run that stays (``SLICES`` parts by the digest, so that late rounds are spread as well), are sorted there and merged in order: entries of equal
+keys meet, the best row is retained and the counts add up. After log2(runs) rounds run 0 holds one entry per digest.
+
+The decisions go back to the base runs in one join, as a digest has at most one entry per run, and from there to the rows, which
+join by run and digest: a digest that holds a third of all rows is spread over all runs.
 
 A key is the SHA-256 of the normalised text with its length and a second, independent hash of it, so an
 entry is merged only when all three agree.
@@ -21,9 +24,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from genolake.session import checkpoint
+from genolake.session import checkpoint, partitions
 
-KEY = ["text_sha256", "n_chars_norm", "second_hash"]
+KEY = ["sha", "n_chars_norm", "second_hash"]
+#: Parts of a run that are merged apart.
+SLICES = 64
 SPACES = r"[\x20\x09-\x0D]+"
 
 
@@ -33,40 +38,46 @@ def digest_runs(docs: DataFrame, runs: int) -> DataFrame:
     return norm.select(
         "doc_id",
         "len",
-        F.sha2("norm", 256).alias("text_sha256"),
+        F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.length("norm").alias("n_chars_norm"),
         F.xxhash64("norm").alias("second_hash"),
         F.pmod(F.xxhash64("doc_id", "len"), F.lit(runs)).cast("int").alias("run"),
     )
 
 
-def _merge(entries: DataFrame) -> DataFrame:
-    """One sorted run per ``run``: equal keys merge, the best row (smallest rank) and the total stay."""
-    return entries.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+def _merged(entries: DataFrame) -> DataFrame:
+    """Equal keys of a run's slice merge; the best row (smallest rank) and the total stay."""
+    return entries.groupBy("run", "slice", *KEY).agg(F.min("best").alias("best"), F.sum("rows").alias("rows"))
+
+
+def exchange(entries: DataFrame, k: int, n: int) -> DataFrame:
+    """Round k: run i + 2**k goes to run i, and what meets in a slice is merged in the order of its keys."""
+    step = F.shiftleft(F.lit(1), k)
+    to = F.when(F.col("run").bitwiseAND(step) > 0, F.col("run") - step).otherwise(F.col("run"))
+    dealt = entries.withColumn("run", to).repartition(n, "run", "slice")
+    return _merged(dealt.sortWithinPartitions("run", "slice", *KEY))
 
 
-def resolve(docs: DataFrame, runs: int = 64, fan_in: int = 8) -> DataFrame:
+def resolve(docs: DataFrame, runs: int | None = None) -> DataFrame:
     """doc_id, len, keep_id, group_size, kept, text_sha256 for each row of ``docs``."""
+    n = partitions(docs.sparkSession)
+    rounds = max(1, (max(64, n) if runs is None else runs) - 1).bit_length()
+    runs = 1 << rounds
     base = checkpoint(digest_runs(docs, runs))
     # The smallest struct wins: longest text, then ids before null, then the smallest id.
     best = F.struct((-F.col("len")).alias("neg_len"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    level = _merge(base.select("run", *KEY, best.alias("best"), F.lit(1).cast("long").alias("rows")))
-    levels, left = [level], runs
-    while left > 1:
-        left = -(-left // fan_in)
-        level = _merge(level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")))
-        levels.append(level)
-    decided = levels.pop().withColumnRenamed("run", "parent")
-    while levels:  # hand the root's decision down, one level at a time
-        below = levels.pop().select(F.col("run"), F.floor(F.col("run") / fan_in).cast("int").alias("parent"), *KEY)
-        decided = below.join(decided, ["parent", *KEY]).drop("parent").withColumnRenamed("run", "parent")
-    rows = base.withColumnRenamed("run", "parent").join(decided, ["parent", *KEY])
+    slices = F.pmod(F.col("second_hash"), F.lit(SLICES)).cast("int").alias("slice")
+    level = held = _merged(base.select("run", slices, *KEY, best.alias("best"), F.lit(1).cast("long").alias("rows")))
+    for k in range(rounds):
+        level = exchange(level, k, n)
+    decided = held.select("run", *KEY).join(level.select(*KEY, "best", "rows").hint("merge"), KEY)
+    rows = base.join(decided, ["run", *KEY])
     return rows.select(
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         F.col("rows").alias("group_size"),
         (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("len") == -F.col("best.neg_len"))).alias("kept"),
-        "text_sha256",
+        F.lower(F.hex("sha")).alias("text_sha256"),
         "len",
     )
 

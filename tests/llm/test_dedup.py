@@ -241,11 +241,27 @@ def test_exact_dedup(spark):
     assert got == [("1", "1", 3, True), ("1", "1", 3, True), ("2", "9", 3, False), ("4", "9", 3, False), ("5", "6", 2, False), ("6", "6", 2, True), ("8", "8", 1, True), ("9", "9", 3, True), ("None", "1", 3, False)]
     kept = sorted(r.doc_id for r in exact_dedup.keep_one(frame(spark, rows)).collect())
     assert kept == [1, 6, 8, 9]
-    for n, fan in ((1, 2), (5, 2), (64, 8)):
-        again = exact_dedup.resolve(frame(spark, rows), n, fan).drop("len").collect()
+    for n in (1, 5, 16):
+        again = exact_dedup.resolve(frame(spark, rows), n).drop("len").collect()
         assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in again) == got
 
 
+def test_binomial_rounds_pair_the_runs(spark):
+    entries = spark.range(8).selectExpr("cast(id as int) as run", "0 as slice", "unhex('aa') as sha", "1 as n_chars_norm", "2l as second_hash", "struct(cast(-id as int) as neg_len, false as no_id, id as doc_id) as best", "1l as rows")
+    for k, left in enumerate(([0, 2, 4, 6], [0, 4], [0])):
+        entries = exact_dedup.exchange(entries, k, 3)
+        got = {r.run: (r.best.doc_id, r.rows) for r in entries.collect()}
+        assert got == {i: (i + 2 ** (k + 1) - 1, 2 ** (k + 1)) for i in left}
+
+
+def test_exact_dedup_of_long_texts_and_a_hot_digest(spark):
+    long = "ab c" * 100_000
+    rows = [(i, "same text" if i % 3 == 0 else f"t {i}") for i in range(300)] + [(1000, long), (1001, " " + long)]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.report(frame(spark, rows)).collect()}
+    assert all(got[i] == ((0, 100, i == 0) if i % 3 == 0 else (i, 1, True)) for i in range(300))
+    assert got[1000] == (1001, 2, False) and got[1001] == (1001, 2, True)
+
+
 def components(rows, k=3, percent=85):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
@@ -283,6 +299,51 @@ def test_minhash_links_are_complete(spark, seed, block, monkeypatch):
     assert got == components(rows)
 
 
+def test_minhash_recall_near_the_bound(spark):
+    """Families of four texts in chains of pairs just above the bound, and partial copies at 80 %: every component is found."""
+    r = random.Random(21)
+    rows, low = [], 0
+    for i in range(1000):
+        w = [f"w{r.randrange(10**6)}" for _ in range(r.randrange(40, 120))]
+        for k in range(4):
+            rows.append((10 * i + k, " ".join(w)))
+            w = list(w)
+            for _ in range(max(1, len(w) // 45)):  # each changed word costs three shingles
+                w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+    sets = {i: {tuple(t.split(" ")[j : j + 3]) for j in range(len(t.split(" ")) - 2)} for i, t in rows}
+    similarity = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(1000):
+        for a in range(10 * i, 10 * i + 4):
+            for b in range(a + 1, 10 * i + 4):
+                if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                    low += similarity(a, b) < 0.88
+                    root[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x.doc_id: x.component_id for x in minhash_join.report(frame(spark, rows)).collect()}
+    assert low > 100 and got == {i: find(i) for i in sets}
+    chains = []
+    for i in range(150):  # the whole, its first 80 %, and its last 60 %, which meets the whole only through another
+        w = [f"y{r.randrange(10**6)}" for _ in range(100)]
+        chains += [(10**6 + 10 * i + k, " ".join(p)) for k, p in enumerate((w[41:], w, w[: 84], w[20:]))]
+    got = {x.doc_id: x.component for x in minhash_join.resolve(frame(spark, chains), percent=80, shingle=5).collect()}
+    assert got == {i: c for i, (_, c, _) in components(chains, 5, 80).items()}
+
+
+def test_minhash_of_very_long_texts(spark, monkeypatch):
+    r = random.Random(22)
+    w = [f"w{r.randrange(10**5)}" for _ in range(60_000)]
+    rows = [(i, " ".join([f"v{i}"] * (i + 1) + w)) for i in range(4)] + [(9, " ".join(w[:20_000]))]
+    monkeypatch.setattr(minhash_join, "BLOCK_SHINGLES", 70_000)
+    got = {x.doc_id: x.component_id for x in minhash_join.report(frame(spark, rows)).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+
+
 def test_minhash_repeated_rows(spark):
     t = "one two three four five six seven"
     rows = [(3, t), (3, t), (3, "other words here and there now"), (None, t.upper()), (9, None), (8, "")]
