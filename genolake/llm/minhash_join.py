@@ -14,11 +14,12 @@ similarity. The join:
    what is linked with a member has at least so many with its leader.
 4. Groups are closed to candidate components, and the full sets of a component meet. Inside, shingles
    are indexed and intersections counted; what reaches the similarity is linked. A component of more than ``BLOCK``
-   classes is dealt out as pairs of blocks.
+   classes, or ``BLOCK_SHINGLES`` shingles, is dealt out as pairs of blocks of at most about that size.
 
 Links are thus confirmed on full sets, and all of a component's classes are compared: signatures only decide
 what meets. A pair at the similarity bound fails to agree in ``matches`` of ``COORDINATES`` with a chance of about
-2 in a million.
+2 in a million; that a linked text has ``NEAR`` collisions with a member's leader is likely, not certain. A test
+measures both together on thousands of pairs near the bound.
 
 Defined results: null text or no word gives an empty set, 0 shingles and a component of its own. Repeated rows, and
 rows that share an id, are judged by their sets; a null id is ordered after all others. A component is named by its
@@ -41,11 +42,11 @@ from genolake.session import checkpoint, partitions
 COORDINATES = 64
 NEAR = 8
 BLOCK = 1000
+BLOCK_SHINGLES = 2_000_000
 PERCENT = 85
 SHINGLE = 3
 
 
-
 def matches_for(percent: int) -> int:
     """Coordinates in which a pair at this similarity agrees, but for a chance of some millionths."""
     p = (percent / 100) ** 2
@@ -250,10 +251,15 @@ def links_inside(sets: list, left: list[bool] | None = None, percent: int = PERC
 
 
 def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """(a, b) digests of classes whose sets are similar. members: (_d, mark, digest, root) of candidate components."""
+    """(a, b) digests of classes whose sets are similar. members: (_d, mark, n, digest, root) of candidate components."""
     n = partitions(docs.sparkSession)
-    sizes = members.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1")
-    wanted = members.join(sizes, "root").select("_d", "mark", F.col("digest").alias("want"), "root", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
+    # Sizes are summed and handed back per slice of a component, so a large one does not meet in one task.
+    sliced = members.withColumn("slice", F.pmod(F.xxhash64("digest"), F.lit(64)).cast("int"))
+    held = sliced.groupBy("root", "slice").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    blocks = F.greatest(F.ceil(F.sum("size") / block), F.ceil(F.sum("shingles") / BLOCK_SHINGLES)).cast("int")
+    sizes = held.groupBy("root").agg(blocks.alias("blocks"), F.sum("size").alias("size")).filter("size > 1").drop("size")
+    told = held.select("root", "slice").join(sizes, "root")
+    wanted = sliced.join(told.hint("merge"), ["root", "slice"]).select("_d", "mark", F.col("digest").alias("want"), "root", "blocks")
     found = _placed(docs, "text").join(wanted.hint("merge"), ["_d", "mark"]).select("text", "want", "root", "blocks")
 
     def build(batches: Iterator) -> Iterator:
@@ -310,10 +316,10 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle
 def resolve(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, _d, mark, n, digest, component (as a ``_d``) and whether the component is kept by the row's class and id, per row."""
     rows = checkpoint(sketches(docs, shingle))
-    first = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at"), F.first("signature").alias("signature"))
-    classes = checkpoint(first.select("digest", "at._d", "at.mark", "signature", F.xxhash64("digest").alias("nid")))
+    first = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at"), F.first("signature").alias("signature"), F.first("n").alias("n"))
+    classes = checkpoint(first.select("digest", "at._d", "at.mark", "n", "signature", F.xxhash64("digest").alias("nid")))
     near = connected_components(candidate_edges(classes, matches_for(percent)))
-    members = classes.select("_d", "mark", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "mark", "digest", "root")
+    members = classes.select("_d", "mark", "n", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "mark", "n", "digest", "root")
     linked = connected_components(confirm(docs, members, percent, shingle, block))
     grouped = classes.select("digest", "_d").join(linked.withColumnRenamed("node", "digest"), "digest")
     smallest = grouped.groupBy("root").agg(F.min(F.struct("_d", "digest")).alias("lead"))
