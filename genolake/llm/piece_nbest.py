@@ -41,6 +41,8 @@ UNITS = 1_000_000
 #: Words whose segmentations a worker remembers (a bound of memory, not of work).
 REMEMBERED_WORDS = 1_200_000
 WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
+#: The same, and closing marks apart from the letters before them, for models without a piece of both.
+WORDS_AND_MARKS = re.compile(f"\n+|{MARK}*[^\\W\\d_]+(?=[{MARK}\n.,;:!?]|$)|{MARK}*[^{MARK}\n]+|{MARK}+")
 
 _models: dict[str, "PieceModel"] = {}
 
@@ -69,6 +71,7 @@ class PieceModel:
         self.unknown_id = self.sp.unk_id()
         self.pairs = {p[i : i + 2] for p in self.vocab for i in range(len(p) - 1)}
         self.chained = not any("\n" in p or MARK in p.lstrip(MARK) for p in self.vocab)
+        self.words = WORDS if any(x.isalpha() and y in ".,;:!?" for x, y in self.pairs) else WORDS_AND_MARKS
         self.remembered = remembered
         self.known: dict[str, tuple] = {}
 
@@ -134,10 +137,8 @@ class PieceModel:
     def parts(self, word: str) -> list[str]:
         """The word cut where no piece crosses, which is between characters that follow one another in no piece."""
         pairs = self.pairs
-        core = word.rstrip(".,;:!?")
-        if core[1:].isascii() and core[1:].isalpha():  # most words: plain letters, which are not cut, and perhaps closing marks
-            k = len(core)
-            return [word] if k == len(word) or word[k - 1 : k + 1] in pairs else [core, word[k:]]
+        if word[1:].isascii() and word[1:].isalpha():  # seldom cut, and need not be
+            return [word]
         cuts = [0, *[i for i in range(1, len(word)) if word[i - 1 : i + 1] not in pairs], len(word)]
         return [word[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
@@ -178,7 +179,7 @@ class PieceModel:
         import numpy as np
 
         normal = self.sp.normalize(text) if text else ""
-        words = WORDS.findall(normal) if self.chained else [normal] if normal else []
+        words = self.words.findall(normal) if self.chained else [normal] if normal else []
         entries = self.lookup(words)
         if not entries:
             return [(0, b"")], ""

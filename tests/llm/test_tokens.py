@@ -174,9 +174,13 @@ def test_piece_search_equals_enumeration():
         cost, ids, dear, back = m.learn(w)
         assert (cost, ids, back) == (*whole[0], w) and dear == (whole[1][0] - cost if len(whole) > 1 else float("inf"))
     for text in ("the cat", "a b c", "tion, er x", "aa aa aa", "x"):
-        parts = [segmentations(m, costs, w)[:3] for w in piece_nbest.WORDS.findall(m.sp.normalize(text))]
+        parts = [segmentations(m, costs, w)[:3] for w in m.words.findall(m.sp.normalize(text))]
         every = sorted((sum(c for c, _ in x), b"".join(i for _, i in x)) for x in itertools.product(*parts))
         assert [c for c, _ in m.nbest(text, 3)] == [c for c, _ in every[:3]] and set(m.nbest(text, 3)) <= set(every)
+    text = "▁it's.▁a.b,,▁x.▁▁.c\n\n▁é,é▁1.5▁日本."
+    assert "".join(m.words.findall(text)) == text
+    for n in (1, 3):  # the chain of links and the whole lattice have the same best segmentations
+        assert m.search(text.split("\n")[0], n)[0] == m.nbest("it's. a.b,, x.  .c", n)
     tie = m.nbest("aa aa", 3)
     first = [m.search(w, 2)[0] for w in ("▁aa", "▁aa")]
     assert tie[1][1] == first[0][1][1] + first[1][0][1] and tie[2][1] == first[0][0][1] + first[1][1][1]
