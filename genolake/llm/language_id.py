@@ -3,7 +3,8 @@
 Training sums hashed character trigrams per language over all labelled training rows; the model is a table
 of ``BUCKETS`` numbers per language, whatever the input. A document is a mixture: expectation-maximisation
 finds the proportions of languages that explain its trigrams, then nested sets of languages (the heaviest
-first) are fitted again and the set with the best penalised likelihood is selected. The prediction is the
+first, as long as the next one explains a trigram's worth of the text) are fitted again and the set with the best penalised
+likelihood is selected. The prediction is the
 heaviest language of that set, the score its proportion. Documents of a batch are fitted together.
 
 Defined results: null text or text without a letter gives ``und`` with score 0, as does a model without any
@@ -27,7 +28,8 @@ SMOOTHING = 0.5
 FIRST_STEPS, SET_STEPS = 8, 6
 #: Log-likelihood that each further language must add, per log of the number of trigrams.
 PENALTY = 6.0
-LEAST_SHARE = 0.02
+#: The model is a table of ``BUCKETS`` numbers per language, which the driver and every worker hold: 128 MB at this many.
+MOST_LANGUAGES = 1000
 
 _letters = None
 
@@ -87,9 +89,12 @@ def train(docs: DataFrame, lang_col: str = "lang"):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.binary()), strict=True)], names=["lang", "block", "counts"])
 
     schema = "lang string, block int, counts binary"
-    rows = docs.select("text", F.col(lang_col).alias("lang")).filter("text is not null and lang is not null").mapInArrow(count, schema)
+    labelled = docs.select("text", F.col(lang_col).alias("lang")).filter("text is not null and lang is not null")
+    rows = labelled.mapInArrow(count, schema)
     summed = rows.repartition(partitions(spark), "lang", "block").mapInArrow(add, schema).collect()  # BUCKETS numbers per language
     langs = sorted({r["lang"] for r in summed})
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; the model holds at most {MOST_LANGUAGES}")
     counts = np.zeros((len(langs), BUCKETS))
     for r in summed:
         counts[langs.index(r["lang"]), r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], dtype=np.int64)
@@ -136,7 +141,7 @@ def infer(counts: list, log_probs, penalty: float = PENALTY):
     score = single.max(axis=1)
     for size in range(2, n_langs + 1):
         share = np.take_along_axis(weights, order, axis=1)[:, size - 1]
-        rows = np.flatnonzero(share >= LEAST_SHARE)
+        rows = np.flatnonzero(share * totals >= 1)
         if not len(rows):
             break
         start = np.zeros((len(rows), n_langs), dtype=np.float32)
@@ -173,7 +178,7 @@ def predict(docs: DataFrame, model, keep: tuple[str, ...] = ("doc_id",), docs_at
                     for (i, _), w in zip(counted, weights, strict=True):
                         top = int(np.argmax(w))
                         pred[i], score[i] = langs[top], min(1.0, max(0.0, float(w[top])))
-                        found[i] = [langs[j] for j in np.argsort(-w, kind="stable") if w[j] >= LEAST_SHARE]
+                        found[i] = [langs[j] for j in np.argsort(-w, kind="stable") if w[j] > 0]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(j) for j in range(len(keep))), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(found, pa.list_(pa.string()))],
                     names=[*keep, "lang_pred", "score", "languages"],

@@ -121,14 +121,63 @@ def test_token_counts_allocate_every_token(spark):
             declared[r.doc_id] = r.doc_tokens
         assert declared.keys() == set(range(1, len(ODD) + 1))
         assert all(abs(total[k] - declared[k]) < 1e-9 for k in total)
-    counts, crossing = token_counts.attribute([3, 4, 3], [0, 5, 10], "start")
+    starts, ends = [0, 3, 7], [3, 7, 10]
+    counts, crossing = token_counts.attribute(starts, ends, [0, 5, 10], "start")
     assert counts.tolist() == [2, 1] and crossing.tolist() == [1, 0]
-    assert token_counts.attribute([3, 4, 3], [0, 4, 10], "majority")[0].tolist() == [1, 2]
-    assert token_counts.attribute([3, 4, 3], [0, 4, 10], "proportional")[0].tolist() == [1.25, 1.75]
+    assert token_counts.attribute(starts, ends, [0, 4, 10], "majority")[0].tolist() == [1, 2]
+    assert token_counts.attribute(starts, ends, [0, 4, 10], "proportional")[0].tolist() == [1.25, 1.75]
     with pytest.raises(ValueError):
         token_counts.count_tokens(frame(spark, []), "other")
 
 
+def attributed(text, bounds, rule):
+    """Token by token and character by character: (tokens, crossing tokens) of each section."""
+    encoding, _ = tokens.rank_encoder(tokens.tokenizer_path("byte_bpe_50k.tiktoken"))
+    char_of = [i for i, c in enumerate(text) for _ in c.encode()]
+    section_of = [k for k in range(len(bounds) - 1) for _ in range(bounds[k], bounds[k + 1])]
+    counts, crossing, at = [0.0] * (len(bounds) - 1), [0] * (len(bounds) - 1), 0
+    for token in encoding.encode_ordinary(text):
+        size = len(encoding.decode_single_token_bytes(token))
+        held = [section_of[c] for c in sorted(set(char_of[at : at + size]))]
+        at += size
+        crossing[held[0]] += held[0] != held[-1]
+        if rule == "start":
+            counts[held[0]] += 1
+        elif rule == "majority":
+            counts[max(sorted(set(held)), key=held.count)] += 1
+        else:
+            for k in held:
+                counts[k] += 1 / len(held)
+    return counts, crossing
+
+
+def test_token_counts_equal_brute_force(spark):
+    texts = ODD + ["\n\n\n", "a\n\n\n  b\n   c\n", "𝔘𝔘\n日本\n\n", "end\n", "word " * 20_000 + "\n" + "é\n" * 3000]
+    titles = [f"title {i}\n\n  more" if i % 3 else None for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, u, "x") for i, (t, u) in enumerate(zip(texts, titles))] * 2, SCHEMA + ", title string, section string")
+    for fields in (("text",), ("title", "text"), ("text", "title")):
+        for rule in token_counts.RULES:
+            rows = token_counts.count_tokens(docs, rule, fields=fields).collect()
+            assert len(rows) % 2 == 0
+            by_doc = {}
+            for x in rows:
+                by_doc.setdefault(x.doc_id, {}).setdefault(x.section, []).append(x)
+            assert by_doc.keys() == set(range(len(texts)))
+            for i, sections in by_doc.items():
+                whole = "\n".join((texts[i] if f == "text" else titles[i]) or "" for f in fields)
+                one = [sections[k][0] for k in range(len(sections))]
+                assert all(len(s) == 2 and s[0] == s[1] for s in sections.values())  # the repeated rows
+                bounds = [0, *(x.end_char for x in one)]
+                assert bounds[-1] == len(whole) and [x.start_char for x in one] == bounds[:-1]
+                assert all(whole[b - 1] == "\n" for b in bounds[1:-1]) and [x.field for x in one] == sorted((x.field for x in one), key=fields.index)
+                counts, crossing = attributed(whole, bounds, rule)
+                assert max(abs(x.n_tokens - c) for x, c in zip(one, counts)) < 1e-6 and [x.n_crossing for x in one] == crossing
+    assert token_counts.count_tokens(docs.limit(0)).count() == 0
+    assert [x.doc_id for x in token_counts.count_tokens(docs.select(F.lit(None).cast("long").alias("doc_id"), "text").limit(1)).collect()] == [None]
+    assert token_counts.field_sections(["a\nb", "", "c\n"]) == ("a\nb\n\nc\n", [0, 2, 4, 5, 7], [0, 0, 1, 2])
+    assert token_counts.field_sections([""]) == ("", [0, 0], [0])
+
+
 def zipf(m):
     """Independent costs: pieces in the order of the merges get the log of Zipf's law, in millionths."""
     import math
@@ -324,5 +373,66 @@ def test_language_set_may_hold_every_language():
     probs = seen + language_id.SMOOTHING
     log_probs = np.log(probs / probs.sum(axis=1, keepdims=True)).astype(np.float32)
     texts = [seen[list(parts)].sum(axis=0).astype(np.int64) for parts in ([2], [0, 3], [0, 1, 2, 3], [0, 1, 2, 3, 4])]
-    sets = [set(np.flatnonzero(w >= language_id.LEAST_SHARE).tolist()) for w in language_id.infer(texts, log_probs)]
+    sets = [set(np.flatnonzero(w).tolist()) for w in language_id.infer(texts, log_probs)]
     assert sets == [{2}, {0, 3}, {0, 1, 2, 3}, {0, 1, 2, 3, 4}]
+
+
+def test_mixtures_equal_those_of_one_document_at_a_time():
+    """Expectation-maximisation and the choice of the set, trigram by trigram."""
+    import math
+
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    langs, buckets = 4, 300
+    log_probs = np.log(r.dirichlet(np.full(buckets, 0.2), langs) + 1e-6)
+    log_probs = np.pad(log_probs, ((0, 0), (0, language_id.BUCKETS - buckets)), constant_values=-20).astype(np.float32)
+    counts = []
+    for _ in range(40):
+        mix = r.dirichlet(np.full(langs, 0.3))
+        grams = r.choice(buckets, size=r.integers(1, 400), p=(p := (mix @ np.exp(log_probs[:, :buckets]))) / p.sum())
+        counts.append(np.bincount(grams, minlength=language_id.BUCKETS))
+
+    def fit(c, start, steps):
+        w = dict(start)
+        for _ in range(steps):
+            new = dict.fromkeys(w, 0.0)
+            for g, k in c.items():
+                part = {j: w[j] * math.exp(log_probs[j, g]) for j in w}
+                for j in w:
+                    new[j] += k * part[j] / sum(part.values())
+            w = {j: x / sum(c.values()) for j, x in new.items()}
+        return w, sum(k * math.log(sum(w[j] * math.exp(log_probs[j, g]) for j in w)) for g, k in c.items())
+
+    got = language_id.infer(counts, log_probs)
+    sizes = set()
+    for c, weights in zip(counts, got):
+        c = {int(g): int(c[g]) for g in np.flatnonzero(c)}
+        n = sum(c.values())
+        first, _ = fit(c, dict.fromkeys(range(langs), 1 / langs), language_id.FIRST_STEPS)
+        order = sorted(first, key=lambda j: -first[j])
+        single = {j: sum(k * float(log_probs[j, g]) for g, k in c.items()) for j in range(langs)}
+        best = max(single, key=single.get)
+        chosen, score = {best: 1.0}, single[best]
+        for size in range(2, langs + 1):
+            if first[order[size - 1]] * n < 1:
+                break
+            w, ll = fit(c, dict.fromkeys(order[:size], 1 / size), language_id.SET_STEPS)
+            ll -= language_id.PENALTY * (size - 1) * math.log(max(n, 2))
+            if ll > score:
+                chosen, score = w, ll
+        sizes.add(len(chosen))
+        assert max(abs(chosen.get(j, 0.0) - float(weights[j])) for j in range(langs)) < 1e-3
+    assert len(sizes) > 1
+
+
+def test_languages_of_repeated_rows_null_ids_long_texts_and_clashing_columns(spark):
+    r = random.Random(6)
+    letters = {"aa": "abcdefg", "bb": "lmnopqr"}
+    text = lambda k, n: " ".join("".join(r.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    rows = [(i, text(k := ["aa", "bb"][i % 2], 40), k, "x", "y") for i in range(40)]
+    rows += [(50, text("bb", 50_000), None, "x", "y")] * 2 + [(None, text("aa", 30), None, "x", "y"), (None, "", None, "x", "y")]
+    got = language_id.report(spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, held_out string")).collect()
+    assert len(got) == len(rows)
+    assert sorted((x.lang_pred, x.held_out) for x in got if x.doc_id is None) == [("aa", False), ("und", False)]
+    assert [x.lang_pred for x in got if x.doc_id == 50] == ["bb", "bb"]
