@@ -1,21 +1,25 @@
 """Assign reads to samples by DNA tags.
 
-A tag table is a sample sheet: its size is checked before it is sent to the tasks. Exact tags at the start
-of a read are found by an equi join on the read's prefix, one prefix per tag length, so the join's work does not
-depend on the number of tags; other modes compare each read with every tag of the sheet.
+A tag table is a sample sheet: its size is checked, and it is sent to the tasks, which compare a batch of reads with each
+tag in turn, so a read stays where it is and nothing is joined or shuffled. Exact tags at the start of a read,
+where the sheet is long (``MANY_TAGS``), are found by an equi join on the read's prefix instead, one prefix per tag length.
 
-Of several tags that match, the one with the smallest ``tag_rank`` is taken; with substitutions allowed, fewer
-mismatches go first.
+With ``most`` substitutions allowed over tag and motif together, a tag matches at the leftmost place that has no more. Of
+several tags that match, that with the fewest substitutions is taken, then the one with the smallest ``tag_rank``. Case is ignored.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genolake.functions.dna import find_fuzzy, mismatches_at
+from genolake.functions.dna import mismatches_at
 
 MOST_TAGS = 100_000
+MANY_TAGS = 2_000
 
 
 def sheet(tags: DataFrame, most: int = MOST_TAGS) -> DataFrame:
@@ -33,71 +37,165 @@ def _best(pairs: DataFrame, *order: Column) -> DataFrame:
 def prefix_matches(reads: DataFrame, tags: DataFrame, seq: str = "seq") -> DataFrame:
     """Reads joined with the tags that they start with."""
     lengths = sorted(r[0] for r in tags.select(F.length("tag")).distinct().collect())
-    keyed = reads.withColumn("tag", F.explode(F.array(*[F.substring(seq, 1, n) for n in lengths])))
-    return keyed.join(sheet(tags), "tag")
+    keyed = reads.withColumn("tag", F.explode(F.array(*[F.upper(F.substring(seq, 1, n)) for n in lengths])))
+    return keyed.join(sheet(tags.withColumn("tag", F.upper("tag"))), "tag")
+
+
+def pattern_classes(pattern: str) -> list[str]:
+    """The bases that each place of a pattern allows.
+
+    >>> pattern_classes("ac[AT]g")
+    ['A', 'C', 'AT', 'G']
+    """
+    return [x.strip("[]") for x in re.findall(r"\[[^]]*\]|.", pattern.upper())]
+
 
+def leftmost(seqs: list, patterns: list[list[str]], most: int, window: int | None, anchored: bool) -> Iterator:
+    """For each pattern, the 0-based place (-1: none) and the number of substitutions of its leftmost match in every sequence."""
+    import numpy as np
 
-def both_start(reads: DataFrame, tags: DataFrame) -> DataFrame:
+    raw = [(s or "").upper().encode("ascii", "replace")[:window] for s in seqs]
+    length = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+    longest = max((len(p) for p in patterns), default=0)
+    width = min(int(length.max(initial=0)), longest) if anchored else int(length.max(initial=0))
+    bases = np.frombuffer(b"".join(r[:width].ljust(width, b"\0") for r in raw), dtype=np.uint8).reshape(len(raw), width)
+    off = {c: np.ascontiguousarray((~np.isin(bases, np.frombuffer(c.encode(), np.uint8))).T).view(np.uint8) for c in {c for p in patterns for c in p}}
+    for p in patterns:
+        place, count = np.full(len(raw), -1, dtype=np.int64), np.zeros(len(raw), dtype=np.int64)
+        for start in range(1 if anchored else max(0, width - len(p) + 1)):
+            if start + len(p) > width:
+                break
+            found = np.zeros(len(raw), dtype=np.uint8)
+            for k, c in enumerate(p):
+                found += off[c][start + k]
+            hit = (found <= most) & (place < 0) & (start + len(p) <= length)
+            place[hit], count[hit] = start, found[hit]
+        yield place, count
+
+
+PLACED = "tag int, at1 int, at2 int, off1 int, off2 int"
+
+
+def placed(reads: DataFrame, tags: DataFrame, mates: str, motif: str = "", most: int = 0, window: int | None = None, anchored: bool = False) -> DataFrame:
+    """``reads`` that a tag matches, with the tag, its sample, and its 1-based place (0: none) and substitutions in each mate.
+
+    ``mates``: ``first``, ``second``, ``both`` (the same tag in both) or ``either``.
+    """
+    from pyspark.sql.functions import pandas_udf
+
+    known = [(r["tag"], r["sample"]) for r in sheet(tags).orderBy("tag_rank").collect()]
+    patterns = [pattern_classes(t + motif) for t, _ in known]
+
+    @pandas_udf(PLACED)
+    def best(*columns):
+        import numpy as np
+        import pandas as pd
+
+        n = len(columns[0])
+        chosen, at, off = np.full(n, -1), np.full((2, n), -1), np.zeros((2, n), dtype=np.int64)
+        least = np.full(n, np.iinfo(np.int64).max)
+        runs = [leftmost(c.tolist(), patterns, most, window, anchored) for c in columns]
+        for k, found in enumerate(zip(*runs, strict=True)):
+            hits = [place >= 0 for place, _ in found]
+            cost = sum(np.where(h, count, 0) for h, (_, count) in zip(hits, found, strict=True))
+            ok = np.logical_or.reduce(hits) if mates == "either" else np.logical_and.reduce(hits)
+            if mates == "either":  # a mate that matches with fewer counts
+                cost = np.min([np.where(h, count, most + 1) for h, (_, count) in zip(hits, found, strict=True)], axis=0)
+            better = ok & (cost < least)
+            chosen[better], least[better] = k, cost[better]
+            for m, (place, count) in enumerate(found):
+                at[m, better], off[m, better] = place[better], count[better]
+        return pd.DataFrame({"tag": chosen, "at1": at[0] + 1, "at2": at[1] + 1, "off1": off[0], "off2": off[1]})
+
+    columns = {"first": ["seq"], "second": ["seq2"]}.get(mates, ["seq", "seq2"])
+    names = F.array(*[F.struct(F.lit(t).alias("tag"), F.lit(s).alias("sample")) for t, s in known]) if known else F.array().cast("array<struct<tag:string,sample:string>>")
+    hit = reads.withColumn("_p", best(*columns)).filter("_p.tag >= 0").withColumn("_t", F.get(names, F.col("_p.tag")))
+    return hit.select(*reads.columns, "_t.tag", "_t.sample", "_p.at1", "_p.at2", "_p.off1", "_p.off2")
+
+
+def _many(tags: DataFrame) -> bool:
+    return tags.limit(MANY_TAGS + 1).count() > MANY_TAGS
+
+
+def _rest(seq: str, skip: Column | int) -> Column:
+    return F.substr(F.col(seq), (skip if isinstance(skip, Column) else F.lit(skip)) + 1, F.length(seq))
+
+
+def both_start(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Method 1: both mates start with the tag; both are clipped."""
     n = F.length("tag")
-    hit = prefix_matches(reads, tags).filter(F.startswith(F.col("seq2"), F.col("tag")))
-    return _best(hit).select("read_id", "sample", F.substring("seq", n + 1, F.length("seq")).alias("clip1"), F.substring("seq2", n + 1, F.length("seq2")).alias("clip2"))
+    if not most and _many(tags):
+        hit = _best(prefix_matches(reads, tags).filter(F.startswith(F.upper("seq2"), F.col("tag"))))
+    else:
+        hit = placed(reads, tags, "both", most=most, anchored=True)
+    return hit.select("read_id", "sample", _rest("seq", n).alias("clip1"), _rest("seq2", n).alias("clip2"))
 
 
-def either_start(reads: DataFrame, tags: DataFrame) -> DataFrame:
+def either_start(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Methods 2 and 3: either mate starts with the tag; only mates that do are clipped. ``n_mates`` counts them."""
-    n = F.length("tag")
-    hit = reads.join(sheet(tags), F.startswith(F.col("seq"), F.col("tag")) | F.startswith(F.col("seq2"), F.col("tag")))
-    in1, in2 = F.startswith(F.col("seq"), F.col("tag")), F.startswith(F.col("seq2"), F.col("tag"))
-    clip = lambda c, hit: F.when(hit, F.substring(c, n + 1, F.length(c))).otherwise(F.col(c))
-    return _best(hit).select("read_id", "sample", clip("seq", in1).alias("clip1"), clip("seq2", in2).alias("clip2"), (in1.cast("int") + in2.cast("int")).alias("n_mates"))
+    hit = placed(reads, tags, "either", most=most, anchored=True)
+    clip = lambda c, at: F.when(F.col(at) > 0, _rest(c, F.length("tag"))).otherwise(F.col(c))
+    both = (F.col("at1") > 0).cast("int") + (F.col("at2") > 0).cast("int")
+    return hit.select("read_id", "sample", clip("seq", "at1").alias("clip1"), clip("seq2", "at2").alias("clip2"), both.alias("n_mates"))
 
 
-def first_starts(reads: DataFrame, tags: DataFrame) -> DataFrame:
+def first_starts(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Method 4a: the first mate starts with the tag."""
-    return _best(prefix_matches(reads, tags)).select("read_id", "sample", F.substring("seq", F.length("tag") + 1, F.length("seq")).alias("clip1"))
+    hit = _best(prefix_matches(reads, tags)) if not most and _many(tags) else placed(reads, tags, "first", most=most, anchored=True)
+    return hit.select("read_id", "sample", _rest("seq", F.length("tag")).alias("clip1"))
 
 
 def within(reads: DataFrame, tags: DataFrame, window: int | None = None, most: int = 0) -> DataFrame:
     """Method 4b: the tag lies within the first ``window`` bases; the read is clipped to the end of the match."""
-    hit = reads.join(sheet(tags), find_fuzzy(F.col("seq"), F.col("tag"), most, window).isNotNull()) if most else reads.crossJoin(sheet(tags))
-    room = F.substring("seq", 1, window) if window else F.col("seq")
-    at = find_fuzzy(F.col("seq"), F.col("tag"), most, window) if most else F.instr(room, F.col("tag"))
-    hit = hit.withColumn("at", at).filter("at > 0")
-    return _best(hit).select("read_id", "sample", F.col("at").cast("int").alias("at"), F.substring("seq", F.col("at") + F.length("tag"), F.length("seq")).alias("clip1"))
+    hit = placed(reads, tags, "first", most=most, window=window)
+    return hit.select("read_id", "sample", F.col("at1").alias("at"), _rest("seq", F.col("at1") - 1 + F.length("tag")).alias("clip1"))
 
 
-def with_motif(reads: DataFrame, tags: DataFrame, motif: str, window: int | None = None, seq: str = "seq") -> DataFrame:
+def with_motif(reads: DataFrame, tags: DataFrame, motif: str, window: int | None = None, most: int = 0) -> DataFrame:
     """Method 4c: the tag is followed by what the enzyme leaves (a pattern); the motif stays on the read."""
-    room = F.substring(seq, 1, window) if window else F.col(seq)
-    at = F.regexp_instr(room, F.concat(F.lit("(?i)"), F.col("tag"), F.lit(motif)))
-    hit = reads.crossJoin(sheet(tags)).withColumn("at", at).filter("at > 0")
-    return _best(hit).select("read_id", "sample", "at", F.substring(seq, F.col("at") + F.length("tag"), F.length(seq)).alias("clip1"))
+    hit = placed(reads, tags, "first", motif, most, window)
+    return hit.select("read_id", "sample", F.col("at1").alias("at"), _rest("seq", F.col("at1") - 1 + F.length("tag")).alias("clip1"))
 
 
-def either_with_motif(reads: DataFrame, tags: DataFrame, motif: str, window: int | None = None) -> DataFrame:
+def either_with_motif(reads: DataFrame, tags: DataFrame, motif: str, window: int | None = None, most: int = 0) -> DataFrame:
     """Method 4d: tag and motif in either mate; mates with tags of different samples make a chimera.
 
-    A mate without a match is clipped at the place of the other one's.
+    Each mate's tag is the best one for that mate. A mate without a match is clipped at the place of the other one's.
     """
-    one = with_motif(reads.select("read_id", "seq"), tags, motif, window).selectExpr("read_id", "sample AS s1", "length(clip1) AS left1")
-    two = with_motif(reads.select("read_id", F.col("seq2").alias("seq")), tags, motif, window).selectExpr("read_id", "sample AS s2", "length(clip1) AS left2")
-    both = reads.join(one, "read_id", "left").join(two, "read_id", "left").filter("s1 IS NOT NULL OR s2 IS NOT NULL")
-    clip1, clip2 = F.length("seq") - F.col("left1"), F.length("seq2") - F.col("left2")
-    chimera = F.col("s1") != F.col("s2")
+    from pyspark.sql.functions import pandas_udf
+
+    known = [(r["tag"], r["sample"]) for r in sheet(tags).orderBy("tag_rank").collect()]
+    patterns = [pattern_classes(t + motif) for t, _ in known]
+    lengths = [len(t) for t, _ in known]
+
+    @pandas_udf("tag int, skip int")
+    def best(seqs):
+        import numpy as np
+        import pandas as pd
+
+        chosen, skip, least = np.full(len(seqs), -1), np.zeros(len(seqs), dtype=np.int64), np.full(len(seqs), most + 1)
+        for k, (place, count) in enumerate(leftmost(seqs.tolist(), patterns, most, window, False)):
+            better = (place >= 0) & (count < least)
+            chosen[better], least[better], skip[better] = k, count[better], place[better] + lengths[k]
+        return pd.DataFrame({"tag": chosen, "skip": skip})
+
+    names = F.array(*[F.lit(s) for _, s in known]) if known else F.array().cast("array<string>")
+    both = reads.withColumn("_1", best("seq")).withColumn("_2", best("seq2")).filter("_1.tag >= 0 OR _2.tag >= 0")
+    s1, s2 = (F.when(F.col(f"{m}.tag") >= 0, F.get(names, F.col(f"{m}.tag"))) for m in ("_1", "_2"))
+    skip1, skip2 = (F.when(F.col(f"{m}.tag") >= 0, F.col(f"{m}.skip")) for m in ("_1", "_2"))
+    chimera = F.coalesce(s1 != s2, F.lit(False))
     return both.select(
         "read_id",
-        F.when(chimera, "chimera").otherwise(F.coalesce("s1", "s2")).alias("sample"),
-        F.when(chimera, F.col("seq")).otherwise(F.substr("seq", F.coalesce(clip1, clip2) + 1)).alias("clip1"),
-        F.when(chimera, F.col("seq2")).otherwise(F.substr("seq2", F.coalesce(clip2, clip1) + 1)).alias("clip2"),
+        F.when(chimera, "chimera").otherwise(F.coalesce(s1, s2)).alias("sample"),
+        F.when(chimera, F.col("seq")).otherwise(_rest("seq", F.coalesce(skip1, skip2))).alias("clip1"),
+        F.when(chimera, F.col("seq2")).otherwise(_rest("seq2", F.coalesce(skip2, skip1))).alias("clip2"),
     )
 
 
 def fuzzy_start(reads: DataFrame, tags: DataFrame, most: int = 1) -> DataFrame:
     """Tags at the start with at most ``most`` substitutions, fewest first."""
-    off = mismatches_at(F.col("seq"), F.lit(1), F.col("tag"))
-    hit = reads.crossJoin(sheet(tags)).withColumn("mismatches", off).filter(F.col("mismatches") <= most)
-    return _best(hit, F.col("mismatches")).select("read_id", "sample", "mismatches", F.substring("seq", F.length("tag") + 1, F.length("seq")).alias("clip1"))
+    hit = placed(reads, tags, "first", most=most, anchored=True)
+    return hit.select("read_id", "sample", F.col("off1").alias("mismatches"), _rest("seq", F.length("tag")).alias("clip1"))
 
 
 def site_chimeras(reads: DataFrame, motif: str) -> DataFrame:

@@ -53,11 +53,14 @@ def partitions(spark: SparkSession) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder of the cluster (spark.checkpoint.dir).
 
-    The folder is set here only where the session has none, as in local tests.
+    Where the session has none, a temporary folder serves local tests, and a cluster raises an error.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
     return df.checkpoint(eager=True)
 
 

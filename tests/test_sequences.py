@@ -70,6 +70,58 @@ def test_substitutions(spark, tags):
     assert [(x.at, x.clip1) for x in window.collect()] == [(3, "ATTT")]
 
 
+def test_substitutions_with_motif(spark, tags):
+    """Tag and motif a base late; an N in the motif counts as a substitution."""
+    r = reads(spark, ("ATTTCAGCCCTGGAGTTCCAC", "GTAGCTGAGATCGGAAG"), ("TAAATTTCTACATHACTACAT", "CTCAGCTGGACTCGACT"), ("ATTTCANCCCTGGAGTTCCAC", "GTAGCTGAGATCGGAAG"))
+    got = {x.read_id: (x.sample, x.at, x.clip1) for x in dm.with_motif(r, tags, MOTIF, 10, 1).collect()}
+    assert got == {197391: ("ind2", 2, "CAGCCCTGGAGTTCCAC"), 197393: ("ind2", 2, "CANCCCTGGAGTTCCAC")}
+    both = {x.read_id: (x.sample, x.clip1) for x in dm.either_with_motif(r, tags, MOTIF, 10, 1).collect()}
+    assert both[197391] == ("ind2", "CAGCCCTGGAGTTCCAC") and both[197393] == ("ind2", "CANCCCTGGAGTTCCAC")
+
+
+def test_substitutions_in_all_methods_equal_brute_force(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    seq = lambda k: "".join(rnd.choice("ACGTNacgt") for _ in range(k))
+    pairs = [(seq(rnd.randrange(0, 25)), seq(rnd.randrange(0, 25))) for _ in range(300)] + [(None, "AAACAGC"), ("", "")]
+    sheet = [("a", "AAA", 0), ("b", "ACGT", 1), ("c", "TT", 2), ("a", "GGCAT", 3)]
+    r, t = reads(spark, *pairs), spark.createDataFrame(sheet, "sample string, tag string, tag_rank int")
+
+    def at(s, pattern, most, window, anchored):
+        s = (s or "").upper()[:window]
+        for i in range(1 if anchored else len(s)):
+            if i + len(pattern) <= len(s):
+                off = sum(x not in p for x, p in zip(s[i:], pattern))
+                if off <= most:
+                    return i, off
+        return None
+
+    for most in (0, 1, 2):
+        expected = {k: {} for k in ("both", "either", "first", "window", "motif")}
+        for i, (x, y) in enumerate(pairs, 197391):
+            for k, window, anchored, motif in (("first", None, True, ""), ("window", 9, False, ""), ("motif", 14, False, MOTIF)):
+                hits = [(h[1], rank, sample, h[0], len(tag)) for sample, tag, rank in sheet if (h := at(x, dm.pattern_classes(tag + motif), most, window, anchored))]
+                if hits:
+                    _, _, sample, place, n = min(hits)
+                    expected[k][i] = (sample, (x or "")[place + n :])
+            two = [(s, tag, rank, at(x, tag, most, None, True), at(y, tag, most, None, True)) for s, tag, rank in sheet]
+            if hits := [(h1[1] + h2[1], rank, s, len(tag)) for s, tag, rank, h1, h2 in two if h1 and h2]:
+                _, _, s, n = min(hits)
+                expected["both"][i] = (s, x[n:], y[n:])
+            if hits := [(min(h[1] for h in (h1, h2) if h), rank, s, len(tag), bool(h1), bool(h2)) for s, tag, rank, h1, h2 in two if h1 or h2]:
+                _, _, s, n, h1, h2 = min(hits)
+                expected["either"][i] = (s, x[n:] if h1 else x, y[n:] if h2 else y, h1 + h2)
+        for many in (2_000, 1):
+            monkeypatch.setattr(dm, "MANY_TAGS", many)
+            assert {x.read_id: (x.sample, x.clip1, x.clip2) for x in dm.both_start(r, t, most).collect()} == expected["both"]
+            assert {x.read_id: (x.sample, x.clip1) for x in dm.first_starts(r, t, most).collect()} == expected["first"]
+        assert {x.read_id: (x.sample, x.clip1, x.clip2, x.n_mates) for x in dm.either_start(r, t, most).collect()} == expected["either"]
+        assert {x.read_id: (x.sample, x.clip1) for x in dm.within(r, t, 9, most).collect()} == expected["window"]
+        assert {x.read_id: (x.sample, x.clip1) for x in dm.with_motif(r, t, MOTIF, 14, most).collect()} == expected["motif"]
+    assert dm.first_starts(r, t.limit(0)).count() == dm.either_with_motif(r, t.limit(0), MOTIF).count() == 0
+
+
 def test_chimeras_routes_and_summary(spark, tags):
     r = reads(spark, ("TTTTCAACC", "TTTGTAGC"), ("AAATGCAGCC", "AAAGTAG"), ("GATC", "GATC"))
     routed = dm.route(r, dm.both_start(r, tags), dm.site_chimeras(r, "GC[AT]GC"))
