@@ -11,6 +11,13 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
 
 
+def inputs(pages: DataFrame, value: str = "fulltable") -> DataFrame:
+    """Targets of the buttons whose value names the full table."""
+    tag = F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<input[^>]*>"), F.lit(0)))
+    found = pages.select("page_id", tag.alias("tag")).filter(F.contains(F.lower(F.regexp_replace("tag", r"\s+", "")), F.lit(value)))
+    return found.select("page_id", F.regexp_extract("tag", r"""(?i)window\.open\('([^']*)'""", 1).alias("target")).filter("target <> ''")
+
+
 #: A link to an accession page and the table cell that follows it: accession and description are the two groups.
 ACCESSION_ROW = r'<a href="[^"]*acc\.cgi\?acc=(GSM[0-9]+)"[^>]*>[^<]*</a></td>\s*<td[^>]*>([^<]*)</td>'
 
@@ -55,6 +62,25 @@ def ris_fields(records: DataFrame) -> DataFrame:
     return line.select("entry", F.substring("line", 1, 2).alias("tag"), "pos", F.trim(F.substring("line", 7, 1 << 20)).alias("value")).filter("tag <> 'ER'")
 
 
+def ris_records(fields: DataFrame) -> DataFrame:
+    """(entry, id, fields): tag to values, files (L1 to L3) under ``files``; the id must be there and be unique."""
+    from genolake.operators.relational import assert_unique
+
+    named = fields.withColumn("tag", F.when(F.col("tag").isin("L1", "L2", "L3"), "files").otherwise(F.col("tag")))
+    per = named.groupBy("entry", "tag").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("x"))
+    rows = per.groupBy("entry").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.transform("x", lambda y: y["value"])))).alias("fields"))
+    own = F.get(F.col("fields")["ID"], F.lit(0))
+    rows = rows.withColumn("id", F.when(own.isNotNull(), own).otherwise(F.raise_error(F.concat(F.lit("record without id: "), F.col("entry").cast("string"))).cast("string")))
+    return assert_unique(rows.select("entry", "id", "fields"), ["id"])
+
+
+def ris_lines(fields: DataFrame) -> DataFrame:
+    """(id, pos, line): records by lower-case id, their fields in order, several values on lines of their own."""
+    ids = fields.filter("tag = 'ID'").groupBy("entry").agg(F.min_by("value", "pos").alias("id"))
+    lines = fields.join(ids, "entry").select("id", "pos", F.concat("tag", F.lit("  - "), "value").alias("line"))
+    return lines.orderBy(F.lower("id"), "id", "pos")
+
+
 def ris_text(fields: DataFrame) -> DataFrame:
     """Records as RIS text, fields in their order."""
     parts = fields.groupBy("entry").agg(F.sort_array(F.collect_list(F.struct("pos", F.concat("tag", F.lit("  - "), "value").alias("line")))).alias("x"))
@@ -66,3 +92,35 @@ def bibtex_entries(texts: DataFrame) -> DataFrame:
     block = texts.select(F.explode(F.split("text", r"\n(?=@)")).alias("block"))
     head = r"^@(\w+)\{([^,]+),"
     return block.filter(F.rlike("block", F.lit(head))).select(F.regexp_extract("block", head, 1).alias("type"), F.regexp_extract("block", head, 2).alias("key"), F.regexp_replace("block", head, "").alias("body"))
+
+
+def bibtex_fields(texts: DataFrame) -> DataFrame:
+    """(type, key, field, value) of BibTeX entries: a field a line, braces or quotes around its value; backslashes go."""
+    entries = bibtex_entries(texts)
+    line = entries.select("type", "key", F.explode(F.split("body", "\n")).alias("line"))
+    pattern = r"""^\s*(\w+)\s*=\s*[{"]?(.*?)[}"]?\s*,?\s*}?\s*$"""
+    got = line.filter(F.rlike("line", F.lit(r"^\s*\w+\s*="))).select("type", "key", F.lower(F.regexp_extract("line", pattern, 1)).alias("field"), F.regexp_extract("line", pattern, 2).alias("value"))
+    return got.withColumn("value", F.replace("value", F.lit("\\"), F.lit("")))
+
+
+def bibtex_text(fields: DataFrame) -> DataFrame:
+    """(key, text): entries with their fields in alphabetical order, by lower-case key."""
+    part = F.concat(F.lit("  "), "field", F.lit(" = {"), "value", F.lit("}"))
+    per = fields.groupBy("type", "key").agg(F.sort_array(F.collect_list(F.struct("field", part.alias("line")))).alias("x"))
+    text = F.concat(F.lit("@"), "type", F.lit("{"), "key", F.lit(",\n"), F.array_join(F.transform("x", lambda y: y["line"]), ",\n"), F.lit("\n}"))
+    return per.select("key", text.alias("text")).orderBy(F.lower("key"), "key")
+
+
+JSON_ENTRY = "article_id string, citation_keys array<string>, userfiles array<struct<name: string, sha1: string>>"
+
+
+def read_json_entries(spark, path: str, schema: str = JSON_ENTRY) -> DataFrame:
+    """Entries of a JSON array, or of one JSON object a line."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def entry_files(entries: DataFrame) -> DataFrame:
+    """(article_id, key, files): the first citation key and the names of the files, PDFs before others."""
+    pdf = lambda x: F.lower(x).endswith(".pdf")
+    names = F.transform(F.coalesce("userfiles", F.array().cast("array<struct<name:string,sha1:string>>")), lambda f: f["name"])
+    return entries.select("article_id", F.get("citation_keys", F.lit(0)).alias("key"), F.concat(F.filter(names, pdf), F.filter(names, lambda x: ~pdf(x))).alias("files"))

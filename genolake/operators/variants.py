@@ -36,8 +36,13 @@ def call_rates(genotypes: DataFrame) -> DataFrame:
     return genotypes.groupBy("site").agg(F.count("*").alias("n"), F.count_if(F.col("gt").isNull()).alias("n_missing"))
 
 
-def well_called(genotypes: DataFrame, most_missing: float = 0.5) -> DataFrame:
-    rate = call_rates(genotypes).filter(F.col("n_missing") <= most_missing * F.col("n"))
+def well_called(genotypes: DataFrame, most_missing: float | None = 0.5, most: int | None = None) -> DataFrame:
+    """Sites with at most this share, or this number, of genotypes that are filtered or not called."""
+    rate = call_rates(genotypes)
+    if most_missing is not None:
+        rate = rate.filter(F.col("n_missing") <= most_missing * F.col("n"))
+    if most is not None:
+        rate = rate.filter(F.col("n_missing") <= most)
     return genotypes.join(rate.select("site"), "site", "left_semi")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,19 +51,44 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder of the cluster (spark.checkpoint.dir).
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of the checkpoints, which all executors reach (spark.checkpoint.dir).
 
     Where the session has none, a temporary folder serves local tests, and a cluster raises an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", "")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
         if not folder and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}/{name}"
+
+
+def first_file(spark: SparkSession, path: str, lines: list[str]) -> None:
+    """Add a small file of head lines to a folder of text files, under a name that sorts before theirs."""
+    from pyspark.sql import functions as F
+
+    head = f"{path.rstrip('/')}-head-{uuid.uuid4().hex}"
+    one = spark.range(1).select(F.lit("\n".join(lines)).alias("value")).coalesce(1)
+    one.write.option("compression", "gzip" if path.endswith("gz") else "none").text(head)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in fs.listStatus(hadoop(head)) if f.getPath().getName().startswith("part-"))
+    fs.rename(part, hadoop(f"{path.rstrip('/')}/head{''.join(part.getName().partition('.')[1:])}"))
+    fs.delete(hadoop(head), True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genolake.operators.genotypes import call_probabilities, chromosome_code
 
 
-def _head(spark: SparkSession, path: str, sep: str = r"\s+") -> list[str]:
-    import re
+#: Longest name that the format holds.
+LONGEST_NAME = 39
 
+
+def _head(spark: SparkSession, path: str, sep: str = r"\s+") -> list[str]:
     return re.split(sep, spark.read.text(path).first()[0].strip())
 
 
@@ -25,6 +29,25 @@ def read_hapmap(spark: SparkSession, path: str, inds: list[str] | None = None) -
     return out.filter(F.col("ind").isin(inds)) if inds is not None else out
 
 
+def chromosome_paths(template: str, chromosomes: str = "-".join(map(str, range(1, 23)))) -> list[str]:
+    """Paths of a template whose CHR stands for chr1, chr2, ...; chromosomes as ``1-17-3``.
+
+    >>> chromosome_paths("x_CHR.gz", "1-17")
+    ['x_chr1.gz', 'x_chr17.gz']
+    """
+    return [template.replace("CHR", f"chr{c}") for c in chromosomes.split("-")]
+
+
+def read_hapmap_chromosomes(spark: SparkSession, template: str, chromosomes: str | None = None, inds: list[str] | None = None) -> DataFrame:
+    """The files of some chromosomes (1 to 22), one under another; each names its own samples."""
+    paths = chromosome_paths(template, chromosomes) if chromosomes else chromosome_paths(template)
+    parts = [read_hapmap(spark, p, inds) for p in paths]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def read_tped(spark: SparkSession, tped: str, tfam: str) -> DataFrame:
     """(snp, chrom, pos, ind, call): two allele columns a sample, samples in the order of the family file."""
     inds = [r["value"].split()[1] for r in spark.read.text(tfam).collect() if r["value"].strip()]
@@ -53,14 +76,32 @@ def impute_lines(probs: DataFrame) -> DataFrame:
     return rows.select("chrom", "pos", F.concat_ws(" ", "chrom", "snp", "pos", "a1", "a2", F.array_join(F.transform("x", lambda y: y["p"]), " ")).alias("value"))
 
 
-def read_impute(spark: SparkSession, path: str, inds: list[str]) -> DataFrame:
-    """(chrom, snp, pos, a1, a2, ind, p_aa, p_ab, p_bb) of lines without a header."""
+def read_impute(spark: SparkSession, path: str, inds: list[str] | None = None) -> DataFrame:
+    """(chrom, snp, pos, a1, a2, ind, p_aa, p_ab, p_bb), each line cut at spaces or tabs as it is.
+
+    Without ``inds`` the first line is a header that names each sample three times, with the endings of the three genotypes.
+    """
     f = F.split("value", r"[ \t]")
-    cells = F.transform(F.sequence(F.lit(0), F.lit(len(inds) - 1)), lambda i: F.struct(F.get(F.array(*map(F.lit, inds)), i).alias("ind"), *[F.get(f, 3 * i + 5 + k).cast("double").alias(c) for k, c in enumerate(("p_aa", "p_ab", "p_bb"))]))
     rows = spark.read.text(path).filter("value <> ''")
+    if inds is None:
+        head = _head(spark, path, r"[ \t]")
+        inds = [re.sub(r"_a1a1$", "", x) for x in head[5::3]]
+        rows = rows.filter(F.col("value") != F.lit(rows.first()[0]))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(len(inds) - 1)), lambda i: F.struct(F.get(F.array(*map(F.lit, inds)), i).alias("ind"), *[F.get(f, 3 * i + 5 + k).cast("double").alias(c) for k, c in enumerate(("p_aa", "p_ab", "p_bb"))]))
     return rows.select(f[0].alias("chrom"), f[1].alias("snp"), f[2].cast("long").alias("pos"), f[3].alias("a1"), f[4].alias("a2"), F.explode(cells).alias("x")).select("chrom", "snp", "pos", "a1", "a2", "x.*")
 
 
+def impute_header(inds: list[str]) -> str:
+    return " ".join(["chr", "name", "coord", "a1", "a2", *[f"{i}_{g}" for i in inds for g in ("a1a1", "a1a2", "a2a2")]])
+
+
+def eigenstrat_individuals(probs: DataFrame, population: str = "NA") -> DataFrame:
+    """Lines of the individuals' file, in the order of the genotype digits: name, unknown sex, population."""
+    name = F.col("ind").cast("string")
+    short = F.when(F.length(name) <= LONGEST_NAME, name).otherwise(F.raise_error(F.concat(F.lit("name over 39 characters: "), name)).cast("string"))
+    return probs.select(short.alias("ind")).distinct().select("ind", F.concat_ws("\t", "ind", F.lit("U"), F.lit(population)).alias("value"))
+
+
 def eigenstrat(probs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Genotype lines (a digit a sample, 9 when uncertain) and marker lines."""
     code = F.when(F.col("p_aa") == 1, "2").when(F.col("p_ab") == 1, "1").when(F.col("p_bb") == 1, "0").otherwise("9")

@@ -148,7 +148,85 @@ def test_trimming(spark):
     assert {x.read_id: x.trimmed for x in tr.trim(r, exact).collect()} == {1: "G" * 10, 2: "GGGGGGGGGGTT"}
     fuzzy = tr.fuzzy_starts(r, adapters)
     assert {x.read_id: x.start for x in fuzzy.collect()} == {1: 10, 2: 10}
-    assert [tr.local_start(s, a) for s, a in (("CCCCCCCCCCTT", "TTT"), ("CCCCCCCCCCCTATT", "CTATTT"), ("CCCCCCCCCCTGT", "TTT"))] == [10, 10, 10]
+    assert [tr.local_starts([s], a)[0] for s, a in (("CCCCCCCCCCTT", "TTT"), ("CCCCCCCCCCCTATT", "CTATTT"), ("CCCCCCCCCCTGT", "TTT"))] == [10, 10, 10]
+    assert tr.exact_starts(r, adapters.limit(0)).count() == tr.fuzzy_starts(r, adapters.limit(0)).count() == 0
+
+
+def test_local_alignment_scores_are_the_best():
+    """Every pair of substrings aligned with affine gaps: the start found belongs to a best alignment."""
+    import functools
+    import random
+
+    rnd = random.Random(4)
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(0, 9))) for _ in range(40)]
+
+    def best_from(seq, adapter, start):
+        @functools.cache
+        def go(i, j, state):
+            out = 0.0 if state == "m" else float("-inf")  # an alignment ends with a match
+            if i < len(seq) and j < len(adapter):
+                out = max(out, (5.0 if seq[i] == adapter[j] else -4.0) + go(i + 1, j + 1, "m"))
+            if i < len(seq):
+                out = max(out, (-0.5 if state == "i" else -9.0) + go(i + 1, j, "i"))
+            if j < len(adapter):
+                out = max(out, (-0.5 if state == "d" else -9.0) + go(i, j + 1, "d"))
+            return out
+
+        return max((5.0 if seq[start] == a else -4.0) + go(start + 1, k + 1, "m") for k, a in enumerate(adapter)) if start < len(seq) else 0.0
+
+    for adapter in ("ACG", "TTAC"):
+        for seq, found in zip(seqs, tr.local_starts(seqs, adapter)):
+            scores = [best_from(seq, adapter, k) for k in range(len(seq))]
+            top = max(scores, default=0.0)
+            assert found == -1 if top <= 0 else scores[found] == top
+
+
+def test_pairs_are_trimmed_by_mate(spark):
+    adapters = spark.createDataFrame([("one", "TTT", "1"), ("two", "CCC", "2"), ("any", "GG", "both")], "adapter string, adp_seq string, mate string")
+    r = reads(spark, ("AATTTCCC", "AATTTCCC"), ("AAGGTTT", "ACACAC"), ("ACACCC", "GGA"), ("ACAC", "ACAC"))
+    pairs = tr.trim_pairs(r, adapters)
+    assert {x.read_id: (x.trimmed1, x.trimmed2) for x in pairs.collect()} == {197391: ("AA", "AATTT"), 197392: ("AA", "ACACAC"), 197393: ("ACACCC", ""), 197394: ("ACAC", "ACAC")}
+    assert tuple(tr.pair_counters(pairs).first()) == (4, 1, 1, 1)
+    log = {(x.read_id, x.mate, x.adapter): x.start for x in tr.match_log(pairs).collect()}
+    assert len(log) == 16 and log[197391, 1, "one"] == 2 and log[197391, 2, "two"] == 5 and log[197393, 2, "any"] == 0 and log[197394, 1, "any"] == -1
+
+
+def test_adapter_removal_equals_brute_force(spark):
+    import random
+
+    rnd = random.Random(5)
+    adapter = "ACGTTGCA"
+    seqs = ["".join(rnd.choice("ACGT") for _ in range(rnd.randrange(0, 12))) for _ in range(25)]
+    for _ in range(25):
+        part = list(adapter[: rnd.randrange(2, 9)])
+        for _ in range(rnd.randrange(0, 2)):
+            k = rnd.randrange(len(part))
+            part[k] = rnd.choice(["", "A", "C", part[k] + "T"])
+        seqs.append("".join(rnd.choice("ACGT") for _ in range(rnd.randrange(0, 6))) + "".join(part) + rnd.choice(["", "", "GAT"]))
+
+    def distance(a, b, indels):
+        if not indels:
+            return sum(x != y for x, y in zip(a, b)) if len(a) == len(b) else 99
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j - 1] + (x != y), last[j] + 1, row[j - 1] + 1))
+        return row[-1]
+
+    for indels in (True, False):
+        expected = []
+        for s in seqs:
+            found = [(-i, e, a) for i in range(3, 9) for a in range(len(s) + 1) for z in ([len(s)] if i < 8 else range(a, len(s) + 1)) if (e := distance(adapter[:i], s[a:z], indels)) <= int(0.2 * i + 1e-9)]
+            expected.append(min(found)[2] if found else len(s))
+        assert tr.adapter_cuts(seqs, adapter, indels=indels).tolist() == expected
+    r = spark.createDataFrame([(1, "GGGGACGTTGCAGG", "I" * 14), (2, None, None)], "read_id long, seq string, qual string")
+    assert [(x.read_id, x.seq, x.qual) for x in tr.remove_adapter(r, adapter).collect()] == [(1, "GGGG", "IIII"), (2, None, None)]
+
+
+def test_fragment_mates(spark):
+    got = tr.fragment_mates(spark.createDataFrame([("f", "AACCGGTTAC"), ("g", "AC")], "name string, seq string"), 4).collect()
+    assert [tuple(x) for x in got] == [("f", "AACC", "GTAA"), ("g", "AC", "GT")]
 
 
 def test_cleaning(spark):
