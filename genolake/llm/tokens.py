@@ -9,9 +9,9 @@ import base64
 import os
 
 #: Words whose ids a worker remembers; beyond it the memory starts afresh (a bound of memory, with the same result).
-REMEMBERED_WORDS = 1_500_000
+REMEMBERED_WORDS = 500_000
 #: Text that is encoded at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 _encoders: dict[str, "WordEncoder"] = {}
 _rank_encoders: dict[str, object] = {}
