@@ -65,3 +65,9 @@ def insert_sizes(alignments: DataFrame) -> DataFrame:
 
 def insert_medians(alignments: DataFrame) -> DataFrame:
     return alignments.filter("tlen > 0").groupBy("lane").agg(F.percentile("tlen", 0.5).alias("median_insert"))
+
+
+def one_based(bed: DataFrame, starts_only: bool = False) -> DataFrame:
+    """BED rows with starts that count from 1; ``starts_only`` sets each end to its start."""
+    out = bed.withColumn("start", F.col("start") + 1)
+    return out.withColumn("end", F.col("start")) if starts_only else out

@@ -217,3 +217,22 @@ def cross_doses(parents: DataFrame, crosses: DataFrame, crossovers: DataFrame) -
     gametes = sides.join(cuts, ["child", "side"], "left").join(parents, "ind")
     before = F.size(F.filter(F.coalesce("cuts", F.array().cast("array<bigint>")), lambda c: c < F.col("snp")))
     return gametes.filter(F.col("hap") == before % 2).groupBy("child", "snp").agg(F.sum("allele").alias("dose"))
+
+
+def autosomes(markers: DataFrame, last: int = 22) -> DataFrame:
+    """Markers of the numbered chromosomes up to ``last``."""
+    code = F.expr("try_cast(regexp_replace(chrom, '^chr', '') AS INT)")
+    return markers.filter((code >= 1) & (code <= last))
+
+
+def of_chromosome(cells: DataFrame, chrom) -> DataFrame:
+    return cells.filter(F.col("chrom") == F.lit(chrom))
+
+
+def of_population(cells: DataFrame, individuals: DataFrame) -> DataFrame:
+    return cells.join(individuals.select("ind"), "ind", "left_semi")
+
+
+def normal_id(name):
+    """Names as R makes them: dots for hyphens."""
+    return F.translate(name, "-", ".")

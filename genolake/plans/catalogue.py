@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genolake.functions.distributions import normal_quantile_sql
@@ -21,39 +19,21 @@ from genolake.operators import relational as rel
 from genolake.operators import statistics as st
 from genolake.operators import trimming as tr
 from genolake.operators import variants as va
-from genolake.plans.derive import VIEWS, cte, view
-from genolake.session import table
-
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+from genolake.plans import files, predicates  # noqa: F401
+from genolake.plans.derive import cte
+from genolake.plans.registry import ORACLES, QUERIES, query
 
 SITE = motif_pattern("G^CWG_C")
 MOTIF = motif_pattern(remaining_motif("G^CWG_C"))
 COSTS = {"view": 0.5, "click": 1.0, "purchase": 2.5, "error": 0.25, "signup": 4.0}
 
 
-def query(name: str, *names: str, sql: str | None = None):
-    """Register ``f(view, ...)`` over these views (or tables), with its SQL over the same names."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*[view(spark, sf_dir, n) if n in VIEWS else table(spark, sf_dir, n) for n in names])
-
-        _QUERIES[name] = run
-        if sql is not None:
-            views = [n for n in names if n in VIEWS]
-            _ORACLES[name] = (cte(*views) + (", " if sql.lstrip().startswith("+") else "") + sql.lstrip().removeprefix("+")) if views else sql.lstrip().removeprefix("+")
-        return f
-
-    return add
-
-
 def queries() -> dict:
-    return _QUERIES
+    return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return ORACLES
 
 
 # --- expression ---------------------------------------------------------------------------------------------
@@ -411,6 +391,6 @@ query("ris_fields", "part", sql="""SELECT p_partkey AS entry, tag, pos, value FR
 )
 query("elapsed_text", "events", sql="""SELECT event_id, printf('%dd %02dh %02dm %02ds', s // 86400, s % 86400 // 3600, s % 3600 // 60, s % 60) AS elapsed FROM (SELECT event_id, event_id * 977 AS s FROM events)""")(lambda e: e.select("event_id", rel.elapsed(F.col("event_id") * 977).alias("elapsed")))
 
-for _name, _sql in _ORACLES.items():
+for _name, _sql in ORACLES.items():
     if "RECURSIVE_MARK" in _sql:
-        _ORACLES[_name] = _sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK", "")
+        ORACLES[_name] = _sql.replace("WITH ", "WITH RECURSIVE ", 1).replace("RECURSIVE_MARK", "")

@@ -19,8 +19,11 @@ def _head(spark: SparkSession, path: str, sep: str = r"\s+") -> list[str]:
 
 
 def read_hapmap(spark: SparkSession, path: str, inds: list[str] | None = None) -> DataFrame:
-    """(snp, chrom, pos, a1, a2, ind, call): calls stand from the 12th column on."""
-    names = _head(spark, path)[11:]
+    """(snp, chrom, pos, a1, a2, ind, call): calls stand from the 12th column on; the line that begins with rs# names the samples."""
+    head = spark.read.text(path).filter("startswith(value, 'rs#')").first()
+    if head is None:
+        raise ValueError("no line of names")
+    names = head[0].split()[11:]
     f = F.split("value", r"\s+")
     rows = spark.read.text(path).filter(F.col("value") != "").filter(f[0] != "rs#")
     calls = F.arrays_zip(F.array(*map(F.lit, names)).alias("ind"), F.slice(f, 12, len(names)).alias("call"))

@@ -254,7 +254,7 @@ def write_gct(cells: DataFrame, path: str) -> None:
         raise ValueError(f"a matrix has at most {MOST_COLUMNS} columns")
     values = F.map_from_entries(F.collect_list(F.struct("sample", F.col("value").cast("string").alias("v"))))
     rows = cells.groupBy("feature").agg(values.alias("x"))
-    line = F.concat_ws("\t", "feature", "feature", *[F.coalesce(F.get("x", F.lit(n)), F.lit("NA")) for n in names])
+    line = F.concat_ws("\t", "feature", "feature", *[F.coalesce(F.try_element_at("x", F.lit(n)), F.lit("NA")) for n in names])
     packed = rows.select(line.alias("value"))
     packed.write.option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
     head = ["#1.2", f"{rows.count()}\t{len(names)}", "\t".join(["Name", "Description", *names])]
