@@ -103,26 +103,62 @@ def _kinship(z: DataFrame, place: dict):
     return k
 
 
-def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float, most_inds: int = 5000):
-    """Ridge-regression marker effects: the individuals-by-individuals system is solved, effects come from Spark.
+def reml_ratio(values, ones, y) -> float:
+    """Ratio of error to genetic variance with the highest restricted likelihood, for a model of a mean and one random effect.
 
-    doses: (ind, snp, g); pheno: (ind, y). Returns (effects DataFrame, mean).
+    values: eigenvalues of the relationship; ones and y: the mean's column and the phenotype in its eigenvectors. The
+    likelihood is profiled on a grid of the ratio's logarithm, then around its top.
     """
     import numpy as np
 
-    spark = doses.sparkSession
+    values = np.clip(values, 0, None)
+
+    def likelihood(log_ratio: float) -> float:
+        w = 1 / (values + np.exp(log_ratio))
+        xx = (w * ones * ones).sum()
+        rest = y - ones * ((w * ones * y).sum() / xx)
+        return -0.5 * ((len(y) - 1) * np.log((w * rest * rest).sum()) - np.log(w).sum() + np.log(xx))
+
+    low, high = np.log(1e-5 * max(values.max(), 1e-9)), np.log(1e5 * max(values.max(), 1e-9))
+    for _ in range(6):
+        grid = np.linspace(low, high, 41)
+        top = int(np.argmax([likelihood(x) for x in grid]))
+        low, high = grid[max(0, top - 1)], grid[min(40, top + 1)]
+    return float(np.exp((low + high) / 2))
+
+
+def _cohort(doses: DataFrame, pheno: DataFrame, most_inds: int):
+    """(individuals, phenotypes, centred doses, cross-products) of a cohort of bounded size."""
+    import numpy as np
+
     ys = {r["ind"]: r["y"] for r in pheno.limit(most_inds + 1).collect()}
     if len(ys) > most_inds:
         raise ValueError(f"at most {most_inds} individuals")
     inds = sorted(ys)
-    place = {x: k for k, x in enumerate(inds)}
     freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
     z = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
-    k = _kinship(z, place)
-    y = np.array([ys[i] for i in inds])
+    return inds, np.array([ys[i] for i in inds], dtype=float), z, _kinship(z, {x: k for k, x in enumerate(inds)})
+
+
+def _estimated(k, y) -> float:
+    import numpy as np
+
+    values, vectors = np.linalg.eigh(k)
+    return reml_ratio(values, vectors.T @ np.ones(len(y)), vectors.T @ y)
+
+
+def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, most_inds: int = 5000):
+    """Ridge-regression marker effects: the individuals-by-individuals system is solved, effects come from Spark.
+
+    doses: (ind, snp, g); pheno: (ind, y). Without a penalty it is the ratio of variances by REML. Returns (effects DataFrame, mean).
+    """
+    import numpy as np
+
+    inds, y, z, k = _cohort(doses, pheno, most_inds)
     mean = float(y.mean())
+    penalty = _estimated(k, y) if penalty is None else penalty
     alpha = np.linalg.solve(k + penalty * np.eye(len(inds)), y - mean)
-    weights = spark.createDataFrame([(i, float(w)) for i, w in zip(inds, alpha, strict=True)], f"ind {doses.schema['ind'].dataType.simpleString()}, w double")
+    weights = doses.sparkSession.createDataFrame([(i, float(w)) for i, w in zip(inds, alpha, strict=True)], f"ind {doses.schema['ind'].dataType.simpleString()}, w double")
     return z.join(F.broadcast(weights), "ind").groupBy("snp").agg(F.sum(F.col("z") * F.col("w")).alias("effect")), mean
 
 
@@ -131,47 +167,66 @@ def predict(doses: DataFrame, effects: DataFrame, mean: float) -> DataFrame:
     return doses.join(freq, "snp").join(effects, "snp").groupBy("ind").agg((F.sum((F.col("g") - F.col("c")) * F.col("effect")) + mean).alias("predicted"))
 
 
-def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float, folds: int = 5, repeats: int = 1) -> DataFrame:
-    """Error and correlation per repeat and fold; folds are dealt by a hash of individual and repeat."""
-    out = None
-    for rep in range(repeats):
-        fold = F.pmod(F.xxhash64("ind", F.lit(rep)), F.lit(folds))
-        for k in range(folds):
-            effects, mean = ridge_effects(doses, pheno.filter(fold != k), penalty)
-            got = predict(doses, effects, mean).join(pheno.filter(fold == k), "ind")
-            one = got.agg(F.lit(rep).alias("rep"), F.lit(k).alias("fold"), F.count("*").alias("n"), F.sqrt(F.avg((F.col("predicted") - F.col("y")) ** 2)).alias("rmspe"), F.corr("predicted", "y").alias("r"))
-            out = one if out is None else out.unionByName(one)
-    return out
+def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, folds: int = 5, repeats: int = 10, most_inds: int = 5000) -> DataFrame:
+    """Error and correlation per repeat and fold; folds are dealt by a hash of individual and repeat.
 
+    The cross-products of individuals are summed once; each fold solves the system of its own individuals in them.
+    """
+    import numpy as np
 
-def marker_scan(doses: DataFrame, pheno: DataFrame, var_ratio: float = 1.0, most_inds: int = 5000) -> DataFrame:
+    inds, y, _, k = _cohort(doses, pheno, most_inds)
+    dealt = pheno.select("ind", *[F.pmod(F.xxhash64("ind", F.lit(r)), F.lit(folds)).alias(f"f{r}") for r in range(repeats)])
+    fold_of = {r["ind"]: r for r in dealt.collect()}  # bounded by the cohort
+    rows = []
+    for rep in range(repeats):
+        fold = np.array([fold_of[i][f"f{rep}"] for i in inds])
+        for f in range(folds):
+            test, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
+            if not len(test) or len(train) < 2:
+                continue
+            mean, own = y[train].mean(), k[np.ix_(train, train)]
+            ratio = _estimated(own, y[train]) if penalty is None else penalty
+            predicted = mean + k[np.ix_(test, train)] @ np.linalg.solve(own + ratio * np.eye(len(train)), y[train] - mean)
+            spread = predicted.std() * y[test].std()
+            r = float(((predicted - predicted.mean()) * (y[test] - y[test].mean())).mean() / spread) if spread > 0 else None
+            rows.append((rep, f, len(test), float(np.sqrt(((predicted - y[test]) ** 2).mean())), r))
+    return doses.sparkSession.createDataFrame(rows, "rep int, fold int, n long, rmspe double, r double")
+
+
+def marker_scan(doses: DataFrame, pheno: DataFrame, var_ratio: float | None = None, most_inds: int = 5000) -> DataFrame:
     """Mixed-model scan of single markers: phenotype and doses are rotated by the relationship's eigenvectors, then
-    each marker has a weighted regression of its own, in sums that Spark makes."""
+    each marker has a weighted regression of its own. A marker's doses are rotated as one vector in its task.
+
+    ``var_ratio`` is genetic over error variance; without it, it is estimated by REML.
+    """
     import numpy as np
 
     from genolake.functions.distributions import t_pvalue
 
-    spark = doses.sparkSession
-    ys = {r["ind"]: r["y"] for r in pheno.limit(most_inds + 1).collect()}
-    if len(ys) > most_inds:
-        raise ValueError(f"at most {most_inds} individuals")
-    inds = sorted(ys)
-    place = {x: k for k, x in enumerate(inds)}
-    freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
-    z = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
-    kin = _kinship(z, place)
+    inds, y, z, kin = _cohort(doses, pheno, most_inds)
     kin /= max(1e-9, np.trace(kin) / len(inds))
     values, vectors = np.linalg.eigh(kin)
-    weight = 1 / (var_ratio * np.clip(values, 0, None) + 1)
-    y = np.array([ys[i] for i in inds])
     ones, yt = vectors.T @ np.ones(len(inds)), vectors.T @ (y - y.mean())
-    kind = doses.schema["ind"].dataType.simpleString()
-    rotation = spark.createDataFrame([(inds[i], k, float(vectors[i, k])) for i in range(len(inds)) for k in range(len(inds))], f"ind {kind}, k int, u double")
-    target = spark.createDataFrame([(k, float(weight[k]), float(ones[k]), float(yt[k])) for k in range(len(inds))], "k int, w double, o double, y double")
-    x = z.join(F.broadcast(rotation), "ind").groupBy("snp", "k").agg(F.sum(F.col("z") * F.col("u")).alias("x")).join(F.broadcast(target), "k")
-    s = lambda e: F.sum(F.col("w") * e)
+    ratio = 1 / reml_ratio(values, ones, yt) if var_ratio is None else var_ratio
+    weight = 1 / (ratio * np.clip(values, 0, None) + 1)
+    shared = doses.sparkSession.sparkContext.broadcast(({i: k for k, i in enumerate(inds)}, vectors, weight, ones, yt))
+
+    def run(table):
+        import numpy as np
+        import pyarrow as pa
+
+        place, vectors, w, o, y = shared.value
+        dose = np.zeros(len(place))
+        for i, v in zip(table.column("ind").to_pylist(), table.column("z").to_pylist(), strict=True):
+            if i in place and v is not None:
+                dose[place[i]] += v
+        x = vectors.T @ dose
+        sums = [(w * a * b).sum() for a, b in ((x, x), (x, o), (o, o), (x, y), (o, y), (y, y))]
+        return pa.table([table.column("snp").slice(0, 1), pa.array([len(x)], pa.int64()), *(pa.array([float(v)]) for v in sums)], names=["snp", "n", "xx", "xo", "oo", "xy", "oy", "yy"])
+
+    kind = doses.schema["snp"].dataType.simpleString()
+    m = z.select("snp", "ind", F.col("z").cast("double").alias("z")).groupBy("snp").applyInArrow(run, f"snp {kind}, n long, xx double, xo double, oo double, xy double, oy double, yy double")
     c = F.col
-    m = x.groupBy("snp").agg(F.count("*").alias("n"), s(c("x") * c("x")).alias("xx"), s(c("x") * c("o")).alias("xo"), s(c("o") * c("o")).alias("oo"), s(c("x") * c("y")).alias("xy"), s(c("o") * c("y")).alias("oy"), s(c("y") * c("y")).alias("yy"))
     det = c("xx") * c("oo") - c("xo") * c("xo")
     m = m.filter(det > 1e-9).withColumn("beta", (c("xy") * c("oo") - c("xo") * c("oy")) / det).withColumn("mu", (c("oy") * c("xx") - c("xo") * c("xy")) / det)
     m = m.withColumn("rss", c("yy") - c("beta") * c("xy") - c("mu") * c("oy")).withColumn("se", F.sqrt(F.greatest(c("rss"), F.lit(1e-12)) / (c("n") - 2) * c("oo") / det))

@@ -105,7 +105,7 @@ SELECT read_id, CASE WHEN regexp_matches(seq, '{SITE}') OR regexp_matches(seq2,
 query("demux_summary", "reads", "tags", sql=f"""+ a AS ({_MET4A}), d AS (SELECT coalesce(a.sample, 'unassigned') AS x FROM reads LEFT JOIN a USING (read_id))
 SELECT count(*) AS reads, count(*) FILTER (x = 'unassigned') AS unassigned, count(*) FILTER (x = 'chimeras') AS chimeras, count(*) FILTER (x <> 'unassigned') AS assigned,
 round(100.0 * count(*) FILTER (x <> 'unassigned') / nullif(count(*), 0), 4) AS percent_assigned FROM d""")(lambda r, t: dm.summary(dm.route(r, dm.first_starts(r, t))))
-query("tag_distinguishability", "tags", sql="""SELECT a.sample AS s1, a.tag AS t1, b.sample AS s2, b.tag AS t2 FROM tags a JOIN tags b ON a.sample <> b.sample AND length(a.tag) <= length(b.tag) AND hamming(a.tag, substr(b.tag, 1, length(a.tag))) <= 1""")(lambda t: dm.indistinct_tags(t, 1))
+query("tag_distinguishability", "plate_tags", sql="""SELECT a.sample AS s1, a.tag AS t1, b.sample AS s2, b.tag AS t2 FROM plate_tags a JOIN plate_tags b ON a.sample <> b.sample AND length(a.tag) <= length(b.tag) AND hamming(a.tag, substr(b.tag, 1, length(a.tag))) <= 1""")(lambda t: dm.indistinct_tags(t, 1))
 query("tags_too_long", "reads", "long_tags", sql="SELECT sample, tag FROM long_tags WHERE length(tag) + 4 > (SELECT min(length(seq)) - 24 FROM reads)")(
     lambda r, t: dm.too_long(t, r.agg(F.min(F.length("seq"))).first()[0] - 24, 4).select("sample", "tag")
 )
@@ -285,7 +285,24 @@ def _rounded(t: DataFrame) -> DataFrame:
 _CIS = lambda d, li: assoc.pair_tests(d.select("snp").distinct().withColumn("gene", F.col("snp") % 40), _expr(li), d)
 query("cis_stat", "doses", "lineitem", sql=f"+ e AS ({_EXPR}) " + _TSTAT.format("AND d.snp % 40 = e.gene"))(lambda d, li: _rounded(_CIS(d, li)))
 query("trans_stat", "doses", "lineitem", sql=f"+ e AS ({_EXPR}) " + _TSTAT.format("AND d.snp % 40 <> e.gene"))(
-    lambda d, li: _rounded(assoc.pair_tests(d.select("snp").distinct().crossJoin(_expr(li).select("gene").distinct()).filter("snp % 40 <> gene"), _expr(li), d))
+    lambda d, li: _rounded(assoc.all_pair_tests(_expr(li), d).filter("snp % 40 <> gene"))
+)
+query("trans_stat_over", "doses", "lineitem", sql=f"+ e AS ({_EXPR}) SELECT * FROM (" + _TSTAT.format("") + ") WHERE abs(t) >= 2.5")(lambda d, li: _rounded(assoc.all_pair_tests(_expr(li), d, 2.499999)).filter("abs(t) >= 2.5"))
+query("assoc_anova", "doses", "lineitem", sql=f"""+ e AS ({_EXPR}), c AS (SELECT e.gene, d.snp, d.g, count(*) AS k, avg(v) AS m, var_pop(v) * count(*) AS w FROM e JOIN doses d ON e.ind = d.ind AND d.snp % 40 = e.gene GROUP BY ALL),
+t AS (SELECT gene, snp, CAST(sum(k) AS BIGINT) AS n, count(*) - 1 AS df1, CAST(sum(k) - count(*) AS BIGINT) AS df2, sum(w) AS w, sum(k * m * m) - power(sum(k * m), 2) / sum(k) AS b FROM c GROUP BY gene, snp)
+SELECT gene, snp, n, df1, df2, round((b / df1) / (w / df2), 6) AS f FROM t WHERE df1 > 0 AND df2 > 0 AND w > 0""")(lambda d, li: assoc.anova_tests(d.select("snp").distinct().withColumn("gene", F.col("snp") % 40), _expr(li), d).withColumn("f", F.round("f", 6)))
+# One covariate: the partial correlation has a closed form.
+_FULL = "f AS (SELECT snp FROM doses GROUP BY snp HAVING count(DISTINCT ind) = (SELECT count(DISTINCT ind) FROM doses))"
+query("assoc_covariates", "doses", "lineitem", sql=f"""+ e AS ({_EXPR}), {_FULL}, j AS (SELECT e.gene, d.snp, e.v, d.g, e.ind % 7 AS c FROM e JOIN doses d ON e.ind = d.ind AND d.snp % 40 = e.gene WHERE d.snp IN (SELECT snp FROM f)
+AND e.gene IN (SELECT gene FROM e GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT ind) FROM e))),
+p AS (SELECT gene, snp, count(*) AS n, (corr(v, g) - corr(v, c) * corr(g, c)) / sqrt((1 - power(corr(v, c), 2)) * (1 - power(corr(g, c), 2))) AS r FROM j GROUP BY gene, snp HAVING var_pop(g) > 0)
+SELECT gene, snp, n, round(r, 6) AS r, round(r * sqrt(n - 3) / sqrt(1 - r * r), 5) AS t FROM p""")(
+    lambda d, li: _rounded(assoc.pair_tests(d.select("snp").distinct().withColumn("gene", F.col("snp") % 40), _expr(li), d, d.select("ind").distinct().select("ind", F.lit("c").alias("name"), (F.col("ind") % 7).alias("c"))))
+)
+query("error_covariance", "phenotypes", sql="""+ m AS (SELECT year AS ind, plot AS item, avg(trait1) AS v FROM phenotypes GROUP BY ALL)
+SELECT a.item AS item1, b.item AS item2, round(covar_pop(a.v, b.v), 5) AS v FROM m a JOIN m b ON a.ind = b.ind AND a.item <= b.item WHERE
+a.item IN (SELECT item FROM m GROUP BY item HAVING count(*) = (SELECT count(DISTINCT ind) FROM m)) AND b.item IN (SELECT item FROM m GROUP BY item HAVING count(*) = (SELECT count(DISTINCT ind) FROM m)) GROUP BY ALL""")(
+    lambda p: assoc.error_covariance(p.groupBy(F.col("year").alias("ind"), F.col("plot").alias("item")).agg(F.avg("trait1").alias("value"))).withColumn("v", F.round("v", 5))
 )
 query("cis_pvalue", "doses", "lineitem")(lambda d, li: assoc.with_pvalues(_CIS(d, li)))
 query("six_number_summary", "phenotypes", sql="""SELECT year, round(min(trait1), 6) AS "min", round(quantile_cont(trait1, 0.25), 6) AS q1, round(quantile_cont(trait1, 0.5), 6) AS median, round(avg(trait1), 6) AS mean, round(quantile_cont(trait1, 0.75), 6) AS q3, round(max(trait1), 6) AS "max" FROM phenotypes GROUP BY year""")(
@@ -322,9 +339,9 @@ query("genotype_filters", "sites", sql=f"SELECT site, ind, gt FROM ({_MASK})")(l
 query("callrate_filter", "sites", sql=f"+ m AS ({_MASK}) SELECT site, ind, gt FROM m WHERE site IN (SELECT site FROM m GROUP BY site HAVING count(*) FILTER (gt IS NULL) <= 0.5 * count(*))")(lambda s: va.well_called(va.mask_genotypes(s)).select("site", "ind", "gt"))
 query("allelicity", "sites", sql=f"+ m AS ({_MASK}) SELECT site, CASE WHEN min(gt) = max(gt) AND min(gt) IN (0, 2) THEN 1 ELSE 2 END AS n_alleles FROM m WHERE gt IS NOT NULL GROUP BY site")(lambda s: va.allelicity(va.mask_genotypes(s)))
 query("mendel_violation", "sites", sql=f"""+ g AS (SELECT site, ind, gt FROM ({_MASK}) WHERE gt IS NOT NULL)
-SELECT c.site, c.ind AS child, m.ind AS mother, f.ind AS father, c.gt AS child_gt, m.gt AS mother_gt, f.gt AS father_gt FROM g c JOIN g m ON m.site = c.site AND m.ind = 1 JOIN g f ON f.site = c.site AND f.ind = 2
-WHERE c.ind IN (3, 4) AND (c.gt < floor(m.gt / 2.0) + floor(f.gt / 2.0) OR c.gt > ceil(m.gt / 2.0) + ceil(f.gt / 2.0))""")(
-    lambda s: va.mendelian_violations(va.mask_genotypes(s), s.select(F.col("ind").alias("child")).distinct().filter("child in (3, 4)").select("child", F.lit(1).alias("mother"), F.lit(2).alias("father")))
+SELECT c.site, c.ind AS child, m.ind AS mother, f.ind AS father, c.gt AS child_gt, m.gt AS mother_gt, f.gt AS father_gt FROM g c JOIN g m ON m.site = c.site AND m.ind = c.ind - 2 JOIN g f ON f.site = c.site AND f.ind = c.ind - 1
+WHERE (c.gt < floor(m.gt / 2.0) + floor(f.gt / 2.0) OR c.gt > ceil(m.gt / 2.0) + ceil(f.gt / 2.0))""")(
+    lambda s: va.mendelian_violations(va.mask_genotypes(s), s.select(F.col("ind").alias("child")).distinct().select("child", (F.col("child") - 2).alias("mother"), (F.col("child") - 1).alias("father")))
 )
 
 # --- read quality -------------------------------------------------------------------------------------------
@@ -332,9 +349,9 @@ WHERE c.ind IN (3, 4) AND (c.gt < floor(m.gt / 2.0) + floor(f.gt / 2.0) OR c.gt
 query("qc_totals", "qc_quality", sql="SELECT dataset, CAST(sum(n) AS BIGINT) AS total FROM qc_quality GROUP BY dataset")(qc.totals)
 query("qc_quality_pivot", "qc_quality", sql="SELECT dataset, " + ", ".join(f"CAST(coalesce(sum(n) FILTER (quality = {q}), 0) AS BIGINT) AS q{q}" for q in range(1, 51)) + " FROM qc_quality GROUP BY dataset")(qc.quality_pivot)
 query("qc_quality_percent", "qc_quality", sql="SELECT dataset, " + ", ".join(f"round(100.0 * coalesce(sum(n) FILTER (quality = {q}), 0) / nullif(sum(n), 0), 6) AS q{q}" for q in range(1, 51)) + " FROM qc_quality GROUP BY dataset")(lambda q: qc.quality_pivot(q, percent=True))
-query("qc_length_dist", "documents", sql="""WITH l AS (SELECT lang AS dataset, CAST(floor(n_chars / 500) * 500 AS INT) AS length, 1 AS n FROM documents)
+query("qc_length_dist", "documents", sql="""WITH l AS (SELECT lang AS dataset, CAST(floor(length(coalesce(text, '')) / 500) * 500 AS INT) AS length, 1 AS n FROM documents)
 SELECT d.dataset, x.length, CAST(coalesce(sum(n), 0) AS BIGINT) AS n FROM (SELECT DISTINCT dataset FROM l) d CROSS JOIN (SELECT DISTINCT length FROM l) x LEFT JOIN l ON l.dataset = d.dataset AND l.length = x.length GROUP BY d.dataset, x.length""")(
-    lambda d: qc.length_bins(d.select(F.col("lang").alias("dataset"), F.concat_ws("-", (F.floor(F.col("n_chars") / 500) * 500).cast("string"), (F.floor(F.col("n_chars") / 500) * 500 + 499).cast("string")).alias("length"), F.lit(1).alias("n")))
+    lambda d: qc.length_bins(d.select(F.col("lang").alias("dataset"), F.concat_ws("-", *[(F.floor(F.length(F.coalesce("text", F.lit(""))) / 500) * 500 + k).cast("string") for k in (0, 499)]).alias("length"), F.lit(1).alias("n")))
 )
 query("qc_padded_series", "lineitem", sql="""WITH s AS (SELECT l_orderkey AS dataset, l_linenumber AS position, CAST(l_tax AS DOUBLE) AS value FROM lineitem)
 SELECT d.dataset, p.position, coalesce(s.value, 0) AS value FROM (SELECT DISTINCT dataset FROM s) d CROSS JOIN (SELECT unnest(range(1, (SELECT max(position) FROM s) + 1)) AS position) p LEFT JOIN s ON s.dataset = d.dataset AND s.position = p.position""")(
@@ -361,9 +378,9 @@ query("valid_crosses", "orders", "customer", sql="SELECT o_orderkey AS child, o_
 query("blup", "phenotypes", sql="SELECT ind, count(trait1) AS n, round(count(trait1) * 4.0 / (count(trait1) * 4.0 + 9.0) * (avg(trait1) - 50.0), 6) AS blup FROM phenotypes GROUP BY ind")(lambda p: br.blups(p, 50.0, 4.0, 9.0).withColumn("blup", F.round("blup", 6)))
 query("lmm_varcomp", "phenotypes")(br.variance_components)
 _PHENO = lambda p: p.groupBy((F.col("ind") % 60).alias("ind")).agg(F.avg("trait1").alias("y"))
-query("rrblup", "doses", "phenotypes")(lambda d, p: br.ridge_effects(d, _PHENO(p), 50.0)[0])
-query("rrblup_predicted", "doses", "phenotypes")(lambda d, p: br.predict(d, *br.ridge_effects(d, _PHENO(p), 50.0)))
-query("cv_rmspe", "doses", "phenotypes")(lambda d, p: br.cross_validate(d, _PHENO(p), 50.0))
+query("rrblup", "doses", "phenotypes")(lambda d, p: br.ridge_effects(d, _PHENO(p))[0])
+query("rrblup_predicted", "doses", "phenotypes")(lambda d, p: br.predict(d, *br.ridge_effects(d, _PHENO(p))))
+query("cv_rmspe", "doses", "phenotypes")(lambda d, p: br.cross_validate(d, _PHENO(p)))
 query("qtl_scan", "doses", "phenotypes")(lambda d, p: br.marker_scan(d, _PHENO(p)))
 
 # --- web pages and references -------------------------------------------------------------------------------

@@ -24,6 +24,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """SELECT n_name AS sample, n_nationkey AS tag_rank, concat(substr('ACGT', CAST(floor(n_nationkey / 16) AS INT) % 4 + 1, 1),
         substr('ACGT', CAST(floor(n_nationkey / 4) AS INT) % 4 + 1, 1), substr('ACGT', n_nationkey % 4 + 1, 1)) AS tag FROM nation""",
     ),
+    "plate_tags": (("supplier",), f"""SELECT s_name AS sample, s_suppkey AS tag_rank, substr({DNA.format("concat('plate', CAST(s_suppkey AS STRING))")}, 1, CAST(5 + s_suppkey % 3 AS INT)) AS tag FROM supplier"""),
     "long_tags": (
         ("nation",),
         f"""SELECT n_name AS sample, n_nationkey AS tag_rank, substr({DNA.format("concat('tag', CAST(n_nationkey AS STRING))")}, 1, 5) AS tag FROM nation""",

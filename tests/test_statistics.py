@@ -126,7 +126,7 @@ def test_mixed_models(spark):
     beta, rss = np.linalg.lstsq(X, y - y.mean(), rcond=None)[:2]
     t = beta[1] / np.sqrt(rss[0] / 58 * np.linalg.inv(X.T @ X)[1, 1])
     assert math.isclose(scan[0], dist.t_two_sided([t], [58])[0], rel_tol=1e-6)
-    assert br.cross_validate(doses, ys, 2.0, folds=2).count() == 2
+    assert br.cross_validate(doses, ys, 2.0, folds=2, repeats=1).count() == 2
 
 
 def test_variants_and_pedigrees(spark):
@@ -206,3 +206,106 @@ def test_linkage_of_all_crosses_blocks(spark):
         assert got.keys() == expected.keys() and (29, 30) in got
         assert all(got[k][0] == n and math.isclose(got[k][1], r2, abs_tol=1e-9) for k, (n, r2) in expected.items())
     assert gt.linkage_of_all(doses.limit(0)).count() == 0
+
+
+def test_association_with_covariates_and_covariance(spark):
+    import numpy as np
+
+    from genolake.operators import association as assoc
+
+    r = np.random.default_rng(6)
+    n = 40
+    c, g = r.normal(size=n), r.integers(0, 3, n).astype(float)
+    y = 2 * c + 0.3 * g + r.normal(size=n)
+    root = r.normal(size=(n, n)) / 8 + np.eye(n)
+    errors = root @ root.T
+    expr = spark.createDataFrame([("e", i, float(y[i])) for i in range(n)] + [("short", 1, 2.0)], "gene string, ind long, v double")
+    dose = spark.createDataFrame([("m", i, float(g[i])) for i in range(n)] + [("flat", i, 1.0) for i in range(n)], "snp string, ind long, g double")
+    cov = spark.createDataFrame([(i, "c", float(c[i])) for i in range(n)], "ind long, name string, c double")
+    err = spark.createDataFrame([(i, j, float(errors[i, j])) for i in range(n) for j in range(n)], "ind1 long, ind2 long, v double")
+    pairs = spark.createDataFrame([("e", "m"), ("e", "flat"), ("short", "m")], "gene string, snp string")
+
+    def least_squares(w):
+        x, z = w @ np.column_stack([np.ones(n), c, g]), w @ y
+        beta, rss, _, _ = np.linalg.lstsq(x, z, rcond=None)
+        return beta[2] / np.sqrt(rss[0] / (n - 3) * np.linalg.inv(x.T @ x)[2, 2])
+
+    values, vectors = np.linalg.eigh(errors)
+    for covariance, white in ((None, np.eye(n)), (err, vectors @ np.diag(values**-0.5) @ vectors.T)):
+        got = assoc.pair_tests(pairs, expr, dose, cov, covariance).collect()
+        assert [(x.gene, x.snp, x.n, x.df) for x in got] == [("e", "m", n, n - 3)]
+        assert abs(got[0].t - least_squares(white)) < 1e-9
+    p = assoc.with_pvalues(assoc.pair_tests(pairs, expr, dose, cov), 1.0).first().p
+    assert 0 < p < 1 and assoc.with_pvalues(assoc.pair_tests(pairs, expr, dose, cov), p / 2).count() == 0
+    ss = lambda v: ((v - v.mean()) ** 2).sum()
+    within = sum(ss(y[g == k]) for k in range(3))
+    f = assoc.anova_tests(pairs, expr, dose).collect()
+    assert [(x.gene, x.snp, x.df1, x.df2) for x in f] == [("e", "m", 2, n - 3)] and abs(f[0].f - (ss(y) - within) / 2 / (within / (n - 3))) < 1e-9
+    traits = spark.createDataFrame([(k, i, float(v[i])) for k, v in (("a", y), ("b", g)) for i in range(n)], "item string, ind long, value double")
+    x = np.column_stack([np.ones(n), c])
+    m = np.eye(n) - x @ np.linalg.pinv(x)
+    expected = {("a", "a"): y @ m @ y / n, ("a", "b"): y @ m @ g / n, ("b", "b"): g @ m @ g / n}
+    assert all(abs(q.v - expected[q.item1, q.item2]) < 1e-9 for q in assoc.error_covariance(traits, cov).collect())
+
+
+def test_all_pairs_in_blocks(spark):
+    import numpy as np
+
+    from genolake.operators import association as assoc
+
+    r = np.random.default_rng(7)
+    expr = [(f"e{k}", i, float(r.normal())) for k in range(7) for i in range(20) if r.random() < 0.9]
+    dose = [(k, i, int(r.integers(0, 3))) for k in range(9) for i in range(20) if r.random() < 0.9]
+    e, d = spark.createDataFrame(expr, "gene string, ind long, v double"), spark.createDataFrame(dose, "snp long, ind long, g int")
+    expected = {}
+    for gene in {x[0] for x in expr}:
+        for snp in {x[0] for x in dose}:
+            a, b = {i: v for q, i, v in expr if q == gene}, {i: v for q, i, v in dose if q == snp}
+            both = sorted(set(a) & set(b))
+            x, z = np.array([a[i] for i in both]), np.array([b[i] for i in both], dtype=float)
+            if len(both) > 2 and z.std() > 0:
+                c = np.corrcoef(x, z)[0, 1]
+                expected[gene, snp] = (len(both), c * np.sqrt((len(both) - 2) / (1 - c * c)))
+    for at_once in (3, 256):
+        got = {(x.gene, x.snp): (x.n, x.t) for x in assoc.all_pair_tests(e, d, at_once=at_once).collect()}
+        assert got.keys() == expected.keys() and all(got[k][0] == n and abs(got[k][1] - t) < 1e-9 for k, (n, t) in expected.items())
+    over = {(x.gene, x.snp) for x in assoc.all_pair_tests(e, d, 1.0).collect()}
+    assert over == {k for k, (_, t) in expected.items() if abs(t) >= 1}
+
+
+def test_reml_and_cross_validation(spark):
+    import numpy as np
+
+    from genolake.operators import breeding as br
+
+    r = np.random.default_rng(8)
+    n, m = 40, 120
+    g = r.integers(0, 3, (n, m)).astype(float)
+    y = (g - g.mean(0)) @ r.normal(size=m) / 6 + r.normal(size=n)
+    doses = spark.createDataFrame([(i, k, float(g[i, k])) for i in range(n) for k in range(m)], "ind long, snp long, g double")
+    pheno = spark.createDataFrame([(i, float(y[i])) for i in range(n)], "ind long, y double")
+    z = g - g.mean(0)
+    k = z @ z.T
+    values, vectors = np.linalg.eigh(k)
+    ratio = br.reml_ratio(values, vectors.T @ np.ones(n), vectors.T @ y)
+
+    def dense(q):  # the restricted likelihood by its definition
+        v = k + q * np.eye(n)
+        one = np.ones((n, 1))
+        p = np.linalg.inv(v) - np.linalg.inv(v) @ one @ np.linalg.inv(one.T @ np.linalg.inv(v) @ one) @ one.T @ np.linalg.inv(v)
+        return -0.5 * (np.linalg.slogdet(v)[1] + np.log((one.T @ np.linalg.inv(v) @ one)[0, 0]) + (n - 1) * np.log(y @ p @ y))
+
+    assert all(dense(ratio) >= dense(ratio * q) - 1e-6 for q in (0.5, 0.9, 1.1, 2.0))
+    effects, mean = br.ridge_effects(doses, pheno)
+    u = {x.snp: x.effect for x in effects.collect()}
+    expected = z.T @ np.linalg.solve(k + ratio * np.eye(n), y - y.mean())
+    assert max(abs(u[q] - expected[q]) for q in range(m)) < 1e-6 and abs(mean - y.mean()) < 1e-9
+    folds = br.cross_validate(doses, pheno, 30.0, folds=3, repeats=2).collect()
+    assert len(folds) == 6 and all(sum(x.n for x in folds if x.rep == rep) == n for rep in (0, 1))
+    scan = {x.snp: x.beta for x in br.marker_scan(doses, pheno, 0.7).collect()}
+    lengths, vec = np.linalg.eigh(k / (np.trace(k) / n))
+    w = 1 / (0.7 * np.clip(lengths, 0, None) + 1)
+    for q in (0, 5, 60):
+        x = vec.T @ np.column_stack([np.ones(n), z[:, q]])
+        beta = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * (vec.T @ (y - y.mean()))))
+        assert abs(scan[q] - beta[1]) < 1e-8
