@@ -9,32 +9,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from genolake.llm import exact_dedup, minhash_join, packing, quality_rules, suffix_dedup
-from genolake.llm.warc import shared_folder
-from genolake.session import table
+from genolake.session import scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass every rule."""
+    """Documents that pass every rule. Null, empty and very short texts fail; repeated rows are judged one by one."""
     return quality_rules.keep_good(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts: the longest original, then the smallest id; of a row that occurs twice, one. Null counts as empty."""
     return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of 0.8."""
+    """One document of each group of near-duplicates (five-word shingles, similarity of 0.8): that with the smallest id, null being the largest.
+
+    Rows without a word all stay.
+    """
     return minhash_join.keep_one(docs, percent=80, shingle=5)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long strings that an earlier document holds."""
+    """Texts without the 100-byte strings that start earlier, by id and then by place; every row stays, and a null text stays null."""
     return suffix_dedup.remove_repeats(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, packed into sequences."""
+    """The pieces of what is left, packed into sequences; a null or empty text is its end mark alone."""
     return packing.pack(docs)
 
 
@@ -45,7 +47,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_folder(spark)
+    """All stages over ``documents``; an empty table gives no piece. Tables between stages are in the shared folder."""
+    docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "stages")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
