@@ -84,6 +84,19 @@ def test_stages(spark, sf_dir):
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table; and null and repeated ids, nulls in every column and names that operators use inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _b string, digest string, kept string"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "none/documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    stop = list(quality_rules.STOP_WORDS)
+    text = lambda k: " ".join(stop[(k + i) % len(stop)] if i % 5 == 0 else f"word{k}x{i}" for i in range(40))
+    rows = [(1, text(1)), (1, text(1)), (1, text(2)), (None, text(3)), (None, text(3)), (None, text(4)), (5, None), (6, ""), (7, text(1) + " ")]
+    spark.createDataFrame([(i, t, None, None, None, "b", "d", "k") for i, t in rows], schema).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert sorted(str(p.doc_id) for p in got) == ["1", "7", "None", "None"]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_query(spark, sf_dir, name):
     folder, rows = sf_dir
