@@ -84,14 +84,16 @@ def projected(values: DataFrame, item: str, value: str, covariates: DataFrame |
 def pair_tests(pairs: DataFrame, expression: DataFrame, doses: DataFrame, covariates: DataFrame | None = None, covariance: DataFrame | None = None) -> DataFrame:
     """r and t of the pairs: (gene, snp) with (gene, ind, v) and (snp, ind, g), in sums per pair.
 
-    With covariates or a covariance of the errors both sides are projected first, and ``df`` counts the covariates.
+    With covariates or a covariance of the errors both sides, over the individuals that both have, are projected first,
+    and ``df`` counts the covariates.
     """
     if covariates is None and covariance is None:
         lost, r = 2, F.corr(F.col("v").cast("double"), F.col("g").cast("double"))
         left, right = expression, doses
     else:
         lost = 2 + (0 if covariates is None else covariates.select("name").distinct().count())
-        left, right = projected(expression, "gene", "v", covariates, covariance), projected(doses, "snp", "g", covariates, covariance)
+        shared = expression.select("ind").intersect(doses.select("ind"))
+        left, right = (projected(df.join(shared, "ind", "left_semi"), c, v, covariates, covariance) for df, c, v in ((expression, "gene", "v"), (doses, "snp", "g")))
         size = F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("g") * F.col("g")))
         r = F.when(size > 1e-9, F.sum(F.col("v") * F.col("g")) / size)
     joined = pairs.select("gene", "snp").join(left.select("gene", "ind", "v"), "gene").join(right.select("snp", "ind", "g"), ["snp", "ind"])

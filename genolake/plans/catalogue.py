@@ -292,9 +292,9 @@ query("assoc_anova", "doses", "lineitem", sql=f"""+ e AS ({_EXPR}), c AS (SELECT
 t AS (SELECT gene, snp, CAST(sum(k) AS BIGINT) AS n, count(*) - 1 AS df1, CAST(sum(k) - count(*) AS BIGINT) AS df2, sum(w) AS w, sum(k * m * m) - power(sum(k * m), 2) / sum(k) AS b FROM c GROUP BY gene, snp)
 SELECT gene, snp, n, df1, df2, round((b / df1) / (w / df2), 6) AS f FROM t WHERE df1 > 0 AND df2 > 0 AND w > 0""")(lambda d, li: assoc.anova_tests(d.select("snp").distinct().withColumn("gene", F.col("snp") % 40), _expr(li), d).withColumn("f", F.round("f", 6)))
 # One covariate: the partial correlation has a closed form.
-_FULL = "f AS (SELECT snp FROM doses GROUP BY snp HAVING count(DISTINCT ind) = (SELECT count(DISTINCT ind) FROM doses))"
+_FULL = """com AS (SELECT DISTINCT ind FROM doses WHERE ind IN (SELECT ind FROM e)), f AS (SELECT snp FROM doses WHERE ind IN (SELECT ind FROM com) GROUP BY snp HAVING count(DISTINCT ind) = (SELECT count(*) FROM com))"""
 query("assoc_covariates", "doses", "lineitem", sql=f"""+ e AS ({_EXPR}), {_FULL}, j AS (SELECT e.gene, d.snp, e.v, d.g, e.ind % 7 AS c FROM e JOIN doses d ON e.ind = d.ind AND d.snp % 40 = e.gene WHERE d.snp IN (SELECT snp FROM f)
-AND e.gene IN (SELECT gene FROM e GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT ind) FROM e))),
+AND e.gene IN (SELECT gene FROM e WHERE ind IN (SELECT ind FROM com) GROUP BY gene HAVING count(*) = (SELECT count(*) FROM com))),
 p AS (SELECT gene, snp, count(*) AS n, (corr(v, g) - corr(v, c) * corr(g, c)) / sqrt((1 - power(corr(v, c), 2)) * (1 - power(corr(g, c), 2))) AS r FROM j GROUP BY gene, snp HAVING var_pop(g) > 0)
 SELECT gene, snp, n, round(r, 6) AS r, round(r * sqrt(n - 3) / sqrt(1 - r * r), 5) AS t FROM p""")(
     lambda d, li: _rounded(assoc.pair_tests(d.select("snp").distinct().withColumn("gene", F.col("snp") % 40), _expr(li), d, d.select("ind").distinct().select("ind", F.lit("c").alias("name"), (F.col("ind") % 7).alias("c"))))
