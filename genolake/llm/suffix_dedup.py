@@ -35,7 +35,7 @@ from genolake.llm.runs import BUCKET_BYTES, ByteTexts, covered, deal, in_order,
 from genolake.session import partitions
 
 WIDTH = ByteTexts.width
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Suffixes of a batch inside a shard.
 BATCH = 4096
 
@@ -166,7 +166,7 @@ SPANS = "_b int, _d long, _h long, start int, windows int"
 def repeated_spans(texts: DataFrame, buckets: int, hot: int | None = None) -> DataFrame:
     """(_b, _d, _h, start, windows): stretches of windows of dealt ``texts`` that also start earlier."""
     n = partitions(texts.sparkSession)
-    shards = max(4 * n, math.ceil(buckets * BUCKET_BYTES / SHARD_BYTES) if buckets > 2 * n else 0)
+    shards = max(16 * n, math.ceil(buckets * BUCKET_BYTES / SHARD_BYTES) if buckets > 2 * n else 0)
 
     def first_of_batch(bucket, marks):
         d, h, rows, _ = in_order(bucket)
