@@ -93,7 +93,7 @@ CASE WHEN s1 <> s2 THEN seq2 ELSE substr(seq2, coalesce(length(seq2) - l2, lengt
 FROM reads LEFT JOIN one USING (read_id) LEFT JOIN two USING (read_id) WHERE s1 IS NOT NULL OR s2 IS NOT NULL""")(lambda r, t: dm.either_with_motif(r, t, MOTIF, 20))
 query("demux_fuzzy1", "reads", "long_tags", sql="""SELECT read_id, sample, CAST(hamming(substr(seq, 1, 5), tag) AS INT) AS mismatches, substr(seq, length(tag) + 1) AS clip1
 FROM reads JOIN long_tags ON hamming(substr(seq, 1, 5), tag) <= 1 QUALIFY row_number() OVER (PARTITION BY read_id ORDER BY hamming(substr(seq, 1, 5), tag), tag_rank) = 1""")(lambda r, t: dm.fuzzy_start(r, t, 1))
-query("demux_fuzzy_window", "reads", "long_tags")(lambda r, t: dm.within(r, t, 10, 1))
+query("demux_fuzzy_window", "reads", "long_tags", sql=predicates.window_sql("seq", "long_tags", "tag", "length(tag)", 10, 1))(lambda r, t: dm.within(r, t, 10, 1))
 query("demux_stats", "reads", "tags", sql=f"""+ a AS ({_MET4A})
 SELECT t.sample AS ind, t.barcode, CAST(coalesce(n, 0) AS BIGINT) AS assigned FROM (SELECT sample, string_agg(tag, '_' ORDER BY tag) AS barcode FROM tags GROUP BY sample) t
 LEFT JOIN (SELECT sample, count(*) AS n FROM a GROUP BY sample) USING (sample)""")(lambda r, t: dm.stats_per_sample(dm.first_starts(r, t), t))

@@ -26,7 +26,7 @@ query("demux_subst_met2", "reads", "long_tags", sql=f"""SELECT read_id, sample,
 CAST(o1 <= 1 AS INT) + CAST(o2 <= 1 AS INT) AS n_mates FROM (SELECT *, {_START.format("seq")} AS o1, {_START.format("seq2")} AS o2, least(o1, o2) AS off FROM reads CROSS JOIN long_tags) WHERE off <= 1 {_PICK}""")(lambda r, t: dm.either_start(r, t, 1))
 
 
-def _window(seq: str, tags: str, patterns: str, length: str, window: int, most: int) -> str:
+def window_sql(seq: str, tags: str, patterns: str, length: str, window: int, most: int) -> str:
     """Leftmost match of every tag in the window, then the best tag of a read."""
     off = "least(" + ", ".join(f"hamming(substr({seq}, s, {length}), {p})" for p in patterns.split("|")) + ")"
     return f"""SELECT read_id, sample, CAST(s AS INT) AS at, substr({seq}, s + length(tag)) AS clip1 FROM (SELECT * FROM (SELECT *, {off} AS off FROM
@@ -35,11 +35,11 @@ QUALIFY row_number() OVER (PARTITION BY read_id, tag_rank ORDER BY s) = 1) {_PIC
 
 
 _WITH_MOTIF = "|".join(f"concat(tag, '{m}')" for m in ("CAGC", "CTGC"))
-query("demux_subst_met4b", "reads", "long_tags", sql=_window("seq", "long_tags", "tag", "length(tag)", 10, 1))(lambda r, t: dm.within(r, t, 10, 1))
-query("demux_subst_met4c", "reads", "tags", sql=_window("seq", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1))(lambda r, t: dm.with_motif(r, t, MOTIF, 20, 1))
+query("demux_subst_met4b", "reads", "long_tags", sql=window_sql("seq", "long_tags", "tag", "length(tag)", 10, 1))(lambda r, t: dm.within(r, t, 10, 1))
+query("demux_subst_met4c", "reads", "tags", sql=window_sql("seq", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1))(lambda r, t: dm.with_motif(r, t, MOTIF, 20, 1))
 query("demux_subst_met4d", "reads", "tags", sql=f"""
-+ one AS (SELECT read_id, sample AS s1, length(seq) - length(clip1) AS c1 FROM ({_window("seq", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1)}) JOIN reads USING (read_id)),
-two AS (SELECT read_id, sample AS s2, length(seq2) - length(clip1) AS c2 FROM ({_window("seq2", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1)}) JOIN reads USING (read_id))
++ one AS (SELECT read_id, sample AS s1, length(seq) - length(clip1) AS c1 FROM ({window_sql("seq", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1)}) JOIN reads USING (read_id)),
+two AS (SELECT read_id, sample AS s2, length(seq2) - length(clip1) AS c2 FROM ({window_sql("seq2", "tags", _WITH_MOTIF, "length(tag) + 4", 20, 1)}) JOIN reads USING (read_id))
 SELECT read_id, CASE WHEN s1 <> s2 THEN 'chimera' ELSE coalesce(s1, s2) END AS sample, CASE WHEN s1 <> s2 THEN seq ELSE substr(seq, coalesce(c1, c2) + 1) END AS clip1,
 CASE WHEN s1 <> s2 THEN seq2 ELSE substr(seq2, coalesce(c2, c1) + 1) END AS clip2 FROM reads LEFT JOIN one USING (read_id) LEFT JOIN two USING (read_id) WHERE s1 IS NOT NULL OR s2 IS NOT NULL""")(lambda r, t: dm.either_with_motif(r, t, MOTIF, 20, 1))
 
