@@ -8,7 +8,7 @@ from __future__ import annotations
 import base64
 import os
 
-#: Words whose ids a worker remembers; beyond it the memory starts afresh (a bound of memory, with the same result).
+#: Words whose ids a worker remembers; beyond it only those of the text at hand are kept (a bound of memory, with the same result).
 REMEMBERED_WORDS = 500_000
 #: Text that is encoded at once.
 SLICE_BYTES = 4 << 20
@@ -55,15 +55,25 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.remembered = remembered
-        self._forget()
-
-    def _forget(self) -> None:
         import numpy as np
 
+        self.remembered = remembered
         self.known: dict[bytes, int] = {}  # a word's number; its ids are pool[begin[number] : begin[number + 1]]
         self.pool, self.begin = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
+    def _keep(self, words: list[bytes]) -> None:
+        """Forget all known words but these."""
+        import numpy as np
+
+        kept = [w for w in dict.fromkeys(words) if w in self.known]
+        number = np.fromiter((self.known[w] for w in kept), np.int64, len(kept))
+        begin = self.begin[number]
+        count = self.begin[number + 1] - begin
+        ends = np.cumsum(count)
+        self.pool = self.pool[np.repeat(begin - ends + count, count) + np.arange(count.sum())]
+        self.begin = np.append(0, ends)
+        self.known = {w: i for i, w in enumerate(kept)}
+
     def _library(self, words: list[bytes]):
         """(ids, cuts) of many words at once: joined by spaces, and told apart by the places of their tokens."""
         import numpy as np
@@ -135,8 +145,7 @@ class WordEncoder:
         distinct = [raw[a:b].rstrip(b" ") for a, b in zip(cut, cut[1 : len(words.dictionary) + 1], strict=False)]
         new = list(dict.fromkeys(w for w in distinct if w not in self.known))
         if len(self.known) + len(new) > self.remembered:
-            self._forget()
-            new = list(dict.fromkeys(distinct))
+            self._keep(distinct)
         if new:
             self._learn(new)
         known = self.known
