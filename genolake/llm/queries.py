@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from genolake.llm import exact_dedup, language_id, minhash_join, packing, phrase_dedup, piece_nbest, quality_rules, suffix_dedup, token_counts, warc
+from genolake.llm import exact_dedup, language_id, minhash_join, packing, phrase_dedup, piece_nbest, quality_rules, simhash_golay, suffix_dedup, token_align, token_counts, warc, whitening
 from genolake.session import table
 
 
@@ -21,6 +21,9 @@ QUERIES = {
     "op8_coordinate_minhash_dedup": _docs(minhash_join.report),
     "op9_mixture_language_id": _docs(language_id.report),
     "op10_arc_to_warc": lambda spark, sf_dir: warc.report(spark, table(spark, sf_dir, "pages")),
+    "op11_pair_bitmap_alignment": _docs(token_align.report),
+    "op12_golay_simhash_dedup": _docs(simhash_golay.report),
+    "op13_multiplicity_whitening": lambda spark, sf_dir: whitening.report(table(spark, sf_dir, "embeddings")),
 }
 
 ORACLE_SQL = {
