@@ -35,9 +35,9 @@ CHUNK = 4096
 CHUNK_LINKS = 6_000_000
 #: Places from which a bitmap is kept as bits; both forms then have different sizes.
 DENSE = CHUNK // 16
-#: Stretches that a worker remembers, and the longest one.
-REMEMBERED = 200_000
-LONGEST_REMEMBERED = 400
+#: Stretches that a worker remembers, and the bytes that they and their groups may take; beyond either it begins anew.
+REMEMBERED = 300_000
+REMEMBERED_BYTES = 64 << 20
 #: B ids below this number; a pair is A id * B_IDS + B id.
 B_IDS = 1 << 20
 
@@ -52,19 +52,23 @@ def byte_decoder() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(linked places of A and B tokens, (A, B) tokens up to the end of each group) of two cuts of the same bytes."""
-    links, groups, i, j = [], [], 0, 0
-    while i < len(ends_a) and j < len(ends_b):
-        links.append((i, j))
-        a, b = ends_a[i], ends_b[j]
-        if a <= b:
-            i += 1
-        if b <= a:
-            j += 1
-        if a == b:
-            groups.append((i, j))
-    return links, groups
+def links_of(ends_a, ends_b):
+    """(A token, B token) places of all overlaps of two cuts of the same bytes, in order, and the overlaps of each A token."""
+    import numpy as np
+
+    first = np.searchsorted(ends_b, np.append(0, ends_a[:-1]), side="right")
+    count = np.searchsorted(ends_b, ends_a, side="left") - first + 1
+    before = np.cumsum(count) - count
+    return np.repeat(np.arange(len(ends_a)), count), np.arange(int(count.sum())) - np.repeat(before - first, count), count
+
+
+def joined(values, cuts, separator: str):
+    """Strings of consecutive parts of an Arrow array, up to each cut, joined."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.append(0, cuts)), values), separator)
 
 
 class Aligner:
@@ -73,6 +77,7 @@ class Aligner:
     def __init__(self, path_a: str, path_b: str, remembered: int = REMEMBERED) -> None:
         import os
 
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -81,8 +86,10 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
         code = byte_decoder()
-        self.bytes_a: dict[int, bytes] = {i: bytes(code[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in code for c in t)}
+        found = {i: bytes(code[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in code for c in t)}
+        self.bytes_a = [found.get(i, b"") for i in range(max(found) + 1)]
         self.bytes_b = [bytes([int(p[1:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))]
+        self.length_a, self.length_b = (np.array([len(x) for x in of], np.int64) for of in (self.bytes_a, self.bytes_b))
         if len(self.bytes_b) > B_IDS:
             raise ValueError(f"tokenizer B may have at most {B_IDS} ids")
         self.remembered = remembered
@@ -93,38 +100,61 @@ class Aligner:
 
         self.number: dict[bytes, int] = {}
         self.groups: list[str] = []
+        self.held = 0
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, links; -1 links where the bytes are not given back
         self.pool, self.begin = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
+    def _cut(self, stretches: list[bytes]):
+        """(counts, pairs, groups as strings) of stretches that are encoded as one text; None if its tokens do not give it back or cross stretches."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        raw = b"".join(stretches)
+        text = raw.decode("utf-8")
+        ids_a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        ids_b = self.b.encode(text[1:])  # B puts a space before a text
+        if any(i >= len(self.bytes_a) for i in ids_a) or b"".join([self.bytes_a[i] for i in ids_a]) != raw or b"".join([self.bytes_b[i] for i in ids_b]) != raw:
+            return None
+        ids_a, ids_b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.length_a[ids_a]), np.cumsum(self.length_b[ids_b])
+        both = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        bounds = np.cumsum([len(s) for s in stretches])
+        if not np.isin(bounds, both).all():
+            return None
+        at_a, at_b, count = links_of(ends_a, ends_b)
+        to_a, to_b, to_group = (np.searchsorted(x, bounds, side="right") for x in (ends_a, ends_b, both))
+        to_link = np.append(0, np.cumsum(count))[to_a]
+        counts = np.diff(np.stack([to_a, to_b, to_group, to_link], axis=1), axis=0, prepend=0)
+        sides = [joined(pa.array(ids).cast(pa.string()), np.searchsorted(ends, both, side="right"), ",") for ids, ends in ((ids_a, ends_a), (ids_b, ends_b))]
+        groups = joined(pc.binary_join_element_wise(*sides, "|"), to_group, ";")
+        return counts, ids_a[at_a] * B_IDS + ids_b[at_b], groups.to_pylist()
+
     def _learn(self, stretches: list[bytes]) -> None:
+        """Encode stretches, joined to longer texts where that makes no difference: between them stands one space, with no white space beside it."""
         import numpy as np
 
         texts = [s.decode("utf-8") for s in stretches]
-        found_a = self.a.encode_batch(texts, add_special_tokens=False)
-        found_b = self.b.encode([t[1:] for t in texts], num_threads=1)  # B puts a space before a text
-        counts, pairs, sizes = [], [], []
-        for raw, one, ids_b in zip(stretches, found_a, found_b, strict=True):
-            ids_a = one.ids
-            tokens_a, tokens_b = [self.bytes_a.get(i, b"") for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            if b"".join(tokens_a) != raw or b"".join(tokens_b) != raw:
-                counts.append((0, 0, 0, -1))
-                self.groups.append("")
-                sizes.append(0)
+        alone = [len(t) < 2 or t[1].isspace() or t[-1].isspace() or "▁" in t for t in texts]
+        plain = [s for s, odd in zip(stretches, alone, strict=True) if not odd]
+        order, counts, pairs = [], [self.counts], [self.pool]
+        todo = [[s] for s, odd in zip(stretches, alone, strict=True) if odd] + [plain[k : k + 2000] for k in range(0, len(plain), 2000)]
+        while todo:
+            some = todo.pop()
+            found = self._cut(some)
+            if found is None and len(some) > 1:
+                todo.extend([s] for s in some)
                 continue
-            links, ends = align(_ends(tokens_a), _ends(tokens_b))
-            parts, i, j = [], 0, 0
-            for to_i, to_j in ends:
-                parts.append(f"{','.join(map(str, ids_a[i:to_i]))}|{','.join(map(str, ids_b[j:to_j]))}")
-                i, j = to_i, to_j
-            counts.append((len(ids_a), len(ids_b), len(ends), len(links)))
-            self.groups.append(";".join(parts))
-            pairs.extend(ids_a[x] * B_IDS + ids_b[y] for x, y in links)
-            sizes.append(len(links))
+            one_counts, one_pairs, groups = found or (np.array([[0, 0, 0, -1]], np.int64), np.zeros(0, np.int64), [""])
+            order.extend(some)
+            counts.append(one_counts)
+            pairs.append(one_pairs)
+            self.groups.extend(groups)
+            self.held += sum(map(len, some)) + sum(map(len, groups)) + 8 * len(one_pairs)
         base = len(self.number)
-        self.number.update(zip(stretches, range(base, base + len(stretches)), strict=True))
-        self.counts = np.concatenate([self.counts, np.array(counts, np.int64).reshape(-1, 4)])
-        self.begin = np.concatenate([self.begin, np.cumsum(np.array(sizes, np.int64)) + len(self.pool)])
-        self.pool = np.concatenate([self.pool, np.array(pairs, np.int64)])
+        self.number.update(zip(order, range(base, base + len(order)), strict=True))
+        self.counts, self.pool = np.concatenate(counts), np.concatenate(pairs)
+        self.begin = np.append(0, np.cumsum(np.maximum(self.counts[:, 3], 0)))
 
     def encode(self, column):
         """(counts, pairs, bounds, groups) of an Arrow string column of texts with their leading space.
@@ -153,8 +183,8 @@ class Aligner:
         if len(self.number) + len(new) > self.remembered:
             self._forget()
             new = distinct
-        for k in range(0, len(new), 5000):
-            self._learn(new[k : k + 5000])
+        if new:
+            self._learn(new)
         number = np.fromiter((self.number[w] for w in distinct), np.int64, len(distinct))[words.indices.to_numpy()]
         of_row = np.searchsorted(at, rows)  # stretches of row i are of_row[i] : of_row[i + 1]
         per = self.counts[number]
@@ -169,19 +199,11 @@ class Aligner:
         pairs = self.pool[np.repeat(begin - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
         places = number.tolist()
         groups = [";".join([self.groups[k] for k in places[a:b]]) if ok else None for a, b, ok in zip(of_row[:-1].tolist(), of_row[1:].tolist(), sound.tolist(), strict=True)]
-        if any(len(w) > LONGEST_REMEMBERED for w in new):
+        if self.held > REMEMBERED_BYTES:
             self._forget()
         return counts, pairs, np.append(0, np.cumsum(counts[:, 3])), groups
 
 
-def _ends(tokens: list[bytes]) -> list[int]:
-    at, out = 0, []
-    for t in tokens:
-        at += len(t)
-        out.append(at)
-    return out
-
-
 def _cuts(data):
     """Where a stretch begins: at a space between two characters that are no white space of any alphabet (when in doubt, none)."""
     import numpy as np
