@@ -76,6 +76,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}/{name}"
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Remove a folder that ``scratch`` named, once nothing reads it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def first_file(spark: SparkSession, path: str, lines: list[str]) -> None:
     """Add a small file of head lines to a folder of text files, under a name that sorts before theirs."""
     from pyspark.sql import functions as F

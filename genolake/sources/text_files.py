@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from genolake.operators.relational import assert_unique
+from genolake.sources.record_files import FastaSource, FastqSource, load
 
 MOST_COLUMNS = 20_000
 MANIFEST_COLUMNS = ["genotype", "ref_genome", "library", "barcode", "seq_center", "seq_platform", "seq_platform_model", "flowcell", "lane", "date", "fastq_file_R1", "fastq_file_R2"]
@@ -47,11 +48,24 @@ def numbered_lines(spark: SparkSession, path: str, starts: str | None = None) ->
     return lines.join(shift, ["file", "split"]).select("file", (F.col("no") + F.col("n")).alias("line_no"), (F.col("rec") + F.col("r")).alias("record"), "line")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(file, file_pos, read_id, seq, qual): four lines a record."""
-    lines = numbered_lines(spark, path).withColumn("file_pos", F.floor(F.col("line_no") / 4)).withColumn("k", F.col("line_no") % 4)
-    rec = lines.groupBy("file", "file_pos").agg(*[F.max(F.when(F.col("k") == k, F.col("line"))).alias(c) for k, c in ((0, "head"), (1, "seq"), (3, "qual"))])
-    return rec.filter(F.startswith(F.col("head"), F.lit("@"))).select("file", "file_pos", F.substring("head", 2, 1 << 20).alias("read_id"), "seq", "qual")
+def _numbered_records(records: DataFrame) -> DataFrame:
+    """Adds ``record``, the 0-based number in the file: that in the range, shifted by the ranges before (one row per range)."""
+    sizes = records.groupBy("file", "range_start").agg((F.max("no") + 1).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("range_start").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select("file", "range_start", F.coalesce(before, F.lit(0)).alias("before"))
+    return records.join(shift, ["file", "range_start"]).withColumn("record", F.col("no") + F.col("before"))
+
+
+def read_fastq(spark: SparkSession, path: str, numbered: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """(file, file_pos, read_id, seq, qual): four lines a record. What is no whole record is an error with file and byte.
+
+    Ranges of files are read side by side, without a shuffle. ``numbered`` counts the records of a file, which reads it twice and joins a row per range;
+    else ``file_pos`` is the record's first byte, which is in the same order.
+    """
+    records = load(spark, FastqSource, path, range_bytes)
+    if numbered:
+        records = _numbered_records(records).withColumn("offset", F.col("record"))
+    return records.select("file", F.col("offset").alias("file_pos"), "read_id", "seq", "qual")
 
 
 def write_fastq(reads: DataFrame, path: str, *by: str) -> None:
@@ -60,17 +74,9 @@ def write_fastq(reads: DataFrame, path: str, *by: str) -> None:
     reads.select(*by, text.alias("value")).write.partitionBy(*by).option("compression", "gzip").text(path)
 
 
-def _fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(file, record, name, seq)."""
-    lines = numbered_lines(spark, path, ">").filter("record > 0")
-    rec = lines.groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("x"))
-    body = F.array_join(F.transform(F.slice("x", 2, 1 << 30), lambda y: y["line"]), "")
-    return rec.select("file", "record", F.trim(F.substring(F.col("x")[0]["line"], 2, 1 << 20)).alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"))
-
-
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq); sequences may be wrapped."""
-    return _fasta(spark, path).select("name", "seq")
+def read_fasta(spark: SparkSession, path: str, range_bytes: int | None = None) -> DataFrame:
+    """(name, seq); sequences may be wrapped. Ranges of files are read side by side, without a shuffle."""
+    return load(spark, FastaSource, path, range_bytes).select("name", "seq")
 
 
 def write_fasta(seqs: DataFrame, path: str, width: int = 60) -> None:
@@ -85,7 +91,7 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
     if first is None:
         raise ValueError("empty tag file")
     if first[0].startswith(">"):
-        return _fasta(spark, path).select(F.col("name").alias("sample"), F.upper("seq").alias("tag"), (F.col("record") - 1).alias("tag_rank"))
+        return _numbered_records(load(spark, FastaSource, path)).select(F.col("name").alias("sample"), F.upper("seq").alias("tag"), F.col("record").alias("tag_rank"))
     if len(first[0].split()) != 2:
         raise ValueError("a tag table has two columns")
     f = F.split(F.trim("line"), r"\s+")
