@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from genolake.operators.blocks import cross_products
+from genolake.operators.greedy import walk
 
 
 def call_probabilities(call: Column, a1: Column, a2: Column) -> dict[str, Column]:
@@ -166,45 +167,14 @@ def pair_distances(pairs: DataFrame, snps: DataFrame) -> DataFrame:
     return both.select("snp1", "snp2", F.when(F.col("chrom1") == F.col("chrom2"), F.abs(F.col("pos2") - F.col("pos1"))).alias("distance"))
 
 
-def _greedy(snps: DataFrame, schema: str, step) -> DataFrame:
-    """One pass over each chromosome's positions, in order; a chromosome streams through one task."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        chrom, state = None, None
-        for batch in batches:
-            out = []
-            for snp, c, pos in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if c != chrom:
-                    chrom, state = c, None
-                state, value = step(state, pos)
-                out.append(value)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(out, pa.int64())], names=["snp", "chrom", "pos", "value"])
-
-    n = int(snps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = snps.select("snp", "chrom", "pos").repartition(n, "chrom").sortWithinPartitions("chrom", "pos", "snp")
-    return ordered.mapInArrow(run, schema)
-
-
-def chunks(snps: DataFrame, length: int = 5_000_000) -> DataFrame:
+def chunks(snps: DataFrame, length: int = 5_000_000, parts: int | None = None) -> DataFrame:
     """Greedy chunks: a new one starts at the first position beyond the last start plus ``length``."""
+    return walk(snps, length + 1, parts).groupBy("chrom", F.col("start").alias("chunk_start")).agg(F.sum("n").alias("n_snps"), F.max("pos").alias("last_pos"))
 
-    def step(state, pos):
-        start = pos if state is None or pos > state + length else state
-        return start, start
-
-    return _greedy(snps, "snp long, chrom string, pos long, value long", step).groupBy("chrom", F.col("value").alias("chunk_start")).agg(F.count("*").alias("n_snps"), F.max("pos").alias("last_pos"))
-
-
-def thin(snps: DataFrame, apart: int = 100_000) -> DataFrame:
-    """Markers that are at least so far from the last one kept."""
-
-    def step(state, pos):
-        keep = state is None or pos >= state + apart
-        return (pos if keep else state), int(keep)
 
-    return _greedy(snps, "snp long, chrom string, pos long, value long", step).filter("value = 1").drop("value")
+def thin(snps: DataFrame, apart: int = 100_000, parts: int | None = None) -> DataFrame:
+    """Markers that are at least so far from the last one kept; of markers in one place the first."""
+    return walk(snps, apart, parts).filter("pos = start").select("snp", "chrom", "pos")
 
 
 def cross_doses(parents: DataFrame, crosses: DataFrame, crossovers: DataFrame) -> DataFrame:
