@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from genolake.functions.dna import mismatches_at
+from genolake.operators.tag_index import indistinct_pairs, seeded_starts
 
 MOST_TAGS = 100_000
 MANY_TAGS = 2_000
@@ -193,7 +193,9 @@ def either_with_motif(reads: DataFrame, tags: DataFrame, motif: str, window: int
 
 
 def fuzzy_start(reads: DataFrame, tags: DataFrame, most: int = 1) -> DataFrame:
-    """Tags at the start with at most ``most`` substitutions, fewest first."""
+    """Tags at the start with at most ``most`` substitutions, fewest first. Long sheets are met by a pigeonhole index."""
+    if _many(tags):
+        return seeded_starts(reads, tags, most)
     hit = placed(reads, tags, "first", most=most, anchored=True)
     return hit.select("read_id", "sample", F.col("off1").alias("mismatches"), _rest("seq", F.length("tag")).alias("clip1"))
 
@@ -232,11 +234,8 @@ def summary(routed: DataFrame) -> DataFrame:
 
 
 def indistinct_tags(tags: DataFrame, most: int = 0) -> DataFrame:
-    """Pairs of tags of different samples of which the shorter matches the longer one's start."""
-    t1 = tags.select(F.col("sample").alias("s1"), F.col("tag").alias("t1"))
-    t2 = sheet(tags.select(F.col("sample").alias("s2"), F.col("tag").alias("t2")))
-    far = mismatches_at(F.col("t2"), F.lit(1), F.col("t1"))
-    return t1.join(t2, (F.col("s1") != F.col("s2")) & (F.length("t1") <= F.length("t2")) & (far <= most))
+    """Pairs of tags of different samples of which the shorter matches the longer one's start, by a pigeonhole index."""
+    return indistinct_pairs(tags, most)
 
 
 def safe_mismatches(tags: DataFrame, most: int) -> int:

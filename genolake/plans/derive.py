@@ -25,6 +25,8 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         substr('ACGT', CAST(floor(n_nationkey / 4) AS INT) % 4 + 1, 1), substr('ACGT', n_nationkey % 4 + 1, 1)) AS tag FROM nation""",
     ),
     "plate_tags": (("supplier",), f"""SELECT s_name AS sample, s_suppkey AS tag_rank, substr({DNA.format("concat('plate', CAST(s_suppkey AS STRING))")}, 1, CAST(5 + s_suppkey % 3 AS INT)) AS tag FROM supplier"""),
+    # As many tags as reads, of 10 or 11 bases.
+    "well_tags": (("orders",), f"""SELECT concat('w', CAST(o_orderkey AS STRING)) AS sample, o_orderkey AS tag_rank, substr({DNA.format("concat('well', CAST(o_orderkey AS STRING))")}, 1, CAST(10 + o_orderkey % 2 AS INT)) AS tag FROM orders"""),
     "long_tags": (
         ("nation",),
         f"""SELECT n_name AS sample, n_nationkey AS tag_rank, substr({DNA.format("concat('tag', CAST(n_nationkey AS STRING))")}, 1, 5) AS tag FROM nation""",
