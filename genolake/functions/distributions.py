@@ -94,3 +94,46 @@ def t_pvalue(t: Column, df: Column) -> Column:
 def smallest_of(p: Column, n: Column) -> Column:
     """P(the smallest of n uniform values <= p): the Beta(1, n) distribution function."""
     return -F.expm1(n * F.log1p(-p))
+
+
+def incomplete_gamma_upper(a: float, x: float) -> float:
+    """Regularised upper incomplete gamma function, by its series below the mean and its continued fraction above."""
+    import math
+
+    if x <= 0:
+        return 1.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - front * total)
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    h = d
+    for i in range(1, 10_000):
+        b += 2
+        num = -i * (i - a)
+        d, c = 1 / (num * d + b), b + num / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def chi2_upper(x: float, df: float) -> float:
+    """P(chi-square with ``df`` degrees of freedom >= x)."""
+    return incomplete_gamma_upper(df / 2, x / 2)
+
+
+# Shape, scale and shift of the gamma distribution that approximates the Tracy-Widom law of order 1 (published; within about 0.001).
+TRACY_WIDOM_GAMMA = (46.446, 0.186054, 9.84801)
+
+
+def tracy_widom_upper(x: float) -> float:
+    """P(Tracy-Widom variable of order 1 >= x)."""
+    shape, scale, shift = TRACY_WIDOM_GAMMA
+    return incomplete_gamma_upper(shape, (x + shift) / scale)

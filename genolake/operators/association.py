@@ -6,13 +6,17 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from genolake.functions.distributions import smallest_of, t_pvalue
 from genolake.operators.blocks import cross_products
 from genolake.operators.statistics import bh, storey
+from genolake.session import checkpoint
 
 MOST_INDIVIDUALS = 5_000
 MOST_COVARIATES = 1_000
+#: The smaller of two packed matrices goes to all tasks up to this size.
+BROADCAST_BYTES = 256 << 20
 
 
 def cis_pairs(genes: DataFrame, snps: DataFrame, distance: int = 1_000_000) -> DataFrame:
@@ -106,11 +110,11 @@ def pair_tests(pairs: DataFrame, expression: DataFrame, doses: DataFrame, covari
 def all_pair_tests(expression: DataFrame, doses: DataFrame, least_t: float = 0.0, at_once: int = 256) -> DataFrame:
     """(gene, snp, n, r, t) of every gene and marker with abs(t) of ``least_t`` or more: products of blocks of both matrices.
 
-    A block of genes meets a block of markers as two dense matrices, so what is dealt is a row per pair of blocks, not one
-    per pair and individual, and pairs under the threshold are never rows.
+    A block of genes meets a block of markers as two dense matrices. The smaller of the two, if it has at most ``BROADCAST_BYTES``, goes to all tasks and
+    the blocks of the other stream past it; beyond that, pairs of blocks are dealt. Pairs under the threshold are never rows.
     """
-    inds = _cohort(doses)
-    shared = expression.sparkSession.sparkContext.broadcast({i: k for k, i in enumerate(inds)})
+    inds, spark = _cohort(doses), expression.sparkSession
+    shared = spark.sparkContext.broadcast({i: k for k, i in enumerate(inds)})
     one, two = (df.schema[c].dataType.simpleString() for df, c in ((expression, "gene"), (doses, "snp")))
 
     def packed(cells: DataFrame, item: str, value: str, kind: str) -> DataFrame:
@@ -132,28 +136,52 @@ def all_pair_tests(expression: DataFrame, doses: DataFrame, least_t: float = 0.0
         rows = cells.select(F.pmod(F.xxhash64(item), F.lit(blocks)).alias("block"), F.col(item).alias("item"), "ind", F.col(value).cast("double").alias("value"))
         return rows.groupBy("block").applyInArrow(run, f"items array<{kind}>, cells binary")
 
-    def multiply(batches: Iterator) -> Iterator:
+    def tested(genes, y, snps, x, kinds):
         import numpy as np
         import pyarrow as pa
 
-        n_inds = len(shared.value)
+        here, there = ~np.isnan(y), ~np.isnan(x)
+        y, x = np.where(here, y - np.nanmean(y, axis=1, keepdims=True), 0), np.where(there, x, 0)
+        a, b = here.astype(float), there.astype(float)
+        n, sy, sx = a @ b.T, y @ b.T, a @ x.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            vy, vx, xy = (y * y) @ b.T - sy * sy / n, a @ (x * x).T - sx * sx / n, y @ x.T - sy * sx / n
+            r = np.clip(xy / np.sqrt(vy * vx), -1, 1)
+            t = r * np.sqrt(n - 2) / np.sqrt(1 - r * r)
+        i, j = np.nonzero((n > 2) & (vy > 1e-9) & (vx > 1e-9) & (np.abs(t) >= least_t))
+        return pa.RecordBatch.from_arrays([pa.array([genes[q] for q in i], kinds[0]), pa.array([snps[q] for q in j], kinds[1]), pa.array(n[i, j].astype(np.int64)), pa.array(r[i, j]), pa.array(t[i, j])], names=["gene", "snp", "n", "r", "t"])
+
+    n_inds, schema = len(inds), f"gene {one}, snp {two}, n long, r double, t double"
+    kinds = [to_arrow_type(df.schema[c].dataType) for df, c in ((expression, "gene"), (doses, "snp"))]
+    sides = [checkpoint(packed(expression, "gene", "v", one)), checkpoint(packed(doses, "snp", "g", two))]
+    sizes = [s.agg(F.coalesce(F.sum(F.length("cells")), F.lit(0))).first()[0] for s in sides]
+    small = 0 if sizes[0] <= sizes[1] else 1
+
+    def both(one_side, other_side):
+        """Blocks of the side that streams and of the other, as genes and markers."""
+        (a, x), (b, y) = ((items, np.frombuffer(cells).reshape(-1, n_inds)) for items, cells in (one_side, other_side))
+        return tested(a, x, b, y, kinds) if small else tested(b, y, a, x, kinds)
+
+    import numpy as np
+
+    if sizes[small] <= BROADCAST_BYTES:
+        held = spark.sparkContext.broadcast([(r["items"], bytes(r["cells"])) for r in sides[small].collect()])
+
+        def stream(batches: Iterator) -> Iterator:
+            for batch in batches:
+                for items, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for other in held.value:
+                        yield both((items, cells), other)
+
+        return sides[1 - small].mapInArrow(stream, schema)
+
+    def meet(batches: Iterator) -> Iterator:
         for batch in batches:
             for k in range(batch.num_rows):
-                genes, snps = batch.column(0)[k].as_py(), batch.column(2)[k].as_py()
-                y, x = (np.frombuffer(batch.column(c)[k].as_py()).reshape(-1, n_inds) for c in (1, 3))
-                here, there = ~np.isnan(y), ~np.isnan(x)
-                y, x = np.where(here, y - np.nanmean(y, axis=1, keepdims=True), 0), np.where(there, x, 0)
-                a, b = here.astype(float), there.astype(float)
-                n, sy, sx = a @ b.T, y @ b.T, a @ x.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    vy, vx, xy = (y * y) @ b.T - sy * sy / n, a @ (x * x).T - sx * sx / n, y @ x.T - sy * sx / n
-                    r = np.clip(xy / np.sqrt(vy * vx), -1, 1)
-                    t = r * np.sqrt(n - 2) / np.sqrt(1 - r * r)
-                i, j = np.nonzero((n > 2) & (vy > 1e-9) & (vx > 1e-9) & (np.abs(t) >= least_t))
-                yield pa.RecordBatch.from_arrays([pa.array([genes[q] for q in i], batch.column(0).type.value_type), pa.array([snps[q] for q in j], batch.column(2).type.value_type), pa.array(n[i, j].astype(np.int64)), pa.array(r[i, j]), pa.array(t[i, j])], names=["gene", "snp", "n", "r", "t"])
-
-    blocks = packed(expression, "gene", "v", one).crossJoin(packed(doses, "snp", "g", two).toDF("items2", "cells2"))
-    return blocks.mapInArrow(multiply, f"gene {one}, snp {two}, n long, r double, t double")
+                items, cells, items2, cells2 = (batch.column(c)[k].as_py() for c in range(4))
+                yield both((items, cells), (items2, cells2))
+
+    return sides[1 - small].crossJoin(sides[small].toDF("items2", "cells2")).mapInArrow(meet, schema)
 
 
 def with_pvalues(tests: DataFrame, most: float | None = None) -> DataFrame:

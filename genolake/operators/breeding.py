@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genolake.operators.blocks import cross_products
+from genolake.operators.skew import hand_back
+from genolake.operators.statistics import value_ranks
 
 
 def yield_loss(pheno: DataFrame, share: float = 0.2) -> DataFrame:
@@ -32,10 +34,17 @@ def best_controls(means: DataFrame, share: float = 0.1) -> DataFrame:
 
 
 def registered(candidates: DataFrame, controls: DataFrame, gain: float = 1.03, least2: float = 14.0) -> DataFrame:
-    """Candidates that beat the controls' mean of trait 1 and reach a level of trait 2, with their yield."""
+    """Candidates that beat the controls' mean of trait 1 and reach a level of trait 2, with their yield and its rank, the highest first.
+
+    Equal yields (to nine decimals) share a rank, and the next one counts them all. Ranks are taken per distinct yield and handed back.
+    """
     mean = controls.agg(F.avg("trait1").alias("control1"))
     ok = (F.col("trait1") >= gain * F.col("control1")) & (F.col("trait2") >= least2)
-    return candidates.crossJoin(F.broadcast(mean)).select("ind", "trait1", "trait2", (F.col("trait1") * F.col("trait2") / 100).alias("yield"), ok.alias("registered"))
+    rows = candidates.crossJoin(F.broadcast(mean)).select("ind", "trait1", "trait2", (F.col("trait1") * F.col("trait2") / 100).alias("yield"), ok.alias("registered"))
+    rows = rows.withColumn("_low", -F.round("yield", 9))
+    ranks = value_ranks(rows, "_low").select("_low", "size", (F.col("below") + 1).alias("rank"))
+    ranked = hand_back(rows.filter("_low is not null"), ranks, "_low", "size").unionByName(rows.filter("_low is null"), allowMissingColumns=True)
+    return ranked.drop("_low")
 
 
 def budget(ledger: DataFrame, costs: dict[str, float]) -> DataFrame:
@@ -162,6 +171,27 @@ def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float | None = No
     return z.join(F.broadcast(weights), "ind").groupBy("snp").agg(F.sum(F.col("z") * F.col("w")).alias("effect")), mean
 
 
+def additive_variance(doses: DataFrame, var_u: float) -> DataFrame:
+    """(sum_het, var_a): summed heterozygosity of the markers, and the additive variance of markers whose effects have variance ``var_u``."""
+    per = doses.groupBy("snp").agg((F.avg("g") / 2).alias("f"))
+    return per.agg(F.sum(2 * F.col("f") * (1 - F.col("f"))).alias("sum_het")).select("sum_het", (F.col("sum_het") * var_u).alias("var_a"))
+
+
+def ridge_variances(doses: DataFrame, pheno: DataFrame, most_inds: int = 5000) -> DataFrame:
+    """One row: variance of marker effects and of errors by REML, their ratio (the penalty), and the additive variance of the markers."""
+    import numpy as np
+
+    inds, y, _, k = _cohort(doses, pheno, most_inds)
+    values, vectors = np.linalg.eigh(k)
+    ones, turned = vectors.T @ np.ones(len(inds)), vectors.T @ y
+    penalty = reml_ratio(values, ones, turned)
+    weight = 1 / (np.clip(values, 0, None) + penalty)
+    rest = turned - ones * ((weight * ones * turned).sum() / (weight * ones * ones).sum())
+    var_u = float((weight * rest * rest).sum() / (len(inds) - 1))
+    found = additive_variance(doses, var_u)
+    return found.select(F.lit(var_u).alias("var_u"), F.lit(var_u * penalty).alias("var_e"), F.lit(penalty).alias("penalty"), "sum_het", "var_a")
+
+
 def predict(doses: DataFrame, effects: DataFrame, mean: float) -> DataFrame:
     freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
     return doses.join(freq, "snp").join(effects, "snp").groupBy("ind").agg((F.sum((F.col("g") - F.col("c")) * F.col("effect")) + mean).alias("predicted"))

@@ -44,30 +44,42 @@ def residuals(values: DataFrame, x: str, y: str, by: str) -> DataFrame:
     return values.join(fit, by).withColumn("residual", F.col(y) - F.col("intercept") - F.col("slope") * F.col(x))
 
 
-def remove_confounders(values: DataFrame, confounders: DataFrame) -> DataFrame:
+def remove_confounders(values: DataFrame, confounders: DataFrame, most_entries: int = 1 << 24) -> DataFrame:
     """Residuals of each gene on several confounders, after centring and scaling.
 
-    values: (gene, ind, v); confounders: (ind, name, c). The normal equations have one row per pair of
-    confounders, summed by Spark; their solution is one small matrix.
+    values: (gene, ind, v); confounders: (ind, name, c), what is missing counts as 0. The confounders are one matrix, whose size is checked, and go
+    to the tasks with their inverse normal equations; a gene's values meet them in the task where the gene is.
     """
     import numpy as np
 
-    stats = values.groupBy("gene").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
-    scaled = values.join(stats, "gene").select("gene", "ind", F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)).alias("y"))
-    names = sorted(r[0] for r in confounders.select("name").distinct().limit(1001).collect())
-    if len(names) > 1000:
-        raise ValueError("at most 1000 confounders")
-    a, b = confounders.select("ind", F.col("name").alias("n1"), F.col("c").alias("c1")), confounders.select("ind", F.col("name").alias("n2"), F.col("c").alias("c2"))
-    gram = np.zeros((len(names), len(names)))
-    for r in a.join(b, "ind").groupBy("n1", "n2").agg(F.sum(F.col("c1") * F.col("c2")).alias("s")).collect():
-        gram[names.index(r["n1"]), names.index(r["n2"])] = r["s"]
-    inverse = np.linalg.pinv(gram)
     spark = values.sparkSession
-    inv = spark.createDataFrame([(names[i], names[j], float(inverse[i, j])) for i in range(len(names)) for j in range(len(names))], "n1 string, n2 string, w double")
-    xy = scaled.join(confounders, "ind").groupBy("gene", F.col("name").alias("n2")).agg(F.sum(F.col("y") * F.col("c")).alias("xy"))
-    beta = xy.join(F.broadcast(inv), "n2").groupBy("gene", F.col("n1").alias("name")).agg(F.sum(F.col("w") * F.col("xy")).alias("beta"))
-    fitted = confounders.join(beta, "name").groupBy("gene", "ind").agg(F.sum(F.col("beta") * F.col("c")).alias("fit"))
-    return scaled.join(fitted, ["gene", "ind"], "left").select("gene", "ind", (F.col("y") - F.coalesce("fit", F.lit(0.0))).alias("residual"))
+    rows = confounders.filter("c is not null").limit(most_entries + 1).collect()
+    if len(rows) > most_entries:
+        raise ValueError(f"at most {most_entries} values of confounders")
+    inds, names = ({x: k for k, x in enumerate(sorted({r[c] for r in rows}))} for c in ("ind", "name"))
+    if len(inds) * len(names) > most_entries:
+        raise ValueError(f"at most {most_entries} individuals times confounders")
+    design = np.zeros((len(inds), len(names)))
+    for r in rows:
+        design[inds[r["ind"]], names[r["name"]]] += r["c"]
+    shared = spark.sparkContext.broadcast((inds, design, np.linalg.pinv(design.T @ design)))
+
+    def left(table):
+        import numpy as np
+        import pyarrow as pa
+
+        inds, design, inverse = shared.value
+        v = np.array(table.column("v").to_pylist(), dtype=float)
+        known = ~np.isnan(v)
+        spread = v[known].std(ddof=1) if known.sum() > 1 else 0.0
+        y = np.where(known, v - v[known].mean(), 0) / spread if spread > 0 else np.zeros(len(v))
+        place = [inds.get(i, -1) for i in table.column("ind").to_pylist()]
+        c = np.concatenate([design, np.zeros((1, design.shape[1]))])[place]
+        return pa.table({"gene": table.column("gene"), "ind": table.column("ind"), "residual": pa.array(np.where(known, y - c @ (inverse @ (c.T @ y)), 0.0))})
+
+    kinds = [values.schema[c].dataType.simpleString() for c in ("gene", "ind")]
+    cells = values.select("gene", "ind", F.col("v").cast("double").alias("v"))
+    return cells.groupBy("gene").applyInArrow(left, f"gene {kinds[0]}, ind {kinds[1]}, residual double")
 
 
 def components(values: DataFrame, most_samples: int = 5000) -> DataFrame:

@@ -133,6 +133,32 @@ def pair_counters(pairs: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs"), F.count_if(one & two).alias("trimmed_pairs"), F.count_if(one & ~two).alias("trimmed_r1"), F.count_if(~one & two).alias("trimmed_r2"))
 
 
+def write_trimmed(pairs: DataFrame, path: str) -> dict:
+    """Write both trimmed mates (``kind=r1``, ``kind=r2``, FASTQ or FASTA by whether there are qualities) and the log of matches (``kind=log``, read, mate, adapter and place)
+    from one pass over the reads; the counters are observed in the same pass and returned.
+
+    pairs: what ``trim_pairs`` gives, with ``qual`` and ``qual2`` or without.
+    """
+    from pyspark.sql import Observation
+
+    name, one, two = F.col("read_id").cast("string"), F.col("cut1") < F.length("seq"), F.col("cut2") < F.length("seq2")
+
+    def record(k: str, qual: str) -> Column:
+        if qual not in pairs.columns:
+            return F.concat(F.lit(">"), name, F.lit("\n"), F.col(f"trimmed{k}"))
+        return F.concat(F.lit("@"), name, F.lit("\n"), F.col(f"trimmed{k}"), F.lit("\n+\n"), F.substring(F.col(qual), F.lit(1), F.col(f"cut{k}")))
+
+    logged = lambda k: F.transform(F.map_entries(f"places{k}"), lambda e: F.struct(F.lit("log").alias("kind"), F.concat_ws("\t", name, F.lit(k), e["key"], e["value"].cast("string")).alias("value")))
+    reads = F.array(*[F.struct(F.lit(f"r{k}").alias("kind"), record(k, q).alias("value")) for k, q in (("1", "qual"), ("2", "qual2"))])
+    counters = Observation("trimmed")
+    counted = pairs.observe(
+        counters, F.count(F.lit(1)).alias("pairs"), F.count_if(one & two).alias("trimmed_pairs"), F.count_if(one & ~two).alias("trimmed_r1"), F.count_if(~one & two).alias("trimmed_r2")
+    )
+    lines = counted.select(F.explode(F.concat(reads, logged("1"), logged("2"))).alias("x")).select("x.kind", "x.value")
+    lines.write.partitionBy("kind").text(path)
+    return counters.get
+
+
 def adapter_cuts(seqs: list[str], adapter: str, tolerance: float = 0.2, overlap: int = 3, indels: bool = True):
     """Where a 3' adapter begins in each sequence (its length: nowhere).
 

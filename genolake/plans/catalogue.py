@@ -19,7 +19,7 @@ from genolake.operators import relational as rel
 from genolake.operators import statistics as st
 from genolake.operators import trimming as tr
 from genolake.operators import variants as va
-from genolake.plans import files, predicates  # noqa: F401
+from genolake.plans import files, models, predicates  # noqa: F401
 from genolake.plans.derive import cte
 from genolake.plans.registry import ORACLES, QUERIES, query
 
@@ -56,8 +56,11 @@ f AS (SELECT gene, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM x GROUP
 SELECT gene, subgroup, ind, round(y - a - b * x, 6) AS residual FROM x JOIN f USING (gene)""")(
     lambda e: ex.residuals(e.select("gene", "subgroup", "ind", F.col("ind").cast("double").alias("x"), F.ln("v").alias("y")), "x", "y", "gene").filter("slope is not null").select("gene", "subgroup", "ind", F.round("residual", 6).alias("residual"))
 )
-query("confounder_residuals", "expression")(
-    lambda e: ex.remove_confounders(e.groupBy("gene", "ind").agg(F.avg("v").alias("v")), e.select("ind").distinct().select("ind", F.explode(F.create_map(F.lit("c1"), F.col("ind") * 1.0, F.lit("c2"), (F.col("ind") % 3) * 1.0)).alias("name", "c")))
+query("confounder_residuals", "expression", sql="""+ v AS (SELECT gene, ind, avg(v) AS v FROM expression GROUP BY gene, ind), i AS (SELECT DISTINCT ind, ind * 1E0 AS c1, ind % 3 * 1E0 AS c2 FROM expression),
+g AS (SELECT sum(c1 * c1) AS s11, sum(c1 * c2) AS s12, sum(c2 * c2) AS s22 FROM i), s AS (SELECT gene, avg(v) AS m, coalesce(stddev_samp(v), 0) AS s FROM v GROUP BY gene),
+y AS (SELECT gene, ind, c1, c2, CASE WHEN s > 0 THEN (v - m) / s ELSE 0E0 END AS y FROM v JOIN s USING (gene) JOIN i USING (ind)), x AS (SELECT gene, sum(c1 * y) AS x1, sum(c2 * y) AS x2 FROM y GROUP BY gene)
+SELECT gene, ind, round(y - (c1 * (s22 * x1 - s12 * x2) + c2 * (s11 * x2 - s12 * x1)) / (s11 * s22 - s12 * s12), 6) AS residual FROM y JOIN x USING (gene) CROSS JOIN g""")(
+    lambda e: ex.remove_confounders(e.groupBy("gene", "ind").agg(F.avg("v").alias("v")), e.select("ind").distinct().select("ind", F.explode(F.create_map(F.lit("c1"), F.col("ind") * 1.0, F.lit("c2"), (F.col("ind") % 3) * 1.0)).alias("name", "c"))).withColumn("residual", F.round("residual", 6))
 )
 query("pca_gram", "expression")(lambda e: ex.components(e.groupBy("gene", "ind").agg(F.avg("v").alias("v"))))
 query("genes_in_all_groups", "expression", sql="SELECT gene FROM expression GROUP BY gene HAVING count(DISTINCT subgroup) = (SELECT count(DISTINCT subgroup) FROM expression)")(lambda e: rel.in_all_groups(e, "gene", "subgroup"))
@@ -151,8 +154,8 @@ query("zip_mates", "reads", sql="SELECT read_id AS file_pos, concat('r', CAST(re
     lambda r: rel.zip_mates(r.select(F.col("read_id").alias("file_pos"), F.concat(F.lit("r"), "read_id", F.lit(" 1")).alias("read_id1"), F.col("seq").alias("seq1")), r.select(F.col("read_id").alias("file_pos"), F.concat(F.lit("r"), "read_id", F.lit(" 2")).alias("read_id2"), "seq2")).select("file_pos", "name", "seq1", "seq2")
 )
 query("dedup_first", "events", sql="SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1")(lambda e: rel.first_occurrences(e, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id"))
-query("set_diff", "customer", "orders", sql="""SELECT k, 'left' AS side FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey AS k FROM orders EXCEPT SELECT c_custkey FROM customer)""")(
-    lambda c, o: rel.differences(c.select(F.col("c_custkey").alias("k")), o.select(F.col("o_custkey").alias("k")))
+query("set_diff", "customer", "orders", sql="""SELECT k, 'left' AS side FROM (SELECT c_custkey * 3 AS k FROM customer EXCEPT SELECT o_custkey * 2 FROM orders) UNION ALL SELECT k, 'right' FROM (SELECT o_custkey * 2 AS k FROM orders EXCEPT SELECT c_custkey * 3 FROM customer)""")(
+    lambda c, o: rel.differences(c.select((F.col("c_custkey") * 3).alias("k")), o.select((F.col("o_custkey") * 2).alias("k")))
 )
 query("set_intersection", "customer", "orders", sql="SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders")(lambda c, o: c.select(F.col("c_custkey").alias("k")).intersect(o.select(F.col("o_custkey").alias("k"))))
 query("union_labelled", "customer", "supplier", sql="SELECT c_name AS name, c_nationkey AS nation, 'customer' AS origin FROM customer UNION ALL SELECT s_name, s_nationkey, 'supplier' FROM supplier")(
@@ -367,8 +370,8 @@ _MEANS = "SELECT ind, avg(trait1) AS trait1, avg(trait2) AS trait2 FROM phenotyp
 query("controls_topk", "phenotypes", sql=f"""+ m AS ({_MEANS}), t AS (SELECT *, row_number() OVER (ORDER BY trait1 DESC, ind) AS k, count(*) OVER () AS n, avg(trait2) OVER () AS mean2 FROM m)
 SELECT ind, round(trait1, 6) AS trait1, round(trait2, 6) AS trait2 FROM t WHERE k <= ceil(n / 10.0) AND trait2 > mean2""")(lambda p: br.best_controls(br.individual_means(p)).select("ind", F.round("trait1", 6).alias("trait1"), F.round("trait2", 6).alias("trait2")))
 query("registration_rank", "phenotypes", sql=f"""+ m AS ({_MEANS}), c AS (SELECT avg(trait1) AS c1 FROM m WHERE ind % 5 = 0)
-SELECT ind, round(trait1, 6) AS trait1, round(trait2, 6) AS trait2, round(trait1 * trait2 / 100, 6) AS "yield", trait1 >= 1.03 * c1 AND trait2 >= 14 AS registered FROM m CROSS JOIN c WHERE ind % 5 <> 0""")(
-    lambda p: br.registered(br.individual_means(p).filter("ind % 5 <> 0"), br.individual_means(p).filter("ind % 5 = 0")).select("ind", *[F.round(c, 6).alias(c) for c in ("trait1", "trait2", "yield")], "registered")
+SELECT ind, round(trait1, 6) AS trait1, round(trait2, 6) AS trait2, round(trait1 * trait2 / 100, 6) AS "yield", trait1 >= 1.03 * c1 AND trait2 >= 14 AS registered, rank() OVER (ORDER BY round(trait1 * trait2 / 100, 9) DESC) AS rank FROM m CROSS JOIN c WHERE ind % 5 <> 0""")(
+    lambda p: br.registered(br.individual_means(p).filter("ind % 5 <> 0"), br.individual_means(p).filter("ind % 5 = 0")).select("ind", *[F.round(c, 6).alias(c) for c in ("trait1", "trait2", "yield")], "registered", "rank")
 )
 _COST = "CASE task " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in COSTS.items()) + " ELSE 0 END"
 query("breeder_budget", "ledger", sql=f"SELECT breeder, task, CAST(sum(quantity) AS BIGINT) AS quantity, CAST(round(sum(quantity * {_COST}), 4) AS DOUBLE) AS cost FROM ledger GROUP BY ROLLUP (breeder, task)")(lambda x: br.budget(x, COSTS).withColumn("cost", F.round("cost", 4)))

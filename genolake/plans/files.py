@@ -27,7 +27,7 @@ def _text(lines: DataFrame, name: str) -> str:
 def _fastq(r: DataFrame) -> DataFrame:
     path = scratch(r.sparkSession, "fastq")
     tf.write_fastq(r.select((F.col("read_id") % 3).alias("part"), F.concat(F.lit("r"), "read_id").alias("read_id"), "seq", F.translate("seq", "ACGT", "I5?+").alias("qual")), path, "part")
-    return tf.read_fastq(r.sparkSession, f"{path}/*/*.gz").select("read_id", "seq", "qual")
+    return tf.read_fastq(r.sparkSession, f"{path}/*/*.gz", numbered=False).select("read_id", "seq", "qual")
 
 
 query("source_fastq", "reads", sql="SELECT concat('r', CAST(read_id AS VARCHAR)) AS read_id, seq, translate(seq, 'ACGT', 'I5?+') AS qual FROM reads")(_fastq)
