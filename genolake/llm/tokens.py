@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import os
+import unicodedata
 
 #: Words whose ids a worker remembers; beyond it only those of the text at hand are kept (a bound of memory, with the same result).
 REMEMBERED_WORDS = 500_000
@@ -97,8 +98,11 @@ class WordEncoder:
         core = word.rstrip(self.MARKS)
         if len(core) in (0, len(word)):
             return word, b""
-        last = core[-1:] if core[-1] < 128 else core.decode("utf-8")[-1]
-        return (core, word[len(core) :]) if last.isalnum() else (word, b"")
+        if core[-1] < 128:
+            cut = core[-1:].isalnum()
+        else:  # what the tokenizer makes of the last character may end in a mark, which it would join with those behind it
+            cut = unicodedata.normalize("NFC", core.decode("utf-8")[-1]).lower()[-1].isalnum()
+        return (core, word[len(core) :]) if cut else (word, b"")
 
     def _learn(self, new: list[bytes]) -> None:
         import numpy as np

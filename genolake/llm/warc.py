@@ -16,14 +16,14 @@ Defined results: null html is an empty payload; a null url becomes ``urn:page:<i
 percent-encoded, as the header line is cut at spaces. Repeated page ids are all written; equal payloads under the
 largest page id are all responses. A null page id ranks below all others; where no record of a payload has an id, as in
 archives made elsewhere, the last one by archive and offset is the response. Empty tables give empty
-results. Other columns are not read.
+results. A payload longer than ``ARCHIVE_BYTES`` has an archive of its own. Header lines may end in CRLF or in LF. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import tempfile
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,7 +31,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from genolake.session import checkpoint
+from genolake.session import checkpoint, drop, scratch
 
 ARCHIVE_BYTES = 4 << 20
 LEAST_REVISIT = 1000
@@ -43,17 +43,6 @@ ARC_FIELDS = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder beside the checkpoints, which all executors reach."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = spark.conf.get("spark.checkpoint.dir", "")
-        if not own and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-ckpt-"))
-    return f"{sc.getCheckpointDir().rstrip('/')}/archives-{uuid.uuid4().hex}"
-
-
 # --- ARC ---------------------------------------------------------------------------------------------------
 
 
@@ -113,15 +102,15 @@ def parse_arc(data: bytes) -> Iterator[tuple[int, dict, bytes]]:
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes] | None:
-    """Header with its blank line, and payload; None if it is not an HTTP message."""
+    """Header with its blank line, and payload; None if it is not an HTTP message. Lines may end in CRLF or, as old servers sent them, in LF."""
     if not block.startswith(b"HTTP/"):
         return None
-    head, sep, payload = block.partition(b"\r\n\r\n")
-    return head + sep, payload
+    end = re.search(rb"\r?\n\r?\n", block)
+    return (block[: end.end()], block[end.end() :]) if end else (block, b"")
 
 
 def http_field(head: bytes, name: bytes) -> str | None:
-    for line in head.split(b"\r\n")[1:]:
+    for line in re.split(rb"\r?\n", head)[1:]:
         key, _, value = line.partition(b":")
         if key.strip().lower() == name.lower():
             return value.strip().decode("utf-8", "replace")
@@ -348,10 +337,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def report(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """Pages to ARC, ARC to WARC, and back from WARC: one row per page."""
-    folder = shared_folder(spark)
+    folder = scratch(spark, "archives")
     write_arc(pages, f"{folder}/arc")
     convert(spark, f"{folder}/arc", f"{folder}/warc")
     records = checkpoint(read_warc(spark, f"{folder}/warc"))
+    drop(spark, folder)
     own = ["page_id", "payload_bytes", "payload_digest", "record_type"]
     responses = records.filter("record_type = 'response'")
     revisits = records.filter("record_type = 'revisit'").groupBy("path", "refers_to_id").agg(F.collect_list(F.struct(*own)).alias("members"))

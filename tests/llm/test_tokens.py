@@ -32,6 +32,21 @@ def test_word_encoder_equals_the_library():
     assert list(tokens.slices(pa.array(["aa", None, "bbbb", "", "c"]), 3)) == [(0, 2), (2, 1), (3, 2)]
 
 
+def test_words_whose_last_character_changes():
+    """Every character that is longer in lower case or decomposes, before a mark: the ids are the library's."""
+    import unicodedata
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    changed = [c for c in map(chr, [*range(128, 0xD800), *range(0xE000, 0x30000)]) if len(c.lower()) > 1 or len(unicodedata.normalize("NFC", c)) > 1]
+    some = [f"{w}{c}{m}" for c in changed for w in ("", "x") for m in (".", ",!")] + ["AL\u0130.", "x \u0130, y", "\u0130\u0307.", "\u0958?"]
+    ids, cuts = tokens.WordEncoder(path).encode(pa.array(some))
+    want = Tokenizer.from_file(path).encode_batch(some, add_special_tokens=False)
+    assert "\u0130" in changed and [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [w.ids for w in want]
+
+
 def test_packing_places_every_piece_once(spark):
     import numpy as np
 
@@ -345,6 +360,32 @@ def test_foreign_archives(spark, tmp_path):
         warc.inflate(gzip.compress(b"a" * 100)[:-9])
 
 
+def test_headers_with_bare_line_feeds(spark, tmp_path):
+    """Old servers ended header lines in LF, or in both ways; a record without a blank line is all header."""
+    import hashlib
+    import os
+
+    payload = b"<p>\n\nold\r\n\r\n" + b"x" * 2000
+    heads = [b"HTTP/1.0 200 OK\nServer: s\nX-Page-Id: 7\n\n", b"HTTP/1.0 200 OK\r\nServer: s\n\r\n", b"HTTP/1.0 200 OK\nServer: s\r\n\n", b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\n"]
+    assert all(warc.split_http(h + payload) == (h, payload) for h in heads) and warc.split_http(heads[0][:-2]) == (heads[0][:-2], b"")
+    assert warc.http_field(heads[0], b"X-Page-Id") == "7" and warc.http_field(heads[3], b"server") == "s"
+    os.makedirs(tmp_path / "arc")
+    records = [(f"http://h/{k}", "1.2.3.4", "20010203040506", h + payload) for k, h in enumerate(heads)]
+    (tmp_path / "arc/a.arc").write_bytes(warc.arc_file(1, "a.arc", records))
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = warc.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted(x.record_type for x in got) == ["response", "revisit", "revisit", "revisit"]
+    assert {(x.payload_digest) for x in got} == {hashlib.sha1(payload).hexdigest()}
+    assert sum(x.payload_bytes == len(payload) for x in got) >= 1
+
+
+def test_payload_longer_than_an_archive(spark):
+    long = "é\n" * (3 << 20)  # 9 MB of text, over two archives' size
+    pages = spark.createDataFrame([(1, "u", long), (2, "v", "short"), (3, "w", long)], "page_id long, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.report(spark, pages).collect()}
+    assert got == {1: (9 << 20, "revisit", 3), 2: (5, "response", None), 3: (9 << 20, "response", None)}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_versions(version):
     records = [("http://x/", "1.2.3.4", "20010203040506", b"HTTP/1.0 200 OK\r\nA: b\r\n\r\nbody\n\n"), ("dns:x", "1.2.3.4", "20010203040506", b"10.0.0.1\n")]
