@@ -1,10 +1,10 @@
 """Exact dedup: tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every row is dealt to one of ``runs`` base runs (a power of two, as many as the cluster has shuffle partitions or more) by a hash of
-its id. A run is the list of the distinct digests in it, sorted; each entry holds the best row so far (longest original text,
+Every row is dealt to one of ``runs`` base runs (a power of two, as many as the cluster has shuffle partitions or more), in turn, whatever its
+id. A run is the list of the distinct digests in it, sorted; each entry holds the best row so far (longest original text,
 then smallest id) and the number of rows it stands for. The runs form a binomial tree: in round k run i takes over
 the entries of run i + 2**k, for every i divisible by 2**(k+1). A round is one exchange, in which both runs' entries go to the slices of the
-run that stays (``SLICES`` parts by the digest, so that late rounds are spread as well), are sorted there and merged in order: entries of equal
+run that stays (parts by the digest, as many as the cluster has partitions, ``SLICES`` at least, so that late rounds are spread as well), are sorted there and merged in order: entries of equal
 keys meet, the best row is retained and the counts add up. After log2(runs) rounds run 0 holds one entry per digest.
 
 The decisions go back to the base runs in one join, as a digest has at most one entry per run, and from there to the rows, which
@@ -16,7 +16,7 @@ entry is merged only when all three agree.
 Defined results: null text counts as empty, so all null and blank texts are one group. Repeated rows count
 one each; rows that tie in length and id (the same row twice) share their keep_id, and each of them counts as
 kept. A null id is ordered after all others, so it is kept only in a group without other ids of that length.
-Empty tables give empty results. Clashing extra columns are not read.
+Empty tables give empty results. A long text is hashed whole. Clashing extra columns are not read.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ from pyspark.sql import functions as F
 from genolake.session import checkpoint, partitions
 
 KEY = ["sha", "n_chars_norm", "second_hash"]
-#: Parts of a run that are merged apart.
+#: Parts of a run that are merged apart, at least.
 SLICES = 64
 SPACES = r"[\x20\x09-\x0D]+"
 
 
 def digest_runs(docs: DataFrame, runs: int) -> DataFrame:
+    """Rows with their keys and runs. A row's run depends on its place in the table, so the result is kept in the checkpoint folder."""
     text = F.coalesce(F.col("text"), F.lit(""))
     norm = docs.select("doc_id", F.length(text).alias("len"), F.regexp_replace(text, SPACES, "").alias("norm"))
     return norm.select(
@@ -41,7 +42,7 @@ def digest_runs(docs: DataFrame, runs: int) -> DataFrame:
         F.unhex(F.sha2("norm", 256)).alias("sha"),
         F.length("norm").alias("n_chars_norm"),
         F.xxhash64("norm").alias("second_hash"),
-        F.pmod(F.xxhash64("doc_id", "len"), F.lit(runs)).cast("int").alias("run"),
+        F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(runs)).cast("int").alias("run"),
     )
 
 
@@ -66,7 +67,7 @@ def resolve(docs: DataFrame, runs: int | None = None) -> DataFrame:
     base = checkpoint(digest_runs(docs, runs))
     # The smallest struct wins: longest text, then ids before null, then the smallest id.
     best = F.struct((-F.col("len")).alias("neg_len"), F.col("doc_id").isNull().alias("no_id"), "doc_id")
-    slices = F.pmod(F.col("second_hash"), F.lit(SLICES)).cast("int").alias("slice")
+    slices = F.pmod(F.col("second_hash"), F.lit(max(SLICES, n))).cast("int").alias("slice")
     level = held = _merged(base.select("run", slices, *KEY, best.alias("best"), F.lit(1).cast("long").alias("rows")))
     for k in range(rounds):
         level = exchange(level, k, n)
