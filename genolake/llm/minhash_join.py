@@ -8,18 +8,16 @@ similarity. The join:
    a class that is left with fewer than ``matches`` pairs: no other can agree with it in as many coordinates.
 2. Prefix: of the pairs that are left, the rarest first, all but ``matches - 1`` are looked at. Two
    classes with ``matches`` agreeing coordinates meet under one of them.
-3. Under a pair, collisions over all coordinates are counted between each class and the leaders of groups seen so
-   far. Skip: members of a group are not compared with one another there, and an edge goes out only between
-   groups not yet joined, so there are fewer edges than classes. ``NEAR`` collisions join a group to a leader:
-   what is linked with a member has at least so many with its leader.
-4. Groups are closed to candidate components, and the full sets of a component meet. Inside, shingles
+3. Under a pair, collisions over all coordinates are counted, and pairs of classes with ``matches`` or more are retained. Skip: a class that a
+   retained pair has joined to a group is not met again there, so a group of m classes leaves m - 1 pairs, its tree, and not all of them. The list of a
+   pair with more than ``LIST`` classes is dealt out as pairs of blocks of about that size, in which all of its classes still meet.
+4. Retained pairs are closed to candidate components, and the full sets of a component meet. Inside, shingles
    are indexed and intersections counted; what reaches the similarity is linked. A component of more than ``BLOCK``
    classes, or ``BLOCK_SHINGLES`` shingles, is dealt out as pairs of blocks of at most about that size.
 
 Links are thus confirmed on full sets, and all of a component's classes are compared: signatures only decide
 what meets. A pair at the similarity bound fails to agree in ``matches`` of ``COORDINATES`` with a chance of about
-2 in a million; that a linked text has ``NEAR`` collisions with a member's leader is likely, not certain. A test
-measures both together on thousands of pairs near the bound.
+2 in a million; all others that are similar enough meet for certain. A test measures it on thousands of pairs near the bound.
 
 Defined results: null text or no word gives an empty set, 0 shingles and a component of its own. Repeated rows, and
 rows that share an id, are judged by their sets; a null id is ordered after all others. A component is named by its
@@ -37,10 +35,11 @@ from pyspark.sql import functions as F
 
 from genolake.llm.components import connected_components
 from genolake.llm.runs import NULL_ID, word_hashes
+from genolake.operators.skew import hand_back
 from genolake.session import checkpoint, partitions
 
 COORDINATES = 64
-NEAR = 8
+LIST = 20_000
 BLOCK = 1000
 BLOCK_SHINGLES = 2_000_000
 PERCENT = 85
@@ -127,85 +126,87 @@ def sketches(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return keyed.mapInArrow(run, "doc_id long, _d long, mark binary, n long, digest binary, signature array<long>")
 
 
-def candidate_edges(classes: DataFrame, matches: int) -> DataFrame:
-    """(a, b): classes, by ``nid``, that may be linked, or are needed to reach one that is."""
+def collision_tree(marks, matches: int) -> list[tuple[int, int]]:
+    """Pairs of rows of ``marks`` with at least ``matches`` collisions (equal marks that are not 0) that join all rows which such pairs join."""
+    import numpy as np
+
+    left, out = np.arange(len(marks)), []
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            met = np.count_nonzero((marks[left] == marks[at]) & (marks[at] != 0), axis=1) >= matches
+            if met.any():
+                found = left[met].tolist()
+                out.extend((at, x) for x in found)
+                front.extend(found)
+                left = left[~met]
+    return out
+
+
+def candidate_edges(classes: DataFrame, matches: int, most: int = LIST) -> DataFrame:
+    """(a, b): pairs of classes, by ``nid``, that agree in ``matches`` coordinates; a tree of each group under a coordinate-value pair."""
     n = partitions(classes.sparkSession)
     posted = classes.select("nid", F.explode("signature").alias("pair"))
     shared = posted.groupBy("pair").agg(F.count("*").alias("df")).filter("df > 1")
     held = posted.join(shared.hint("merge"), "pair").groupBy("nid").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("pairs"))
     held = held.filter(F.size("pairs") >= matches)
-    prefix = held.select("nid", F.transform("pairs", lambda p: p["pair"]).alias("pairs"), (F.size("pairs") - (matches - 1)).alias("k"))
+    prefix = held.select("nid", F.transform("pairs", lambda p: p["pair"]).alias("pairs"), F.transform("pairs", lambda p: F.ceil(p["df"] / most)).alias("blocks"), (F.size("pairs") - (matches - 1)).alias("k"))
+    kinds, names = {"pair": "long", "block": "long", "nid": "long", "mark": "binary"}, ["pair", "block", "nid", "mark"]
 
     def post(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            pairs, nids, marks = [], [], []
-            for nid, held, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            cols: list[list] = [[], [], [], []]
+            for nid, held, blocks, k in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 mark = np.zeros(COORDINATES, dtype=np.uint8)
                 values = np.array(held, dtype=np.int64)
                 mark[values >> 32] = values & 255
-                pairs.extend(held[:k])
-                nids.extend([nid] * k)
-                marks.extend([mark.tobytes()] * k)
-                if len(pairs) > 20000:
-                    yield _record_batch([pairs, nids, marks], (pa.int64(), pa.int64(), pa.binary()), ["pair", "nid", "mark"])
-                    pairs, nids, marks = [], [], []
-            if pairs:
-                yield _record_batch([pairs, nids, marks], (pa.int64(), pa.int64(), pa.binary()), ["pair", "nid", "mark"])
+                raw = mark.tobytes()
+                for pair, of in zip(held[:k], blocks, strict=False):
+                    mine = (nid * 0x9E3779B97F4A7C15 >> 33) % of if of > 1 else 0
+                    for other in range(of):
+                        for col, x in zip(cols, (pair, min(mine, other) << 32 | max(mine, other), nid, raw), strict=True):
+                            col.append(x)
+                if len(cols[0]) > 20000:
+                    yield _record_batch(cols, types, names)
+                    cols = [[], [], [], []]
+            if cols[0]:
+                yield _record_batch(cols, types, names)
 
     def meet(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        pair = None
-        leaders = np.zeros((16, COORDINATES), dtype=np.uint8)
-        ids: list[int] = []
-        parent: list[int] = []
-        a, b = [], []
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
+        def close(nids, marks):
+            tree = collision_tree(marks, matches)
+            return [(int(nids[i]), int(nids[j])) for i, j in tree]
 
+        key, nids, marks = None, np.zeros(0, np.int64), np.zeros((0, COORDINATES), np.uint8)
         for batch in batches:
-            for p, nid, mark in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if p != pair:
-                    pair = p
-                    ids.clear()
-                    parent.clear()
-                m = np.frombuffer(mark, dtype=np.uint8)
-                got = np.zeros(0, np.int64)
-                if ids:
-                    got = np.count_nonzero((leaders[: len(ids)] == m) & (m != 0), axis=1)
-                    roots = sorted({root(int(i)) for i in np.flatnonzero(got >= NEAR)})
-                    if roots:
-                        a.append(nid)
-                        b.append(ids[roots[0]])
-                        for other in roots[1:]:
-                            parent[other] = roots[0]
-                            a.append(ids[other])
-                            b.append(ids[roots[0]])
-                if not len(got) or got.max() < matches:
-                    if len(ids) == len(leaders):
-                        leaders = np.concatenate([leaders, np.zeros_like(leaders)])
-                    leaders[len(ids)] = m
-                    ids.append(nid)
-                    parent.append(len(parent))
-                    joined = [r for r in ({root(int(i)) for i in np.flatnonzero(got >= NEAR)} if len(got) else ())]
-                    if joined:
-                        parent[-1] = joined[0]
-            if len(a) > 20000:
-                yield _record_batch([a, b], (pa.int64(), pa.int64()), ["a", "b"])
-                a, b = [], []
-        if a:
-            yield _record_batch([a, b], (pa.int64(), pa.int64()), ["a", "b"])
-
-    posts = prefix.mapInArrow(post, "pair long, nid long, mark binary")
-    return posts.repartition(n, "pair").sortWithinPartitions("pair", "nid").mapInArrow(meet, "a long, b long").distinct()
+            pair, block, nid = (batch.column(i).to_numpy() for i in range(3))
+            raw = batch.column(3)
+            mark = np.frombuffer(b"".join(raw.to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+            cuts = np.append(0, np.flatnonzero((pair[1:] != pair[:-1]) | (block[1:] != block[:-1])) + 1)
+            edges = []
+            for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(pair)], strict=True):
+                here = (int(pair[a]), int(block[a]))
+                if here == key:
+                    nids, marks = np.append(nids, nid[a:b]), np.concatenate([marks, mark[a:b]])
+                    continue
+                if len(nids) > 1:
+                    edges.extend(close(nids, marks))
+                key, nids, marks = here, nid[a:b], mark[a:b]
+            if edges:
+                yield _record_batch(list(zip(*edges, strict=True)), (pa.int64(), pa.int64()), ["a", "b"])
+        if len(nids) > 1 and (edges := close(nids, marks)):
+            yield _record_batch(list(zip(*edges, strict=True)), (pa.int64(), pa.int64()), ["a", "b"])
+
+    posts = prefix.mapInArrow(post, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+    return posts.repartition(n, "pair", "block").sortWithinPartitions("pair", "block", "nid").mapInArrow(meet, "a long, b long").distinct()
 
 
 def links_inside(sets: list, left: list[bool] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -316,16 +317,17 @@ def confirm(docs: DataFrame, members: DataFrame, percent: int = PERCENT, shingle
 def resolve(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
     """doc_id, _d, mark, n, digest, component (as a ``_d``) and whether the component is kept by the row's class and id, per row."""
     rows = checkpoint(sketches(docs, shingle))
-    first = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at"), F.first("signature").alias("signature"), F.first("n").alias("n"))
-    classes = checkpoint(first.select("digest", "at._d", "at.mark", "n", "signature", F.xxhash64("digest").alias("nid")))
+    first = rows.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_d", "mark")).alias("at"), F.first("signature").alias("signature"), F.first("n").alias("n"), F.count("*").alias("rows"))
+    classes = checkpoint(first.select("digest", "at._d", "at.mark", "n", "signature", "rows", F.xxhash64("digest").alias("nid")))
     near = connected_components(candidate_edges(classes, matches_for(percent)))
     members = classes.select("_d", "mark", "n", "digest", "nid").join(near.withColumnRenamed("node", "nid"), "nid").select("_d", "mark", "n", "digest", "root")
     linked = connected_components(confirm(docs, members, percent, shingle, block))
     grouped = classes.select("digest", "_d").join(linked.withColumnRenamed("node", "digest"), "digest")
     smallest = grouped.groupBy("root").agg(F.min(F.struct("_d", "digest")).alias("lead"))
     moved = grouped.join(smallest, "root").select("digest", "lead")
-    own = classes.join(moved, "digest", "left").select("digest", F.coalesce("lead", F.struct("_d", "digest")).alias("lead"))
-    led = rows.drop("signature").join(own.hint("merge"), "digest", "left")
+    own = checkpoint(classes.join(moved, "digest", "left").select("digest", F.coalesce("lead", F.struct("_d", "digest")).alias("lead"), "rows"))
+    # A class may hold a large share of the rows; rows without a word are no class and stay where they are.
+    led = hand_back(rows.filter("n > 0").drop("signature"), own, "digest", "rows").unionByName(rows.filter("n = 0").drop("signature"), allowMissingColumns=True)
     kept = F.col("lead").isNull() | (F.col("lead") == F.struct("_d", "digest"))
     return led.select("doc_id", "_d", "mark", "n", "digest", F.coalesce("lead._d", "_d").alias("component"), kept.alias("kept"))
 
