@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from genolake.llm.components import connected_components
-from genolake.llm.hot import hand_back
+from genolake.operators.skew import hand_back
 from genolake.session import checkpoint, partitions
 
 SHINGLE = 4
@@ -255,9 +255,9 @@ def components(docs: DataFrame, size: int = SHINGLE, block: int = BLOCK) -> Data
     # Nulls are ordered after all ids: min() leaves them out and gives null for nulls alone.
     held = checkpoint(rows.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows")))
     roots = connected_components(link_edges(held.select("print"), block)).withColumnRenamed("node", "print")
-    placed = held.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    found = placed.select("print", "root", "rows").join(named, "root").select("print", "component_id", "rows")
+    placed = checkpoint(held.join(roots, "print", "left").withColumn("root", F.coalesce("root", "print")))
+    named = placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("prints"))
+    found = hand_back(placed.select("print", "root", "rows"), checkpoint(named), "root", "prints").select("print", "component_id", "rows")
     return hand_back(rows, found, "print", "rows").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 

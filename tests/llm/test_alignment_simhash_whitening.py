@@ -320,13 +320,3 @@ def test_empty_and_clashing_columns(spark):
     extra = rows.selectExpr("doc_id", "text", "1 AS print", "2 AS chunk", "'x' AS kind", "3 AS place", "4 AS rows", "5 AS component_id")
     assert [tuple(r) for r in token_align.report(extra).orderBy("doc_id").collect()] == [tuple(r) for r in token_align.report(rows).orderBy("doc_id").collect()]
     assert {r["component_id"] for r in simhash_golay.report(extra).collect()} == {1}
-
-
-def test_hot_keys_are_broadcast_and_lose_nothing(spark):
-    from genolake.llm.hot import hand_back
-    from pyspark.sql import functions as F
-
-    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"))
-    found = rows.groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("least"))
-    back = hand_back(rows, found, "k", "size")
-    assert back.count() == 3000 and back.filter("k = -1 and least = 0").count() == 1000
