@@ -59,7 +59,7 @@ def pdf_first(entries: DataFrame) -> DataFrame:
 def ris_fields(records: DataFrame) -> DataFrame:
     """(entry, tag, pos, value) of records in RIS text, one line a field."""
     line = records.select("entry", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter(F.rlike("line", F.lit("^[A-Z][A-Z0-9]  - ")))
-    return line.select("entry", F.substring("line", 1, 2).alias("tag"), "pos", F.trim(F.substring("line", 7, 1 << 20)).alias("value")).filter("tag <> 'ER'")
+    return line.select("entry", F.substring("line", 1, 2).alias("tag"), "pos", F.trim(F.substr("line", F.lit(7), F.length("line"))).alias("value")).filter("tag <> 'ER'")
 
 
 def ris_records(fields: DataFrame) -> DataFrame:

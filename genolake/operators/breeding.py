@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolake.operators.blocks import cross_products
+from genolake.operators.blocks import conjugate_gradients, gram, gram_times, packed_columns
 from genolake.operators.skew import hand_back
 from genolake.operators.statistics import value_ranks
+from genolake.session import checkpoint
 
 
 def yield_loss(pheno: DataFrame, share: float = 0.2) -> DataFrame:
@@ -101,17 +102,6 @@ def blups(pheno: DataFrame, mu: float, var_g: float, var_e: float, trait: str =
     return per.select("ind", "n", (F.col("n") * var_g / (F.col("n") * var_g + var_e) * (F.col("m") - mu)).alias("blup"))
 
 
-def _kinship(z: DataFrame, place: dict):
-    """Cross-products of individuals as a dense matrix of the cohort."""
-    import numpy as np
-
-    k = np.zeros((len(place), len(place)))
-    for r in cross_products(z, "ind", "snp", "z").collect():
-        if r["row1"] in place and r["row2"] in place:
-            k[place[r["row1"]], place[r["row2"]]] = k[place[r["row2"]], place[r["row1"]]] = r["cross"]
-    return k
-
-
 def reml_ratio(values, ones, y) -> float:
     """Ratio of error to genetic variance with the highest restricted likelihood, for a model of a mean and one random effect.
 
@@ -137,7 +127,7 @@ def reml_ratio(values, ones, y) -> float:
 
 
 def _cohort(doses: DataFrame, pheno: DataFrame, most_inds: int):
-    """(individuals, phenotypes, centred doses, cross-products) of a cohort of bounded size."""
+    """(individuals, phenotypes, centred doses, blocks of them) of a cohort of bounded size."""
     import numpy as np
 
     ys = {r["ind"]: r["y"] for r in pheno.limit(most_inds + 1).collect()}
@@ -146,7 +136,7 @@ def _cohort(doses: DataFrame, pheno: DataFrame, most_inds: int):
     inds = sorted(ys)
     freq = doses.groupBy("snp").agg(F.avg("g").alias("c"))
     z = doses.join(freq, "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
-    return inds, np.array([ys[i] for i in inds], dtype=float), z, _kinship(z, {x: k for k, x in enumerate(inds)})
+    return inds, np.array([ys[i] for i in inds], dtype=float), z, checkpoint(packed_columns(z, inds))
 
 
 def _estimated(k, y) -> float:
@@ -157,18 +147,31 @@ def _estimated(k, y) -> float:
 
 
 def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, most_inds: int = 5000):
-    """Ridge-regression marker effects: the individuals-by-individuals system is solved, effects come from Spark.
+    """Ridge-regression marker effects. doses: (ind, snp, g); pheno: (ind, y). Returns (effects DataFrame, mean).
 
-    doses: (ind, snp, g); pheno: (ind, y). Without a penalty it is the ratio of variances by REML. Returns (effects DataFrame, mean).
+    Without a penalty it is the ratio of variances by REML, from the cohort's matrix, so ``most_inds`` is a bound of memory. With a penalty the system is solved by conjugate
+    gradients over blocks of markers, and ``most_inds`` may be millions: the driver holds vectors only.
     """
     import numpy as np
 
-    inds, y, z, k = _cohort(doses, pheno, most_inds)
+    inds, y, _, blocks = _cohort(doses, pheno, most_inds)
     mean = float(y.mean())
-    penalty = _estimated(k, y) if penalty is None else penalty
-    alpha = np.linalg.solve(k + penalty * np.eye(len(inds)), y - mean)
-    weights = doses.sparkSession.createDataFrame([(i, float(w)) for i, w in zip(inds, alpha, strict=True)], f"ind {doses.schema['ind'].dataType.simpleString()}, w double")
-    return z.join(F.broadcast(weights), "ind").groupBy("snp").agg(F.sum(F.col("z") * F.col("w")).alias("effect")), mean
+    if penalty is None:
+        k = gram(blocks, len(inds))
+        alpha = np.linalg.solve(k + _estimated(k, y) * np.eye(len(inds)), y - mean)
+    else:
+        alpha = conjugate_gradients(blocks, (y - mean)[:, None], np.array([float(penalty)]))[:, 0]
+    sent = doses.sparkSession.sparkContext.broadcast(alpha)
+    kind = doses.schema["snp"].dataType.simpleString()
+
+    def effects(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for names, raw in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(np.frombuffer(raw).reshape(-1, len(sent.value)) @ sent.value)], names=["snp", "effect"])
+
+    return blocks.mapInArrow(effects, f"snp {kind}, effect double"), mean
 
 
 def additive_variance(doses: DataFrame, var_u: float) -> DataFrame:
@@ -181,8 +184,8 @@ def ridge_variances(doses: DataFrame, pheno: DataFrame, most_inds: int = 5000) -
     """One row: variance of marker effects and of errors by REML, their ratio (the penalty), and the additive variance of the markers."""
     import numpy as np
 
-    inds, y, _, k = _cohort(doses, pheno, most_inds)
-    values, vectors = np.linalg.eigh(k)
+    inds, y, _, blocks = _cohort(doses, pheno, most_inds)
+    values, vectors = np.linalg.eigh(gram(blocks, len(inds)))
     ones, turned = vectors.T @ np.ones(len(inds)), vectors.T @ y
     penalty = reml_ratio(values, ones, turned)
     weight = 1 / (np.clip(values, 0, None) + penalty)
@@ -200,32 +203,55 @@ def predict(doses: DataFrame, effects: DataFrame, mean: float) -> DataFrame:
 def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, folds: int = 5, repeats: int = 10, most_inds: int = 5000) -> DataFrame:
     """Error and correlation per repeat and fold; folds are dealt by a hash of individual and repeat.
 
-    The cross-products of individuals are summed once; each fold solves the system of its own individuals in them.
+    Without a penalty each fold has its own by REML: the cohort's matrix is summed once and goes to the tasks, to which the folds are dealt. With
+    a penalty all folds are solved together by conjugate gradients over blocks of markers, without such a matrix.
     """
     import numpy as np
 
-    inds, y, _, k = _cohort(doses, pheno, most_inds)
+    spark = doses.sparkSession
+    inds, y, _, blocks = _cohort(doses, pheno, most_inds)
     dealt = pheno.select("ind", *[F.pmod(F.xxhash64("ind", F.lit(r)), F.lit(folds)).alias(f"f{r}") for r in range(repeats)])
     fold_of = {r["ind"]: r for r in dealt.collect()}  # bounded by the cohort
-    rows = []
-    for rep in range(repeats):
-        fold = np.array([fold_of[i][f"f{rep}"] for i in inds])
-        for f in range(folds):
-            test, train = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            if not len(test) or len(train) < 2:
-                continue
-            mean, own = y[train].mean(), k[np.ix_(train, train)]
-            ratio = _estimated(own, y[train]) if penalty is None else penalty
-            predicted = mean + k[np.ix_(test, train)] @ np.linalg.solve(own + ratio * np.eye(len(train)), y[train] - mean)
-            spread = predicted.std() * y[test].std()
-            r = float(((predicted - predicted.mean()) * (y[test] - y[test].mean())).mean() / spread) if spread > 0 else None
-            rows.append((rep, f, len(test), float(np.sqrt(((predicted - y[test]) ** 2).mean())), r))
-    return doses.sparkSession.createDataFrame(rows, "rep int, fold int, n long, rmspe double, r double")
+    fold = np.array([[fold_of[i][f"f{r}"] for i in inds] for r in range(repeats)]).reshape(repeats, len(inds))
+    plans = [(r, f) for r in range(repeats) for f in range(folds) if (fold[r] == f).any() and (fold[r] != f).sum() > 1]
+    schema = "rep int, fold int, n long, rmspe double, r double"
+
+    def scored(rep, f, predicted, truth):
+        spread = predicted.std() * truth.std()
+        r = float(((predicted - predicted.mean()) * (truth - truth.mean())).mean() / spread) if spread > 0 else None
+        return rep, f, len(truth), float(np.sqrt(((predicted - truth) ** 2).mean())), r
+
+    if not plans:
+        return spark.createDataFrame([], schema)
+    if penalty is not None:
+        masks = np.stack([fold[r] != f for r, f in plans], axis=1).astype(float)
+        means = (y @ masks) / masks.sum(axis=0)
+        alpha = conjugate_gradients(blocks, (y[:, None] - means) * masks, np.full(len(plans), float(penalty)), masks)
+        fitted = gram_times(blocks, alpha) + means
+        rows = [scored(r, f, fitted[fold[r] == f, k], y[fold[r] == f]) for k, (r, f) in enumerate(plans)]
+        return spark.createDataFrame(rows, schema)
+    shared = spark.sparkContext.broadcast((gram(blocks, len(inds)), y, fold))
+
+    def solve(batches):
+        import pyarrow as pa
+
+        k, y, fold = shared.value
+        for batch in batches:
+            rows = []
+            for rep, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                test, train = np.flatnonzero(fold[rep] == f), np.flatnonzero(fold[rep] != f)
+                mean, own = y[train].mean(), k[np.ix_(train, train)]
+                ratio = _estimated(own, y[train])
+                predicted = mean + k[np.ix_(test, train)] @ np.linalg.solve(own + ratio * np.eye(len(train)), y[train] - mean)
+                rows.append(scored(rep, f, predicted, y[test]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["rep", "fold", "n", "rmspe", "r"])
+
+    return spark.createDataFrame(plans, "rep int, fold int").repartition(len(plans)).mapInArrow(solve, schema)
 
 
 def marker_scan(doses: DataFrame, pheno: DataFrame, var_ratio: float | None = None, most_inds: int = 5000) -> DataFrame:
     """Mixed-model scan of single markers: phenotype and doses are rotated by the relationship's eigenvectors, then
-    each marker has a weighted regression of its own. A marker's doses are rotated as one vector in its task.
+    each marker has a weighted regression of its own. Blocks of markers are rotated as matrices in their tasks.
 
     ``var_ratio`` is genetic over error variance; without it, it is estimated by REML.
     """
@@ -233,29 +259,27 @@ def marker_scan(doses: DataFrame, pheno: DataFrame, var_ratio: float | None = No
 
     from genolake.functions.distributions import t_pvalue
 
-    inds, y, z, kin = _cohort(doses, pheno, most_inds)
+    inds, y, _, blocks = _cohort(doses, pheno, most_inds)
+    kin = gram(blocks, len(inds))
     kin /= max(1e-9, np.trace(kin) / len(inds))
     values, vectors = np.linalg.eigh(kin)
     ones, yt = vectors.T @ np.ones(len(inds)), vectors.T @ (y - y.mean())
     ratio = 1 / reml_ratio(values, ones, yt) if var_ratio is None else var_ratio
     weight = 1 / (ratio * np.clip(values, 0, None) + 1)
-    shared = doses.sparkSession.sparkContext.broadcast(({i: k for k, i in enumerate(inds)}, vectors, weight, ones, yt))
+    shared = doses.sparkSession.sparkContext.broadcast((vectors, weight, ones, yt))
 
-    def run(table):
-        import numpy as np
+    def run(batches):
         import pyarrow as pa
 
-        place, vectors, w, o, y = shared.value
-        dose = np.zeros(len(place))
-        for i, v in zip(table.column("ind").to_pylist(), table.column("z").to_pylist(), strict=True):
-            if i in place and v is not None:
-                dose[place[i]] += v
-        x = vectors.T @ dose
-        sums = [(w * a * b).sum() for a, b in ((x, x), (x, o), (o, o), (x, y), (o, y), (y, y))]
-        return pa.table([table.column("snp").slice(0, 1), pa.array([len(x)], pa.int64()), *(pa.array([float(v)]) for v in sums)], names=["snp", "n", "xx", "xo", "oo", "xy", "oy", "yy"])
+        vectors, w, o, y = shared.value
+        for batch in batches:
+            for names, raw in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(raw).reshape(-1, len(y)) @ vectors
+                sums = [(x * x) @ w, x @ (w * o), np.full(len(x), (w * o * o).sum()), x @ (w * y), np.full(len(x), (w * o * y).sum()), np.full(len(x), (w * y * y).sum())]
+                yield pa.RecordBatch.from_arrays([names.values, pa.array(np.full(len(x), len(y))), *map(pa.array, sums)], names=["snp", "n", "xx", "xo", "oo", "xy", "oy", "yy"])
 
     kind = doses.schema["snp"].dataType.simpleString()
-    m = z.select("snp", "ind", F.col("z").cast("double").alias("z")).groupBy("snp").applyInArrow(run, f"snp {kind}, n long, xx double, xo double, oo double, xy double, oy double, yy double")
+    m = blocks.mapInArrow(run, f"snp {kind}, n long, xx double, xo double, oo double, xy double, oy double, yy double")
     c = F.col
     det = c("xx") * c("oo") - c("xo") * c("xo")
     m = m.filter(det > 1e-9).withColumn("beta", (c("xy") * c("oo") - c("xo") * c("oy")) / det).withColumn("mu", (c("oy") * c("xx") - c("xo") * c("xy")) / det)

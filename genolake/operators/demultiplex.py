@@ -1,8 +1,8 @@
 """Assign reads to samples by DNA tags.
 
 A tag table is a sample sheet: its size is checked, and it is sent to the tasks, which compare a batch of reads with each
-tag in turn, so a read stays where it is and nothing is joined or shuffled. Exact tags at the start of a read,
-where the sheet is long (``MANY_TAGS``), are found by an equi join on the read's prefix instead, one prefix per tag length.
+tag in turn, so a read stays where it is and nothing is joined or shuffled. Exact tags at the start of a read are looked up instead,
+by a hash join with the broadcast sheet per tag length. Long sheets with substitutions (``MANY_TAGS``) go through the index of ``tag_index``.
 
 With ``most`` substitutions allowed over tag and motif together, a tag matches at the leftmost place that has no more. Of
 several tags that match, that with the fewest substitutions is taken, then the one with the smallest ``tag_rank``. Case is ignored.
@@ -13,10 +13,10 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from genolake.operators.tag_index import indistinct_pairs, seeded_starts
+from genolake.operators.tag_index import MOST_LENGTHS, indistinct_pairs, seeded_starts
 
 MOST_TAGS = 100_000
 MANY_TAGS = 2_000
@@ -29,18 +29,6 @@ def sheet(tags: DataFrame, most: int = MOST_TAGS) -> DataFrame:
     return F.broadcast(tags)
 
 
-def _best(pairs: DataFrame, *order: Column) -> DataFrame:
-    best = Window.partitionBy("read_id").orderBy(*order, "tag_rank")
-    return pairs.withColumn("_k", F.row_number().over(best)).filter("_k = 1").drop("_k")
-
-
-def prefix_matches(reads: DataFrame, tags: DataFrame, seq: str = "seq") -> DataFrame:
-    """Reads joined with the tags that they start with."""
-    lengths = sorted(r[0] for r in tags.select(F.length("tag")).distinct().collect())
-    keyed = reads.withColumn("tag", F.explode(F.array(*[F.upper(F.substring(seq, 1, n)) for n in lengths])))
-    return keyed.join(sheet(tags.withColumn("tag", F.upper("tag"))), "tag")
-
-
 def pattern_classes(pattern: str) -> list[str]:
     """The bases that each place of a pattern allows.
 
@@ -113,6 +101,27 @@ def placed(reads: DataFrame, tags: DataFrame, mates: str, motif: str = "", most:
     return hit.select(*reads.columns, "_t.tag", "_t.sample", "_p.at1", "_p.at2", "_p.off1", "_p.off2")
 
 
+def looked_up(reads: DataFrame, tags: DataFrame, mates: str) -> DataFrame:
+    """What ``placed`` gives for exact tags at the start, by a hash lookup per length of tag: no Python, no shuffle, and a read stays in its row."""
+    own = sheet(tags).select(F.upper("tag").alias("tag"), "sample", "tag_rank").groupBy("tag").agg(F.min(F.struct("tag_rank", "sample")).alias("first"))
+    lengths = sorted(r[0] for r in own.select(F.length("tag")).distinct().limit(MOST_LENGTHS + 1).collect())
+    if len(lengths) > MOST_LENGTHS:
+        raise ValueError(f"tags of at most {MOST_LENGTHS} different lengths")
+    columns = {"first": ["seq"], "second": ["seq2"], "both": ["seq"]}.get(mates, ["seq", "seq2"])
+    out, hits = reads, []
+    for n in lengths:
+        for c in columns:
+            name = f"_hit{len(hits)}"
+            side = F.broadcast(own.filter(F.length("tag") == n).select(F.col("tag").alias("_key"), F.struct("first.tag_rank", "first.sample", "tag").alias(name)))
+            out = out.join(side, F.upper(F.substring(c, 1, n)) == F.col("_key"), "left").drop("_key")
+            hits.append(F.when(F.startswith(F.upper("seq2"), F.col(f"{name}.tag")), F.col(name)) if mates == "both" else F.col(name))
+    if not hits:
+        return reads.limit(0).select(*reads.columns, F.lit("").alias("tag"), F.lit("").alias("sample"), *[F.lit(0).alias(c) for c in ("at1", "at2", "off1", "off2")])
+    best = out.withColumn("_t", F.array_min(F.array_compact(F.array(*hits)))).filter("_t is not null")
+    at = lambda c: F.coalesce(F.startswith(F.upper(c), F.col("_t.tag")).cast("int"), F.lit(0)) if c in reads.columns else F.lit(0)
+    return best.select(*reads.columns, "_t.tag", "_t.sample", at("seq").alias("at1"), at("seq2").alias("at2"), F.lit(0).alias("off1"), F.lit(0).alias("off2"))
+
+
 def _many(tags: DataFrame) -> bool:
     return tags.limit(MANY_TAGS + 1).count() > MANY_TAGS
 
@@ -124,16 +133,13 @@ def _rest(seq: str, skip: Column | int) -> Column:
 def both_start(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Method 1: both mates start with the tag; both are clipped."""
     n = F.length("tag")
-    if not most and _many(tags):
-        hit = _best(prefix_matches(reads, tags).filter(F.startswith(F.upper("seq2"), F.col("tag"))))
-    else:
-        hit = placed(reads, tags, "both", most=most, anchored=True)
+    hit = placed(reads, tags, "both", most=most, anchored=True) if most else looked_up(reads, tags, "both")
     return hit.select("read_id", "sample", _rest("seq", n).alias("clip1"), _rest("seq2", n).alias("clip2"))
 
 
 def either_start(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Methods 2 and 3: either mate starts with the tag; only mates that do are clipped. ``n_mates`` counts them."""
-    hit = placed(reads, tags, "either", most=most, anchored=True)
+    hit = placed(reads, tags, "either", most=most, anchored=True) if most else looked_up(reads, tags, "either")
     clip = lambda c, at: F.when(F.col(at) > 0, _rest(c, F.length("tag"))).otherwise(F.col(c))
     both = (F.col("at1") > 0).cast("int") + (F.col("at2") > 0).cast("int")
     return hit.select("read_id", "sample", clip("seq", "at1").alias("clip1"), clip("seq2", "at2").alias("clip2"), both.alias("n_mates"))
@@ -141,7 +147,7 @@ def either_start(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
 
 def first_starts(reads: DataFrame, tags: DataFrame, most: int = 0) -> DataFrame:
     """Method 4a: the first mate starts with the tag."""
-    hit = _best(prefix_matches(reads, tags)) if not most and _many(tags) else placed(reads, tags, "first", most=most, anchored=True)
+    hit = placed(reads, tags, "first", most=most, anchored=True) if most else looked_up(reads, tags, "first")
     return hit.select("read_id", "sample", _rest("seq", F.length("tag")).alias("clip1"))
 
 

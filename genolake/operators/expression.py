@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from genolake.operators.blocks import cross_products
+from genolake.operators.blocks import gram, packed_columns
 
 
 def gene_counts(exons: DataFrame) -> DataFrame:
@@ -94,10 +94,9 @@ def components(values: DataFrame, most_samples: int = 5000) -> DataFrame:
         raise ValueError(f"at most {most_samples} samples")
     s = values.groupBy("ind").agg(F.avg("v").alias("m"), F.stddev_samp("v").alias("s"))
     z = values.join(F.broadcast(s), "ind").select("gene", "ind", F.coalesce(F.try_divide(F.col("v") - F.col("m"), F.col("s")), F.lit(0.0)).alias("z"))
-    cov = np.zeros((len(inds), len(inds)))
-    place = {x: k for k, x in enumerate(inds)}
-    for r in cross_products(z, "ind", "gene", "z").collect():
-        cov[place[r["row1"]], place[r["row2"]]] = cov[place[r["row2"]], place[r["row1"]]] = r["cross"] / max(1, r["n"] - 1)
+    ones = z.withColumn("z", F.lit(1.0))
+    counts = gram(packed_columns(ones, inds, "gene"), len(inds))  # genes that two samples share
+    cov = gram(packed_columns(z, inds, "gene"), len(inds)) / np.maximum(1, counts - 1)
     variances = np.clip(np.linalg.eigvalsh(cov)[::-1], 0, None)
     share = variances / variances.sum() if variances.sum() else variances
     rows = [(k + 1, float(v), float(p), float(c)) for k, (v, p, c) in enumerate(zip(variances, share, np.cumsum(share), strict=True))]

@@ -120,15 +120,23 @@ def relationships(doses: DataFrame, centred: bool = True, method: str = "vanrade
 
     vanraden: cross-products over the summed heterozygosity (``centred`` or not); centred: cross-products of centred
     doses over the number of markers; standardised: those of doses scaled by each marker's own deviation (markers
-    without variation are left out).
+    without variation are left out); astle-balding: half of the standardised ones, as kinships; yang: the standardised ones, with the unbiased
+    estimate of an individual's own relationship, 1 + mean((g^2 - (1 + 2f) g + 2f^2) / (2f (1 - f))).
     """
+    if method == "astle-balding":
+        return relationships(doses, method="standardised").withColumn("relationship", F.col("relationship") / 2)
+    if method == "yang":
+        freq = frequencies(doses).select("snp", F.col("freq").alias("f")).filter("f > 0 and f < 1")
+        own = doses.join(freq, "snp").groupBy(F.col("ind").alias("ind1")).agg((1 + F.sum(F.expr("(g * g - (1 + 2 * f) * g + 2 * f * f) / (2 * f * (1 - f))")) / F.count("*")).alias("own"))
+        pairs = relationships(doses, method="standardised").join(own, "ind1")
+        return pairs.select("ind1", "ind2", F.when(F.col("ind1") == F.col("ind2"), F.col("own")).otherwise(F.col("relationship")).alias("relationship"))
     freq = frequencies(doses).select("snp", "freq")
     het = 2 * F.col("freq") * (1 - F.col("freq"))
     z = F.col("g") - (2 * F.col("freq") if centred else 0)
     if method == "standardised":
         freq, z = freq.filter("freq > 0 and freq < 1"), z / F.sqrt(het)
     elif method not in ("vanraden", "centred"):
-        raise ValueError("method is vanraden, centred or standardised")
+        raise ValueError("method is vanraden, centred, standardised, astle-balding or yang")
     scale = freq.agg((F.sum(het) if method == "vanraden" else F.count("*").cast("double")).alias("scale"))
     g = doses.join(freq, "snp").select("ind", "snp", z.alias("z"))
     sums = cross_products(g, "ind", "snp", "z").select(F.col("row1").alias("ind1"), F.col("row2").alias("ind2"), "cross")

@@ -24,10 +24,14 @@ from pyspark.sql import functions as F
 from genolake.session import checkpoint, partitions
 
 
+#: Positions of a range, at least, so that there are no more ranges than are of use.
+RANGE = 100_000
+
+
 def _ranges(snps: DataFrame, parts: int | None) -> DataFrame:
     """(part, chrom, pos, snp, n): distinct positions with their first marker and number of markers, dealt by order."""
-    n = parts or partitions(snps.sparkSession)
-    places = snps.filter("chrom is not null and pos is not null").groupBy("chrom", "pos").agg(F.min("snp").alias("snp"), F.count("*").alias("n"))
+    places = checkpoint(snps.filter("chrom is not null and pos is not null").groupBy("chrom", "pos").agg(F.min("snp").alias("snp"), F.count("*").alias("n")))
+    n = parts or max(1, min(partitions(snps.sparkSession), -(-places.count() // RANGE)))
     dealt = places.repartitionByRange(n, "chrom", "pos")
     return checkpoint(dealt.select(F.spark_partition_id().alias("part"), "chrom", "pos", "snp", "n"))
 
@@ -132,10 +136,9 @@ def walk(snps: DataFrame, reach: int, parts: int | None = None) -> DataFrame:
     ranges = _ranges(snps, parts)
     last = ranges.groupBy("part").agg(F.max(F.struct("chrom", "pos")).alias("end")).orderBy("part").collect()  # one row per range
     ends = [(r["end"]["chrom"], r["end"]["pos"], r["part"]) for r in last]
-    hops = checkpoint(_jumps(ranges, reach, ends))
     firsts = ranges.groupBy("chrom").agg(F.min(F.struct("pos", "part")).alias("f")).select("chrom", F.col("f.part").alias("part"), F.col("f.pos").alias("pos"))
-    marked = checkpoint(firsts)
-    while not hops.isEmpty():
+    marked, hops = checkpoint(firsts), checkpoint(_jumps(ranges, reach, ends)) if len(ends) > 1 else None  # one range has no jumps
+    while hops is not None and not hops.isEmpty():
         ahead = marked.join(hops, ["chrom", "part", "pos"]).select("chrom", F.col("next_part").alias("part"), F.col("next").alias("pos"))
         marked = checkpoint(marked.union(ahead).distinct())
         then = hops.select("chrom", F.col("part").alias("next_part"), F.col("pos").alias("next"), F.col("next_part").alias("far_part"), F.col("next").alias("far"))

@@ -99,6 +99,14 @@ def trim(reads: DataFrame, starts: DataFrame, seq: str = "seq") -> DataFrame:
     return reads.join(cut, "read_id", "left").select("read_id", at.alias("cut"), F.substring(F.col(seq), F.lit(1), at).alias("trimmed"))
 
 
+def trim_exact(reads: DataFrame, adapters: DataFrame, seq: str = "seq") -> DataFrame:
+    """Cut reads at the first exact place of any adapter; a read stays in its row."""
+    places = [F.instr(F.col(seq), F.lit(r["adp_seq"])) - 1 for r in _listed(adapters, "adp_seq")]
+    hit = F.array_min(F.filter(F.array(*places).cast("array<int>"), lambda p: p >= 0))
+    at = F.coalesce(hit, F.length(seq))
+    return reads.select("read_id", at.alias("cut"), F.substring(F.col(seq), F.lit(1), at).alias("trimmed"))
+
+
 def _places(seq: str, adapters: list) -> Column:
     """Map of adapter to its first exact place (0-based, -1: none)."""
     return F.map_from_arrays(F.array(*[F.lit(r["adapter"]) for r in adapters]).cast("array<string>"), F.array(*[F.instr(F.col(seq), F.lit(r["adp_seq"])) - 1 for r in adapters]).cast("array<int>"))

@@ -118,7 +118,7 @@ query("revcomp", "reads", sql="SELECT read_id, reverse(translate(seq, 'ACGTN', '
 
 query("adapter_exact_start", "reads", "adapters", sql="SELECT read_id, adapter, CAST(instr(seq, adp_seq) - 1 AS INT) AS start FROM reads CROSS JOIN adapters")(tr.exact_starts)
 query("trim_reads", "reads", "adapters", sql="""+ c AS (SELECT read_id, min(instr(seq, adp_seq) - 1) AS cut FROM reads CROSS JOIN adapters WHERE instr(seq, adp_seq) > 0 GROUP BY read_id)
-SELECT read_id, CAST(coalesce(cut, length(seq)) AS INT) AS cut, substr(seq, 1, coalesce(cut, length(seq))) AS trimmed FROM reads LEFT JOIN c USING (read_id)""")(lambda r, a: tr.trim(r, tr.exact_starts(r, a)))
+SELECT read_id, CAST(coalesce(cut, length(seq)) AS INT) AS cut, substr(seq, 1, coalesce(cut, length(seq))) AS trimmed FROM reads LEFT JOIN c USING (read_id)""")(tr.trim_exact)
 query("trim_fuzzy", "reads", "adapters")(lambda r, a: tr.trim(r, tr.fuzzy_starts(r, a)))
 query("read_cleaning", "reads")(lambda r: tr.quality_trim(r.select("read_id", "seq", F.translate(F.md5("seq"), "0123456789abcdef", "#+5?IIIIIIIIIIII").alias("qual")), shortest=20))
 
@@ -390,15 +390,16 @@ query("qtl_scan", "doses", "phenotypes")(lambda d, p: br.marker_scan(d, _PHENO(p
 
 query("html_links", "pages", sql="""SELECT page_id, CAST(i - 1 AS INT) AS pos, x[i] AS href FROM (SELECT page_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS x FROM pages))""")(bib.links)
 query("html_pre_table", "pages", sql="""SELECT page_id, f[1] AS name, TRY_CAST(f[2] AS DOUBLE) AS value FROM (SELECT page_id, string_split(line, chr(9)) AS f FROM
-(SELECT page_id, unnest(string_split(block, chr(10))) AS line FROM (SELECT page_id, concat(url, chr(9), CAST(length(html) AS VARCHAR), chr(10), 'size', chr(9), 'large') AS block FROM pages))) WHERE len(f) = 2 AND TRY_CAST(f[2] AS DOUBLE) IS NOT NULL""")(
-    lambda p: bib.numeric_rows(p.select("page_id", F.concat(F.lit("<pre>"), "url", F.lit("\t"), F.length("html").cast("string"), F.lit("\nsize\tlarge</pre>")).alias("html")))
+(SELECT page_id, unnest(string_split(block, chr(10))) AS line FROM (SELECT page_id, unnest(regexp_extract_all(concat('<pre>', url, chr(9), CAST(length(html) AS VARCHAR), chr(10), 'size', chr(9), 'large', chr(10), replace(replace(html, '>', chr(10)), ' ', chr(9)), '</pre>'), '(?s)<pre>(.*?)</pre>', 1)) AS block FROM pages)))
+WHERE len(f) = 2 AND TRY_CAST(f[2] AS DOUBLE) IS NOT NULL""")(
+    lambda p: bib.numeric_rows(p.select("page_id", F.concat(F.lit("<pre>"), "url", F.lit("\t"), F.length("html").cast("string"), F.lit("\nsize\tlarge\n"), F.translate("html", "> ", "\n\t"), F.lit("</pre>")).alias("html")))
 )
 query("html_accessions", "pages", sql="""SELECT page_id, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 1)) AS accession, unnest(regexp_extract_all(html, '<a href="/([^"]*)">([^<]*)</a>', 2)) AS description FROM pages""")(
     lambda p: bib.accessions(p, r'<a href="/([^"]*)">([^<]*)</a>')
 )
-query("note_to_html", "documents", sql=r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(n, '===([^=]+)===', '<h2>\1</h2>', 'g'), '==([^=]+)==', '<h1>\1</h1>', 'g'), '(https?://[^\s<]+)', '<a href="\1">\1</a>', 'g') AS html
-FROM (SELECT doc_id, concat('==', lang, '== ===', source, '=== http://x.org/', CAST(doc_id AS VARCHAR), ' ', CAST(n_chars AS VARCHAR)) AS n FROM documents)""")(
-    lambda d: d.select("doc_id", bib.note_html(F.concat(F.lit("=="), "lang", F.lit("== ==="), "source", F.lit("=== http://x.org/"), F.col("doc_id").cast("string"), F.lit(" "), F.col("n_chars").cast("string"))).alias("html"))
+query("note_to_html", "documents", sql=r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '===([^=]+)===', '<h2>\1</h2>', 'g'), '==([^=]+)==', '<h1>\1</h1>', 'g'), '(?m)^\* (.*)$', '<li>\1</li>', 'g'), '(https?://[^\s<]+)', '<a href="\1">\1</a>', 'g') AS html
+FROM (SELECT doc_id, concat('==', lang, '== ===', source, '=== http://x.org/', CAST(doc_id AS VARCHAR), ' ', coalesce(text, ''), chr(10), '* ', CAST(n_chars AS VARCHAR)) AS n FROM documents)""")(
+    lambda d: d.select("doc_id", bib.note_html(F.concat(F.lit("=="), F.coalesce("lang", F.lit("")), F.lit("== ==="), F.coalesce("source", F.lit("")), F.lit("=== http://x.org/"), F.col("doc_id").cast("string"), F.lit(" "), F.coalesce("text", F.lit("")), F.lit("\n* "), F.coalesce(F.col("n_chars").cast("string"), F.lit("")))).alias("html"))
 )
 query("first_known_key", "orders", "customer", sql="""SELECT entry, arg_min(key, pos) AS key FROM (SELECT o_orderkey AS entry, unnest([o_custkey * 3, o_custkey * 2, o_custkey]) AS key, unnest([0, 1, 2]) AS pos FROM orders) WHERE key IN (SELECT c_custkey FROM customer) GROUP BY entry""")(
     lambda o, c: bib.first_key(o.select(F.col("o_orderkey").alias("entry"), F.array(F.col("o_custkey") * 3, F.col("o_custkey") * 2, F.col("o_custkey")).alias("keys")), c.select(F.col("c_custkey").alias("key")))

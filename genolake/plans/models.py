@@ -82,6 +82,11 @@ def _budget(p: DataFrame) -> DataFrame:
     return p.sparkSession.createDataFrame([tuple(round(found[k], 6) for k in ("var_p", "var_a", "var_e", "var_year", "var_beta"))], "var_p double, var_a double, var_e double, var_year double, var_beta double")
 
 
+_Z = "+ f AS (SELECT snp, f FROM (SELECT snp, avg(g) / 2 AS f FROM doses GROUP BY snp) WHERE f > 0 AND f < 1), z AS (SELECT ind, snp, g, f, (g - 2 * f) / sqrt(2 * f * (1 - f)) AS z FROM doses JOIN f USING (snp))"
+_R = "SELECT a.ind AS ind1, b.ind AS ind2, sum(a.z * b.z) / (SELECT count(*) FROM f) AS r FROM z a JOIN z b ON a.snp = b.snp AND a.ind <= b.ind GROUP BY a.ind, b.ind"
+query("grm_astle_balding", "doses", sql=f"{_Z} SELECT ind1, ind2, round(r / 2, 6) + 0 AS relationship FROM ({_R})")(lambda d: gt.relationships(d, method="astle-balding").withColumn("relationship", F.round("relationship", 6) + 0.0))
+query("grm_yang", "doses", sql=f"""{_Z}, o AS (SELECT ind, 1 + avg((g * g - (1 + 2 * f) * g + 2 * f * f) / (2 * f * (1 - f))) AS own FROM z GROUP BY ind)
+SELECT ind1, ind2, round(CASE WHEN ind1 = ind2 THEN own ELSE r END, 6) + 0 AS relationship FROM ({_R}) JOIN o ON o.ind = ind1""")(lambda d: gt.relationships(d, method="yang").withColumn("relationship", F.round("relationship", 6) + 0.0))
 query("lmm_models", "phenotypes")(mm.compare_models)
 query("marker_variance", "doses", sql="+ f AS (SELECT snp, avg(g) / 2 AS f FROM doses GROUP BY snp) SELECT round(sum(2 * f * (1 - f)), 6) AS sum_het, round(0.05 * sum(2 * f * (1 - f)), 6) AS var_a FROM f")(
     lambda d: br.additive_variance(d, 0.05).select(F.round("sum_het", 6).alias("sum_het"), F.round("var_a", 6).alias("var_a"))

@@ -160,7 +160,7 @@ def write_bed(rows: DataFrame, path: str) -> None:
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """The eleven fixed fields and a map of optional tags."""
     f = F.split("value", "\t")
-    tags = F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substring(x, 6, 1 << 20).alias("v")))
+    tags = F.transform(F.slice(f, 12, F.greatest(F.size(f) - 11, F.lit(0))), lambda x: F.struct(F.substring(x, 1, 2).alias("k"), F.substr(x, F.lit(6), F.length(x)).alias("v")))
     names = ["qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual"]
     kinds = {"flag": "int", "pos": "long", "mapq": "int", "pnext": "long", "tlen": "long"}
     rows = spark.read.text(path).filter("not startswith(value, '@') and value <> ''")
@@ -240,9 +240,9 @@ def read_gct(spark: SparkSession, path: str) -> DataFrame:
     first = lines.filter("line_no = 0 and startswith(line, '#1.')").select("file").first()
     if first is None:
         raise ValueError("no GCT head line")
-    head = lines.filter((F.col("file") == first[0]) & (F.col("line_no") == 2)).select(F.slice("f", 3, 1 << 20).alias("samples"))
+    head = lines.filter((F.col("file") == first[0]) & (F.col("line_no") == 2)).select(F.slice("f", F.lit(3), F.size("f")).alias("samples"))
     body = lines.filter((F.col("file") != first[0]) | (F.col("line_no") > 2)).crossJoin(F.broadcast(head))
-    cells = body.select(F.col("f")[0].alias("feature"), F.explode(F.arrays_zip("samples", F.slice("f", 3, 1 << 20).alias("values"))).alias("x"))
+    cells = body.select(F.col("f")[0].alias("feature"), F.explode(F.arrays_zip("samples", F.slice("f", F.lit(3), F.size("f")).alias("values"))).alias("x"))
     return cells.select("feature", F.col("x.samples").alias("sample"), F.expr("try_cast(x.values AS DOUBLE)").alias("value"))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from genolake.functions import distributions as dist
 from genolake.operators import association as assoc
+from genolake.operators import blocks as bl
+from genolake.operators import breeding as br
 from genolake.operators import expression as ex
 from genolake.operators import genotypes as gt
 from genolake.operators import linkage as ld
@@ -387,3 +389,50 @@ def test_linkage_in_windows(spark):
     inner = full @ p @ full.T
     assert got and all(math.isclose(v, inner[a, b] ** 2 / (inner[a, a] * inner[b, b]), abs_tol=1e-8) for (a, b), v in got.items())
     assert {x for x in want if 40 not in x} <= got.keys()
+
+
+# --- cohorts in blocks --------------------------------------------------------------------------------------
+
+
+def test_solvers_over_blocks_equal_dense_ones(spark):
+    r = np.random.default_rng(12)
+    g = r.integers(0, 3, size=(40, 70))
+    y = g[:, :4].sum(1) + r.normal(size=40)
+    doses = spark.createDataFrame([(i, s, int(g[i, s])) for i in range(40) for s in range(70)], "ind int, snp int, g int").repartition(3)
+    pheno = spark.createDataFrame([(i, float(v)) for i, v in enumerate(y)], "ind int, y double")
+    z = g - g.mean(0)
+    k = z @ z.T
+    cells = doses.join(doses.groupBy("snp").agg(F.avg("g").alias("c")), "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
+    blocks = bl.packed_columns(cells, list(range(40)), "snp", 9)
+    assert np.allclose(bl.gram(blocks, 40), k) and np.allclose(bl.gram_times(blocks, np.eye(40)[:, :5]), k[:, :5])
+    effects, mean = br.ridge_effects(doses, pheno, 3.0)
+    want = z.T @ np.linalg.solve(k + 3 * np.eye(40), y - y.mean())
+    assert math.isclose(mean, y.mean()) and all(math.isclose(x.effect, want[x.snp], abs_tol=1e-8) for x in effects.collect())
+    free, _ = br.ridge_effects(doses, pheno)
+    ratio = br._estimated(k, y)
+    want = z.T @ np.linalg.solve(k + ratio * np.eye(40), y - y.mean())
+    assert all(math.isclose(x.effect, want[x.snp], abs_tol=1e-8) for x in free.collect())
+    dealt = {x.ind: (x.f0, x.f1) for x in pheno.select("ind", *[F.pmod(F.xxhash64("ind", F.lit(q)), F.lit(4)).alias(f"f{q}") for q in range(2)]).collect()}
+    for penalty in (5.0, None):
+        got = {(x.rep, x.fold): x for x in br.cross_validate(doses, pheno, penalty, 4, 2).collect()}
+        assert len(got) == 8
+        for (rep, f), x in got.items():
+            test = np.array([dealt[i][rep] == f for i in range(40)])
+            own = k[np.ix_(~test, ~test)]
+            lam = penalty if penalty is not None else br._estimated(own, y[~test])
+            m = y[~test].mean()
+            p = m + k[np.ix_(test, ~test)] @ np.linalg.solve(own + lam * np.eye((~test).sum()), y[~test] - m)
+            assert x.n == test.sum() and math.isclose(x.rmspe, np.sqrt(((p - y[test]) ** 2).mean()), rel_tol=1e-7)
+    v = br.ridge_variances(doses, pheno).first()
+    assert math.isclose(v.penalty, ratio) and math.isclose(v.var_e, v.var_u * ratio) and math.isclose(v.var_a, v.var_u * v.sum_het)
+    f = g.mean(0) / 2
+    assert math.isclose(v.sum_het, (2 * f * (1 - f)).sum())
+    with pytest.raises(ArithmeticError):
+        bl.conjugate_gradients(blocks, (y - y.mean())[:, None], np.array([1.0]), most_rounds=2)
+
+
+def test_registration_has_ranks(spark):
+    rows = [(i, float(100 + i % 3), 20.0, 5) for i in range(9)] + [(99, None, 1.0, 1)]
+    means = spark.createDataFrame(rows, "ind int, trait1 double, trait2 double, n long")
+    got = {x.ind: x["rank"] for x in br.registered(means, means).collect()}
+    assert {got[i] for i in (2, 5, 8)} == {1} and {got[i] for i in (1, 4, 7)} == {4} and {got[i] for i in (0, 3, 6)} == {7} and got[99] is None
