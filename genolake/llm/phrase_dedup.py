@@ -171,7 +171,10 @@ OUT = "doc_id long, n_words long, n_removed long, kept string"
 
 def locate(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, the words that are kept, joined by spaces, and the removed stretches of words (start, end), per row."""
-    texts, buckets = deal(docs.select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A window of words has WIDTH bytes and the spaces between them at least. Shorter texts, above all null and empty ones, stay where they are.
+    long = F.coalesce(F.octet_length("text") >= 2 * WIDTH - 1, F.lit(False))
+    texts, buckets = deal(rows.filter(long))
     marks = recurring(texts, buckets, WordTexts, hot)
     held = texts.groupBy("_b").cogroup(marks.groupBy("_b")).applyInArrow(held_contents, HELD)
     passages = confirmed_passages(held)
@@ -202,7 +205,11 @@ def locate(docs: DataFrame, hot: int | None = None) -> DataFrame:
         found = pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), spans), strict=True)], names=["n_words", "n_removed", "kept", "spans"])
         return found.take(pa.array(place)).add_column(0, "doc_id", bucket.column("doc_id").cast(pa.int64()))
 
-    return texts.groupBy("_b").cogroup(passages.groupBy("_b")).applyInArrow(stream, f"{OUT}, spans array<struct<start: int, end: int>>")
+    found = texts.groupBy("_b").cogroup(passages.groupBy("_b")).applyInArrow(stream, f"{OUT}, spans array<struct<start: int, end: int>>")
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    none = F.array().cast("array<struct<start: int, end: int>>")
+    short = rows.filter(~long).withColumn("_w", words).select("doc_id", F.size("_w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("_w", " ").alias("kept"), none.alias("spans"))
+    return found.unionByName(short)
 
 
 def report(docs: DataFrame, hot: int | None = None) -> DataFrame:

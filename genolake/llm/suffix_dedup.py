@@ -227,9 +227,15 @@ def _spans_of(bucket, spans) -> list:
     return [found.get(key) for key in zip(bucket.column("_d").to_pylist(), bucket.column("_h").to_pylist(), strict=True)]
 
 
+def _may_repeat():
+    """Texts as long as a match. All others, above all null and empty ones, stay where they are, so they are no group of any task."""
+    return F.coalesce(F.octet_length("text") >= WIDTH, F.lit(False))
+
+
 def report(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 per row."""
-    texts, buckets = deal(docs.select("doc_id", "text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts, buckets = deal(rows.filter(_may_repeat()))
     spans = repeated_spans(texts, buckets, hot)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -248,13 +254,16 @@ def report(docs: DataFrame, hot: int | None = None) -> DataFrame:
             rows.append((doc_id, len(data), removed, n, hashlib.sha256(kept).hexdigest()))
         return table_of(list(zip(*rows, strict=True)) or [[]] * 5, schema)
 
-    return texts.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(run, schema)
+    text, none = F.coalesce("text", F.lit("")), F.lit(0).cast("long")
+    short = rows.filter(~_may_repeat()).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    return texts.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(run, schema).unionByName(short)
 
 
 def remove_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """The rows of ``docs`` without repeated strings in ``text``; ``n_chars``, where there is one, follows."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    texts, buckets = deal(docs.select("doc_id", "text", row.alias("_row")))
+    rows = docs.select("doc_id", "text", row.alias("_row"))
+    texts, buckets = deal(rows.filter(_may_repeat()))
     spans = repeated_spans(texts, buckets, hot)
 
     def run(bucket, spans):
@@ -271,6 +280,7 @@ def remove_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
         return pa.table([pa.array(texts, pa.string()), bucket.column("_row")], names=["text", "_row"])
 
     out = texts.groupBy("_b").cogroup(spans.groupBy("_b")).applyInArrow(run, texts.select("text", "_row").schema)
+    out = out.unionByName(rows.filter(~_may_repeat()).select("text", "_row"))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)

@@ -29,6 +29,7 @@ def sf_dir(spark, tmp_path_factory):
     rows += [(2000, rows[5][1], "en", "s", 1), (2001, rows[6][1] + "\n", "de", "s", 2), (2002, "&&& " * 60, "en", "s", 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, f"u{i}", f"<p>{i % 4}" * 300) for i in range(12)], "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([(i, [float(i % 7), float(i * i % 5), 1.0]) for i in range(20)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
     return str(folder), rows
 
 
@@ -97,12 +98,27 @@ def test_run_on_odd_tables(spark, tmp_path):
     assert sorted(str(p.doc_id) for p in got) == ["1", "7", "None", "None"]
 
 
+def test_run_on_a_very_long_text(spark, tmp_path):
+    """Two megabytes in one document go through every stage whole."""
+    stop = list(quality_rules.STOP_WORDS)
+    long = " ".join(stop[i // 5 % len(stop)] if i % 5 == 0 else f"w{i:x}" for i in range(300_000))
+    rows = [(1, long), (2, long + "  "), (3, "short " + " ".join(stop[:12]) + " and some words of its own here")]
+    spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    # Of the two copies the one with more characters stays.
+    assert {p.doc_id for p in got} <= {2, 3} and 2 in {p.doc_id for p in got}
+    ids = tokens.word_encoder(tokens.tokenizer_path("word_bpe_49k.json")).tokenizer.encode(long, add_special_tokens=False).ids
+    mine = sorted((p.piece, p.start, p.length, p.ids_crc32) for p in got if p.doc_id == 2)
+    whole = np.array([*ids, packing.END_ID], "<u4")
+    assert mine == [(k, k * 4096, len(whole[k * 4096 : (k + 1) * 4096]), zlib.crc32(whole[k * 4096 : (k + 1) * 4096].tobytes())) for k in range(-(-len(whole) // 4096))]
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_registered_query(spark, sf_dir, name):
     folder, rows = sf_dir
     got = QUERIES[name](spark, folder)
-    key = "page_id" if "page_id" in got.columns else "doc_id"
-    expected = set(range(12)) if key == "page_id" else {r[0] for r in rows}
+    key = next(c for c in ("page_id", "vec_id", "doc_id") if c in got.columns)
+    expected = {"page_id": set(range(12)), "vec_id": set(range(20))}.get(key) or {r[0] for r in rows}
     assert {r[key] for r in got.select(key).collect()} == expected
     assert set(ORACLE_SQL) <= set(QUERIES)
 
