@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, exact and near dedup, suffix-array dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
-documents of the next. All but the last return the columns of the documents.
+documents of the next, and removed once the stage behind it is written. All but the last return the columns of the documents.
+
+In every stage a long text is read whole, further columns (whatever their names) are kept by all but the last stage and never looked at, and an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from genolake.llm import exact_dedup, minhash_join, packing, quality_rules, suffix_dedup
-from genolake.session import scratch, table
+from genolake.session import drop, scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +52,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; an empty table gives no piece. Tables between stages are in the shared folder."""
     docs, folder = table(spark, sf_dir, "documents"), scratch(spark, "stages")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if before:
+                drop(spark, before)
+            before = f"{folder}/{k}-{name}"
     return docs
