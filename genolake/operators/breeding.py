@@ -11,6 +11,10 @@ from genolake.operators.statistics import value_ranks
 from genolake.session import checkpoint
 
 
+#: Individuals up to which a cohort is a matrix: one pass over the markers instead of one per round.
+DENSE = 5000
+
+
 def yield_loss(pheno: DataFrame, share: float = 0.2) -> DataFrame:
     """The pathogen takes a share of the yield of susceptible plants."""
     hit = F.col("pathogen") & (F.col("trait3") == 1)
@@ -146,19 +150,19 @@ def _estimated(k, y) -> float:
     return reml_ratio(values, vectors.T @ np.ones(len(y)), vectors.T @ y)
 
 
-def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, most_inds: int = 5000):
+def ridge_effects(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, most_inds: int = 5000, dense: int = DENSE):
     """Ridge-regression marker effects. doses: (ind, snp, g); pheno: (ind, y). Returns (effects DataFrame, mean).
 
-    Without a penalty it is the ratio of variances by REML, from the cohort's matrix, so ``most_inds`` is a bound of memory. With a penalty the system is solved by conjugate
-    gradients over blocks of markers, and ``most_inds`` may be millions: the driver holds vectors only.
+    Without a penalty it is the ratio of variances by REML, from the cohort's matrix, so ``most_inds`` is a bound of memory. With a penalty, a cohort of more than ``dense`` individuals is
+    solved by conjugate gradients over blocks of markers, and ``most_inds`` may be millions: the driver holds vectors only. The results are the same.
     """
     import numpy as np
 
     inds, y, _, blocks = _cohort(doses, pheno, most_inds)
     mean = float(y.mean())
-    if penalty is None:
+    if penalty is None or len(inds) <= dense:
         k = gram(blocks, len(inds))
-        alpha = np.linalg.solve(k + _estimated(k, y) * np.eye(len(inds)), y - mean)
+        alpha = np.linalg.solve(k + (_estimated(k, y) if penalty is None else penalty) * np.eye(len(inds)), y - mean)
     else:
         alpha = conjugate_gradients(blocks, (y - mean)[:, None], np.array([float(penalty)]))[:, 0]
     sent = doses.sparkSession.sparkContext.broadcast(alpha)
@@ -200,11 +204,11 @@ def predict(doses: DataFrame, effects: DataFrame, mean: float) -> DataFrame:
     return doses.join(freq, "snp").join(effects, "snp").groupBy("ind").agg((F.sum((F.col("g") - F.col("c")) * F.col("effect")) + mean).alias("predicted"))
 
 
-def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, folds: int = 5, repeats: int = 10, most_inds: int = 5000) -> DataFrame:
+def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = None, folds: int = 5, repeats: int = 10, most_inds: int = 5000, dense: int = DENSE) -> DataFrame:
     """Error and correlation per repeat and fold; folds are dealt by a hash of individual and repeat.
 
-    Without a penalty each fold has its own by REML: the cohort's matrix is summed once and goes to the tasks, to which the folds are dealt. With
-    a penalty all folds are solved together by conjugate gradients over blocks of markers, without such a matrix.
+    The cohort's matrix is summed once and goes to the tasks, to which the folds are dealt; without a penalty each fold has its own by REML. With
+    a penalty and more than ``dense`` individuals, all folds are solved together by conjugate gradients over blocks of markers, without such a matrix.
     """
     import numpy as np
 
@@ -223,7 +227,7 @@ def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = N
 
     if not plans:
         return spark.createDataFrame([], schema)
-    if penalty is not None:
+    if penalty is not None and len(inds) > dense:
         masks = np.stack([fold[r] != f for r, f in plans], axis=1).astype(float)
         means = (y @ masks) / masks.sum(axis=0)
         alpha = conjugate_gradients(blocks, (y[:, None] - means) * masks, np.full(len(plans), float(penalty)), masks)
@@ -241,7 +245,7 @@ def cross_validate(doses: DataFrame, pheno: DataFrame, penalty: float | None = N
             for rep, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 test, train = np.flatnonzero(fold[rep] == f), np.flatnonzero(fold[rep] != f)
                 mean, own = y[train].mean(), k[np.ix_(train, train)]
-                ratio = _estimated(own, y[train])
+                ratio = _estimated(own, y[train]) if penalty is None else penalty
                 predicted = mean + k[np.ix_(test, train)] @ np.linalg.solve(own + ratio * np.eye(len(train)), y[train] - mean)
                 rows.append(scored(rep, f, predicted, y[test]))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["rep", "fold", "n", "rmspe", "r"])

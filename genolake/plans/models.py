@@ -21,6 +21,7 @@ from genolake.plans.registry import query
 from genolake.session import scratch
 from genolake.sources import archives as ar
 from genolake.sources import genotype_files as gf
+from genolake.sources.record_files import file_system
 
 # --- tag sheets as long as the reads ------------------------------------------------------------------------
 
@@ -167,3 +168,32 @@ def _only_file(c: DataFrame) -> DataFrame:
 
 
 query("only_file", "customer", sql="SELECT c_name AS name FROM customer")(_only_file)
+
+
+def _archived(p: DataFrame) -> DataFrame:
+    """Zip archives of fifty parts each, written by the tasks and read back."""
+    spark, path = p.sparkSession, scratch(p.sparkSession, "archives")
+    file_system(path)[0].create_dir(file_system(path)[1])
+
+    def write(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            for dataset, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held = io.BytesIO()
+                with zipfile.ZipFile(held, "w") as z:
+                    z.writestr(f"{dataset}_fastqc/fastqc_data.txt", "\n".join(lines))
+                system, inner = file_system(f"{path}/{dataset}_fastqc.zip")
+                with system.open_output_stream(inner) as f:
+                    f.write(held.getvalue())
+            yield batch.select([0])
+
+    # At most fifty rows a group.
+    groups = p.groupBy(F.concat(F.lit("d"), F.floor(F.col("p_partkey") / 50)).alias("dataset")).agg(F.collect_list(F.concat_ws("\t", "p_partkey", "p_name")).alias("lines"))
+    groups.mapInArrow(write, "dataset string").write.format("noop").mode("overwrite").save()
+    found = ar.read_report_archives(spark, path).select("dataset", "fault", F.explode(F.split("text", "\n")).alias("line")).withColumn("f", F.split("line", "\t"))
+    return found.select("dataset", F.col("f")[0].cast("long").alias("part"), F.col("f")[1].alias("name"), "fault")
+
+
+query("report_archives", "part", sql="SELECT concat('d', CAST(CAST(floor(p_partkey / 50) AS BIGINT) AS VARCHAR)) AS dataset, p_partkey AS part, p_name AS name, CAST(NULL AS VARCHAR) AS fault FROM part")(_archived)

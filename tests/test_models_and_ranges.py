@@ -319,20 +319,20 @@ def test_leading_components_equal_numpy(spark):
     r = np.random.default_rng(9)
     v = r.normal(size=(60, 3)) @ (np.diag([6, 4, 2.5]) @ r.normal(size=(3, 25))) + r.normal(size=(60, 25))
     values = spark.createDataFrame([(g, i, float(v[g, i])) for g in range(60) for i in range(25)], "gene int, ind int, v double").repartition(3)
-    loadings, parts = pca.leading_components(values, 4)
+    loadings, parts = pca.leading_components(values, 3)
     z = (v - v.mean(0)) / v.std(0, ddof=1)
     e, u = np.linalg.eigh(np.cov(z.T))
     parts = parts.orderBy("pc").collect()
-    assert np.allclose([p.variance for p in parts], e[::-1][:4], rtol=1e-8) and np.allclose([p.cumulative for p in parts], np.cumsum(e[::-1])[:4] / e.sum(), rtol=1e-8)
-    got = np.zeros((25, 4))
+    assert np.allclose([p.variance for p in parts], e[::-1][:3], rtol=1e-8) and np.allclose([p.cumulative for p in parts], np.cumsum(e[::-1])[:3] / e.sum(), rtol=1e-8)
+    got = np.zeros((25, 3))
     for x in loadings.collect():
         got[x.ind, x.pc - 1] = x.loading
     for k in range(3):
         mine = u[:, -1 - k]
         assert np.allclose(got[:, k], mine * np.sign(mine @ got[:, k]), atol=1e-5) and got[np.abs(got[:, k]).argmax(), k] > 0
-    assert pca.significant(spark.createDataFrame(parts)) >= 3
-    noise = r.normal(size=(80, 20))
-    _, table = pca.leading_components(spark.createDataFrame([(g, i, float(noise[g, i])) for g in range(80) for i in range(20)], "gene int, ind int, v double"), 2)
+    assert pca.significant(spark.createDataFrame(parts)) == 3
+    noise = r.normal(size=(80, 9))  # as many vectors as samples: exact after a round
+    _, table = pca.leading_components(spark.createDataFrame([(g, i, float(noise[g, i])) for g in range(80) for i in range(9)], "gene int, ind int, v double"), 2)
     assert pca.significant(table) == 0
     none, table = pca.leading_components(values.limit(0), 2)
     assert none.count() == table.count() == 0
@@ -405,16 +405,17 @@ def test_solvers_over_blocks_equal_dense_ones(spark):
     cells = doses.join(doses.groupBy("snp").agg(F.avg("g").alias("c")), "snp").select("ind", "snp", (F.col("g") - F.col("c")).alias("z"))
     blocks = bl.packed_columns(cells, list(range(40)), "snp", 9)
     assert np.allclose(bl.gram(blocks, 40), k) and np.allclose(bl.gram_times(blocks, np.eye(40)[:, :5]), k[:, :5])
-    effects, mean = br.ridge_effects(doses, pheno, 3.0)
-    want = z.T @ np.linalg.solve(k + 3 * np.eye(40), y - y.mean())
-    assert math.isclose(mean, y.mean()) and all(math.isclose(x.effect, want[x.snp], abs_tol=1e-8) for x in effects.collect())
+    want = z.T @ np.linalg.solve(k + 60 * np.eye(40), y - y.mean())
+    for dense in (0, 100):
+        effects, mean = br.ridge_effects(doses, pheno, 60.0, dense=dense)
+        assert math.isclose(mean, y.mean()) and all(math.isclose(x.effect, want[x.snp], abs_tol=1e-8) for x in effects.collect())
     free, _ = br.ridge_effects(doses, pheno)
     ratio = br._estimated(k, y)
     want = z.T @ np.linalg.solve(k + ratio * np.eye(40), y - y.mean())
     assert all(math.isclose(x.effect, want[x.snp], abs_tol=1e-8) for x in free.collect())
     dealt = {x.ind: (x.f0, x.f1) for x in pheno.select("ind", *[F.pmod(F.xxhash64("ind", F.lit(q)), F.lit(4)).alias(f"f{q}") for q in range(2)]).collect()}
-    for penalty in (5.0, None):
-        got = {(x.rep, x.fold): x for x in br.cross_validate(doses, pheno, penalty, 4, 2).collect()}
+    for penalty, dense in ((60.0, 0), (60.0, 100), (None, 100)):
+        got = {(x.rep, x.fold): x for x in br.cross_validate(doses, pheno, penalty, 4, 2, dense=dense).collect()}
         assert len(got) == 8
         for (rep, f), x in got.items():
             test = np.array([dealt[i][rep] == f for i in range(40)])
