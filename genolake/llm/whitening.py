@@ -16,6 +16,7 @@ empty results. Other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -134,12 +135,12 @@ def _sums(distinct: DataFrame, weights: str) -> dict:
             at, values = [-1, *range(dim)], [Decimal(n), *map(Decimal, sums)]
             yield pa.RecordBatch.from_arrays([pa.array([dim] * len(at), pa.int32()), pa.array(at, pa.int32()), pa.array(values, pa.decimal128(38, 0))], names=["dim", "at", "total"])
 
-    summed = distinct.mapInArrow(run, "dim int, at int, total decimal(38,0)").groupBy("dim", "at").agg(F.sum("total").cast("string").alias("total"))
     lengths = distinct.select("dim").distinct().limit(LONGEST + 2).toPandas()["dim"].tolist()
     if lengths and (max(lengths) > LONGEST or sum(d * d for d in lengths) > MOST_ENTRIES):
         raise ValueError(f"vectors may have at most {LONGEST} entries, and the covariances of all lengths {MOST_ENTRIES} together")
     out = {d: [0, [0] * d] for d in lengths}
-    for r in summed.toLocalIterator():
+    summed = distinct.mapInArrow(run, "dim int, at int, total decimal(38,0)").groupBy("dim", "at").agg(F.sum("total").cast("string").alias("total"))
+    for r in _few(summed, sum(d + 1 for d in lengths) / STRIPE).toLocalIterator():
         if r["at"] < 0:
             out[r["dim"]][0] = int(r["total"])
         else:
@@ -147,8 +148,13 @@ def _sums(distinct: DataFrame, weights: str) -> dict:
     return {d: (n, sums) for d, (n, sums) in out.items()}
 
 
-def _added(partials: DataFrame) -> DataFrame:
-    """Rows (dim, stripe, values) of equal dim and stripe added up."""
+def _few(df: DataFrame, most: float) -> DataFrame:
+    """The table in ``most`` partitions, rounded up, where a shuffle dealt it more: the driver's iterator runs a job for each, empty or not."""
+    return df.coalesce(max(1, min(math.ceil(most), partitions(df.sparkSession))))
+
+
+def _added(partials: DataFrame, stripes: int) -> DataFrame:
+    """Rows (dim, stripe, values) of equal dim and stripe added up; ``stripes`` is how many there are, so no more tasks have work."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -168,12 +174,15 @@ def _added(partials: DataFrame) -> DataFrame:
         if key is not None:
             yield row(key, total)
 
-    dealt = partials.repartition(partitions(partials.sparkSession), "dim", "stripe").sortWithinPartitions("dim", "stripe")
-    return dealt.mapInArrow(run, partials.schema)
+    dealt = _few(partials.repartition(partitions(partials.sparkSession), "dim", "stripe"), stripes)
+    return dealt.sortWithinPartitions("dim", "stripe").mapInArrow(run, partials.schema)
+
 
+def _products(table: DataFrame, centred, weights: str, sides: list[int]) -> dict:
+    """For each length the sum of w * (y - centre)(y - centre)' as a matrix, where ``centred(dim, part)`` gives the centred vectors y.
 
-def _products(table: DataFrame, centred, weights: str) -> dict:
-    """For each length the sum of w * (y - centre)(y - centre)' as a matrix, where ``centred(dim, part)`` gives the centred vectors y."""
+    ``sides`` has the matrices' sides, or what they are at most.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -195,7 +204,7 @@ def _products(table: DataFrame, centred, weights: str) -> dict:
     import numpy as np
 
     stripes: dict = {}
-    for r in _added(table.mapInArrow(run, "dim int, stripe int, part binary")).toLocalIterator():
+    for r in _added(table.mapInArrow(run, "dim int, stripe int, part binary"), sum(math.ceil(d * d / STRIPE) for d in sides)).toLocalIterator():
         stripes.setdefault(r["dim"], {})[r["stripe"]] = np.frombuffer(bytes(r["part"]))
     out = {}
     for dim, held in stripes.items():
@@ -241,7 +250,7 @@ def whiten(df: DataFrame, vector: str = "embedding", row_id: str = "vec_id", wei
     fits = _sums(distinct, weights)
     # Exact means do not depend on the shift: n * (x + shift) - (S + n * shift) = n * x - S.
     means = {d: np.array([s / n for s in sums]) for d, (n, sums) in fits.items()}
-    covs = _products(distinct, lambda dim, part: _unpacked(part.column("x"), dim) - means[dim] if dim else None, weights)
+    covs = _products(distinct, lambda dim, part: _unpacked(part.column("x"), dim) - means[dim] if dim else None, weights, list(fits))
     axes, tell = {}, {}
     for dim, total in covs.items():
         cov = total / fits[dim][0]
@@ -269,7 +278,7 @@ def whiten(df: DataFrame, vector: str = "embedding", row_id: str = "vec_id", wei
 
     distinct.mapInArrow(project, "dim int, key binary, rows long, deviation long, z array<double>").write.option("compression", "zstd").parquet(f"{path}/whitened")
     white = spark.read.parquet(f"{path}/whitened")
-    errors = _identity_errors(white, fits, weights)
+    errors = _identity_errors(white, fits, weights, components)
 
     fit = [(d, c + 1, fits[d][0], tell[d][c], errors.get(d)) for d in axes for c in range(axes[d].shape[1])]
     facts = spark.createDataFrame(fit, "dim int, component int, n long, explained double, identity_error double")  # a few rows per length
@@ -278,7 +287,7 @@ def whiten(df: DataFrame, vector: str = "embedding", row_id: str = "vec_id", wei
     return long.join(F.broadcast(facts), ["dim", "component"]).select(row_id, "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
-def _identity_errors(white: DataFrame, fits: dict, weights: str) -> dict:
+def _identity_errors(white: DataFrame, fits: dict, weights: str, components: int) -> dict:
     """Largest absolute entry of the whitened vectors' covariance minus the identity, per length."""
     import numpy as np
 
@@ -299,8 +308,8 @@ def _identity_errors(white: DataFrame, fits: dict, weights: str) -> dict:
         for dim, total in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["dim", "stripe", "part"])
 
-    centres = {r["dim"]: np.frombuffer(bytes(r["part"])) / fits[r["dim"]][0] for r in _added(white.mapInArrow(totals, "dim int, stripe int, part binary")).toLocalIterator()}
-    covs = _products(white, lambda dim, part: sound(part) - centres[dim], weights)
+    centres = {r["dim"]: np.frombuffer(bytes(r["part"])) / fits[r["dim"]][0] for r in _added(white.mapInArrow(totals, "dim int, stripe int, part binary"), len(fits)).toLocalIterator()}
+    covs = _products(white, lambda dim, part: sound(part) - centres[dim], weights, [min(components, d) for d in fits])
     return {d: float(np.abs(c / fits[d][0] - np.eye(len(c))).max()) for d, c in covs.items()}
 
 

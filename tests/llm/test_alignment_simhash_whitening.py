@@ -313,6 +313,25 @@ def test_whitening_of_odd_tables(spark):
     assert len(huge) == 6 and all(r["deviation"] is None for r in huge if r["vec_id"] < 3)
 
 
+def test_whitening_runs_no_job_per_shuffle_partition(spark):
+    """Sums and matrices reach the driver in as many partitions as they fill; lengths whose matrices have several stripes stay whole."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=300 if i % 3 else 4).tolist(), 0) for i in range(60)]
+    df, sc, before = spark.createDataFrame(rows, VECTORS), spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    usual = sorted(map(str, ((r["vec_id"], r["component"], r["n"], r["deviation"], round(abs(r["whitened"]), 6)) for r in whitening.report(df).filter("component < 4").collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "97")
+    try:
+        sc.setJobGroup("whitening-jobs", "")
+        whitening.report(df).schema
+        jobs = len(sc.statusTracker().getJobIdsForGroup("whitening-jobs"))
+        many = sorted(map(str, ((r["vec_id"], r["component"], r["n"], r["deviation"], round(abs(r["whitened"]), 6)) for r in whitening.report(df).filter("component < 4").collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 97, jobs
+    assert many == usual and len(many) == 180
+
+
 def test_empty_and_clashing_columns(spark):
     empty = frame(spark, [], 1)
     assert token_align.report(empty).count() == simhash_golay.report(empty).count() == 0
