@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from genolake.llm.tokens import slices, tokenizer_path, word_encoder
-from genolake.session import checkpoint, partitions
+from genolake.session import checkpoint, filled, partitions
 
 LIMIT = 4096
 END_ID = 1
@@ -61,6 +61,7 @@ def make_pieces(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = Non
                 cols = (piece.astype(np.int32), start, length.astype(np.int32), crc, (order % buckets).astype(np.int32), order)
                 types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(doc)), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=names)
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("_h")).mapInArrow(run, PIECES)
 
@@ -204,7 +205,7 @@ def pack(docs: DataFrame, limit: int = LIMIT, tokenizer: str | None = None) -> D
     before = per_bucket.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("bucket", "length").orderBy("ord", "piece", "doc_id"))
     ranked = pieces.withColumn("own", own - 1).join(before.select("bucket", "length", F.coalesce("base", F.lit(0)).alias("base")), ["bucket", "length"])
-    ranked = ranked.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("own") + F.col("base")).alias("rank"))
+    ranked = filled(ranked, sum(counts.values())).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("own") + F.col("base")).alias("rank"))
 
     def place(batches: Iterator) -> Iterator:
         import numpy as np

@@ -74,6 +74,38 @@ def test_packing_places_every_piece_once(spark):
     assert packing.pack(frame(spark, [])).count() == 0
 
 
+def test_words_are_remembered_without_case_and_marks():
+    """One entry for all forms of a word, bounded, with the library's ids."""
+    import pyarrow as pa
+
+    forms = ["Word word, WORD! word.", "  word;\tWord?!", None, "", "caf\u00e9, Cafe\u0301! \u0130. x\u037e; \u212b,", "<|endoftext|>. <|ENDOFTEXT|> ,.;", "\u4e2d\u6587, \u00bd. 12, it's,"]
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    for remembered in (1000, 12, 1):
+        encoder = tokens.WordEncoder(path, remembered)
+        for k in range(4):
+            rows = [*forms, " ".join(f"w{k}q{i}, w0q{i}" for i in range(9))]
+            ids, cuts = encoder.encode(pa.array(["left out", *rows]).slice(1))
+            for row, a, b in zip(rows, cuts, cuts[1:]):
+                assert ids[a:b].tolist() == encoder.tokenizer.encode(row or "", add_special_tokens=False).ids, row
+    encoder = tokens.WordEncoder(path, 3)
+    for text in ("Word word, WORD! word.", "word;", "other Word?"):
+        encoder.encode(pa.array([text]))
+    assert {"word", "other", "?"} == set(encoder.known)
+
+
+def test_packing_takes_no_task_per_shuffle_partition(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = packing.pack(frame(spark, [f"text {i} of some words" for i in range(40)]), limit=64)
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert len({(r.sequence_id, r.offset) for r in got.collect()}) == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_packing_of_repeated_rows_null_ids_and_clashing_columns(spark):
     long = "word " * 9000
     rows = [(1, "a b", *"xyz"), (1, "a b", *"xyz"), (None, "c", *"xyz"), (None, None, *"xyz"), (5, long, *"xyz")]
