@@ -381,3 +381,18 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100), (200, 201), (201, 200)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 200, 201: 200}
+
+
+def test_components_of_few_edges_lie_in_few_files(spark):
+    """Checkpoints of small tables have a file for each core, not one for each shuffle partition."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "53")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(50, 50), (60, None), (70, 71), (71, 70)]
+        got = connected_components(spark.createDataFrame(edges, "a long, b long"))
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {r.node: r.root for r in got.collect()} == {i: i // 10 * 10 for i in range(40)} | {50: 50, 70: 70, 71: 70}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
