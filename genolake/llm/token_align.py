@@ -33,6 +33,8 @@ from genolake.session import partitions, scratch
 #: Documents of a chunk (their places fit 12 bits), and links after which a chunk is closed.
 CHUNK = 4096
 CHUNK_LINKS = 6_000_000
+#: Links that a task of the result scores, chunk by chunk.
+TASK_LINKS = 4 * CHUNK_LINKS
 #: Places from which a bitmap is kept as bits; both forms then have different sizes.
 DENSE = CHUNK // 16
 #: Stretches that a worker remembers, and the bytes that they and their groups may take; beyond either it begins anew.
@@ -232,42 +234,72 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def pack_planes(pairs, places):
     """Postings of a chunk: (distinct pairs, Arrow column of their planes) of links given as pairs and places."""
+    return pack_cells([pairs << 12 | places])
+
+
+def pack_cells(held: list):
+    """``pack_planes`` of arrays of cells, pair << 12 | place for each link. The list is emptied, and all is sorted in place: a chunk has millions of links."""
     import numpy as np
     import pyarrow as pa
 
-    order = np.sort(pairs << 12 | places)
-    start = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
-    count = np.diff(np.append(start, len(order)))
-    cell = order[start]
+    cells = np.concatenate(held)
+    held.clear()
+    cells.sort()
+    start = np.flatnonzero(_changes(cells))
+    count = np.diff(np.append(start, len(cells)))
+    cells = cells[start]
+    del start
     digits = int(count.max()).bit_length() if len(count) else 0
-    held = [np.flatnonzero(count >> d & 1) for d in range(digits)]
-    at = np.concatenate(held) if held else np.zeros(0, np.int64)
-    digit = np.repeat(np.arange(digits), [len(h) for h in held])
-    pair, place = cell[at] >> 12, (cell[at] & 4095).astype(np.uint16)
-    line = np.lexsort((place, digit, pair))
-    pair, digit, place = pair[line], digit[line], place[line]
+    # Pair, digit and place side by side, so that their order is that of the numbers.
+    bits = [np.zeros(0, np.int64)]
+    for d in range(digits):
+        some = cells[count & (1 << d) > 0]
+        plane = some >> 12
+        plane <<= 6
+        plane |= d
+        plane <<= 12
+        some &= 4095
+        plane |= some
+        bits.append(plane)
+        del some, plane
+    del cells, count
+    line = np.concatenate(bits)
+    del bits
+    line.sort()
+    place = (line & 4095).astype(np.uint16)
+    line >>= 12
+    begin = np.flatnonzero(_changes(line))
+    pair, digit = line[begin] >> 6, line[begin] & 63
+    found = np.diff(np.append(begin, len(line)))
+    del line
     # A pair's planes stand side by side from digit 0 on; digits without a place have an empty bitmap.
-    known, top = np.unique(pair), np.zeros(0, np.int64)
-    if len(pair):
-        begins = np.searchsorted(pair, known)
-        top = np.maximum.reduceat(digit, begins) + 1
-    base = np.append(0, np.cumsum(top))
-    plane = base[np.searchsorted(known, pair)] + digit
-    size = np.bincount(plane, minlength=int(base[-1]))
+    first = np.flatnonzero(_changes(pair))
+    each = np.diff(np.append(first, len(pair)))
+    known, base = pair[first], np.append(0, np.cumsum(digit[first + each - 1] + 1))
+    plane = np.repeat(base[:-1], each) + digit
+    size = np.zeros(int(base[-1]), np.int64)
+    size[plane] = found
     width = np.where(size >= DENSE, CHUNK // 8, 2 * size)
     offset = np.append(0, np.cumsum(width))
     raw = np.zeros(int(offset[-1]) // 2, np.uint16)
-    begin = np.append(0, np.cumsum(size))
-    sparse = size[plane] < DENSE
-    raw[(offset[plane] // 2 + np.arange(len(plane)) - begin[plane])[sparse]] = place[sparse]
-    for p in np.flatnonzero(size >= DENSE).tolist():
-        bits = np.zeros(CHUNK, np.uint8)
-        bits[place[begin[p] : begin[p + 1]]] = 1
-        raw[offset[p] // 2 : offset[p + 1] // 2] = np.packbits(bits, bitorder="little").view(np.uint16)
-    planes = pa.Array.from_buffers(pa.binary(), int(base[-1]), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(raw)])
+    raw[np.repeat(size < DENSE, width // 2)] = place[np.repeat(found < DENSE, found)]
+    for k in np.flatnonzero(found >= DENSE).tolist():
+        full = np.zeros(CHUNK, np.uint8)
+        full[place[begin[k] : begin[k] + found[k]]] = 1
+        raw[offset[plane[k]] // 2 : offset[plane[k] + 1] // 2] = np.packbits(full, bitorder="little").view(np.uint16)
+    planes = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offset.astype(np.int32)), pa.py_buffer(raw)])
     return known, pa.ListArray.from_arrays(pa.array(base.astype(np.int32)), planes)
 
 
+def _changes(values):
+    """Where a sorted array has another value than before."""
+    import numpy as np
+
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
+
+
 def spread_planes(column):
     """(row, digit, place) of every bit that is set in an Arrow column of planes."""
     import numpy as np
@@ -284,10 +316,9 @@ def spread_planes(column):
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     width = np.diff(offsets)
     dense = width == CHUNK // 8
-    of_byte = np.repeat(np.arange(len(width)), width)
-    listed = ~dense[of_byte]
+    listed = np.repeat(~dense, width)
     places = data[listed].view(np.uint16).astype(np.int64)
-    of_place = of_byte[listed][::2]
+    of_place = np.repeat(np.flatnonzero(~dense), width[~dense] // 2)
     full = np.flatnonzero(dense)
     bits = np.unpackbits(data[~listed].reshape(len(full), CHUNK // 8), axis=1, bitorder="little")
     at, more = np.nonzero(bits)
@@ -326,8 +357,7 @@ def encode(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | N
             return pa.RecordBatch.from_arrays([given[c] if c in given else pa.nulls(n, t) for c, t in zip(names, kinds, strict=True)], names=names)
 
         def close():
-            pairs, places = (np.concatenate(x) for x in zip(*held, strict=True))
-            known, planes = pack_planes(pairs, places)
+            known, planes = pack_cells(held)
             for k in range(0, len(known), 20_000):
                 some = known[k : k + 20_000]
                 yield rows(len(some), kind=pa.array(np.ones(len(some), np.int32)), chunk=pa.array(np.full(len(some), chunk)), pair=pa.array(some), planes=planes.slice(k, len(some)))
@@ -339,10 +369,10 @@ def encode(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | N
                     n = part.num_rows
                     if place and (place + n > CHUNK or links > chunk_links):
                         yield from close()
-                        chunk, place, links, held = chunk + 1, 0, 0, []
+                        chunk, place, links = chunk + 1, 0, 0
                     counts, pairs, bounds, groups = tool.encode(part.column(1))
                     places = np.arange(place, place + n)
-                    held.append((pairs, np.repeat(places, np.diff(bounds))))
+                    held.append(pairs << 12 | np.repeat(places, np.diff(bounds)))
                     digests = ["" if g is None else hashlib.sha256(g.encode()).hexdigest() for g in groups]
                     numbers = {c: pa.array(counts[:, i].copy()) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
                     shown = {"groups": pa.array(groups, pa.string())} if with_groups else {}
@@ -374,10 +404,16 @@ def pair_counts(encoded: DataFrame) -> DataFrame:
 
 
 def scores(encoded: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Documents with n_best, count_sum and doc_count_sum, the sums over their links of 'best' and of the pair's links and documents."""
+    """Documents with n_best, count_sum and doc_count_sum, the sums over their links of 'best' and of the pair's links and documents.
+
+    The pairs of a shuffle partition are a small hash table, so postings are not sorted to meet them. The result takes a task and
+    a file for every ``TASK_LINKS`` links, and one for each core at least, not one for each shuffle partition.
+    """
     n = partitions(encoded.sparkSession)
+    links = encoded.filter("kind = 0").agg(F.sum("n_links")).first()[0] or 0
+    tasks = max(encoded.sparkSession.sparkContext.defaultParallelism, -(-links // TASK_LINKS))
     shown = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "groups"]
-    postings = encoded.filter("kind = 1").select("pair", "chunk", "planes").join(pairs.select("pair", "n_docs", F.col("n_links").alias("count"), "best").hint("merge"), "pair")
+    postings = encoded.filter("kind = 1").select("pair", "chunk", "planes").join(pairs.select("pair", "n_docs", F.col("n_links").alias("count"), "best").hint("shuffle_hash"), "pair")
     met = postings.select("chunk", F.lit(1).alias("kind"), "planes", "n_docs", "count", F.col("best").cast("long").alias("best"))
     both = encoded.filter("kind = 0").select("chunk", "kind", "place", *shown).unionByName(met, allowMissingColumns=True)
 
@@ -406,7 +442,7 @@ def scores(encoded: DataFrame, pairs: DataFrame) -> DataFrame:
         yield from _scored(lines, sums, shown)
 
     schema = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, n_best long, count_sum long, doc_count_sum long"
-    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema)
+    return both.repartition(n, "chunk").sortWithinPartitions("chunk", "kind").mapInArrow(run, schema).coalesce(tasks)
 
 
 def _scored(lines: list, sums, shown: list[str]) -> Iterator:
@@ -421,7 +457,7 @@ def _scored(lines: list, sums, shown: list[str]) -> Iterator:
 def index(docs: DataFrame, tokenizer_a: str | None = None, tokenizer_b: str | None = None, with_groups: bool = False, chunk_links: int = CHUNK_LINKS) -> DataFrame:
     """``encode`` as a table in the shared folder."""
     path = scratch(docs.sparkSession, "alignment")
-    encode(docs, tokenizer_a, tokenizer_b, with_groups, chunk_links).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    encode(docs, tokenizer_a, tokenizer_b, with_groups, chunk_links).write.option("compression", "zstd").parquet(path)
     return docs.sparkSession.read.schema(ENCODED).parquet(path)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -163,6 +164,32 @@ def test_small_chunks_and_pair_table(spark, tools):
     assert all(hashlib.sha256(r["groups"].encode()).hexdigest() == r["groups_sha256"] for r in shown)
 
 
+def test_packing_takes_few_bytes_a_link():
+    r = np.random.default_rng(4)
+    pairs, places = r.integers(0, 20_000, 1_000_000), r.integers(0, token_align.CHUNK, 1_000_000)
+    tracemalloc.start()
+    token_align.pack_planes(pairs, places)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * len(pairs)  # 104 when pairs, places and their order were arrays of their own
+
+
+def test_one_index_file_a_task_and_few_result_files(spark, tools):
+    rows = [(i, t) for i, t in enumerate(texts(6, 60))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        encoded = token_align.index(frame(spark, rows))
+        assert len(encoded.inputFiles()) == 3
+        done = token_align.scores(encoded, token_align.pair_counts(encoded))
+        assert done.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+        assert sorted((tuple(r) for r in done.select(*ALIGNED).collect()), key=repr) == aligned(rows, tools)
+        none = token_align.index(frame(spark, []))
+        assert token_align.scores(none, token_align.pair_counts(none)).collect() == []
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 # --- SimHash ---------------------------------------------------------------------------------------------
 
 
