@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from genolake.operators.blocks import conjugate_gradients, gram, gram_times, packed_columns
 from genolake.operators.skew import hand_back
-from genolake.operators.statistics import value_ranks
+from genolake.operators.statistics import steady_mean, value_ranks
 from genolake.session import checkpoint
 
 
@@ -26,7 +26,7 @@ def pathogen_years(pheno: DataFrame, first: int = 2005, every: int = 3) -> DataF
 
 
 def individual_means(pheno: DataFrame) -> DataFrame:
-    return pheno.groupBy("ind").agg(F.avg("trait1").alias("trait1"), F.avg("trait2").alias("trait2"), F.count("*").alias("n"))
+    return pheno.groupBy("ind").agg(steady_mean("trait1").alias("trait1"), steady_mean("trait2").alias("trait2"), F.count("*").alias("n"))
 
 
 def best_controls(means: DataFrame, share: float = 0.1) -> DataFrame:
@@ -41,12 +41,13 @@ def best_controls(means: DataFrame, share: float = 0.1) -> DataFrame:
 def registered(candidates: DataFrame, controls: DataFrame, gain: float = 1.03, least2: float = 14.0) -> DataFrame:
     """Candidates that beat the controls' mean of trait 1 and reach a level of trait 2, with their yield and its rank, the highest first.
 
-    Equal yields (to nine decimals) share a rank, and the next one counts them all. Ranks are taken per distinct yield and handed back.
+    Equal yields (to nine decimals) share a rank, and the next one counts them all. Ranks are taken per distinct yield and handed back
+    to rows that are kept, as a yield that is computed once more may be rounded to another one.
     """
     mean = controls.agg(F.avg("trait1").alias("control1"))
     ok = (F.col("trait1") >= gain * F.col("control1")) & (F.col("trait2") >= least2)
     rows = candidates.crossJoin(F.broadcast(mean)).select("ind", "trait1", "trait2", (F.col("trait1") * F.col("trait2") / 100).alias("yield"), ok.alias("registered"))
-    rows = rows.withColumn("_low", -F.round("yield", 9))
+    rows = checkpoint(rows.withColumn("_low", -F.round("yield", 9)))
     ranks = value_ranks(rows, "_low").select("_low", "size", (F.col("below") + 1).alias("rank"))
     ranked = hand_back(rows.filter("_low is not null"), ranks, "_low", "size").unionByName(rows.filter("_low is null"), allowMissingColumns=True)
     return ranked.drop("_low")

@@ -437,3 +437,20 @@ def test_registration_has_ranks(spark):
     means = spark.createDataFrame(rows, "ind int, trait1 double, trait2 double, n long")
     got = {x.ind: x["rank"] for x in br.registered(means, means).collect()}
     assert {got[i] for i in (2, 5, 8)} == {1} and {got[i] for i in (1, 4, 7)} == {4} and {got[i] for i in (0, 3, 6)} == {7} and got[99] is None
+
+
+def test_means_do_not_depend_on_the_order(spark):
+    values = [(0, 0.1), (0, 0.2), (0, 0.3), (1, 0.3), (1, 0.2), (1, 0.1), (2, 1e300), (2, 1e-300), (3, float("nan")), (3, 1.0), (4, None), (4, 4.0), (5, None), (6, 0.0), (6, -1e-5)]
+    df = spark.createDataFrame(values, "ind int, v double").coalesce(1)
+    got = {x.ind: x.m for x in df.groupBy("ind").agg(st.steady_mean("v").alias("m")).collect()}
+    assert got[0] == got[1] == 0.6 / 3 and got[2] == 5e299 and math.isnan(got[3]) and got[4] == 4 and got[5] is None and got[6] == -5e-6
+
+
+def test_ranks_find_rows_whose_yield_is_computed_again(spark):
+    from pyspark.sql.functions import udf
+
+    # A yield that comes out otherwise each time, as sums of rows that arrive in another order may.
+    again = udf(lambda i: i + random.SystemRandom().random(), "double").asNondeterministic()
+    means = spark.range(40).select(F.col("id").alias("ind"), again("id").alias("trait1"), F.lit(100.0).alias("trait2"))
+    rows = br.registered(means, means.limit(1)).collect()
+    assert sorted(x.ind for x in rows) == list(range(40)) and all(x["rank"] == 40 - x.ind for x in rows)
