@@ -141,14 +141,17 @@ def all_pair_tests(expression: DataFrame, doses: DataFrame, least_t: float = 0.0
         import pyarrow as pa
 
         here, there = ~np.isnan(y), ~np.isnan(x)
-        y, x = np.where(here, y - np.nanmean(y, axis=1, keepdims=True), 0), np.where(there, x, 0)
         a, b = here.astype(float), there.astype(float)
+        raw, x = np.where(here, y, 0), np.where(there, x, 0)
+        y = np.where(here, y - np.nanmean(y, axis=1, keepdims=True), 0)
         n, sy, sx = a @ b.T, y @ b.T, a @ x.T
+        yy, xx = (raw * raw) @ b.T, a @ (x * x).T
         with np.errstate(divide="ignore", invalid="ignore"):
-            vy, vx, xy = (y * y) @ b.T - sy * sy / n, a @ (x * x).T - sx * sx / n, y @ x.T - sy * sx / n
+            vy, vx, xy = (y * y) @ b.T - sy * sy / n, xx - sx * sx / n, y @ x.T - sy * sx / n
             r = np.clip(xy / np.sqrt(vy * vx), -1, 1)
             t = r * np.sqrt(n - 2) / np.sqrt(1 - r * r)
-        i, j = np.nonzero((n > 2) & (vy > 1e-9) & (vx > 1e-9) & (np.abs(t) >= least_t))
+        # A constant has no correlation; what is one is measured by the values' own size, whatever their unit.
+        i, j = np.nonzero((n > 2) & (vy > 1e-24 * yy) & (vx > 1e-12 * xx) & (np.abs(t) >= least_t))
         return pa.RecordBatch.from_arrays([pa.array([genes[q] for q in i], kinds[0]), pa.array([snps[q] for q in j], kinds[1]), pa.array(n[i, j].astype(np.int64)), pa.array(r[i, j]), pa.array(t[i, j])], names=["gene", "snp", "n", "r", "t"])
 
     n_inds, schema = len(inds), f"gene {one}, snp {two}, n long, r double, t double"

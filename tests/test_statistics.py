@@ -309,3 +309,48 @@ def test_reml_and_cross_validation(spark):
         x = vec.T @ np.column_stack([np.ones(n), z[:, q]])
         beta = np.linalg.solve(x.T @ (w[:, None] * x), x.T @ (w * (vec.T @ (y - y.mean()))))
         assert abs(scan[q] - beta[1]) < 1e-8
+
+
+def _written(spark, folder, prices):
+    """orders of one marker of sixty individuals, and lineitem with the given prices by gene and individual; the doses are returned."""
+    import hashlib
+
+    spark.createDataFrame([(k, k) for k in range(60)], "o_orderkey long, o_custkey long").write.parquet(f"{folder}/orders.parquet")
+    g = np.array([ord(hashlib.md5(str(k).encode()).hexdigest()[0]) % 3 for k in range(60)], dtype=float)
+    rows = [(gene, k, float(v)) for gene, per in enumerate(prices(g)) for k, v in enumerate(per)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(f"{folder}/lineitem.parquet")
+    return g
+
+
+def test_trans_stat_over_keeps_what_is_rounded_to_the_threshold(spark, tmp_path):
+    import duckdb
+
+    from genolake.plans import catalogue
+
+    def prices(g):
+        z = (g - g.mean()) / g.std()
+        w = np.random.default_rng(5).normal(size=60)
+        w -= w.mean() + z * (w @ z) / 60
+        w /= w.std()
+        for t in (2.499994, 2.499996, -2.499996, 2.4999985, 2.51):
+            r = t / np.sqrt(58 + t * t)
+            yield 1000 + 50 * (r * z + np.sqrt(1 - r * r) * w)
+
+    _written(spark, str(tmp_path), prices)
+    rows = sorted((x.gene, x.snp, x.n, x.r, x.t) for x in catalogue.queries()["trans_stat_over"](spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    for t in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert rows == sorted(con.execute(f"SELECT gene, snp, n, r, t FROM ({catalogue.oracle_sql()['trans_stat_over']})").fetchall())
+    assert [(x[0], x[4]) for x in rows] == [(1, 2.5), (2, -2.5), (3, 2.5), (4, 2.51)]
+
+
+def test_all_pairs_of_small_values(spark):
+    from genolake.operators import association as assoc
+
+    r = np.random.default_rng(9)
+    v, g = r.normal(size=30), r.integers(0, 3, 30)
+    doses = spark.createDataFrame([(0, i, int(g[i])) for i in range(30)], "snp int, ind int, g int")
+    expr = spark.createDataFrame([(k, i, float(x)) for k, per in enumerate((v, v * 1e-9, np.full(30, 0.1), 1e7 + v)) for i, x in enumerate(per)], "gene int, ind int, v double")
+    got = {x.gene: x.t for x in assoc.all_pair_tests(expr, doses).collect()}
+    assert got.keys() == {0, 1, 3} and math.isclose(got[0], got[1], rel_tol=1e-9) and math.isclose(got[0], got[3], rel_tol=1e-6)
