@@ -454,3 +454,16 @@ def test_ranks_find_rows_whose_yield_is_computed_again(spark):
     means = spark.range(40).select(F.col("id").alias("ind"), again("id").alias("trait1"), F.lit(100.0).alias("trait2"))
     rows = br.registered(means, means.limit(1)).collect()
     assert sorted(x.ind for x in rows) == list(range(40)) and all(x["rank"] == 40 - x.ind for x in rows)
+
+
+def test_few_more_tags_meet_than_match(spark):
+    r = random.Random(6)
+    words = sorted({"".join(r.choice("ACGT") for _ in range(r.choice([7, 8]))) for _ in range(3000)})
+    texts = spark.createDataFrame([(w,) for w in words], "u string")
+    a = ti._keyed(texts.toDF("u1"), "u1", [7, 8], 1, [0, 1], own=True)
+    b = ti._keyed(texts.toDF("u2"), "u2", [7, 8], 1, [0, 1]).drop("out")
+    sheet = texts.select(F.concat(F.lit("s"), "u").alias("sample"), F.col("u").alias("tag"))
+    pairs = ti.indistinct_pairs(sheet, 1).count()
+    assert pairs == sum(x != y and len(x) <= len(y) and sum(p != q for p, q in zip(x, y, strict=False)) <= 1 for x in words for y in words)
+    # Halves of tags, by which they met before, made 102,415 rows of them.
+    assert a.join(b, "key").count() < 5 * (pairs + len(words)) < 50_000
