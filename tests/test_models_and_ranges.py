@@ -467,3 +467,11 @@ def test_few_more_tags_meet_than_match(spark):
     assert pairs == sum(x != y and len(x) <= len(y) and sum(p != q for p, q in zip(x, y, strict=False)) <= 1 for x in words for y in words)
     # Halves of tags, by which they met before, made 102,415 rows of them.
     assert a.join(b, "key").count() < 5 * (pairs + len(words)) < 50_000
+
+
+def test_starts_with_many_rows_of_one_tag(spark):
+    sheet = spark.createDataFrame([(f"s{i}", t, i) for i in range(200) for t in ("ACGTACGTAC", "acgtacgtaca")], "sample string, tag string, tag_rank long")
+    reads = spark.createDataFrame([(1, "acGTACGTACTT"), (2, "ACGTACGTACAT"), (3, "ACGTACGTAGTT"), (4, "TCGTACGTACAT"), (5, "AAGTACGTAGTT"), (6, "")], "read_id long, seq string")
+    got = {x.read_id: (x.sample, x.mismatches) for x in ti.seeded_starts(reads, sheet, 1).collect()}
+    assert got == {1: ("s0", 0), 2: ("s0", 0), 3: ("s0", 1), 4: ("s0", 1)}
+    assert ti.indistinct_pairs(sheet, 1).count() == 3 * 200 * 199
