@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -75,9 +75,12 @@ def ris_records(fields: DataFrame) -> DataFrame:
 
 
 def ris_lines(fields: DataFrame) -> DataFrame:
-    """(id, pos, line): records by lower-case id, their fields in order, several values on lines of their own."""
-    ids = fields.filter("tag = 'ID'").groupBy("entry").agg(F.min_by("value", "pos").alias("id"))
-    lines = fields.join(ids, "entry").select("id", "pos", F.concat("tag", F.lit("  - "), "value").alias("line"))
+    """(id, pos, line): records by lower-case id, their fields in order, several values on lines of their own.
+
+    A record's first id reaches its fields by a window: the table of ids is as long as that of records, and a join with it may be planned as a broadcast.
+    """
+    first = F.min(F.when(F.col("tag") == "ID", F.struct("pos", "value"))).over(Window.partitionBy("entry"))
+    lines = fields.filter("entry is not null").withColumn("_id", first).filter("_id is not null").select("_id.value", "pos", F.concat("tag", F.lit("  - "), "value").alias("line")).toDF("id", "pos", "line")
     return lines.orderBy(F.lower("id"), "id", "pos")
 
 

@@ -131,3 +131,15 @@ def test_archives_and_kept_results(spark, tmp_path):
         df = archives.kept(spark, str(tmp_path / "kept"), lambda: made.append(1) or spark.range(3))
     assert df.count() == 3 and made == [1]
     assert archives.missing_chunks(spark.range(3), spark.range(2), "id").count() == 1
+
+
+def test_ris_lines_send_no_table_of_ids_through_the_driver(spark):
+    from genolake.operators import bibliography as bib
+
+    rows = [(1, "TI", 0, "b"), (1, "ID", 1, "Z2"), (1, "ID", 2, "A9"), (2, "ID", 0, "a1"), (2, "TI", 1, "a"), (3, "TI", 0, "no id"), (None, "ID", 0, "none")]
+    lines = bib.ris_lines(spark.createDataFrame(rows, "entry long, tag string, pos int, value string"))
+    assert [tuple(x) for x in lines.collect()] == [("a1", 0, "ID  - a1"), ("a1", 1, "TI  - a"), ("Z2", 0, "TI  - b"), ("Z2", 1, "ID  - Z2"), ("Z2", 2, "ID  - A9")]
+    # Over a file of a few rows the planner would broadcast any table that may be.
+    text = spark.range(10).select(F.col("id").alias("entry"), F.concat(F.lit("TI  - t\nID  - "), "id").alias("text"))
+    plan = bib.ris_lines(bib.ris_fields(text))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
