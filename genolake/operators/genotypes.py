@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from genolake.operators.blocks import cross_products
 from genolake.operators.greedy import walk
+from genolake.session import checkpoint, partitions
 
 
 def call_probabilities(call: Column, a1: Column, a2: Column) -> dict[str, Column]:
@@ -69,50 +73,83 @@ def linkage(doses: DataFrame) -> DataFrame:
     return pairs.groupBy("snp1", "snp2").agg(F.count("*").alias("n"), F.pow(F.corr(F.col("g1").cast("double"), F.col("g2").cast("double")), 2).alias("r2")).filter("r2 is not null")
 
 
-def linkage_of_all(doses: DataFrame, markers_at_once: int = 256) -> DataFrame:
+#: Cells of a block of markers, about, and individuals of a block that are a matrix at once.
+CELLS_AT_ONCE, INDS_AT_ONCE = 1 << 20, 4096
+
+
+def linkage_of_all(doses: DataFrame, markers_at_once: int = 256, inds_at_once: int = INDS_AT_ONCE) -> DataFrame:
     """r2 of every pair of markers, over the individuals that have both; ``doses`` may be those of one chromosome.
 
-    Markers are dealt by hash into groups of about ``markers_at_once``; each pair of groups meets in one task, which
-    multiplies them as dense matrices and sends one row per pair of markers. Repeated cells meet each of the other's.
+    Markers are dealt by hash into packed blocks of about ``markers_at_once``, which are kept once. Every pair of blocks meets in a task that reads both and
+    multiplies them as dense matrices, ``inds_at_once`` individuals at a time; nothing is shuffled per pair. Repeated cells meet each of the other's.
     """
-    kind, arrow = doses.schema["snp"].dataType.simpleString(), to_arrow_type(doses.schema["snp"].dataType)
+    kinds = [doses.schema[c].dataType.simpleString() for c in ("snp", "ind")]
+    arrows = [to_arrow_type(doses.schema[c].dataType) for c in ("snp", "ind")]
     cells = doses.select("snp", "ind", F.col("g").cast("double").alias("g")).dropna()
-    groups = max(1, -(-cells.select("snp").distinct().count() // markers_at_once))
+    size = cells.groupBy("snp").agg(F.count("*").alias("n")).agg(F.count("*").alias("snps"), F.coalesce(F.sum("n"), F.lit(0)).alias("cells")).first()
+    groups = max(1, -(-size["snps"] // markers_at_once), -(-size["cells"] // CELLS_AT_ONCE))
 
-    def meet(cells):
+    def pack(table):
         import numpy as np
         import pyarrow as pa
 
-        snp, ind, g, left = (np.array(cells.column(c).to_pylist()) for c in ("snp", "ind", "g", "left"))
-        same = cells.column("i")[0].as_py() == cells.column("j")[0].as_py()
-        inds, at = np.unique(ind, return_inverse=True)
-
-        def sums(side):
-            names, row = np.unique(snp[side], return_inverse=True)
-            out = [np.zeros((len(names), len(inds))) for _ in range(3)]
-            for k in range(3):
-                np.add.at(out[k], (row, at[side]), g[side] ** k)
-            return names, *out
-
-        names1, n1, s1, q1 = sums(left)
-        names2, n2, s2, q2 = (names1, n1, s1, q1) if same else sums(~left)
-        n, a, b = n1 @ n2.T, s1 @ n2.T, n1 @ s2.T
-        aa, bb = n * (q1 @ n2.T), n * (n1 @ q2.T)
-        v1, v2, cov = aa - a * a, bb - b * b, n * (s1 @ s2.T) - a * b
+        (snps, row), (inds, at) = (np.unique(table.column(c).to_numpy(), return_inverse=True) for c in ("snp", "ind"))
+        raw = [x.tobytes() for x in (row.astype(np.int32), at.astype(np.int32), table.column("g").to_numpy())]
+        lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((snps, inds), arrows, strict=True)]
+        return pa.table([table.column("block")[:1].combine_chunks(), *lists, *[pa.array([x], pa.binary()) for x in raw]], names=["block", "snps", "inds", "row", "at", "g"])
+
+    def met(same, one, two):
+        import numpy as np
+        import pyarrow as pa
+
+        common = np.intersect1d(one[1], two[1])
+
+        def matrices(side, start):
+            """Counts, sums and sums of squares of a block's cells, by marker and common individual, from ``start`` on."""
+            snps, inds, row, at, g = side
+            width = min(inds_at_once, len(common) - start)
+            place = np.searchsorted(common, inds)
+            there = common[np.minimum(place, len(common) - 1)] == inds
+            col = np.where(there, place - start, -1)[at]
+            use = (col >= 0) & (col < width)
+            cell, v = row[use] * width + col[use], g[use]
+            return [np.bincount(cell, w, len(snps) * width).reshape(len(snps), width).astype(float) for w in (None, v, v * v)]
+
+        n, a, b, q1, q2, cross = (np.zeros((len(one[0]), len(two[0]))) for _ in range(6))
+        for start in range(0, len(common), inds_at_once):
+            (n1, s1, x1), (n2, s2, x2) = matrices(one, start), matrices(two, start)
+            for total, (x, y) in zip((n, a, b, q1, q2, cross), ((n1, n2), (s1, n2), (n1, s2), (x1, n2), (n1, x2), (s1, s2)), strict=True):
+                total += x @ y.T
+        aa, bb = n * q1, n * q2
+        v1, v2, cov = aa - a * a, bb - b * b, n * cross - a * b
         ok = (v1 > 1e-12 * aa) & (v2 > 1e-12 * bb)  # a constant has no correlation
         if same:
-            ok &= np.arange(len(names1))[:, None] < np.arange(len(names1))[None, :]
+            ok &= np.arange(len(one[0]))[:, None] < np.arange(len(two[0]))[None, :]
         x, y = np.nonzero(ok)
-        first, second = names1[x], names2[y]
+        first, second = one[0][x], two[0][y]
         swap = first > second
         first, second = np.where(swap, second, first), np.where(swap, first, second)
         r2 = np.minimum(1.0, cov[x, y] ** 2 / (v1[x, y] * v2[x, y]))
-        return pa.table({"snp1": pa.array(first.tolist(), arrow), "snp2": pa.array(second.tolist(), arrow), "n": pa.array(n[x, y].astype(np.int64)), "r2": pa.array(r2)})
+        return pa.RecordBatch.from_arrays([pa.array(first, arrows[0]), pa.array(second, arrows[0]), pa.array(n[x, y].astype(np.int64)), pa.array(r2)], names=["snp1", "snp2", "n", "r2"])
+
+    def meet(batches: Iterator) -> Iterator:
+        import numpy as np
 
-    mine = F.pmod(F.xxhash64("snp"), F.lit(groups)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    dealt = cells.withColumn("mine", mine).withColumn("other", other).select("snp", "ind", "g", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("left"))
-    return dealt.groupBy("i", "j").applyInArrow(meet, f"snp1 {kind}, snp2 {kind}, n long, r2 double")
+        for batch in batches:
+            for k in range(batch.num_rows):
+                sides = []
+                for s in ("1", "2"):
+                    lists = [batch.column(c + s)[k].values.to_numpy(zero_copy_only=False) for c in ("snps", "inds")]
+                    sides.append([*lists, *[np.frombuffer(batch.column(c + s)[k].as_buffer(), kind) for c, kind in (("row", np.int32), ("at", np.int32), ("g", float))]])
+                yield met(batch.column("block1")[k].as_py() == batch.column("block2")[k].as_py(), *sides)
+
+    # Each task meets two of these partitions, so their number's square, a few for each shuffle partition, is that of the tasks.
+    parts = min(groups, math.isqrt(4 * partitions(doses.sparkSession)) + 1)
+    dealt = cells.withColumn("block", F.pmod(F.xxhash64("snp"), F.lit(groups)).cast("int")).repartition(parts, "block")
+    blocks = checkpoint(dealt.groupBy("block").applyInArrow(pack, f"block int, snps array<{kinds[0]}>, inds array<{kinds[1]}>, row binary, at binary, g binary"))
+    one, two = (blocks.toDF(*[f"{c}{s}" for c in blocks.columns]) for s in ("1", "2"))
+    pairs = one.crossJoin(two.hint("shuffle_replicate_nl")).filter("block1 <= block2")
+    return pairs.mapInArrow(meet, f"snp1 {kinds[0]}, snp2 {kinds[0]}, n long, r2 double")
 
 
 def relationships(doses: DataFrame, centred: bool = True, method: str = "vanraden") -> DataFrame:

@@ -354,3 +354,26 @@ def test_all_pairs_of_small_values(spark):
     expr = spark.createDataFrame([(k, i, float(x)) for k, per in enumerate((v, v * 1e-9, np.full(30, 0.1), 1e7 + v)) for i, x in enumerate(per)], "gene int, ind int, v double")
     got = {x.gene: x.t for x in assoc.all_pair_tests(expr, doses).collect()}
     assert got.keys() == {0, 1, 3} and math.isclose(got[0], got[1], rel_tol=1e-9) and math.isclose(got[0], got[3], rel_tol=1e-6)
+
+
+def test_linkage_of_all_packs_markers_once(spark):
+    rng = np.random.default_rng(3)
+    # Names are text, individuals differ from marker to marker, and some cells stand there twice.
+    cells = [(f"i{i:02}", f"m{s:02}", int(rng.integers(0, 3))) for s in range(30) for i in range(s % 7, 40 - s % 5) if rng.random() < 0.8]
+    cells += cells[:60]
+    doses = spark.createDataFrame(cells, "ind string, snp string, g int").repartition(3)
+    held = {}
+    for i, s, x in cells:
+        held.setdefault(s, []).append((i, x))
+    expected = {}
+    for a in held:
+        for b in held:
+            both = np.array([(x, y) for i, x in held[a] for j, y in held[b] if i == j], dtype=float)
+            if a < b and both[:, 0].std() > 0 and both[:, 1].std() > 0:
+                expected[a, b] = (len(both), np.corrcoef(both.T)[0, 1] ** 2)
+    pairs = gt.linkage_of_all(doses, 7, 11)
+    got = {(r.snp1, r.snp2): (r.n, r.r2) for r in pairs.collect()}
+    assert got.keys() == expected.keys() and all(got[k][0] == n and math.isclose(got[k][1], r2, abs_tol=1e-9) for k, (n, r2) in expected.items())
+    # Blocks meet without an exchange, where each cell was sent once for every group of markers.
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
