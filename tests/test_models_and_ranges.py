@@ -475,3 +475,11 @@ def test_starts_with_many_rows_of_one_tag(spark):
     got = {x.read_id: (x.sample, x.mismatches) for x in ti.seeded_starts(reads, sheet, 1).collect()}
     assert got == {1: ("s0", 0), 2: ("s0", 0), 3: ("s0", 1), 4: ("s0", 1)}
     assert ti.indistinct_pairs(sheet, 1).count() == 3 * 200 * 199
+
+
+def test_few_tags_on_many_rows_are_compared_once(spark):
+    sheet = spark.createDataFrame([(f"s{i}", "ACGTACG"[: 5 + i % 3], i) for i in range(300)], "sample string, tag string, tag_rank long")
+    pairs = ti.indistinct_pairs(sheet, 1)
+    # A small sheet's pairs are many: the work is dealt to all partitions, where it was one task's before.
+    assert pairs.rdd.getNumPartitions() == 4
+    assert pairs.count() == sum(i != j and i % 3 <= j % 3 for i in range(300) for j in range(300))
