@@ -147,6 +147,7 @@ def linkage_of_all(doses: DataFrame, markers_at_once: int = 256, inds_at_once: i
     parts = min(groups, math.isqrt(4 * partitions(doses.sparkSession)) + 1)
     dealt = cells.withColumn("block", F.pmod(F.xxhash64("snp"), F.lit(groups)).cast("int")).repartition(parts, "block")
     blocks = checkpoint(dealt.groupBy("block").applyInArrow(pack, f"block int, snps array<{kinds[0]}>, inds array<{kinds[1]}>, row binary, at binary, g binary"))
+    blocks = blocks.coalesce(parts)  # also where the session deals keys more finely
     one, two = (blocks.toDF(*[f"{c}{s}" for c in blocks.columns]) for s in ("1", "2"))
     pairs = one.crossJoin(two.hint("shuffle_replicate_nl")).filter("block1 <= block2")
     return pairs.mapInArrow(meet, f"snp1 {kinds[0]}, snp2 {kinds[0]}, n long, r2 double")
